@@ -61,3 +61,13 @@ def decimal_places(c: Column) -> Column:
 def pct(part: Column, whole: Column) -> Column:
     """Share in percent; 0 when the whole is empty."""
     return F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0))
+
+
+def plain_text(c: Column, dtype: T.DataType) -> Column:
+    """A value as people write it: doubles without exponents, everything else as cast by Spark."""
+    if not is_float(dtype):
+        return c.cast("string")
+    c = clean(c, dtype)
+    wide = F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    usual = (c == 0) | (F.abs(c) < 1e7) & (F.abs(c) >= 1e-3)
+    return F.when(usual, c.cast("string")).otherwise(F.coalesce(wide, c.cast("string")))
