@@ -163,7 +163,7 @@ def read_statement(df: DataFrame, column: str, statement: str, as_of: dt.datetim
         return bad(raw.isNotNull() & parse_date(raw, dtype).isNull())
     if says("not be future dated", "not be in the future"):
         return bad(parse_date(raw, dtype) > F.lit(as_of))
-    if says("numeric"):
+    if re.search(r"\bnumeric\b", low):  # as a word, so that "alphanumeric" reaches its own check
         return bad(raw.isNotNull() & number.isNull())
     if says("not be negative"):
         return bad(number < 0)
