@@ -12,7 +12,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from plumbline.functions import dtypes, numbers, text
+from plumbline.functions import dtypes, numbers, similarity, text
 from plumbline.operators.quantiles import col, exact_quantiles, numeric
 
 # Special characters that are counted one by one, with their names.
@@ -568,19 +568,7 @@ def char_census(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         .filter(F.col("character") != "")
         .groupBy("column", "character").agg(F.count(F.lit(1)).alias("count"))
     )
-    return counted.withColumn("unicode_name", _unicode_name("character"))
-
-
-def _unicode_name(name: str) -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def lookup(s: pd.Series) -> pd.Series:
-        import unicodedata
-
-        return s.map(lambda ch: unicodedata.name(ch, "UNKNOWN") if len(ch) == 1 else "UNKNOWN")
-
-    return lookup(name)
+    return counted.withColumn("unicode_name", similarity.unicode_name(F.col("character")))
 
 
 def column_summary(df: DataFrame) -> DataFrame:
