@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -31,16 +32,21 @@ def character_name(s: pd.Series) -> pd.Series:
     return s.map(lambda ch: unicodedata.name(ch, "UNKNOWN") if ch is not None and len(ch) == 1 else "UNKNOWN")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, one machine operation per character of ``b``."""
+def common_subsequence(a: str, b: str, need: float = 0) -> int:
+    """Length of the longest common subsequence; -1 as soon as it cannot reach ``need``.
+
+    One step per character of ``b``, on all of ``a`` at once.
+    """
     places: dict[str, int] = {}
     for i, ch in enumerate(a):
         places[ch] = places.get(ch, 0) | (1 << i)
     full = (1 << len(a)) - 1
     row = full
-    for ch in b:
+    for j, ch in enumerate(b, 1):
         hit = row & places.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
+        if need and j % 64 == 0 and len(a) - row.bit_count() + len(b) - j < need:
+            return -1
     return len(a) - row.bit_count()
 
 
@@ -51,6 +57,21 @@ def indel(a: str, b: str) -> float:
     return 200.0 * common_subsequence(a, b) / total
 
 
+def indel_reaches(a: str, b: str, threshold: float, counts: dict[str, Counter]) -> bool:
+    """Whether ``indel`` is at least the threshold; cheap bounds on length and letters go first."""
+    if a == b:
+        return True
+    need = (len(a) + len(b)) * threshold / 200.0 - 1e-9
+    if min(len(a), len(b)) < need:
+        return False
+    for t in (a, b):
+        if t not in counts:
+            counts[t] = Counter(t)
+    if (counts[a] & counts[b]).total() < need:
+        return False
+    return indel(a, b) >= threshold if len(b) < 128 else 200.0 * common_subsequence(a, b, need) / (len(a) + len(b)) >= threshold
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 100.0 if a else 0.0
@@ -111,6 +132,18 @@ def score(algorithm: str, a: Column, b: Column) -> Column:
     return F.pandas_udf(_pairwise(_SCORES[algorithm]), T.DoubleType())(a, b)
 
 
+def reaches(algorithm: str, a: Column, b: Column, threshold: float) -> Column:
+    """``score(...) >= threshold``, without computing scores that cannot get there."""
+    if algorithm != "ratio":
+        return score(algorithm, a, b) >= threshold
+
+    def enough(x: pd.Series, y: pd.Series) -> pd.Series:
+        counts: dict[str, Counter] = {}
+        return pd.Series([indel_reaches(s, t, threshold, counts) for s, t in zip(x, y)], dtype="bool")
+
+    return F.pandas_udf(enough, T.BooleanType())(a, b)
+
+
 def strip_accents(c: Column) -> Column:
     """é -> e. Only texts outside ASCII are handed to Python; for others the Arrow batches carry NULL."""
     wide = F.when(c.rlike(r"[^\x00-\x7F]"), c)

@@ -145,19 +145,15 @@ def _expected_pairs(nodes: DataFrame, filter_: TokenFilter, frequency: dict[str,
     return nodes.count(), int(pairs or 0)
 
 
-def _local_leaders(batch: list, algorithm: str, threshold: float) -> dict:
-    """Leader of each text of a small batch, settled in id order."""
-    score = {"ratio": similarity.indel, "difflib": similarity.sequence_matcher, "jaro_winkler": similarity.jaro_winkler}.get(algorithm)
-    leaders: list = []
-    out = {}
+def _local_leaders(batch: list, edges: list) -> dict:
+    """Leader of each text of a small batch, settled in id order over its edges."""
+    smaller: dict = {}
+    for l, r in edges:
+        smaller.setdefault(r, []).append(l)
+    out: dict = {}
     for node in batch:
-        for lead in leaders:
-            if lead["block"] == node["block"] and score(lead["text"], node["text"]) >= threshold:
-                out[node["id"]] = lead["id"]
-                break
-        else:
-            leaders.append(node)
-            out[node["id"]] = node["id"]
+        i = node["id"]
+        out[i] = min((l for l in smaller.get(i, ()) if out[l] == l), default=i)
     return out
 
 
@@ -176,7 +172,13 @@ def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
         if total <= 1 or pairs <= PAIRS_PER_TEXT * total:
             break
         batch = open_nodes.orderBy("id").limit(size).collect()
-        local = _local_leaders(batch, algorithm, threshold)
+        picked = spark.createDataFrame(batch, nodes.schema)
+        # Both the batch and its edges are bounded by the batch size.
+        near = (
+            _candidates(picked, picked, filter_, frequency, small_left=True)
+            .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold)).select("l", "r").collect()
+        )
+        local = _local_leaders(batch, near)
         heads = [r for r in batch if local[r["id"]] == r["id"]]
         leaders = spark.createDataFrame(heads, nodes.schema)
         in_batch = spark.createDataFrame(list(local.items()), T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("own", nodes.schema["id"].dataType)]))
@@ -184,7 +186,7 @@ def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
         # At most `size` leaders are broadcast.
         claims = (
             _candidates(leaders, open_nodes, filter_, frequency, small_left=True)
-            .filter(similarity.score(algorithm, F.col("lt"), F.col("rt")) >= threshold)
+            .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold))
             .groupBy(F.col("r").alias("id")).agg(F.min("l").alias("claimed"))
         )
         round_ = checkpoint(rest.join(claims, "id", "left").select("block", "id", "text", F.coalesce("own", "claimed").alias("leader")))
@@ -200,7 +202,7 @@ def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
 def _by_edges(nodes: DataFrame, algorithm: str, threshold: float, filter_: TokenFilter, frequency: dict[str, int]) -> DataFrame:
     edges = checkpoint(
         _candidates(nodes, nodes, filter_, frequency, small_left=False)
-        .filter(similarity.score(algorithm, F.col("lt"), F.col("rt")) >= threshold).select("l", "r")
+        .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold)).select("l", "r")
     )
     left, members = edges, None
     while True:
