@@ -41,15 +41,11 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def decimal_text(c: Column) -> Column:
-    """A double as plain decimal text (1e7 -> ``10000000``), 15 significant digits at most."""
-    digits = F.when(c == 0, F.lit(0)).otherwise(
-        F.least(F.lit(15), F.greatest(F.lit(0), 14 - F.floor(F.log10(F.abs(c))))).cast("int")
-    )
-    text = F.expr("''")
-    for d in range(16):
-        text = F.when(digits == d, F.format_string(f"%.{d}f", c)).otherwise(text)
-    plain = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
-    return F.when(c.isNotNull(), plain)
+    """A double as plain decimal text (1e7 -> ``10000000``), rounded to 15 significant digits."""
+    places = F.when(c == 0, 0).otherwise(F.least(F.lit(15), F.greatest(F.lit(0), 14 - F.floor(F.log10(F.abs(c))))))
+    scale = F.pow(F.lit(10.0), places)
+    rounded = F.rint(c * scale) / scale
+    return F.regexp_replace(rounded.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
 
 
 def decimal_places(c: Column) -> Column:

@@ -97,8 +97,9 @@ def title(c: Column) -> Column:
 
 
 def capitalize(c: Column) -> Column:
-    """First character upper case, the rest lower case."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 2147483647)))
+    """First character upper case, the rest lower case (ß becomes Ss)."""
+    first = F.upper(F.substring(c, 1, 1))
+    return F.concat(F.substring(first, 1, 1), F.lower(F.substring(first, 2, 9)), F.lower(F.substring(c, 2, 2147483647)))
 
 
 def styled_title(c: Column, style: str = "apa") -> Column:
