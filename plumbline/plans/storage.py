@@ -1 +1,110 @@
-"""Queries to come."""
+"""Source and sink queries (S01-S23): whole tables written, read back and summed up.
+
+Files go to the cluster's shared scratch folder (next to spark.checkpoint.dir) where one is set.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import apply as A
+from plumbline.operators.compare import baseline
+from plumbline.operators.profile import profile
+from plumbline.plans import query
+from plumbline.plans.inputs import table
+from plumbline.sources import files, stores
+
+
+def scratch(spark) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/plumbline-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="plumbline-")
+
+
+SUPPLIER = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
+SCHEMA = "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"
+DOCUMENTS = "SELECT doc_id, text FROM documents"
+
+
+@query("csv_round_trip", "S01 S02 S16", SUPPLIER)
+def _(spark, sf):
+    path = scratch(spark) + "/supplier.csv"
+    files.write(table(spark, sf, "supplier"), path, "csv", compression="gzip")
+    return files.read(spark, path, schema=SCHEMA)
+
+
+@query("csv_inferred", "S02 S08", "SELECT count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS keys, round(sum(l_extendedprice), 2) AS price FROM lineitem")
+def _(spark, sf):
+    path = scratch(spark) + "/lineitem.csv"
+    files.write(table(spark, sf, "lineitem"), path, "csv", delimiter=",")
+    return files.read(spark, path).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").cast("bigint").alias("keys"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("tsv_round_trip", "S03 S16", SUPPLIER)
+def _(spark, sf):
+    path = scratch(spark) + "/supplier.tsv"
+    files.write(table(spark, sf, "supplier"), path, "csv", delimiter="\t", compression="bz2")
+    return files.read(spark, path, schema=SCHEMA)
+
+
+@query("jsonl_round_trip", "S05 S18", DOCUMENTS)
+def _(spark, sf):
+    path = scratch(spark) + "/documents.jsonl"
+    files.write(table(spark, sf, "documents"), path, "json", columns=["doc_id", "text"])
+    return files.read(spark, path, schema="doc_id bigint, text string")
+
+
+@query("json_document", "S04", SUPPLIER)
+def _(spark, sf):
+    path = scratch(spark) + "/supplier.json"
+    # One JSON array per nation: a document need not be one line, and none grows with the whole table.
+    rows = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(F.struct("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))).alias("value"))
+    rows.write.partitionBy("s_nationkey").text(path)
+    return files.read(spark, path, schema=SCHEMA)
+
+
+@query("parquet_round_trip", "S06 S17", "SELECT o_orderkey, o_totalprice FROM orders")
+def _(spark, sf):
+    path = scratch(spark) + "/orders.parquet"
+    files.write(table(spark, sf, "orders"), path, columns=["o_orderkey", "o_totalprice"])
+    return files.read(spark, path)
+
+
+@query("parquet_preview", "S06 S09", "SELECT count(*) AS rows FROM (SELECT 1 FROM orders LIMIT 1000)")
+def _(spark, sf):
+    return files.preview(spark, f"{sf.rstrip('/')}/orders.parquet").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("batch_export", "S19", "SELECT CAST(max(n) AS BIGINT) AS largest, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT least(1000, (SELECT count(*) FROM orders) - 1000 * i) AS n FROM range(0, 100000) t(i) WHERE 1000 * i < (SELECT count(*) FROM orders))")
+def _(spark, sf):
+    path = scratch(spark) + "/batches.parquet"
+    files.batch_export(table(spark, sf, "orders"), path, 1000)
+    per_file = files.read(spark, path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
+    return per_file.agg(F.max("n").alias("largest"), F.sum("n").cast("bigint").alias("rows"))
+
+
+@query("rejects_export", "S20", "SELECT rejection_reason, count(*) AS rows FROM (SELECT 'Source - Does not match' AS rejection_reason FROM messy WHERE label IS NULL OR NOT regexp_matches(label, '^src')) GROUP BY ALL")
+def _(spark, sf):
+    path = scratch(spark) + "/rejects.parquet"
+    rule = {"name": "Source", "mode": "Validate", "pattern": "src"}
+    files.write(A.apply_rules(table(spark, sf, "messy"), {"label": [rule]})[1], path)
+    return files.read(spark, path).groupBy("rejection_reason").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("rule_sets", "S21 S22", "SELECT doc_id, upper(label) AS label FROM messy WHERE label IS NOT NULL AND length(label) <= 50")
+def _(spark, sf):
+    path = scratch(spark) + "/rule_sets"
+    config = {"label": {"enabled": True, "applied_rules": [{"name": "Upper", "mode": "Case", "case": "UPPERCASE"}, {"name": "Fits", "mode": "Length", "length_mode": "Maximum", "max_length": 50}]}, "gone": {"enabled": True}}
+    df = table(spark, sf, "messy").select("doc_id", "label")
+    stores.save_rule_set(spark, path, "labels", A.import_config(A.export_config(config), df.columns))
+    return A.apply_rules(df, A.enabled_rules(stores.load_rule_set(spark, path, "labels")))[0]
+
+
+@query("saved_baseline", "C08", """SELECT 'c_acctbal' AS "column", round(avg(c_acctbal), 4) AS mean, count(*) AS row_count FROM customer UNION ALL SELECT 'c_custkey', round(avg(c_custkey), 4), count(*) FROM customer""")
+def _(spark, sf):
+    path = scratch(spark) + "/baselines"
+    df = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    stores.save_baseline(baseline(df, profile(df, samples=False)), path, "first")
+    return stores.load_baseline(spark, path, "first").select("column", F.round("mean", 4).alias("mean"), "row_count")
