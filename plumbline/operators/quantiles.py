@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import math
+import sys
 from itertools import combinations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions import dtypes, numbers
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Most values one task may have to sort to finish an exact quantile.
 MAX_BRACKET_ROWS = 5_000_000
 _SKETCH_ACCURACY = 5_000
+_SAMPLE_ROWS = 100_000
 
 
 def col(name: str) -> Column:
@@ -27,25 +32,30 @@ def numeric(df: DataFrame, name: str) -> Column:
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles (as pandas computes them), per column.
 
-    Selection by bracketing: a small sketch brackets each wanted rank, counting inside the bracket
-    finds the value. Brackets holding more than ``MAX_BRACKET_ROWS`` rows are narrowed by another
-    sketch first, so no task sorts more than that and the driver only sees one row per quantile.
+    Selection by bracketing: a sketch of a random sample brackets each wanted rank, counting
+    inside the bracket finds the value. Brackets holding more than ``MAX_BRACKET_ROWS`` rows are
+    narrowed by another sketch first, so no task sorts more than that and the driver only sees one
+    row per quantile. The sample only guides the search: a bracket that misses is detected by the
+    exact counts and replaced by the whole range.
     """
     if not columns:
         return {}
     values = df.select(*[numeric(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    eps = 2.0 / _SKETCH_ACCURACY
+    fraction = min(1.0, _SAMPLE_ROWS / max(df.count(), 1))
+    sampled = values.withColumn("draw", F.rand(42)) if fraction < 1 else values.withColumn("draw", F.lit(0.0))
+    # Four standard errors of a sampled rank, or the error of the sketch if that is larger.
+    eps = 2.0 / _SKETCH_ACCURACY + (4 * 0.5 / math.sqrt(_SAMPLE_ROWS) if fraction < 1 else 0.0)
 
     def around(p: float) -> list[float]:
         return [max(0.0, p - eps), min(1.0, p + eps)]
 
-    first = values.agg(
+    first = sampled.agg(
         *[
             agg
             for i in range(len(columns))
             for agg in (
                 F.count(f"c{i}").alias(f"n{i}"),
-                F.percentile_approx(f"c{i}", [x for p in probs for x in around(p)], _SKETCH_ACCURACY).alias(f"q{i}"),
+                F.percentile_approx(F.when(F.col("draw") <= fraction, F.col(f"c{i}")), [x for p in probs for x in around(p)], _SKETCH_ACCURACY).alias(f"q{i}"),
             )
         ]
     ).first()
@@ -58,18 +68,22 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
             if not n:
                 continue
             position = (n - 1) * p
+            bracket = first[f"q{i}"]
+            # At the ends, and where the sample holds no value, the bracket stays open.
+            open_low, open_high = bracket is None or p - eps <= 0, bracket is None or p + eps >= 1
             open_targets.append(
                 {
                     "col": i, "prob": j, "lo_rank": math.floor(position), "hi_rank": math.ceil(position),
                     "fraction": position - math.floor(position), "n": n,
-                    "a": first[f"q{i}"][2 * j], "b": first[f"q{i}"][2 * j + 1], "wide": n * 2 * eps,
+                    "a": float("-inf") if open_low else bracket[2 * j], "b": float("inf") if open_high else bracket[2 * j + 1],
+                    "wide": n if bracket is None else n * 2 * eps,
                 }
             )
     while True:
         wide = [t for t in open_targets if t["wide"] > MAX_BRACKET_ROWS and t["a"] < t["b"]]
         if not wide:
             break
-        _narrow(values, wide, eps)
+        _narrow(values, wide, 2.0 / _SKETCH_ACCURACY)
     for t, (lo, hi) in zip(open_targets, _ranked_values(values, open_targets)):
         result[columns[t["col"]]][t["prob"]] = lo if t["fraction"] == 0 else lo + (hi - lo) * t["fraction"]
     return result
@@ -107,21 +121,18 @@ def _ranked_values(values: DataFrame, targets: list[dict]) -> list[tuple[float,
     """Values at the two wanted ranks of every target, checked against the exact counts."""
     if not targets:
         return []
-    cells = []
-    for k, t in enumerate(targets):
-        c = F.col(f"c{t['col']}")
-        place = F.when(c < t["a"], F.lit(0)).when(c <= t["b"], F.lit(1)).otherwise(F.lit(2))
-        cells.append(
-            F.when(
-                c.isNotNull() & (place < 2) ,
-                F.struct(F.lit(k).alias("k"), place.alias("place"), F.when(place == 1, c).alias("v")),
-            )
-        )
+    # One value column per target: NaN for "below the bracket", the value inside it, else NULL.
+    below, ids = F.lit(float("nan")), [f"t{k}" for k in range(len(targets))]
+    marked = values.select(
+        *[
+            F.when(F.col(f"c{t['col']}") < t["a"], below).when(F.col(f"c{t['col']}") <= t["b"], F.col(f"c{t['col']}")).alias(i)
+            for i, t in zip(ids, targets)
+        ]
+    )
+    numbers_of = F.create_map(*[x for k, i in enumerate(ids) for x in (F.lit(i), F.lit(k))])
     counted = (
-        values.select(F.explode(F.array_compact(F.array(*cells))).alias("x"))
-        .select("x.*")
-        .groupBy("k", "place", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
+        marked.unpivot([], ids, "id", "v").filter("v IS NOT NULL").groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.element_at(numbers_of, F.col("id")).alias("k"), F.when(F.isnan("v"), 0).otherwise(1).alias("place"), "v", "n")
     )
     running = Window.partitionBy("k").orderBy("place", "v").rowsBetween(Window.unboundedPreceding, 0)
     ranks = F.create_map(*[x for k, t in enumerate(targets) for x in (F.lit(k), F.array(F.lit(t["lo_rank"]).cast("bigint"), F.lit(t["hi_rank"]).cast("bigint")))])
@@ -143,7 +154,9 @@ def _ranked_values(values: DataFrame, targets: list[dict]) -> list[tuple[float,
     failed |= {k for k, f in enumerate(found) if None in f}
     if failed:
         # The sketch missed the rank (its error bound did not hold): look at everything instead.
-        again = [dict(targets[k], a=float("-inf"), b=float("inf")) for k in sorted(failed)]
+        again = [dict(targets[k], a=float("-inf"), b=float("inf"), wide=targets[k]["n"]) for k in sorted(failed)]
+        while wide := [t for t in again if t["wide"] > MAX_BRACKET_ROWS and t["a"] < t["b"]]:
+            _narrow(values, wide, 2.0 / _SKETCH_ACCURACY)
         for k, pair in zip(sorted(failed), _ranked_values(values, again)):
             found[k] = list(pair)
     return [tuple(f) for f in found]
@@ -233,30 +246,54 @@ def correlation(df: DataFrame, columns: list[str] | None = None, method: str = "
         wide, names = _rank_table(df, columns)
     else:
         raise ValueError(f"unknown correlation method: {method}")
-    pairs = list(names.items())
-    parts = []
-    for start in range(0, len(pairs), 100):
-        entries = []
-        for (i, j), (a, b) in pairs[start : start + 100]:
-            r = F.corr(a, b)
-            entries.append((i, j, F.when(~F.isnan(r), r)))
-        rows = []
-        for i, j, r in entries:
-            rows.append(_pair(columns, i, j, r))
-            if i != j:
-                rows.append(_pair(columns, j, i, r))
-        parts.append(wide.agg(F.array(*rows).alias("rows")).select(F.inline("rows")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    r = pairwise_correlation(wide)
+    wanted = df.sparkSession.createDataFrame(
+        [(columns[i], columns[j], i, j, a, b) for (i, j), (a, b) in names.items()],
+        "column_a string, column_b string, position_a int, position_b int, a string, b string",
+    )
+    half = wanted.join(F.broadcast(r), ["a", "b"], "left").drop("a", "b")
+    mirrored = half.filter("position_a < position_b").select(
+        F.col("column_b").alias("column_a"), F.col("column_a").alias("column_b"),
+        F.col("position_b").alias("position_a"), F.col("position_a").alias("position_b"), "correlation",
+    )
+    return half.unionByName(mirrored)
 
 
-def _pair(columns: list[str], i: int, j: int, r: Column) -> Column:
-    return F.struct(
-        F.lit(columns[i]).alias("column_a"), F.lit(columns[j]).alias("column_b"),
-        F.lit(i).alias("position_a"), F.lit(j).alias("position_b"), r.alias("correlation"),
-    )
+def pairwise_correlation(wide: DataFrame) -> DataFrame:
+    """(a, b, correlation) for all pairs of double columns, over the rows where both have values.
+
+    Every task reduces its rows to one matrix of cross products per batch, around means taken
+    beforehand for accuracy, so a single scan serves all pairs and the shuffle carries a few
+    numbers per pair and task.
+    """
+    names = wide.columns
+    means = wide.agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in names]).first()
+    shift = [means[c] or 0.0 for c in names]
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        k = len(names)
+        sums = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype("float64") for i in range(k)]) - shift
+            there = ~np.isnan(x)
+            x = np.where(there, x, 0.0)
+            m, sq = there.astype("float64"), x * x
+            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, sq.T @ m, m.T @ sq, x.T @ x])
+        i, j = np.triu_indices(k)
+        flat = [pa.array(np.array(names)[i].tolist()), pa.array(np.array(names)[j].tolist())]
+        yield pa.RecordBatch.from_arrays(flat + [pa.array(s[i, j]) for s in sums], ["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = wide.mapInArrow(products, "a string, b string, n double, x double, y double, xx double, yy double, xy double")
+    total = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    vx, vy = F.expr("xx - x * x / n"), F.expr("yy - y * y / n")
+    spread = F.sqrt(vx * vy)
+    # A column without spread has no correlation; rounding noise of the sums must not look like some.
+    flat = (vx <= F.col("xx") * 1e-14) | (vy <= F.col("yy") * 1e-14)
+    r = F.when((F.col("n") > 1) & ~flat, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.expr("xy - x * y / n") / spread)))
+    return total.select("a", "b", F.when(~F.isnan(r), r).alias("correlation"))
 
 
 def _rank_table(df: DataFrame, columns: list[str]):
