@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import posixpath
 import sys
 
@@ -64,8 +65,9 @@ def _read_delimited(spark: SparkSession, path: str, sep: str, header_row: int, s
         return spark.read.csv(path, **options)
     # Row numbers count from the start of the file as long as it is the only one: its first split
     # is partition 0. The rows above the header are dropped by number, the rest is read natively.
-    names = spark.read.csv(path, header=False, sep=sep).limit(header_row + 1).collect()[header_row]
-    columns = [n if n is not None else f"_c{i}" for i, n in enumerate(names)]
+    top = spark.read.text(path).filter("value <> ''").limit(header_row + 1).collect()
+    names = next(csv.reader([top[header_row]["value"]], delimiter=sep))
+    columns = [n or f"_c{i}" for i, n in enumerate(names)]
     struct = schema or T.StructType([T.StructField(c, T.StringType()) for c in columns])
     rows = spark.read.csv(path, header=False, sep=sep, schema=struct, enforceSchema=True)
     body = rows.withColumn("__row", F.monotonically_increasing_id()).filter(F.col("__row") > header_row).drop("__row")
