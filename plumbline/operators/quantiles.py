@@ -246,7 +246,9 @@ def correlation(df: DataFrame, columns: list[str] | None = None, method: str = "
         wide, names = _rank_table(df, columns)
     else:
         raise ValueError(f"unknown correlation method: {method}")
-    r = pairwise_correlation(wide)
+    # Ranks lie around half the number of rows, so they need no pass for their means.
+    shift = None if method == "pearson" else [df.count() / 2.0] * len(wide.columns)
+    r = pairwise_correlation(wide, shift)
     wanted = df.sparkSession.createDataFrame(
         [(columns[i], columns[j], i, j, a, b) for (i, j), (a, b) in names.items()],
         "column_a string, column_b string, position_a int, position_b int, a string, b string",
@@ -259,16 +261,17 @@ def correlation(df: DataFrame, columns: list[str] | None = None, method: str = "
     return half.unionByName(mirrored)
 
 
-def pairwise_correlation(wide: DataFrame) -> DataFrame:
+def pairwise_correlation(wide: DataFrame, shift: list[float] | None = None) -> DataFrame:
     """(a, b, correlation) for all pairs of double columns, over the rows where both have values.
 
-    Every task reduces its rows to one matrix of cross products per batch, around means taken
-    beforehand for accuracy, so a single scan serves all pairs and the shuffle carries a few
+    Every task reduces its rows to one matrix of cross products, around ``shift`` (the means, taken
+    beforehand) for accuracy, so a single scan serves all pairs and the shuffle carries a few
     numbers per pair and task.
     """
     names = wide.columns
-    means = wide.agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in names]).first()
-    shift = [means[c] or 0.0 for c in names]
+    if shift is None:
+        means = wide.agg(*[F.avg(F.when(F.abs(c) < float("inf"), F.col(c))).alias(c) for c in names]).first()
+        shift = [means[c] or 0.0 for c in names]
 
     def products(batches):
         import numpy as np
@@ -325,7 +328,7 @@ def _rank_table(df: DataFrame, columns: list[str]):
     for n in wanted:
         one = ranks.filter(F.col("column") == n).select(F.col("value").alias(n), F.col("rank").alias(f"rank_{n}"))
         out = out.join(one, n, "left")
-    return out, {k: (f"rank_{a}", f"rank_{b}") for k, (a, b) in names.items()}
+    return out.select(*[f"rank_{n}" for n in wanted]), {k: (f"rank_{a}", f"rank_{b}") for k, (a, b) in names.items()}
 
 
 def high_correlation(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -1,0 +1 @@
+"""Files, databases, and stores for baselines and rule sets."""
