@@ -34,6 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COMMON_GRAMS = 5_000  # grams whose frequency is known when tokens are ordered
 FIRST_BATCH, LAST_BATCH = 100, 800
+BROADCAST_CHARACTERS = 2_000_000  # leaders are broadcast only up to this much text
 PAIRS_PER_TEXT = 200  # below this many expected candidate pairs per text, the texts count as sparse
 
 
@@ -173,9 +174,10 @@ def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
             break
         batch = open_nodes.orderBy("id").limit(size).collect()
         picked = spark.createDataFrame(batch, nodes.schema)
+        light = sum(len(r["text"]) for r in batch) <= BROADCAST_CHARACTERS
         # Both the batch and its edges are bounded by the batch size.
         near = (
-            _candidates(picked, picked, filter_, frequency, small_left=True)
+            _candidates(picked, picked, filter_, frequency, small_left=light)
             .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold)).select("l", "r").collect()
         )
         local = _local_leaders(batch, near)
@@ -183,9 +185,9 @@ def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
         leaders = spark.createDataFrame(heads, nodes.schema)
         in_batch = spark.createDataFrame(list(local.items()), T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("own", nodes.schema["id"].dataType)]))
         rest = open_nodes.join(F.broadcast(in_batch), "id", "left")
-        # At most `size` leaders are broadcast.
+        # At most `size` leaders are broadcast, and only when their texts are short enough.
         claims = (
-            _candidates(leaders, open_nodes, filter_, frequency, small_left=True)
+            _candidates(leaders, open_nodes, filter_, frequency, small_left=light)
             .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold))
             .groupBy(F.col("r").alias("id")).agg(F.min("l").alias("claimed"))
         )

@@ -114,3 +114,25 @@ def test_combined_groups_stay_inside_their_key(spark):
     df = spark.createDataFrame([(1, "x", "acme ltd"), (2, "y", "acme ltd"), (3, "x", "acme lt"), (4, "y", "other")], "rid bigint, k string, name string")
     got = Z.combined_groups(df, ["k"], ["name"], "rid").collect()
     assert sorted(r["row_id"] for r in got) == [1, 3] and got[0]["match_type"] == "combined"
+
+
+def test_combined_score_and_phonetic_groups_match_all_pairs(spark):
+    df = spark.createDataFrame(list(enumerate(n for n in names()[:45] if len(n) > 1)), "rid bigint, name string")
+    plain = df.select("rid", S.normalize(F.col("name")).alias("t")).filter("t <> ''")
+    a, b = plain.toDF("l", "lt"), plain.toDF("r", "rt")
+    for algorithm, threshold in (("combined", 80), ("phonetic", 100)):
+        near = {
+            (r["l"], r["r"])
+            for r in a.crossJoin(b).filter("l < r").filter(S.score(algorithm, F.col("lt"), F.col("rt")) >= threshold).collect()
+        }
+        claimed, groups = set(), {}
+        ids = [r[0] for r in plain.select("rid").orderBy("rid").collect()]
+        for i in ids:
+            members = [] if i in claimed else [j for j in ids if (i, j) in near and j not in claimed]
+            if members:
+                claimed.update([i, *members])
+                groups[i] = [i, *members]
+        got = {}
+        for r in Z.fuzzy_groups(df, "name", "rid", threshold, algorithm).collect():
+            got.setdefault(r["group_id"], []).append(r["row_id"])
+        assert {k: sorted(v) for k, v in got.items()} == groups
