@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "decontaminate", "sharding"]
+MODULES = ["quality", "language", "mixing", "decontaminate", "sharding", "toxicity"]
 
 QUERIES: dict = {}
 SQL: dict = {}
