@@ -58,7 +58,7 @@ def fit_logistic(x: Rows, target: np.ndarray, l2: float = 1e-5, rounds: int = 30
     return both[:-1], float(both[-1])
 
 
-def fit_nonnegative_pu(x: Rows, positive: np.ndarray, prior: float, l2: float = 1e-4, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit_nonnegative_pu(x: Rows, positive: np.ndarray, prior: float, l2: float = 2e-5, rounds: int = 600, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Weights and intercept from positives and unlabelled rows: the risk of calling unlabelled rows negative,
     less the part that positives among them make up, never counts below zero."""
     both = np.zeros(x.width + 1)

@@ -1,10 +1,11 @@
 """Quality classifier (1): a weak-label model of overlapping heuristics, and a hashed linear scorer taught by it.
 
-Eight heuristic labellers vote good (+1), bad (-1) or abstain (0) on every whole text. Expectation
-maximisation over the counts of vote patterns (3^8 at most, counted over all texts) estimates how often each
-labeller votes what on good and on bad texts, and the share of good ones. The posterior of a text's pattern
-is its soft label. A logistic scorer on hashed shape trigrams (letters, capitals, digits, marks) is fitted
-to the posteriors of a bounded sample, about `most_sample` texts chosen by hash; it scores every text. A
+Ten heuristic labellers vote on every whole text: eight look for a defect (bad or abstain), two for signs of
+prose (good or abstain). Expectation maximisation over the counts of vote patterns (2^10 at most, counted
+over all texts) estimates how often each votes on good and on bad texts, and the share of good ones, under a
+prior that labellers are mostly right, which decides where they do not overlap. The posterior of a text's
+pattern is its soft label. A logistic scorer on hashed features (shape trigrams of letters, capitals, digits
+and marks; whether words repeat the ones before them) is fitted to the posteriors of a bounded sample, about `most_sample` texts chosen by hash; it scores every text. A
 text is kept if the scorer does not call it bad.
 
 Edge cases: null or empty text has no trigrams, all labellers abstain, and it is kept with the prior's
@@ -25,7 +26,8 @@ from plumbline.llm.linear import fit_logistic, rows_from, sigmoid
 from plumbline.llm.registry import query, table
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, rows_of, slices, sum_by_row, word_spans
 
-LABELLERS = ["marks", "capitals", "length", "lines", "words", "runs", "word_length", "letters"]
+DEFECTS = ["marks", "capitals", "lines", "runs", "word_length", "letters", "cells", "echo"]
+LABELLERS = [*DEFECTS, "sentences", "prose"]
 BITS = 14
 MOST_SAMPLE = 6000
 REJECT_BELOW = 0.5
@@ -39,10 +41,6 @@ for _b in range(256):
 PROSE = np.isin(np.arange(256), [ord(c) for c in ".,;:'\"-()?"])
 
 
-def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
-    return np.where(bad, -1, np.where(good, 1, 0)).astype(np.int8)
-
-
 def votes(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Votes of all labellers (columns) on all texts (rows)."""
     n = len(rows) - 1
@@ -62,40 +60,50 @@ def votes(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     solid = letters + capitals + digits + count(shape > BREAK)
     w, s = np.maximum(words, 1), np.maximum(solid, 1)
     # repeated words and repeated lines
-    kinds = lambda hashes, first: np.bincount(np.unique(np.stack([rows_of(first).astype(np.uint64), hashes], 1), axis=0)[:, 0].astype(np.int64), minlength=n) if len(hashes) else np.zeros(n, int)
     pairs = lambda hashes, first: np.bincount((u := np.unique(mix64(hashes ^ mix64(rows_of(first).astype(np.uint64) + np.uint64(7))), return_index=True)[1], rows_of(first)[u])[1], minlength=n)
-    del kinds
-    distinct = pairs(hash_spans(data, starts, stops), first)
+    hashes = hash_spans(data, starts, stops)
+    echo = sum_by_row(echoes(hashes, first) > 0, first)
     line_kind = np.ones(256, bool)
     line_kind[[10, 13]] = False
     line_starts, line_stops, line_first = word_spans(data, rows, line_kind)
     lines, distinct_lines = np.diff(line_first), pairs(hash_spans(data, line_starts, line_stops), line_first)
     repeated = 1 - distinct_lines / np.maximum(lines, 1)
     mean = s / w
-    some = words > 0
-    return np.stack([
-        vote(marks > 0.3 * w, some & (marks < 0.05 * w)),
-        vote((capitals > 0.5 * (letters + capitals)) & (words >= 5), some & (capitals < 0.15 * (letters + capitals))),
-        vote(np.zeros(n, bool), words >= 50),
-        vote((lines >= 4) & (repeated > 0.5), (lines >= 4) & (repeated < 0.1)),
-        vote((words >= 50) & (distinct < 0.15 * w), (words >= 50) & (distinct > 0.4 * np.minimum(w, 400))),
-        vote(runs > 0.2 * w, some & (runs < 0.01 * w)),
-        vote(some & ((mean > 25) | ((mean < 2) & (words >= 5))), some & (mean > 3) & (mean < 12)),
-        vote(some & (letters + capitals < 0.6 * s), some & (letters + capitals > 0.85 * s)),
-    ], 1)
-
-
-def em(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """Probability that a text with each pattern is good. Labellers are independent given the truth; a first
-    guess by the majority of votes settles which class is which."""
-    said = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, labeller, vote
-    good = sigmoid(2.0 * patterns.sum(1) + np.where((patterns < 0).sum(1) >= 2, -8.0, 0.0))
+    cells = count(data == ord("|"))
+    capital = capitals / np.maximum(letters + capitals, 1)
+    enough = words >= 10
+    ended = sum_by_row(np.isin(data[stops - 1], [ord("."), ord("?")]) if len(stops) else np.zeros(0, bool), first)
+    bad = [marks > 0.3 * w, (capital > 0.5) & (words >= 5), (lines >= 4) & (repeated > 0.5), runs > 0.2 * w, enough & ((mean > 25) | (mean < 2)), enough & (letters + capitals < 0.5 * s), enough & (cells > 0.25 * w), enough & (echo > 0.25 * w)]
+    plain = (cells < 0.02 * w) & (echo < 0.1 * w)
+    good = [plain & (words >= 20) & (ended > 0.02 * w) & (ended < 0.4 * w), plain & (words >= 5) & (marks < 0.05 * w) & (capital < 0.2) & (mean > 3) & (mean < 12)]
+    return np.stack([-x.astype(np.int8) for x in bad] + [x.astype(np.int8) for x in good], 1)
+
+
+def echoes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """1 where a word is the one before it in its text, 2 where it is the one before that, else 0."""
+    out = np.zeros(len(hashes), np.int64)
+    row = rows_of(first)
+    for k in (2, 1):
+        same = (hashes[k:] == hashes[:-k]) & (row[k:] == row[:-k]) if k < len(hashes) else np.zeros(0, bool)
+        out[k:][same] = k
+    return out
+
+
+def em(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, belief: float = 0.5) -> np.ndarray:
+    """Probability that a text with each pattern is good: a mixture of two classes in which labellers are
+    independent. The prior (weighing `belief` of all texts) holds that a labeller votes on 30 % of the class
+    that it looks for and on 0.2 % of the other (signs of prose: 90 % and 10 %). That no defect is found speaks
+    for a text; that no prose is found does not speak against it, as short texts and lists show none."""
+    spoke = (patterns != 0).astype(float)  # pattern, labeller
+    defect = np.arange(len(LABELLERS)) < len(DEFECTS)
+    expected = np.stack([np.where(defect, 0.3, 0.1), np.where(defect, 0.002, 0.9)])  # class, labeller
+    pseudo = belief * n.sum() + 1
+    good = np.where((patterns < 0).any(1), 0.05, 0.95)
     for _ in range(rounds):
         weight = np.stack([n * (1 - good), n * good])  # class, pattern
         share = (weight.sum(1) + 1) / (weight.sum() + 2)
-        says = np.einsum("cp,plv->clv", weight, said) + 0.5
-        says /= says.sum(2, keepdims=True)
-        logs = np.log(share)[:, None] + np.einsum("plv,clv->cp", said, np.log(says))
+        says = (weight @ spoke + pseudo * expected) / (weight.sum(1, keepdims=True) + pseudo)
+        logs = np.log(share)[:, None] + np.log(says) @ spoke.T + (np.log1p(-says) * defect) @ (1 - spoke).T
         now = sigmoid(logs[1] - logs[0])
         if np.abs(now - good).max() < 1e-9:
             break
@@ -103,8 +111,9 @@ def em(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> np.ndarray:
     return good
 
 
-def trigrams(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each byte's shape trigram (it and the two before it in its text; 0 before the start)."""
+def buckets_of(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the shape trigrams (each byte and the two before it in its text; 0 before the start) and of
+    the words' echoes, each with the rows' first entries."""
     shape = SHAPE[data]
     code = shape.copy()
     for k in (1, 2):
@@ -114,7 +123,12 @@ def trigrams(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
             at = rows[:-1] + j
             back[at[at < rows[1:]]] = 0
         code |= back << (6 * k)
-    return (mix64(code.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64), code
+    starts, stops, first = word_spans(data, rows, NOT_SPACE)
+    echo = echoes(hash_spans(data, starts, stops), first)
+    back = np.zeros(len(echo), np.int64)
+    back[1:] = echo[:-1]
+    bucket = lambda x: (mix64(x.astype(np.uint64)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return bucket(code), rows, bucket((1 << 20) + 3 * echo + back), first
 
 
 @dataclass
@@ -126,8 +140,9 @@ class Model:
     intercept: float
 
     def scores(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        sums = sum_by_row(self.weights[trigrams(data, rows)[0]], rows)
-        return sigmoid(self.intercept + sums / np.maximum(np.diff(rows), 1))
+        shapes, rows, words, first = buckets_of(data, rows)
+        mean = lambda x, at: sum_by_row(self.weights[x], at) / np.maximum(np.diff(at), 1)
+        return sigmoid(self.intercept + mean(shapes, rows) + mean(words, first))
 
 
 def names_of(v: np.ndarray) -> np.ndarray:
@@ -148,16 +163,17 @@ def label(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def features(text: str):
-    """For mapInArrow: shares of a text's trigram buckets, with its votes."""
+    """For mapInArrow: shares of a text's buckets among its trigrams and among its words, with its votes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, rows in slices(batch.column(text)):
-                buckets = trigrams(data, rows)[0]
-                key, n = np.unique(rows_of(rows) << BITS | buckets, return_counts=True)
-                at = np.searchsorted(key >> BITS, np.arange(hi - lo + 1)).astype(np.int32)
-                share = (n / np.maximum(np.diff(rows), 1)[key >> BITS]).astype(np.float32)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in ((key & ((1 << BITS) - 1)).astype(np.int32), share)]
+                shapes, rows, words, first = buckets_of(data, rows)
+                key, at = np.unique(np.concatenate([rows_of(rows) << BITS | shapes, rows_of(first) << BITS | words]), return_inverse=True)
+                each = np.concatenate([np.repeat(1 / np.maximum(np.diff(x), 1), np.diff(x)) for x in (rows, first)])
+                share = np.bincount(at, each, len(key)).astype(np.float32)
+                begin = np.searchsorted(key >> BITS, np.arange(hi - lo + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(begin), pa.array(x)) for x in ((key & ((1 << BITS) - 1)).astype(np.int32), share)]
                 yield pa.RecordBatch.from_arrays([batch.column("__ql_votes").slice(lo, hi - lo), *lists], ["votes", "buckets", "shares"])
 
     return run
@@ -166,7 +182,7 @@ def features(text: str):
 def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -> Model:
     """Label model over all texts, scorer from a sample."""
     texts = docs.select(F.col(text).alias("__ql_text"))
-    counted = label(texts, "__ql_text").groupBy("votes").count().collect()  # at most 3^8 rows
+    counted = label(texts, "__ql_text").groupBy("votes").count().collect()  # at most 2^10 rows
     counted.sort()
     total = sum(r[1] for r in counted)
     if not total:

@@ -75,14 +75,23 @@ def word_spans(data: np.ndarray, rows: np.ndarray, kind: np.ndarray) -> tuple[np
     return starts, stops, np.searchsorted(starts, rows)
 
 
+class Hasher:
+    """64-bit hashes of any spans of one array of bytes, A-Z lower-cased if fold."""
+
+    def __init__(self, data: np.ndarray, fold: bool = True):
+        up, self.down = Powers.upto(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((_BYTE[LOWER] if fold else _BYTE)[data] * up[: len(data)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((self.sums[stops] - self.sums[starts]) * self.down[starts] + (stops - starts).astype(np.uint64))
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, A-Z lower-cased if fold."""
-    up, down = Powers.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((_BYTE[LOWER] if fold else _BYTE)[data] * up[: len(data)], out=sums[1:])
-        h = (sums[stops] - sums[starts]) * down[starts]
-        return mix64(h + (stops - starts).astype(np.uint64))
+    """A hash of each span's bytes."""
+    return Hasher(data, fold)(starts, stops)
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 Confirmed toxic texts are the positives; a sample of all training texts is the unlabelled set. The risk of
 calling unlabelled texts clean, corrected by what the toxic share among them (the class prior) would add,
 is kept from going below zero, so that the model cannot win by memorising the positives. Words are hashed
-to 2^18 buckets; those that positives hold far more often than unlabelled texts are the features, as
+to 2^20 buckets; those that positives hold far more often than unlabelled texts are the features, as
 presence in a text, so that long texts are not judged by their length.
 
 At most about `most_positive` and `most_unlabelled` texts (whole, chosen by hash) are used to fit; every text is scored.
@@ -26,18 +26,18 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from plumbline.llm.linear import Rows, fit_nonnegative_pu, sigmoid
 from plumbline.llm.registry import query, table
 from plumbline.llm.shared import remainder
-from plumbline.llm.tokens import ALNUM, hash_spans, rows_of, slices, sum_by_row, word_spans
+from plumbline.llm.tokens import ALNUM, hash_spans, rows_of, slices, word_spans
 
-BITS = 18
+BITS = 20
 MOST_POSITIVE = 4000
 MOST_UNLABELLED = 12000
 MOST_FEATURES = 4096
 
 
 def word_buckets(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each word and the rows' first words."""
+    """The bucket of each word, and the word's row."""
     starts, stops, first = word_spans(data, rows, ALNUM)
-    return (hash_spans(data, starts, stops) >> np.uint64(64 - BITS)).astype(np.int64), first
+    return (hash_spans(data, starts, stops) >> np.uint64(64 - BITS)).astype(np.int64), rows_of(first)
 
 
 @dataclass
@@ -48,9 +48,9 @@ class Model:
     intercept: float
 
     def scores(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        buckets, first = word_buckets(data, rows)
+        buckets, row = word_buckets(data, rows)
         at = np.flatnonzero(self.weights[buckets])
-        once = np.unique(rows_of(first)[at] << BITS | buckets[at])
+        once = np.unique(row[at] << BITS | buckets[at])
         return sigmoid(self.intercept + np.bincount(once >> BITS, self.weights[once & ((1 << BITS) - 1)], len(rows) - 1))
 
 
@@ -60,8 +60,8 @@ def distinct_buckets(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, rows in slices(batch.column(text)):
-                buckets, first = word_buckets(data, rows)
-                once = np.unique(rows_of(first) << BITS | buckets)
+                buckets, row = word_buckets(data, rows)
+                once = np.unique(row << BITS | buckets)
                 at = np.searchsorted(once >> BITS, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array((once & ((1 << BITS) - 1)).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("__tx_positive").slice(lo, hi - lo), lists], ["positive", "buckets"])
@@ -98,7 +98,7 @@ def learn(labelled: DataFrame, text: str = "text", toxic: str = "toxic", most_po
     both = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (p - u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
     lift = (p + 0.5 / n_p) / (u + 0.5 / n_u)
-    chosen = np.flatnonzero((z > 4) & (in_p >= 3) & (lift > 2))
+    chosen = np.flatnonzero((z > 4) & (in_p >= 3) & (lift > 5))
     chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
