@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality", "language", "mixing", "decontaminate", "ngram_join", "sharding", "context_mixing", "toxicity"]
+MODULES = ["quality", "language", "mixing", "decontaminate", "ngram_join", "hamming", "sharding", "context_mixing", "toxicity"]
 
 QUERIES: dict = {}
 SQL: dict = {}
