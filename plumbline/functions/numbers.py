@@ -65,5 +65,9 @@ def plain_text(c: Column, dtype: T.DataType) -> Column:
         return c.cast("string")
     c = clean(c, dtype)
     wide = F.regexp_replace(c.try_cast("decimal(38,10)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    # below 1e-3 a double's shortest text has an exponent: its digits move behind as many zeros
+    digits = F.regexp_replace(F.regexp_replace(c.cast("string"), r"E.*|[-.]", ""), "0+$", "")
+    zeros = F.repeat(F.lit("0"), F.substring_index(c.cast("string"), "E-", -1).try_cast("int") - 1)
+    wide = F.when(F.abs(c) < 1e-3, F.concat(F.when(c < 0, "-").otherwise(""), F.lit("0."), zeros, digits)).otherwise(wide)
     usual = (c == 0) | (F.abs(c) < 1e7) & (F.abs(c) >= 1e-3)
     return F.when(usual, c.cast("string")).otherwise(F.coalesce(wide, c.cast("string")))

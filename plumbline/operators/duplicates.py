@@ -164,17 +164,17 @@ def categorize(profile: DataFrame) -> DataFrame:
     return profile.select("position", "column", category.alias("category"))
 
 
-def tiered(df: DataFrame, rid: str, categories: DataFrame) -> DataFrame:
+def tiered(df: DataFrame, rid: str, categories: DataFrame, max_descriptive: int | None = None) -> DataFrame:
     """Rows that share a real value with another row, at the first column where they do.
 
-    Important columns are the business ones, then the first five descriptive ones. A row repeated
+    Important columns are the business ones, then the descriptive ones (the first ``max_descriptive``, if given). A row repeated
     on several columns together is also repeated on the first of them alone, so the tiers for
     pairs, triples and all business columns can never add a row to the single-column tier; only
     when there is no important column does the complete-row tier decide.
     """
     roles = categories.orderBy("position").collect()
     business = [r["column"] for r in roles if r["category"] == "critical_business"]
-    important = business + [r["column"] for r in roles if r["category"] == "descriptive"][:5]
+    important = business + [r["column"] for r in roles if r["category"] == "descriptive"][:max_descriptive]
     compared = [r["column"] for r in roles if r["category"] != "unique_identifiers"] or [r["column"] for r in roles]
     if not important:
         return _complete_tier(df, rid, compared)

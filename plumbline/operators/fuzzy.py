@@ -39,10 +39,14 @@ PAIRS_PER_TEXT = 200  # below this many expected candidate pairs per text, the t
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's checkpoint folder (a temporary one if none is set)."""
+    """Cut the lineage through the cluster's checkpoint folder. A temporary one is set only for a local
+    master, as executors of a cluster would not see it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-"))
     return df.checkpoint()
 
 

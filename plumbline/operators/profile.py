@@ -270,8 +270,7 @@ def _width(dtype: T.DataType) -> int:
 def iqr_fences(df: DataFrame, columns: list[str], approximate: bool = False) -> dict[str, tuple]:
     """Lower and upper IQR fence per numeric column (1.5 IQR beyond the quartiles)."""
     if approximate:
-        sample = df.sample(fraction=min(1.0, 1_000_000 / max(df.count(), 1)), seed=42)
-        row = sample.agg(
+        row = df.agg(
             *[F.percentile_approx(numeric(df, c), [0.25, 0.75], 2_000).alias(f"q{i}") for i, c in enumerate(columns)]
         ).first()
         quartiles = {c: row[f"q{i}"] or [None, None] for i, c in enumerate(columns)}

@@ -51,10 +51,7 @@ def report(df: DataFrame, profile: DataFrame | None = None, fast: bool = False)
         F.sum("null_count").cast("bigint").alias("missing_cells"),
         F.array_sort(F.collect_list(F.when(issue, F.col("column")))).alias("columns_with_issues"),
     )
-    duplicates = (
-        df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("exact_duplicate_rows")) if fast
-        else duplicate_row_count(df)
-    )
+    duplicates = duplicate_row_count(df)
     cells = F.col("total_rows") * F.col("total_columns")
     rows = F.greatest("total_rows", F.lit(1))
     both = summary.crossJoin(F.broadcast(duplicates)).withColumns(
@@ -217,9 +214,9 @@ def dimension_summary(results: DataFrame) -> DataFrame:
     )
 
 
-def report_tables(profile: DataFrame, report_row: DataFrame, max_issue_columns: int = 20) -> dict[str, DataFrame]:
+def report_tables(profile: DataFrame, report_row: DataFrame, max_issue_columns: int | None = None) -> dict[str, DataFrame]:
     """Row sets of the profiling report: columns, key issues, recommendations (Q18)."""
-    flagged = report_row.select(F.explode(F.slice("columns_with_issues", 1, max_issue_columns)).alias("column"))
+    flagged = report_row.select(F.explode("columns_with_issues" if max_issue_columns is None else F.slice("columns_with_issues", 1, max_issue_columns)).alias("column"))
 
     def counted(n: str, p: str) -> Column:
         return F.concat(F.col(n).cast("string"), F.lit(" ("), F.format_string("%.1f", F.bround(p, 1)), F.lit("%)"))

@@ -153,12 +153,25 @@ def _(spark, sf):
     return R.executable(rule_rows(spark, sf)).select("column", "name", "mode", "pattern", "max_length")
 
 
-@query("sample_based_suggestion", "R16 R18")
+@query("sample_based_suggestion", "R16 R18", """SELECT vendor_id, CASE WHEN (SELECT bool_or(note LIKE '%\\_%' ESCAPE '\\') FROM (SELECT note FROM vendors WHERE note IS NOT NULL ORDER BY vendor_id LIMIT 20))
+  THEN replace(note, '_', ' ') ELSE regexp_replace(note, '[^a-zA-Z0-9\\s]', '', 'g') END AS note FROM vendors""")
 def _(spark, sf):
     df = table(spark, sf, "vendors")
-    sample = [r[0] for r in df.filter("note is not null").select("note").orderBy("vendor_id").limit(20).collect()]
-    rule = R.heuristic_suggestion(sample)
-    return A.apply_rules(df, {"note": [{**rule, "name": R.rule_name(rule)}]}, at=AS_OF)[0].select("vendor_id", "note")
+    rule = R.suggest_cleaning(df, "note", "vendor_id").first().asDict()
+    return A.apply_rules(df, {"note": [rule]}, at=AS_OF)[0].select("vendor_id", "note")
+
+
+_ASKED = """SELECT p_partkey, p_name || CASE p_partkey % 10 WHEN 0 THEN ' Remove special marks' WHEN 1 THEN ' underscore to SPACE' WHEN 2 THEN ' Upper' WHEN 3 THEN ' lower' WHEN 4 THEN ' title'
+  WHEN 5 THEN ' extract number' WHEN 6 THEN ' only digits' WHEN 7 THEN ' email' WHEN 8 THEN ' special' ELSE '' END AS request, p_partkey % 3 = 0 AS underscore FROM part"""
+
+
+@query("requested_rules", "R16 R18", f"""WITH asked AS ({_ASKED}), said AS (SELECT *, lower(request) AS r FROM asked)
+  SELECT p_partkey, CASE WHEN r LIKE '%special%' AND r LIKE '%remove%' THEN 'Remove Special Chars' WHEN r LIKE '%underscore%' AND r LIKE '%space%' THEN 'Replace _ with Space' WHEN r LIKE '%upper%' THEN 'To UPPERCASE'
+  WHEN r LIKE '%lower%' THEN 'To lowercase' WHEN r LIKE '%title%' THEN 'To Title Case' WHEN (r LIKE '%number%' OR r LIKE '%digit%') AND (r LIKE '%extract%' OR r LIKE '%only%') THEN 'Extract Digits'
+  WHEN r LIKE '%email%' THEN 'Validate Email' WHEN underscore THEN 'Replace _ with Space' ELSE 'Remove Special Chars' END AS name FROM said""")
+def _(spark, sf):
+    asked = spark.sql(_ASKED.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    return asked.select("p_partkey", R.rule_label(R.rule_for_request(F.col("request"), F.col("underscore"))).alias("name"))
 
 
 # --- validation -----------------------------------------------------------------------------

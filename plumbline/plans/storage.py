@@ -20,6 +20,8 @@ from plumbline.sources import files, stores
 
 def scratch(spark) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/plumbline-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="plumbline-")
 
 
@@ -39,7 +41,25 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch(spark) + "/lineitem.csv"
     files.write(table(spark, sf, "lineitem"), path, "csv", delimiter=",")
-    return files.read(spark, path).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").cast("bigint").alias("keys"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+    return files.read(spark, path, lines_are_rows=True).agg(F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").cast("bigint").alias("keys"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+@query("csv_texts", "S02 S16", """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE text || '"' || chr(10) || 'a "b", c' END AS text, lang FROM documents""")
+def _(spark, sf):
+    path = scratch(spark) + "/documents.csv"
+    rows = table(spark, sf, "documents").selectExpr("doc_id", """CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE text || '"' || chr(10) || 'a "b", c' END AS text""", "lang")
+    files.write(rows, path, "csv")
+    return files.read(spark, path, schema="doc_id bigint, text string, lang string")
+
+
+@query("header_row_files", "S10", SUPPLIER)
+def _(spark, sf):
+    path = scratch(spark) + "/suppliers"
+    lines = table(spark, sf, "supplier").select(F.pmod("s_suppkey", F.lit(3)).alias("part"), F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").alias("line"), F.col("s_suppkey").alias("at"))
+    top = spark.range(3).select(F.col("id").alias("part"), F.posexplode(F.array(F.lit("made by hand,,,"), F.lit("s_suppkey,s_name,s_nationkey,s_acctbal"))).alias("at", "line"))
+    both = top.select("part", (F.col("at") - 10).cast("bigint").alias("at"), "line").unionByName(lines)
+    both.repartition(3, "part").sortWithinPartitions("part", "at").select("part", "line").write.partitionBy("part").text(path)
+    return files.read(spark, path + "/part=*", "csv", header_row=1, schema=SCHEMA)
 
 
 @query("tsv_round_trip", "S03 S16", SUPPLIER)

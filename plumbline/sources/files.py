@@ -30,16 +30,18 @@ def file_type(path: str) -> str:
 
 def read(
     spark: SparkSession, path: str, fmt: str | None = None, header_row: int = 0, limit: int | None = None, offset: int = 0,
-    schema: T.StructType | str | None = None,
+    schema: T.StructType | str | None = None, lines_are_rows: bool = False,
 ) -> DataFrame:
     """A file or a directory of files as a DataFrame.
 
-    ``header_row`` is the line with the column names; lines above it are ignored. Large CSV files
-    need no special path: Spark splits them. Give a ``schema`` to spare the pass that infers one.
+    ``header_row`` is the line with the column names in every file; lines above it are ignored. Give a
+    ``schema`` to spare the pass that infers one. Quoted fields may hold line breaks and doubled quotes; such
+    files are read by one task each. With ``lines_are_rows`` no field holds a line break, and Spark splits
+    large files.
     """
     fmt = fmt or file_type(path)
     if fmt in ("csv", "tsv"):
-        df = _read_delimited(spark, path, "," if fmt == "csv" else "\t", header_row, schema)
+        df = _read_delimited(spark, path, "," if fmt == "csv" else "\t", header_row, schema, lines_are_rows)
     elif fmt in ("json", "jsonl"):
         reader = spark.read.schema(schema) if schema else spark.read
         df = reader.json(path, multiLine=fmt == "json")
@@ -58,22 +60,41 @@ def preview(spark: SparkSession, path: str, n: int = 1000, **options) -> DataFra
     return read(spark, path, limit=n, **options)
 
 
-def _read_delimited(spark: SparkSession, path: str, sep: str, header_row: int, schema) -> DataFrame:
-    options = {"header": True, "sep": sep, "multiLine": False}
-    options.update({"schema": schema} if schema else {"inferSchema": True})
+def _read_delimited(spark: SparkSession, path: str, sep: str, header_row: int, schema, lines_are_rows: bool) -> DataFrame:
+    # With a null value that no field holds, an empty field is NULL and a quoted empty one is the empty text.
+    options = {"sep": sep, "multiLine": not lines_are_rows, "escape": '"', "nullValue": "\u0000"}
     if header_row <= 0:
-        return spark.read.csv(path, **options)
-    # Row numbers count from the start of the file as long as it is the only one: its first split
-    # is partition 0. The rows above the header are dropped by number, the rest is read natively.
+        return spark.read.csv(path, header=True, **options, **({"schema": schema} if schema else {"inferSchema": True}))
+    # Each file has the same lines above its rows: the first one tells the names.
     top = spark.read.text(path).filter("value <> ''").limit(header_row + 1).collect()
     names = next(csv.reader([top[header_row]["value"]], delimiter=sep))
     columns = [n or f"_c{i}" for i, n in enumerate(names)]
     struct = schema or T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.csv(path, header=False, sep=sep, schema=struct, enforceSchema=True)
-    body = rows.withColumn("__row", F.monotonically_increasing_id()).filter(F.col("__row") > header_row).drop("__row")
+    rows = spark.read.csv(path, header=False, schema=struct, enforceSchema=True, **options)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+    body = placed.mapInArrow(_below(header_row), rows.schema)
     return body if schema else infer_types(body)
 
 
+def _below(header_row: int):
+    """For mapInArrow: drops the first rows, header included, of every file. A file's head is read in order by
+    the task that has its first block."""
+
+    def run(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            names, starts = batch.column("__file").to_pylist(), batch.column("__start").to_pylist()
+            keep = []
+            for name, start in zip(names, starts):
+                seen[name] = seen.get(name, 0) + 1
+                keep.append(start > 0 or seen[name] > header_row + 1)
+            import pyarrow as pa
+
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__file", "__start"])
+
+    return run
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast text columns to bigint, double or timestamp where every value allows it (one scan)."""
     targets = ["bigint", "double", "timestamp"]
@@ -157,7 +178,7 @@ def write(
     codec = {"zip": "gzip", "bz2": "bzip2"}.get(compression or "", compression)
     writer = out.write.mode(mode)
     if fmt == "csv":
-        writer.csv(path, header=True, sep=delimiter, quote=quote, encoding=encoding, compression=codec)
+        writer.csv(path, header=True, sep=delimiter, quote=quote, escape=quote, encoding=encoding, compression=codec)
     elif fmt == "parquet":
         writer.parquet(path, compression=codec or "snappy")
     elif fmt == "json":
@@ -171,7 +192,7 @@ def batch_export(df: DataFrame, path: str, rows_per_file: int, fmt: str = "parqu
     out = df.select(*[col(c) for c in columns]) if columns else df
     writer = out.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
     if fmt == "csv":
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, escape='"')
     elif fmt == "parquet":
         writer.parquet(path)
     elif fmt == "json":

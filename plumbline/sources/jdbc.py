@@ -24,7 +24,6 @@ ENGINES: dict[str, tuple[str, str, int | None]] = {
     # Ships with Spark; runs inside the JVM that opens it.
     "Derby": ("jdbc:derby:{database}", "org.apache.derby.iapi.jdbc.AutoloadedDriver", None),
 }
-MAX_ROWS = 500_000
 
 
 def options(engine: str, host: str = "", port: int = 0, database: str = "", user: str = "", password: str = "") -> dict[str, str]:
@@ -41,12 +40,12 @@ def options(engine: str, host: str = "", port: int = 0, database: str = "", user
 
 
 def read_table(
-    spark: SparkSession, connection: dict[str, str], table: str, schema: str | None = None, max_rows: int | None = MAX_ROWS,
+    spark: SparkSession, connection: dict[str, str], table: str, schema: str | None = None, max_rows: int | None = None,
     partition_column: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1,
 ) -> DataFrame:
     """A table (S12). With ``partition_column`` and ``bounds`` it is read in parallel ranges.
 
-    The row limit is pushed into the database; pass ``max_rows=None`` to load everything.
+    All rows by default; a limit, if given, is pushed into the database.
     """
     reader = spark.read.format("jdbc").options(**connection).option("dbtable", f"{schema}.{table}" if schema else table)
     if partition_column:
@@ -57,7 +56,7 @@ def read_table(
     return df if max_rows is None else df.limit(max_rows)
 
 
-def run_query(spark: SparkSession, connection: dict[str, str], query: str, max_rows: int | None = MAX_ROWS) -> DataFrame:
+def run_query(spark: SparkSession, connection: dict[str, str], query: str, max_rows: int | None = None) -> DataFrame:
     """The result of a query that the database runs."""
     df = spark.read.format("jdbc").options(**connection).option("query", query).load()
     return df if max_rows is None else df.limit(max_rows)

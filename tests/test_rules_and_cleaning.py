@@ -3,7 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import apply as A, clean as C, compare as M, profile as P, rules as R, validate as V
+from plumbline.functions import numbers as N
+from plumbline.operators import apply as A, clean as C, compare as M, profile as P, quantiles, rules as R, validate as V
 
 AS_OF = dt.datetime(2024, 6, 1)
 
@@ -61,9 +62,32 @@ def test_rule_config_keeps_known_columns():
     assert list(A.import_config(text, ["a", "b"])) == ["a"]
 
 
-def test_rule_names():
-    assert R.rule_name({"mode": "Length", "length_mode": "Range", "min_length": 2, "max_length": 9}) == "Length 2-9"
-    assert R.heuristic_suggestion(["a_b"])["mode"] == "Replace"
+def test_rule_names(spark):
+    assert R.length_label("Range", 2, 9) == "Length 2-9"
+    rules = spark.createDataFrame([("Validate", r"^\d{10}$", "", ""), ("Replace", "abcdefghijkl", "x", ""), ("Case", "", "", ""), ("Sort", "", "", "")], "mode string, pattern string, replace string, case string")
+    names = [r[0] for r in rules.select(R.rule_label(F.struct("*"))).collect()]
+    assert names == ["Validate Phone", "Replace: abcdefghij → x", "To UPPERCASE", "Sort Rule"]
+    df = spark.createDataFrame([(1, None), (2, "a_b"), (3, "c")], "id int, v string")
+    assert R.suggest_cleaning(df, "v", "id").first()["mode"] == "Replace"
+    assert R.suggest_cleaning(df, "v", "id", "Remove special signs").first()["name"] == "Remove Special Chars"
+
+
+@pytest.mark.parametrize("style, names", [("snake_case", ["order_id", "my_name"]), ("camelCase", ["orderID", "myName"]), ("kebab-case", ["order-id", "my-name"]), ("upper", ["ORDER_ID", "MY NAME"])])
+def test_naming_styles(spark, style, names):
+    given = {"snake_case": ["orderId", "my name"], "camelCase": ["Order_ID", "my name"], "kebab-case": ["order_id", "My name"], "upper": ["order_id", "my name"]}[style]
+    assert C.rename(spark.createDataFrame([(1, 2)], given), style).columns == names
+
+
+def test_small_and_large_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([(1.5e-11,), (0.00012345678912345,), (-2e-5,), (0.5,), (0.0,), (123456789.25,)], "x double")
+    shown = [r[0] for r in df.select(N.plain_text(F.col("x"), df.schema["x"].dataType)).collect()]
+    assert shown == ["0.000000000015", "0.00012345678912345", "-0.00002", "0.5", "0.0", "123456789.25"]
+
+
+def test_quantiles_end_between_heavy_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "MAX_BRACKET_ROWS", 50)
+    df = spark.range(100_000).selectExpr("id % 2 AS x")
+    assert quantiles.exact_quantiles(df, ["x"], [0.5]) == {"x": [0.5]}
 
 
 def test_imputation(spark):
