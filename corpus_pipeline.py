@@ -23,7 +23,7 @@ from plumbline.llm.registry import table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.classify(docs).filter("keep").select(*docs.columns)
+    return quality.reject(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

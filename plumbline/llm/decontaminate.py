@@ -183,20 +183,20 @@ def block_scan(bench_rows, text: str, columns: list[str], window: int):
                 for r, i, w, p, k in zip(*(x.tolist() for x in matches_of(hashes, first, bench))):
                     found[lo + r].append({"item_id": bench.item[i], "item_word": w, "word": p, "words": k})
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("word", pa.int32()), ("words", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(counts), pa.array(found, kind)], [*columns, "n_words", "__dc_matches"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(counts), pa.array(found, kind)], [*columns, "__dc_n_words", "__dc_matches"])
 
     return scan
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with `n_words` and `__dc_matches`: every longest verbatim match of `window` words or more (or of a
+    """docs with `__dc_n_words` and `__dc_matches`: every longest verbatim match of `window` words or more (or of a
     whole shorter item): item_id, first word in the item, first word in the text, length in words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     words = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-words // (2 * block_words)))  # a word takes two bytes at least, with what parts it from the next
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "__dc_matches": F.lit(None).cast(T.ArrayType(MATCH))})
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("__dc_matches", T.ArrayType(MATCH))])
+    out = docs.withColumns({"__dc_n_words": F.lit(0).cast("long"), "__dc_matches": F.lit(None).cast(T.ArrayType(MATCH))})
+    schema = T.StructType([*docs.schema.fields, T.StructField("__dc_n_words", T.LongType()), T.StructField("__dc_matches", T.ArrayType(MATCH))])
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # about block_words words
         out = out.mapInArrow(block_scan(spark.sparkContext.broadcast([tuple(r) for r in rows]), text, docs.columns, window), schema)
@@ -204,18 +204,18 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
 
 
 def judge(matched: DataFrame) -> DataFrame:
-    """Add `n_hit` (words inside any match), `item_ids` (distinct, sorted as text) and `contaminated`."""
+    """Add `__dc_n_hit` (words inside any match), `__dc_item_ids` (distinct, sorted as text) and `__dc_contaminated`."""
     spans = F.array_sort(F.transform("__dc_matches", lambda m: F.struct(m["word"].alias("lo"), (m["word"] + m["words"]).alias("hi"))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     covered = F.aggregate(spans, start, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(s["lo"], a["to"]))).cast("long").alias("n"), F.greatest(s["hi"], a["to"]).alias("to")))["n"]
     ids = F.array_sort(F.array_distinct(F.transform("__dc_matches", lambda m: m["item_id"].cast("string"))))
-    found = matched.withColumns({"n_hit": F.coalesce(covered, F.lit(0)).cast("long"), "item_ids": F.coalesce(ids, F.array().cast("array<string>"))})
-    return found.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    found = matched.withColumns({"__dc_n_hit": F.coalesce(covered, F.lit(0)).cast("long"), "__dc_item_ids": F.coalesce(ids, F.array().cast("array<string>"))})
+    return found.withColumn("__dc_contaminated", (F.col("__dc_n_hit") > 0) & (20 * F.col("__dc_n_hit") >= F.col("__dc_n_words")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents of which less than a twentieth of the words is benchmark text; docs' columns."""
-    return judge(find_matches(docs, benchmark, **options)).filter(~F.col("contaminated")).select(*docs.columns)
+    return judge(find_matches(docs, benchmark, **options)).filter(~F.col("__dc_contaminated")).select(*docs.columns)
 
 
 SQL = rf"""
@@ -236,4 +236,5 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id)"""
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = judge(find_matches(docs, table(spark, sf, "benchmark")))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    return found.select("doc_id", F.col("__dc_n_words").alias("n_words"), F.col("__dc_n_hit").alias("n_hit"), F.size("__dc_item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__dc_item_ids", ",").cast("binary"), 256).alias("items_sha256"), F.col("__dc_contaminated").alias("contaminated"))

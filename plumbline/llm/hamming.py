@@ -112,10 +112,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("qs"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("qb"), "id", "code")
 
     def one(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        unpack = lambda t: (t.column("id").to_numpy(), np.array(t.column("code").to_pylist(), np.uint16).reshape(t.num_rows, -1))
-        (ids, c), (own, q) = unpack(mine), unpack(theirs)
-        if not len(ids) or not len(own):
+        if not mine.num_rows or not theirs.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "neighbor_id": pa.array([], pa.int64()), "distance": pa.array([], pa.int32())})
+        unpack = lambda t: (t.column("id").to_numpy(), np.array(t.column("code").to_pylist(), np.uint16))
+        (ids, c), (own, q) = unpack(mine), unpack(theirs)
         who, i, d = search(c, ids, q, own, k)
         return pa.table({"query_id": own[who], "neighbor_id": i, "distance": d.astype(np.int32)})
 

@@ -12,7 +12,8 @@ texts chosen by hash. Everything is scored, in whole.
 
 Edge cases: null text, and text without a letter, is `und` with score 0, as is everything if nothing was
 learned; rows without language teach nothing; a null id counts as the empty text in the split; ties go to the
-language first in code-point order; other columns pass through. Added columns: `lang_pred`, `score`; working
+language first in code-point order; other columns pass through. Added columns: `lang_pred`, `score`, which replace
+columns of these names; working
 columns start with `__la_`.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import remainder
+from plumbline.llm.shared import remainder, replaced
 from plumbline.llm.tokens import slices
 
 ORDER = 4
@@ -153,6 +154,7 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", order: in
 
 def predict(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
     """docs with `lang_pred` and `score`, the share of the best language when code lengths are read as probabilities."""
+    docs = replaced(docs, "lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if trees is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})

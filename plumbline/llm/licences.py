@@ -14,7 +14,7 @@ all other words reset the automaton, as they would anyway.
 
 Edge cases: null text is empty: no words, no labels, score 0; a phrase that occurs several times counts every
 time, overlapping ones too; repeated rows are scanned one by one; an empty table gives an empty result; other
-columns pass through. Added columns: see `scan`; working columns start with `__li_`.
+columns pass through. Added columns: see `scan`; they replace columns of these names; working columns start with `__li_`.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.registry import query, table
+from plumbline.llm.shared import replaced
 from plumbline.llm.tokens import ALNUM, hash_spans, slices, word_spans
 
 #: Base phrases and their labels: fixed values.
@@ -218,6 +219,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict | None = None, template
     """docs with `n_words`, `n_base` (all places of base phrases), `first_word` and `last_word` (their smallest
     and largest start), `base_labels`, `spans` (label, first word, words, covered share of the template),
     `labels` (base and template ones) and `score`: 1 for a whole base phrase, else the best covered share."""
+    docs = replaced(docs, "n_words", "n_base", "first_word", "last_word", "base_labels", "spans", "labels", "score")
     spark, columns = docs.sparkSession, docs.columns
     shared = spark.sparkContext.broadcast((base or BASE, templates or TEMPLATES))
     added = T._parse_datatype_string(f"n_words long, n_base long, first_word long, last_word long, base_labels array<string>, spans array<{SPAN}>, labels array<string>, score double")

@@ -86,23 +86,23 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
 
 
 def assign(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, shards: int | None = None, seed: int = 1) -> DataFrame:
-    """Every row of df with `size`, `source_size`, `target`, `copies`, `taken`, and `__mx_h` and `__mx_shards`,
-    the output shards of its copies. Weights repeat over the sources in code-point order, null last."""
+    """Every row of df with `__mx_size`, `__mx_source_size`, `__mx_target`, `__mx_copies` and `__mx_taken`, and `__mx_h` and
+    `__mx_shards`, the output shards of its copies. Weights repeat over the sources in code-point order, null last."""
     spark = df.sparkSession
     sized = df.withColumns({
         "__mx_k": F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source))),
-        "size": F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_WORD)), F.lit(0)).cast("long"),
+        "__mx_size": F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_WORD)), F.lit(0)).cast("long"),
         "__mx_h": F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)),
     })
-    narrow = cut(sized.groupBy("__mx_k", "__mx_h").agg(F.sum("size").alias("__mx_w")))  # the numbers alone; the texts are read once for them
+    narrow = cut(sized.groupBy("__mx_k", "__mx_h").agg(F.sum("__mx_size").alias("__mx_w")))  # the numbers alone; the texts are read once for them
     found = sorted((r[0], r[1] or 0) for r in narrow.groupBy("__mx_k").agg(F.sum("__mx_w")).collect())
     total = sum(s for _, s in found)
     words = max(block_words, -(-total // max_blocks))
     plan = []
     for (k, s), t in zip(found, targets([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], most)):
         full = min(most, int(t // s)) if s else 0
-        plan.append({"__mx_k": k, "source_size": s, "target": t, "__mx_blocks": max(1, -(-s // words)), "__mx_full": full, "__mx_left": max(0, min(s, round(t - full * s))) if full < most else 0})
-    sources = literal_rows(spark, plan, "__mx_k string, source_size long, target double, __mx_blocks long, __mx_full int, __mx_left long")
+        plan.append({"__mx_k": k, "__mx_source_size": s, "__mx_target": t, "__mx_blocks": max(1, -(-s // words)), "__mx_full": full, "__mx_left": max(0, min(s, round(t - full * s))) if full < most else 0})
+    sources = literal_rows(spark, plan, "__mx_k string, __mx_source_size long, __mx_target double, __mx_blocks long, __mx_full int, __mx_left long")
     block = F.pmod("__mx_h", "__mx_blocks")
 
     # whole blocks of the last pass, in permuted order, and the block that is taken in part
@@ -146,15 +146,15 @@ def assign(df: DataFrame, source: str = "source", text: str = "text", key: str =
     # at most max_blocks + one row per source
     out = sized.join(F.broadcast(sources.drop("__mx_full", "__mx_left")), "__mx_k").withColumn("__mx_b", block).join(F.broadcast(cut(book)), ["__mx_k", "__mx_b"])
     upto = F.coalesce(F.col("__mx_part").isNotNull() & (F.col("__mx_h") <= F.col("__mx_to")), F.lit(False))
-    part = (F.col("size") > 0) & (upto | F.coalesce(F.col("__mx_h") == F.col("__mx_also"), F.lit(False)))
+    part = (F.col("__mx_size") > 0) & (upto | F.coalesce(F.col("__mx_h") == F.col("__mx_also"), F.lit(False)))
     copies = F.col("__mx_full") + (F.col("__mx_whole") | part).cast("int")
     at = F.when(copies > F.size("__mx_shards"), F.concat("__mx_shards", F.array("__mx_extra"))).otherwise(F.slice("__mx_shards", F.lit(1), copies))
-    return out.withColumns({"copies": copies, "taken": F.col("size") * copies, "__mx_shards": at}).select(*df.columns, "size", "source_size", "target", "copies", "taken", "__mx_h", "__mx_shards")
+    return out.withColumns({"__mx_copies": copies, "__mx_taken": F.col("__mx_size") * copies, "__mx_shards": at}).select(*df.columns, "__mx_size", "__mx_source_size", "__mx_target", "__mx_copies", "__mx_taken", "__mx_h", "__mx_shards")
 
 
 def mix(df: DataFrame, seed: int = 1, shuffle: bool = True, **options) -> DataFrame:
     """The mixed rows themselves, with df's columns: a row per taken copy, in its shard and shuffled there."""
-    rows = assign(df, seed=seed, **options).filter("copies > 0").select(*df.columns, "__mx_h", F.posexplode("__mx_shards").alias("__mx_copy", "__mx_shard"))
+    rows = assign(df, seed=seed, **options).filter("__mx_copies > 0").select(*df.columns, "__mx_h", F.posexplode("__mx_shards").alias("__mx_copy", "__mx_shard"))
     if shuffle:
         rows = rows.repartition("__mx_shard").sortWithinPartitions("__mx_shard", F.xxhash64(F.lit(seed + 2), "__mx_h", "__mx_copy"))
     return rows.select(*df.columns)
@@ -162,4 +162,5 @@ def mix(df: DataFrame, seed: int = 1, shuffle: bool = True, **options) -> DataFr
 
 @query("op3_hypergeometric_mixing")
 def _(spark, sf):
-    return assign(table(spark, sf, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    mixed = assign(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", *(F.col(f"__mx_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "copies")))

@@ -10,7 +10,7 @@ text is kept if the scorer does not call it bad.
 
 Edge cases: null or empty text has no trigrams, all labellers abstain, and it is kept with the prior's
 score; an empty table gives an empty result; other columns pass through. Added columns: `votes`,
-`posterior`, `score`, `keep`; working columns start with `__ql_`.
+`posterior`, `score`, `keep`, which replace columns of these names; working columns start with `__ql_`.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.linear import fit_logistic, rows_from, sigmoid
 from plumbline.llm.registry import query, table
+from plumbline.llm.shared import replaced
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, rows_of, slices, sum_by_row, word_spans
 
 DEFECTS = ["marks", "capitals", "lines", "runs", "word_length", "letters", "cells", "echo"]
@@ -31,6 +32,7 @@ LABELLERS = [*DEFECTS, "sentences", "prose"]
 BITS = 14
 MOST_SAMPLE = 6000
 REJECT_BELOW = 0.5
+ADDED = {"votes": T.StringType(), "posterior": T.DoubleType(), "score": T.DoubleType(), "keep": T.BooleanType()}
 
 #: Byte classes of the shape of a text: fixed values.
 LETTER, CAPITAL, DIGIT, SPACE, BREAK = 1, 2, 3, 4, 5
@@ -202,10 +204,11 @@ def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -
     return Model(posterior, weights * scale, intercept)
 
 
-def classify(docs: DataFrame, model: Model | None = None, text: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
-    """docs with votes, posterior, score and keep."""
+def classify(docs: DataFrame, model: Model | None = None, text: str = "text", reject_below: float = REJECT_BELOW, prefix: str = "") -> DataFrame:
+    """docs with votes, posterior, score and keep (with prefix before the names); such columns of docs are replaced."""
+    docs = replaced(docs, *(prefix + c for c in ADDED))
     shared, columns = docs.sparkSession.sparkContext.broadcast(model or learn(docs, text)), docs.columns
-    added = [T.StructField("votes", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())]
+    added = [T.StructField(prefix + c, kind) for c, kind in ADDED.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -220,6 +223,11 @@ def classify(docs: DataFrame, model: Model | None = None, text: str = "text", re
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
+def reject(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the scorer keeps; docs' columns."""
+    return classify(docs, prefix="__ql_", **options).filter("__ql_keep").select(*docs.columns)
+
+
 @query("op1_weak_label_quality")
 def _(spark, sf):
     return classify(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "votes", "posterior", "score", "keep")

@@ -7,7 +7,8 @@ p mod S, slot p div S: shard sizes differ by one row at most and slots have no g
 (N, seed) can compute the place of a row number without the data.
 
 Edge cases: null text has no bytes and crc32 0; rows with equal keys and texts are interchangeable; an
-empty table gives an empty result; other columns pass through untouched. The columns this module adds
+empty table gives an empty result; other columns pass through untouched, but for
+`law`, `shard` and `slot`, which are replaced. The columns this module adds
 while it works start with `__sh_`.
 """
 
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import cut
+from plumbline.llm.shared import cut, replaced
 
 SHARDS = 40
 #: Rows are numbered inside hash buckets; each offset table has one row per bucket.
@@ -80,7 +81,7 @@ def permute(df: DataFrame, x: str, n: int, seed: int) -> DataFrame:
 
 def shard(df: DataFrame, shards: int = SHARDS, seed: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows of df with `shard` (int), `slot` (long) and `law`, shuffled reproducibly over `shards` shards."""
-    numbered, n = number_rows(df, key, text)
+    numbered, n = number_rows(replaced(df, "law", "shard", "slot"), key, text)
     placed = permute(numbered, "__sh_row", max(n, 1), seed)
     return placed.withColumns({"law": F.lit("rows"), "shard": (F.col("__sh_row") % shards).cast("int"), "slot": F.floor(F.col("__sh_row") / shards).cast("long")}).drop("__sh_row")
 

@@ -41,7 +41,6 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(text_of(column).cast("binary")) % modulus
 
 
-def clear_name(df: DataFrame, *names: str) -> None:
-    """Refuse input whose columns carry a name that an operator needs for itself."""
-    if bad := [c for c in df.columns if c in names]:
-        raise ValueError(f"columns {bad} clash with names of the operator")
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns that an operator is about to add under the same names (in any case)."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
