@@ -10,7 +10,7 @@ At most about `most_positive` and `most_unlabelled` texts (whole, chosen by hash
 
 Edge cases: null or empty text has no features and gets the intercept's score; without any positive, every
 score is the prior's; a null id counts as the empty text in the split; rows of `labels` that repeat are
-counted once per id; other columns pass through. Added columns: `score`, `predicted`; working columns start
+counted once per id; other columns pass through. Added columns: `score`, `predicted`, which replace columns of these names; working columns start
 with `__tx_`.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.linear import Rows, fit_nonnegative_pu, sigmoid
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import remainder
+from plumbline.llm.shared import remainder, replaced
 from plumbline.llm.tokens import ALNUM, hash_spans, rows_of, slices, word_spans
 
 BITS = 20
@@ -98,7 +98,7 @@ def learn(labelled: DataFrame, text: str = "text", toxic: str = "toxic", most_po
     both = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (p - u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
     lift = (p + 0.5 / n_p) / (u + 0.5 / n_u)
-    chosen = np.flatnonzero((z > 4) & (in_p >= 3) & (lift > 5))
+    chosen = np.flatnonzero((z > 4) & (in_p >= 3) & (lift > min(5.0, 0.6 / prior)))
     chosen = np.sort(chosen[np.argsort(-z[chosen], kind="stable")[:MOST_FEATURES]])
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
@@ -112,6 +112,7 @@ def learn(labelled: DataFrame, text: str = "text", toxic: str = "toxic", most_po
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with `score` and `predicted`."""
+    docs = replaced(docs, "score", "predicted")
     shared, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
