@@ -1,18 +1,21 @@
 """N-gram Jaccard join (6) by vertical partitioning.
 
 All distinct word 3-grams stand in one global order: rare ones by hash, then the frequent ones by frequency.
-Cutting the order gives fragments; a document's set falls into one segment per fragment.
+Pivots on the hash cut both parts of the order into even fragments; a document's set falls into one segment
+per fragment.
 
 1. Documents with equal sets form a class; classes are joined from here on.
 2. Two classes that link share a gram in both their prefixes (the first n - ceil(t n) + 1 grams of the order),
-   and at their first shared gram the grams passed over, the set sizes and the sizes of their 64 fine
-   segments (overlap <= sum of the smaller ones) allow the overlap that is needed. That gives candidates.
-3. For candidates, every one of 8 fragments counts its partial overlap separately, by an intersection of two
+   and at their first shared gram the grams passed over, the set sizes and the sizes of their 16 segments
+   (overlap <= sum of the smaller ones) allow the overlap that is needed. The overlap of the two prefixes
+   bounds it again: of the prefix that ends first, every gram that the other lacks is lost.
+3. For what is left, each fragment counts its partial overlap separately, by an intersection of two
    segments; the partial counts are summed per pair and decide exactly.
 
 Candidates come in two rounds, so that a crowd of near copies does not give all its pairs: first every class
-meets the most central class of each of its prefix grams; then only pairs that are not yet connected meet,
-one side of which is outside the largest component there. Nothing is capped: each linked pair is either
+meets the most central class of each of its prefix grams, then the others. At a gram of more than `CROWD`
+classes, only pairs that are not yet connected meet, one side of which is outside the largest component
+there; this changes the work, not the result. Nothing is capped: each linked pair is either
 verified or already connected, so components are exact. Components are found by alternating star
 contraction of the links, with checkpoints.
 
@@ -31,19 +34,22 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.llm.registry import query, table
 from plumbline.llm.shared import cut
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, slices, word_spans
 
 PERCENT = 90
-MOST_FREQUENT = 1 << 17
-FINE, COARSE = 64, 8
-#: Of the 64 fine fragments, so many hold the rare grams and the rest the frequent ones.
-RARE = 48
+MOST_FREQUENT = 1 << 20
+FRAGMENTS, HALVES = 16, 32
+#: Segment sizes are packed into four numbers of 16 bits each; sets of more grams are not bounded by them.
+PACKED = ["s0", "s1", "s2", "s3"]
+#: The same for the halves of the fragments, compared where a crowd meets.
+FINE = [f"f{k}" for k in range(8)]
+CROWD = 32
 #: Grams of a task that are counted together, and how often one must come to be reported.
-CHUNK, LOCAL = 1 << 21, 3
+CHUNK, LOCAL = 1 << 22, 2
 #: Bits of the map that tells tasks which rows may be candidates' representatives.
 MAP_BITS = 26
 
@@ -96,10 +102,10 @@ class Order:
             out[at] = np.where(self.sorted[k] == grams[at], self.rank[k], -1)
         return out
 
-    def fragment(self, grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        """The fine fragment of each gram."""
-        rare = ((grams >> np.uint64(48)).astype(np.int64) * RARE) >> 16
-        return np.where(ranks < 0, rare, RARE + ranks * (FINE - RARE) // max(1, len(self.sorted)))
+
+def fragment(grams: np.ndarray) -> np.ndarray:
+    """The fragment of each gram."""
+    return (grams >> np.uint64(60)).astype(np.int64)
 
 
 def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -132,7 +138,7 @@ def frequent_grams(text: str):
 
 
 def describe(text: str, carried: list[str], order, percent: int):
-    """For mapInArrow: each text's class key, set size, fine segment sizes and prefix."""
+    """For mapInArrow: each text's class key, set size, segment sizes and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Order(order.value)
@@ -142,7 +148,8 @@ def describe(text: str, carried: list[str], order, percent: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 flat, own = np.concatenate(sets), np.repeat(np.arange(hi - lo), n)
                 ranks = ranked.ranks(flat)
-                fine = np.bincount(own * FINE + ranked.fragment(flat, ranks), minlength=(hi - lo) * FINE).astype(np.int32)
+                packed = lambda many, of: np.bincount(own * many + of, minlength=(hi - lo) * many).astype(np.uint16).view(np.int64).reshape(-1, many // 4)
+                sizes = np.concatenate([packed(FRAGMENTS, fragment(flat)), packed(HALVES, (flat >> np.uint64(59)).astype(np.int64))], 1)
                 wanted = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 first = np.concatenate([[0], np.cumsum(n)])
                 prefixes = []
@@ -156,31 +163,66 @@ def describe(text: str, carried: list[str], order, percent: int):
                     prefixes.append(rare)
                 keys = pa.array(class_keys(flat, own, n), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in carried), keys, pa.array(n), lists(fine, np.full(hi - lo, FINE)), lists(np.concatenate(prefixes).view(np.int64), wanted)],
-                    [*carried, "__nj_c", "n_shingles", "__nj_sizes", "__nj_prefix"],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in carried), keys, pa.array(n), *(pa.array(sizes[:, k].copy()) for k in range(12)), lists(np.concatenate(prefixes).view(np.int64), wanted)],
+                    [*carried, "__nj_c", "n_shingles", *PACKED, *FINE, "__nj_prefix"],
                 )
 
     return run
 
 
-def segments(text: str, order, bits):
-    """For mapInArrow: the coarse segments of the texts whose row is on the map."""
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys are on the map."""
+    place = (keys & ((1 << MAP_BITS) - 1)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+
+def on_map(key: str, bits):
+    """For mapInArrow: the rows whose key is on the map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = bits.value
+        for batch in batches:
+            yield batch.filter(pa.array(marked(on, batch.column(key).to_numpy())))
+
+    return run
+
+
+def shared_prefixes(grams_map, rows_map):
+    """For mapInArrow over the rows that are on one map: a row per prefix gram that is on the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranked, marked = Order(order.value), bits.value
+        on, chosen = grams_map.value, rows_map.value
         for batch in batches:
-            key = batch.column("__nj_r").to_numpy()
-            place = (key & ((1 << MAP_BITS) - 1)).astype(np.int64)
-            chosen = batch.filter(pa.array((marked[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            batch = pa.RecordBatch.from_struct_array(batch.filter(pa.array(marked(chosen, batch.column("__nj_r").to_numpy()))).to_struct_array())
+            lists_, n = batch.column("__nj_prefix"), batch.column("n_shingles").to_numpy()
+            grams, first = lists_.values.to_numpy(), lists_.offsets.to_numpy().astype(np.int64)
+            own = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            place = np.arange(first[0], first[-1]) - first[:-1][own]
+            grams = grams[first[0] : first[-1]]
+            at = np.flatnonzero(marked(on, grams))
+            yield pa.RecordBatch.from_arrays([pa.array(grams[at]), pa.array(place[at].astype(np.int32)), batch.column("__nj_c").take(pa.array(own[at])), pa.array(n[own[at]]), *(batch.column(c).take(pa.array(own[at])) for c in PACKED)], ["g", "p", "c", "n", *PACKED])
+
+    return run
+
+
+def segments(text: str, bits):
+    """For mapInArrow: the segments of the sets whose row is on the map, once per task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on, done = bits.value, set()
+        for batch in batches:
+            chosen = batch.filter(pa.array(marked(on, batch.column("__nj_r").to_numpy())))
             for lo, hi, data, rows in slices(chosen.column(text)):
                 sets = gram_sets(data, rows)
                 n = np.array([len(s) for s in sets], np.int64)
-                flat, own = np.concatenate(sets), np.repeat(np.arange(hi - lo), n)
-                fragment = ranked.fragment(flat, ranked.ranks(flat)) // (FINE // COARSE)
-                turn = np.argsort(own * COARSE + fragment, kind="stable")
-                group, sizes = np.unique((own * COARSE + fragment)[turn], return_counts=True)
-                rows_key = chosen.column("__nj_r").slice(lo, hi - lo).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(rows_key[group // COARSE]), pa.array((group % COARSE).astype(np.int32)), lists(flat[turn].view(np.int64), sizes)], ["__nj_r", "__nj_f", "__nj_grams"])
+                keys = class_keys(np.concatenate(sets), np.repeat(np.arange(hi - lo), n), n)
+                fresh = [r for r, k in enumerate(keys.tolist()) if n[r] and not (k in done or done.add(k))]
+                if not fresh:
+                    continue
+                flat, own = np.concatenate([sets[r] for r in fresh]), np.repeat(np.arange(len(fresh)), n[fresh])
+                cell = own * FRAGMENTS + fragment(flat)  # in order already: a set is sorted by hash
+                group, sizes = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[fresh][group // FRAGMENTS]), pa.array((group % FRAGMENTS).astype(np.int32)), lists(flat.view(np.int64), sizes)], ["c", "f", "grams"])
 
     return run
 
@@ -195,22 +237,28 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def star_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of edges (a, b), root the smallest node connected: alternating stars."""
+def star_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, root) of all nodes of edges (a, b), root the smallest node connected: alternating stars. After a
+    given number of rounds, roots may be further apart than need be, but nodes with one root are connected."""
     tidy = lambda e: e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before = cut(tidy(edges)), None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if mark == before:
-            break
-        before = mark
+    now, before, done = cut(tidy(edges)), None, 0
+    while done != rounds:
+        done += 1
+        if rounds is None:
+            mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if mark == before:
+                break
+            before = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = cut(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = cut(tidy(small))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    leaves = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    if rounds is not None:
+        return leaves
+    return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 class Join:
@@ -220,12 +268,16 @@ class Join:
         spark, self.percent = docs.sparkSession, percent
         self.texts = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
         often = self.texts.select("__nj_text").mapInArrow(frequent_grams("__nj_text"), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        top = often.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toArrow()
-        by_rank = top.column("gram").to_numpy().view(np.uint64)[::-1].copy()
-        self.order = spark.sparkContext.broadcast(by_rank)
+        often = cut(often)
+        least = F.sum("k").over(Window.orderBy(F.desc("n")))  # one row per count up to 1,000, fewer than a thousand rows
+        sizes = often.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
+        enough = sizes.withColumn("upto", least).filter(F.col("upto") <= MOST_FREQUENT).agg(F.min("n")).first()[0]
+        top = often.filter(F.col("n") >= (1 << 62 if enough is None else enough)).toArrow()
+        grams, n = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy()
+        self.order = spark.sparkContext.broadcast(grams[np.lexsort((grams, n))])
         slim = docs.select(F.col(key).alias("__nj_id"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
         kinds = {f.name: f.dataType for f in slim.schema}
-        schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("__nj_sizes", T.ArrayType(T.IntegerType())), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
+        schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.LongType()) for c in (*PACKED, *FINE)), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
         #: One row per document; all that the join needs but the sets of candidates.
         self.rows = cut(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], self.order, percent), schema))
 
@@ -234,48 +286,77 @@ class Join:
         s, p = F.col(nx) + F.col(ny), self.percent
         return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * p) & ((F.col(px) + F.col(py)) * (100 + p) <= s * (100 - p))
 
-    def segments_fit(self, nx, ny, sx, sy) -> Column:
-        """The sizes of the fine segments allow a link."""
-        most = F.aggregate(F.zip_with(sx, sy, lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-        return most * (100 + self.percent) >= (F.col(nx) + F.col(ny)) * self.percent
+    def segments_fit(self, nx, ny, x: str, y: str, packed: list[str] = PACKED) -> Column:
+        """The sizes of the segments, packed columns with a suffix each, allow a link."""
+        part = lambda c, k: F.shiftright(F.col(c), 16 * k).bitwiseAND(0xFFFF)
+        most = sum((F.least(part(c + x, k), part(c + y, k)) for c in packed for k in range(4)), F.lit(0))
+        return (F.greatest(nx, ny) > 0xFFFF) | (most * (100 + self.percent) >= (F.col(nx) + F.col(ny)) * self.percent)
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y, nx, ny) that link, by partial overlaps summed over the fragments."""
+    def prefixes_fit(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y, nx, ny) whose prefixes share enough."""
         pairs = cut(pairs)
         ends = pairs.select(F.col("x").alias("__nj_c")).union(pairs.select(F.col("y").alias("__nj_c"))).distinct()
-        first = self.rows.join(ends, "__nj_c", "left_semi").groupBy("__nj_c").agg(F.min("__nj_r").alias("__nj_r"))
-        chosen = cut(first)
-        bits = pairs.sparkSession.sparkContext.broadcast(bitmap(chosen, "__nj_r"))
-        found = self.texts.mapInArrow(segments("__nj_text", self.order, bits), "__nj_r long, __nj_f int, __nj_grams array<long>")
-        parts = cut(found.join(chosen, "__nj_r").dropDuplicates(["__nj_c", "__nj_f"]).select("__nj_c", "__nj_f", "__nj_grams"))
-        side = lambda c, g: parts.select(F.col("__nj_c").alias(c), "__nj_f", F.col("__nj_grams").alias(g))
-        each = pairs.withColumn("__nj_f", F.explode(F.sequence(F.lit(0), F.lit(COARSE - 1))))
-        partial = each.join(side("x", "gx"), ["x", "__nj_f"]).join(side("y", "gy"), ["y", "__nj_f"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("gx", "gy")).alias("o"))
-        summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("o").alias("overlap"))
+        first = self.rows.select("__nj_c", "__nj_r").join(ends, "__nj_c", "left_semi").groupBy("__nj_c").agg(F.min("__nj_r").alias("__nj_r"))
+        bits = pairs.sparkSession.sparkContext.broadcast(bitmap(first, "__nj_r"))
+        found = self.rows.select("__nj_r", "__nj_c", "__nj_prefix").mapInArrow(on_map("__nj_r", bits), "__nj_r long, __nj_c long, __nj_prefix array<long>")
+        prefix = cut(found.join(ends, "__nj_c", "left_semi").dropDuplicates(["__nj_c"]))
+        side = lambda c, g: prefix.select(F.col("__nj_c").alias(c), F.col("__nj_prefix").alias(g))
+        both = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), "y")
+        kept = F.greatest(F.col("nx") - F.size("gx"), F.col("ny") - F.size("gy")) + F.size(F.array_intersect("gx", "gy"))
+        return both.filter(kept * (100 + self.percent) >= (F.col("nx") + F.col("ny")) * self.percent).select("x", "y", "nx", "ny")
+
+    def verified(self, candidates: DataFrame) -> DataFrame:
+        """The candidates (x, y, nx, ny) that link, by partial overlaps summed over the fragments."""
+        pairs = cut(self.prefixes_fit(candidates))
+        ends = pairs.select(F.col("x").alias("__nj_c")).union(pairs.select(F.col("y").alias("__nj_c"))).distinct()
+        first = self.rows.select("__nj_c", "__nj_r").join(ends, "__nj_c", "left_semi").groupBy("__nj_c").agg(F.min("__nj_r").alias("__nj_r"))
+        bits = pairs.sparkSession.sparkContext.broadcast(bitmap(first, "__nj_r"))
+        parts = cut(self.texts.mapInArrow(segments("__nj_text", bits), "c long, f int, grams array<long>"))
+        side = lambda c, g: parts.select(F.col("c").alias(c), "f", F.col("grams").alias(g))
+        partial = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), ["y", "f"]).select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("gx", "gy")).alias("o"))
+        once = partial.groupBy("x", "y", "nx", "ny", "f").agg(F.max("o").alias("o"))  # a class may come from two tasks
+        summed = once.groupBy("x", "y", "nx", "ny").agg(F.sum("o").alias("overlap"))
         return summed.filter(F.col("overlap") * 100 >= (F.col("nx") + F.col("ny") - F.col("overlap")) * self.percent).select("x", "y", "nx", "ny", "overlap")
 
     def components(self) -> DataFrame:
         """(__nj_c, __nj_root) of all classes that link with another one."""
-        prefix = self.rows.filter("n_shingles > 0").select(F.posexplode("__nj_prefix").alias("p", "g"), F.col("__nj_c").alias("c"), F.col("n_shingles").alias("n")).distinct()
-        shared = cut(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("p", "c", "n")).alias("lead")).filter("k > 1"))
-        buckets = cut(prefix.join(shared, "g").select("g", "k", "p", "c", "n", F.col("lead.p").alias("lp"), F.col("lead.c").alias("lc"), F.col("lead.n").alias("ln")))
-        sizes = cut(self.rows.select("__nj_c", "__nj_sizes").join(buckets.select(F.col("c").alias("__nj_c")).distinct(), "__nj_c", "left_semi").dropDuplicates(["__nj_c"]))
-        named = lambda c, s: sizes.select(F.col("__nj_c").alias(c), F.col("__nj_sizes").alias(s))
-
-        stars = buckets.filter((F.col("c") != F.col("lc")) & self.fits("n", "ln", "p", "lp")).select(F.col("lc").alias("x"), F.col("c").alias("y"), F.col("ln").alias("nx"), F.col("n").alias("ny")).distinct()
-        stars = stars.join(named("x", "sx"), "x").join(named("y", "sy"), "y").filter(self.segments_fit("nx", "ny", "sx", "sy")).select("x", "y", "nx", "ny")
-        links = cut(self.verified(stars).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        roots = cut(star_components(links))
-
-        # pairs that the first round left apart: one side lies outside the largest component of its gram
-        open_ = buckets.filter("k > 2 and c <> lc").select("g", "p", "c", "n").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        crowd = open_.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", "root")).alias("top")).filter("kinds > 1").select("g", F.col("top.root").alias("top"))
-        mixed = cut(open_.join(crowd, "g").join(named("c", "s"), "c"))
-        x, y = (mixed.select("g", *(F.col(v).alias(v + i) for v in ("p", "c", "n", "root", "s", "top"))) for i in "xy")
+        spark = self.rows.sparkSession
+        full = self.rows.filter("n_shingles > 0")
+        grams = full.select(F.explode("__nj_prefix").alias("g"), F.col("__nj_c").alias("c")).groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+        share = spark.sparkContext.broadcast
+        # maps of grams that two classes share, and of one row per class; they may let a few others pass
+        grams_map = share(bitmap(grams.filter("a <> b"), "g"))
+        rows_map = share(bitmap(full.groupBy("__nj_c").agg(F.min("__nj_r").alias("r")), "r"))
+        fields = ["p", "c", "n", *PACKED]
+        prefix = cut(full.select("__nj_r", "__nj_c", "n_shingles", *PACKED, "__nj_prefix").mapInArrow(shared_prefixes(grams_map, rows_map), "g long, p int, c long, n long, s0 long, s1 long, s2 long, s3 long"))
+        shared = cut(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("other"), F.min("c").alias("one"), F.min(F.struct(*fields)).alias("lead")).filter("one <> other").select("g", "k", *(F.col(f"lead.{c}").alias(f"{c}x") for c in fields)))
+
+        member = prefix.select("g", *(F.col(c).alias(f"{c}y") for c in fields))
+        pairs = lambda df: df.select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"), F.when(F.col("cx") < F.col("cy"), F.col("nx")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("cx") < F.col("cy"), F.col("ny")).otherwise(F.col("nx")).alias("ny")).distinct()
+        fit = self.fits("nx", "ny", "px", "py") & self.segments_fit("nx", "ny", "x", "y")
+        links = cut(self.verified(pairs(member.join(shared, "g").filter((F.col("cx") != F.col("cy")) & fit))).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+        # the others of each gram meet one another
+        p = self.percent
+        near = (F.col("p") + F.col("p_lead")) * ((100 + p) * p) <= F.col("n") * ((100 - p) * (100 + p))  # no member passes over fewer grams than the lead
+        leads = shared.select("g", "k", F.col("cx").alias("lead"), F.col("px").alias("p_lead")).filter("k > 2")
+        rest = prefix.join(leads, "g").filter((F.col("c") != F.col("lead")) & near).drop("lead", "p_lead")
+        few = rest.filter(F.col("k") <= CROWD)
+        named = lambda df, i, *more: df.select("g", *(F.col(c).alias(c + i) for c in (*fields, *more)))
+        met = pairs(named(few, "x").join(named(few, "y"), "g").filter((F.col("cx") < F.col("cy")) & fit))
+        # in a crowd, only pairs that the first round left apart, one side outside the largest component
+        roots = cut(star_components(links, rounds=1))
+        crowd = cut(rest.filter(F.col("k") > CROWD).join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")))
+        top = crowd.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("top")).select("g", F.col("top.root").alias("top"))
+        fine = self.rows.select(F.col("__nj_c").alias("c"), *FINE).join(crowd.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+        crowd = cut(crowd.join(top, "g").join(fine, "c"))
+        x, y = named(crowd, "x", "root", "top", *FINE), named(crowd, "y", "root", "top", *FINE)
         apart = (F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("topy")) | (F.col("cx") < F.col("cy")))
-        met = x.filter("rootx <> topx").join(y, (x["g"] == y["g"]) & apart & self.fits("nx", "ny", "px", "py") & self.segments_fit("nx", "ny", "sx", "sy"))
-        more = met.select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"), F.when(F.col("cx") < F.col("cy"), F.col("nx")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("cx") < F.col("cy"), F.col("ny")).otherwise(F.col("nx")).alias("ny")).distinct()
-        crossed = self.verified(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        more = pairs(x.filter("rootx <> topx").join(y, "g").filter(apart & fit & self.segments_fit("nx", "ny", "x", "y", FINE)))
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        known = met.union(more).distinct().join(root("x"), "x", "left").join(root("y"), "y", "left")
+        open_ = known.filter(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y", "nx", "ny")
+        crossed = self.verified(open_).select(F.col("x").alias("a"), F.col("y").alias("b"))
         return star_components(cut(links.union(crossed))).select(F.col("node").alias("__nj_c"), F.col("root").alias("__nj_root"))
 
     def assigned(self) -> DataFrame:
