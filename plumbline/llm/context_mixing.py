@@ -1,23 +1,25 @@
 """LM scoring (9): logistic context mixing over bits, and a unigram word model beside it.
 
-A text is its UTF-8 bytes and an end symbol. Every bit is predicted by five hashed-context predictors (the
-bits of the byte so far with the 0 to 3 bytes before it, or with all of the word before it), each a slot of
-counts of zeros and ones over all training texts. Their stretched predictions are combined by weights that
-a gate picks (bit position and how much the longest contexts have seen), learned online; an adaptive probability map, one curve per bits so
+A text is its UTF-8 bytes and an end symbol. Every bit is predicted by four hashed-context predictors (the
+bits of the byte so far with the 0 to 3 bytes before it), each a slot of counts of zeros and ones over all
+training texts. Their stretched predictions are combined by weights that a gate picks (bit position and how
+much the two longest contexts have seen), learned online; an adaptive probability map, one curve per bits so
 far, refines the result. Bits sum to the text's code length.
 
-Bytes with their three predecessors and the word so far are the sufficient statistics: tasks count them over all training texts,
+Bytes with their three predecessors are the sufficient statistics: tasks count them over all training texts,
 Spark sums them, and slots, weights and the map are learned from that table in Spark jobs. An occurrence
 is learned with its own count taken out, so that weights do not trust memories. Weights of
 the tasks, each online over its share, are averaged by what they have seen, twice over. Then all is frozen,
 so a score depends on the text alone. What reaches the driver is bounded by the slots.
 
-Words are counted by 64-bit hashes. A task encodes its texts against a dictionary per block of about
-`BLOCK` words; dictionaries meet the counts in a join, and come back to their block's texts.
+Words are counted by 64-bit hashes. The tasks know the counts of the `COMMON` most frequent words (two
+places by hash each, the more frequent first) and sum over them; words that they do not find there leave a
+row each, which meets its count in a join and comes back to its text as a sum. Frequent words, which would
+crowd one task, are the ones that need no join.
 
 Edge cases: null text is empty and scores its end; without training rows every bit costs one and every token
 log10(1) = 0 in the unigram model; a null id counts as the empty text in the split; repeated rows are scored
-one by one; other columns pass through. Working columns start with `__cm_`.
+one by one; other columns pass through, but for those that are added. Working columns start with `__cm_`.
 """
 
 from __future__ import annotations
@@ -27,23 +29,25 @@ from typing import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from plumbline.llm.language import PAD, shifted
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import cut, remainder
-from plumbline.llm.tokens import NOT_SPACE, Hasher, hash_spans, mix64, slices, sum_by_row, word_spans
+from plumbline.llm.shared import cut, remainder, replaced
+from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, slices, sum_by_row, word_spans
 
-#: Bits of the slot tables of orders 0 to 3 and of words; orders 0 and 1 have a slot for everything.
-TABLE_BITS = (8, 16, 20, 20, 22)
+#: Bits of the slot tables of orders 0 to 3; orders 0 and 1 have a slot for everything.
+TABLE_BITS = (8, 16, 19, 20)
 INPUTS = len(TABLE_BITS)
 BEGIN = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+#: Distinct words and windows that a task gathers before it reports them.
 BLOCK = 1 << 21
+COMMON, COMMON_BITS = 1 << 19, 20
 CONFIDENCE = np.array([0.5, 1.5, 3.5, 15.5])
 GATES = 8 * 25
 KNOTS = 33
 CACHE_BITS = 20
-RATE = 0.02
+RATE = 0.05
 
 
 def end_marked(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,24 +56,22 @@ def end_marked(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def windows(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Each symbol (low byte) with its three predecessors and, in the high half, a hash of the word before it."""
-    code = data.astype(np.uint64)
+    """Each symbol (low byte) with its three predecessors."""
+    code = data.astype(np.uint32)
     for k in (1, 2, 3):
-        code |= shifted(data, rows, k, PAD).astype(np.uint64) << np.uint64(8 * k)
-    at = np.arange(len(data))
-    begin = np.zeros(len(data), np.int64)
-    begin[1:] = np.maximum.accumulate(np.where(NOT_SPACE[data] & (data != PAD), 0, at + 1))[:-1]
-    return code | Hasher(data)(begin, at) >> np.uint64(32) << np.uint64(32)
+        code |= shifted(data, rows, k, PAD).astype(np.uint32) << np.uint32(8 * k)
+    return code
 
 
 def slots(code: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots of all predictors (columns) before bit number `bit` (0 is the highest), the bits so far, and the bit."""
+    code = code.astype(np.uint64)
     byte = (code & np.uint64(0xFF)).astype(np.int64)
     so_far = (1 << bit) | (byte >> (8 - bit))
     out = np.empty((len(code), INPUTS), np.int32)
     out[:, 0] = so_far
     out[:, 1] = BEGIN[1] + ((code >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64) << 8 | so_far)
-    for k, before in ((2, code >> np.uint64(8) & np.uint64(0xFFFF)), (3, code >> np.uint64(8) & np.uint64(0xFFFFFF)), (4, code >> np.uint64(32))):
+    for k, before in ((2, code >> np.uint64(8) & np.uint64(0xFFFF)), (3, code >> np.uint64(8) & np.uint64(0xFFFFFF))):
         key = before << np.uint64(8) | so_far.astype(np.uint64) | np.uint64(k << 40)
         out[:, k] = BEGIN[k] + (mix64(key) >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
     return out, so_far, (byte >> (7 - bit)) & 1
@@ -92,7 +94,7 @@ def count_all(text: str):
                 starts, stops, first = word_spans(data, rows, NOT_SPACE)
                 have[0].append(np.unique(hash_spans(data, starts, stops), return_counts=True))
                 code, n = np.unique(windows(*end_marked(data, rows)), return_counts=True)
-                have[1].append((code, n))
+                have[1].append((code.astype(np.uint64), n))
                 size += sum(len(have[k][-1][0]) for k in (0, 1))
                 if size > BLOCK:
                     yield from flush()
@@ -120,15 +122,28 @@ def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Frozen tables; weights and map start neutral."""
+    """Frozen tables; weights and map start neutral. The tables go to the tasks once, the rest with each step."""
 
     def __init__(self, zeros: np.ndarray, ones: np.ndarray):
         self.zeros, self.ones = zeros.astype(np.float32), ones.astype(np.float32)
+        self.tables = None
         self.weights = np.full((GATES, INPUTS + 1), 0.25, np.float32)
         self.weights[:, INPUTS] = 0.0
         self.knots = np.linspace(-8, 8, KNOTS)
         self.map = np.tile(1 / (1 + np.exp(-self.knots)), (256, 1))
 
+    def share(self, spark) -> None:
+        """Broadcast the tables; the model then travels without them."""
+        self.tables = spark.sparkContext.broadcast((self.zeros, self.ones))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("zeros", "ones") or self.tables is None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        if self.tables is not None:
+            self.zeros, self.ones = self.tables.value
+
     def inputs(self, code: np.ndarray, bit: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretched predictions and a bias, the gate, the bits so far, and the bit; with `own`, an occurrence's
         own count is taken out."""
@@ -139,7 +154,7 @@ class Model:
             zeros = zeros - (1 - actual)[:, None]
         x = np.ones((len(code), INPUTS + 1), np.float32)
         x[:, :INPUTS] = np.log((ones + 0.4) / (zeros + 0.4))
-        seen = np.searchsorted(CONFIDENCE, (zeros + ones)[:, 3:])
+        seen = np.searchsorted(CONFIDENCE, (zeros + ones)[:, 2:])
         return x, bit * 25 + seen[:, 1] * 5 + seen[:, 0], so_far, actual
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -163,12 +178,11 @@ class Model:
         return out
 
 
-def learn_weights(shared):
+def learn_weights(model: Model):
     """For mapInArrow over windows: one task's weights after an online pass, and what it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = shared.value, 0.0
-        model.weights = model.weights.copy()
+        total = 0.0
         for batch in batches:
             codes, counts = batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy().astype(float)
             for lo in range(0, len(codes), 4096):
@@ -187,11 +201,11 @@ def learn_weights(shared):
     return run
 
 
-def learn_map(shared):
+def learn_map(model: Model):
     """For mapInArrow over windows: hits and ones near every knot of every curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hits, ones = shared.value, np.zeros(256 * KNOTS), np.zeros(256 * KNOTS)
+        hits, ones = np.zeros(256 * KNOTS), np.zeros(256 * KNOTS)
         for batch in batches:
             code, n = batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy().astype(float)
             for j in range(8):
@@ -221,13 +235,12 @@ def learn(counts: DataFrame) -> Model:
     at = found.column("slot").to_numpy()
     zeros[at], ones[at] = found.column("zeros").to_numpy(), found.column("ones").to_numpy()
     model = Model(zeros, ones)
+    model.share(spark)
     for _ in range(2):
-        shared = spark.sparkContext.broadcast(model)
-        rows = seen.mapInArrow(learn_weights(shared), "seen double, weights array<double>").groupBy().agg(F.sum("seen"), F.array(*(F.sum(F.col("seen") * F.col("weights")[i]) for i in range(GATES * (INPUTS + 1))))).first()
+        rows = seen.mapInArrow(learn_weights(model), "seen double, weights array<double>").groupBy().agg(F.sum("seen"), F.array(*(F.sum(F.col("seen") * F.col("weights")[i]) for i in range(GATES * (INPUTS + 1))))).first()
         if rows[0]:
             model.weights = (np.array(rows[1]) / rows[0]).reshape(GATES, INPUTS + 1).astype(np.float32)
-    shared = spark.sparkContext.broadcast(model)
-    curve = seen.mapInArrow(learn_map(shared), "place int, hits double, ones double").groupBy("place").agg(F.sum("hits").alias("hits"), F.sum("ones").alias("ones")).toArrow()
+    curve = seen.mapInArrow(learn_map(model), "place int, hits double, ones double").groupBy("place").agg(F.sum("hits").alias("hits"), F.sum("ones").alias("ones")).toArrow()
     start, at = model.map.reshape(-1), curve.column("place").to_numpy()
     hits, ones = np.zeros(256 * KNOTS), np.zeros(256 * KNOTS)
     hits[at], ones[at] = curve.column("hits").to_numpy(), curve.column("ones").to_numpy()
@@ -236,7 +249,7 @@ def learn(counts: DataFrame) -> Model:
 
 
 #: No window: a text's first symbol has only padding before it, never this.
-NONE = np.uint64(0x00FFFFFF)
+NONE = np.uint32(0x00FFFFFF)
 
 
 class Scorer:
@@ -244,95 +257,99 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys, self.costs = np.full(1 << CACHE_BITS, NONE), np.zeros(1 << CACHE_BITS, np.float32)
+        self.keys, self.costs = np.full(1 << CACHE_BITS, NONE, np.uint32), np.zeros(1 << CACHE_BITS, np.float32)
 
     def __call__(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         data, rows = end_marked(data, rows)
         code = windows(data, rows)
-        slot = (mix64(code) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        slot = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
         cost = self.costs[slot]
         missing = np.flatnonzero(self.keys[slot] != code)
         if len(missing):
             new, at = np.unique(code[missing], return_inverse=True)
             price = np.concatenate([self.model.bits(new[i : i + 16384]) for i in range(0, len(new), 16384)]).astype(np.float32)
             cost[missing] = price[at]
-            place, kept = np.unique((mix64(new) >> np.uint64(64 - CACHE_BITS)).astype(np.int64), return_index=True)  # of several that share a place, one
+            place, kept = np.unique(((new * np.uint32(0x9E3779B1)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64), return_index=True)  # of several that share a place, one
             self.keys[place], self.costs[place] = new[kept], price[kept]
         return np.add.reduceat(cost, rows[:-1], dtype=np.float64)
 
 
-def encode(text: str, carried: list[str], shared):
-    """For mapInArrow: rows of two kinds. A text: carried columns, block, model score and the numbers of its
-    words in its block's dictionary. A word of a dictionary: block, number and hash."""
+class CommonWords:
+    """Counts of frequent words, each at one of two places."""
+
+    def __init__(self, hashes: np.ndarray, n: np.ndarray):
+        self.keys, self.n = np.zeros(1 << COMMON_BITS, np.uint64), np.zeros(1 << COMMON_BITS, np.int64)
+        order = np.lexsort((hashes, -n))
+        left = order
+        for place in self.places(hashes):
+            at = place[left]
+            free = left[self.keys[at] == 0]
+            _, first = np.unique(place[free], return_index=True)  # the most frequent of those that want it
+            chosen = free[first]
+            self.keys[place[chosen]], self.n[place[chosen]] = hashes[chosen], n[chosen]
+            left = np.setdiff1d(left, chosen, assume_unique=True)
+            left = order[np.isin(order, left)]
+
+    @staticmethod
+    def places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (hashes >> np.uint64(64 - COMMON_BITS)).astype(np.int64), (hashes & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """Count of each word, 0 if it is not here."""
+        out = np.zeros(len(hashes), np.int64)
+        for place in self.places(hashes):
+            found = self.keys[place] == hashes
+            out[found] = self.n[place[found]]
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, block, names = Scorer(shared.value), TaskContext.get().partitionId() << 32, [*carried, "__cm_block", "score", "__cm_words", "__cm_hashes"]
-        parts, have, size = [], [], 0
 
-        def flush():
-            nonlocal block
-            words, at = np.unique(np.concatenate(have), return_inverse=True) if have else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            hashes, done = pa.array([words.view(np.int64)], pa.list_(pa.int64())), 0
-            for columns, score, counts in parts:
-                n = int(counts.sum())
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(at[done : done + n].astype(np.int32)))
-                done += n
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(score), block)), pa.array(score), ids, pa.nulls(len(score), hashes.type)], names)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in parts[0][0]), pa.array([block]), pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.int32())), hashes], names)
-            block += 1
+def measure(text: str, carried: list[str], model: Model, common):
+    """For mapInArrow: a text's carried columns, a row number, the model's score, its words, and of the common
+    ones their number and the sum of log10(count + 1); the hashes of the others."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, table_, row = Scorer(model), common.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             for lo, hi, data, rows in slices(batch.column(text)):
                 starts, stops, first = word_spans(data, rows, NOT_SPACE)
-                have.append(hash_spans(data, starts, stops))
-                parts.append(([batch.column(c).slice(lo, hi - lo) for c in carried], scorer(data, rows) * -np.log10(2), np.diff(first)))
-                size += len(have[-1])
-                if size > BLOCK:
-                    yield from flush()
-                    parts, have, size = [], [], 0
-        if parts:
-            yield from flush()
-
-    return run
-
-
-def unigram(total: int, kinds: int, ends: int, carried: list[str]):
-    """For cogroup: a block's texts with the counts of its dictionary."""
-
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        texts = texts.combine_chunks()
-        n = np.zeros(max(1, words.num_rows))
-        n[words.column("at").to_numpy()] = words.column("n").to_numpy()
-        own = lambda c: np.log10((c + 1) / (total + kinds + 1))
-        lists = texts.column("__cm_words").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        first, ids = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-        ids, first = ids[first[0] : first[-1]], first - first[0]
-        count = np.diff(first)
-        known = sum_by_row(n[ids] > 0, first) + (ends > 0)
-        base = sum_by_row(own(n)[ids], first) + own(ends)
-        return pa.Table.from_arrays([*(texts.column(c) for c in carried), pa.array(count + 1), pa.array(known), pa.array(np.full(len(count), total)), pa.array(base), texts.column("score")], [*carried, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                hashes = hash_spans(data, starts, stops)
+                n = table_(hashes)
+                rare = n == 0
+                ends = np.concatenate([[0], np.cumsum(rare)])[first].astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[rare].view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c).slice(lo, hi - lo) for c in carried), pa.array(row + np.arange(hi - lo)), pa.array(scorer(data, rows) * -np.log10(2)), pa.array(np.diff(first)), pa.array(sum_by_row(~rare, first)), pa.array(sum_by_row(np.log10(n + 1.0) * ~rare, first)), others],
+                    [*carried, "__cm_row", "score", "__cm_words", "__cm_common", "__cm_logs", "__cm_rare"],
+                )
+                row += hi - lo
 
     return run
 
 
 def score(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFrame:
     """docs without their text, with `n_tokens`, `n_known`, `train_tokens`, `base_score` and `score`."""
-    counts = count(training, text)
-    ends = training.count()
+    docs = replaced(docs, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    spark, counts, ends = docs.sparkSession, count(training, text), training.count()
     words = counts.filter("kind = 0").select(F.col("key").alias("__cm_hash"), "n")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    shared = docs.sparkSession.sparkContext.broadcast(learn(counts))
+    total, kinds = tokens + ends, kinds + (ends > 0)
+    # the least count that at most COMMON words reach; one row per count below 1,000
+    upto = F.sum("k").over(Window.orderBy(F.desc("c")))
+    least = words.groupBy(F.least("n", F.lit(1000)).alias("c")).agg(F.count(F.lit(1)).alias("k")).withColumn("upto", upto).filter(F.col("upto") <= COMMON).agg(F.min("c")).first()[0]
+    top = words.filter(F.col("n") >= (1 << 62 if least is None else least)).toArrow()
+    common = spark.sparkContext.broadcast(CommonWords(top.column("__cm_hash").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     carried = [c for c in docs.columns if c != text]
     kept = [f for f in docs.schema.fields if f.name != text]
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField("__cm_block", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("__cm_words", T.ArrayType(T.IntegerType())), T.StructField("__cm_hashes", T.ArrayType(T.LongType()))])
-    rows = cut(docs.mapInArrow(encode(text, carried, shared), schema))
-    texts = rows.filter("__cm_hashes is null").drop("__cm_hashes")
-    entries = rows.filter("__cm_hashes is not null").select(F.col("__cm_block").alias("__cm_of"), F.posexplode("__cm_hashes").alias("at", "__cm_hash"))
-    counted = entries.join(words, "__cm_hash", "left").select("__cm_of", "at", F.coalesce("n", F.lit(0)).alias("n"))
-    out = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    run = unigram(tokens + ends, kinds + (ends > 0), ends, carried)
-    return texts.groupBy("__cm_block").cogroup(counted.groupBy("__cm_of")).applyInArrow(run, out)
+    schema = T.StructType([*kept, *T._parse_datatype_string("__cm_row long, score double, __cm_words long, __cm_common long, __cm_logs double, __cm_rare array<long>").fields])
+    rows = cut(docs.mapInArrow(measure(text, carried, learn(counts), common), schema))
+    rare = rows.select("__cm_row", F.explode("__cm_rare").alias("__cm_hash")).groupBy("__cm_row", "__cm_hash").agg(F.count(F.lit(1)).alias("t"))
+    met = rare.join(words, "__cm_hash")  # a word that is not in the training texts adds log10(1)
+    sums = met.groupBy("__cm_row").agg(F.sum("t").alias("__cm_more"), F.sum(F.col("t") * F.log10(F.col("n") + 1)).alias("__cm_more_logs"))
+    out = rows.drop("__cm_rare").join(sums, "__cm_row", "left")
+    more = lambda c: F.coalesce(F.col(c), F.lit(0))
+    n_tokens = F.col("__cm_words") + 1
+    return out.select(*carried, n_tokens.alias("n_tokens"), (F.col("__cm_common") + more("__cm_more") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("__cm_logs") + more("__cm_more_logs") + F.log10(F.lit(ends + 1.0)) - n_tokens * F.log10(F.lit(total + kinds + 1.0))).alias("base_score"), "score")
 
 
 @query("op9_context_mixing")
