@@ -8,7 +8,7 @@ Costs are worked out once for each (context, byte, language), so a text is score
 array operations.
 
 The counts come from a bounded sample of the labelled rows: about `sample_bytes` of text per language, whole
-texts chosen by hash. Everything is scored, in whole.
+texts drawn by hash, at least one of each language. A text with many copies comes as often as its share says. Everything is scored, in whole.
 
 Edge cases: null text, and text without a letter, is `und` with score 0, as is everything if nothing was
 learned; rows without language teach nothing; a null id counts as the empty text in the split; ties go to the
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import remainder, replaced
+from plumbline.llm.shared import cut, fraction, remainder, replaced
 from plumbline.llm.tokens import slices
 
 ORDER = 4
@@ -140,9 +140,13 @@ class Trees:
 def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, sample_bytes: int = SAMPLE_BYTES, max_contexts: int = MAX_CONTEXTS) -> Trees | None:
     """Trees of the languages in `labelled`; None if it has none. What comes to the driver is bounded by the sample."""
     rows = labelled.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("__la_lang"), F.col(text).alias("__la_text"))
-    sizes = rows.groupBy("__la_lang").agg(F.sum(F.octet_length("__la_text")).alias("__la_bytes"))
-    part = F.pmod(F.xxhash64("__la_text"), F.lit(1 << 20)) < F.ceil(F.lit(float(1 << 20)) * sample_bytes / F.col("__la_bytes"))
-    sample = rows.join(F.broadcast(sizes), "__la_lang").filter(part)
+    rows = rows.withColumn("__la_digest", F.xxhash64("__la_lang", "__la_text"))
+    texts = cut(rows.groupBy("__la_lang", "__la_digest").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("__la_text")).alias("bytes")))
+    sizes = texts.groupBy("__la_lang").agg(F.sum("bytes").alias("all"), F.min(F.struct(fraction("__la_digest") / F.col("n"), "__la_digest")).alias("first"))
+    share = F.col("n") * F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.col("all"))
+    times = (F.floor(share) + (fraction("__la_digest") < share - F.floor(share)).cast("long")).alias("times")
+    draws = texts.join(F.broadcast(sizes), "__la_lang").select("__la_digest", F.greatest(times, (F.col("__la_digest") == F.col("first.__la_digest")).cast("long")).alias("times")).filter("times > 0")
+    sample = rows.join(F.broadcast(cut(draws)), "__la_digest").dropDuplicates(["__la_digest"]).withColumn("__la_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("__la_lang", "__la_text")
     counts = sample.mapInArrow(gram_counts("__la_lang", "__la_text", order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not counts.num_rows:
         return None

@@ -5,11 +5,11 @@ prose (good or abstain). Expectation maximisation over the counts of vote patter
 over all texts) estimates how often each votes on good and on bad texts, and the share of good ones, under a
 prior that labellers are mostly right, which decides where they do not overlap. The posterior of a text's
 pattern is its soft label. A logistic scorer on hashed features (shape trigrams of letters, capitals, digits
-and marks; whether words repeat the ones before them) is fitted to the posteriors of a bounded sample, about `most_sample` texts chosen by hash; it scores every text. A
-text is kept if the scorer does not call it bad.
+and marks; whether words repeat the ones before them) is fitted to the posteriors of a bounded sample: at most `most_sample` rows that have a text, drawn fairly by hash (a text with
+many copies comes as often as its share of the rows says); it scores every text. A text is kept if the scorer does not call it bad.
 
-Edge cases: null or empty text has no trigrams, all labellers abstain, and it is kept with the prior's
-score; an empty table gives an empty result; other columns pass through. Added columns: `votes`,
+Edge cases: null or empty text has no trigrams, all labellers abstain, and its score is the posterior
+of that; an empty table gives an empty result; other columns pass through. Added columns: `votes`,
 `posterior`, `score`, `keep`, which replace columns of these names; working columns start with `__ql_`.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.linear import fit_logistic, rows_from, sigmoid
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import replaced
+from plumbline.llm.shared import cut, drawn, fair_draw, replaced
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, rows_of, slices, sum_by_row, word_spans
 
 DEFECTS = ["marks", "capitals", "lines", "runs", "word_length", "letters", "cells", "echo"]
@@ -144,7 +144,9 @@ class Model:
     def scores(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         shapes, rows, words, first = buckets_of(data, rows)
         mean = lambda x, at: sum_by_row(self.weights[x], at) / np.maximum(np.diff(at), 1)
-        return sigmoid(self.intercept + mean(shapes, rows) + mean(words, first))
+        out = sigmoid(self.intercept + mean(shapes, rows) + mean(words, first))
+        silent = self.posteriors.get("0" * len(LABELLERS))
+        return out if silent is None else np.where(np.diff(rows) > 0, out, silent)  # no features: what silent labellers say
 
 
 def names_of(v: np.ndarray) -> np.ndarray:
@@ -176,7 +178,7 @@ def features(text: str):
                 share = np.bincount(at, each, len(key)).astype(np.float32)
                 begin = np.searchsorted(key >> BITS, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(begin), pa.array(x)) for x in ((key & ((1 << BITS) - 1)).astype(np.int32), share)]
-                yield pa.RecordBatch.from_arrays([batch.column("__ql_votes").slice(lo, hi - lo), *lists], ["votes", "buckets", "shares"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("__ql_votes", "__ql_digest")), *lists], ["votes", "digest", "buckets", "shares"])
 
     return run
 
@@ -191,9 +193,10 @@ def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -
         return Model({}, np.zeros(1 << BITS), 0.0)
     patterns = np.array([["-0+".index(c) - 1 for c in r[0]] for r in counted])
     posterior = dict(zip((r[0] for r in counted), em(patterns, np.array([r[1] for r in counted], float)).tolist()))
-    part = F.pmod(F.xxhash64("__ql_text"), F.lit(1 << 24)) < int(min(1.0, most_sample / total) * (1 << 24))
-    sample = label(texts.filter(part), "__ql_text").withColumnRenamed("votes", "__ql_votes").mapInArrow(features("__ql_text"), "votes string, buckets array<int>, shares array<float>")
-    found = sorted(sample.toArrow().to_pylist(), key=lambda r: (r["votes"], len(r["buckets"]), r["buckets"]))
+    filled = texts.filter(F.length("__ql_text") > 0).withColumn("__ql_digest", F.xxhash64("__ql_text"))  # an empty text has no features
+    draws = fair_draw(cut(filled.groupBy("__ql_digest").agg(F.count(F.lit(1)).alias("n"))), "__ql_digest", "n", most_sample)
+    sample = label(drawn(filled, "__ql_digest", draws), "__ql_text").withColumnRenamed("votes", "__ql_votes").mapInArrow(features("__ql_text"), "votes string, digest long, buckets array<int>, shares array<float>")
+    found = [r for r in sorted(sample.toArrow().to_pylist(), key=lambda r: r["digest"]) for _ in range(draws[r["digest"]])]
     goal = np.array([posterior[r["votes"]] for r in found])
     if not 0.5 < goal.sum() < len(goal) - 0.5:  # one class only: nothing to tell apart
         share = float(np.clip(goal.mean() if len(goal) else 0.5, 1e-3, 1 - 1e-3))

@@ -1,4 +1,4 @@
-"""What several operators of this subpackage use: checkpoints, literal tables, row hashes."""
+"""What several operators of this subpackage use: checkpoints, literal tables, row hashes, fair samples."""
 
 from __future__ import annotations
 
@@ -41,6 +41,34 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(text_of(column).cast("binary")) % modulus
 
 
+def fraction(digest: str) -> Column:
+    """A number in (0, 1) from a 64-bit digest."""
+    return (F.pmod(F.xxhash64(digest), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def fair_draw(counted: DataFrame, digest: str, n: str, most: int) -> dict[int, int]:
+    """How often each text of `counted` (one row per digest, n > 0 copies) comes in a sample of `most` copies,
+    or of all if they are no more. A text comes as often as the whole part of its share says; the copies that
+    are left go to the texts whose hash is smallest relative to the rest of their share. So the sample has
+    `most` copies exactly, however many copies a text has, and depends on no partitioning."""
+    rows = counted.filter(F.col(n) > 0).select(F.col(digest).alias("h"), F.col(n).cast("long").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    if total <= most:
+        return {r["h"]: r["n"] for r in rows.collect()}
+    parts = rows.selectExpr("h", f"n * {most}L DIV {total}L AS whole", f"n * {most}L % {total}L AS rest")
+    out = {r["h"]: r["whole"] for r in parts.filter("whole > 0").select("h", "whole").collect()}
+    left = most - sum(out.values())
+    for r in parts.filter("rest > 0").orderBy(fraction("h") / F.col("rest"), "h").limit(left).select("h").collect():
+        out[r["h"]] = out.get(r["h"], 0) + 1
+    return out
+
+
+def drawn(rows: DataFrame, digest: str, draws) -> DataFrame:
+    """One row of each digest that was drawn. The digests are a filter, so that it sinks below joins."""
+    listed = ",".join(str(int(d)) + "L" for d in sorted(draws)) or "NULL"
+    return rows.filter(F.expr(f"{digest} IN ({listed})")).dropDuplicates([digest])
+
+
 def replaced(df: DataFrame, *names: str) -> DataFrame:
     """df without the columns that an operator is about to add under the same names (in any case)."""
     return df.drop(*[c for c in df.columns if c.lower() in names])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import context_mixing, decontaminate, language, licences, quality, toxicity
 from plumbline.llm.registry import load
+from plumbline.llm.shared import fair_draw
 from plumbline.llm.tokens import ALNUM, NOT_SPACE, hash_spans, word_spans
 
 SF = "/root/testdata/sf0.001"
@@ -305,3 +306,44 @@ def test_toxicity_odd_rows(docs):
     out = toxicity.score(df, model).collect()
     assert len(out) == len(ODD) and all(0 <= r["score"] < 0.5 and r["predicted"] == 0 for r in out)
     assert toxicity.score(docs([]), model).collect() == []
+
+
+# fair samples
+
+
+def test_draws_have_the_exact_size_and_fair_shares(spark):
+    rows = [(i, 1) for i in range(3000)] + [(10_000, 2000), (10_001, 1), (10_002, 0)]
+    counted = spark.createDataFrame(rows, "h long, n long")
+    draws = fair_draw(counted, "h", "n", 500)
+    assert sum(draws.values()) == 500 and abs(draws[10_000] - 500 * 2000 / 5001) <= 1 and max(n for h, n in draws.items() if h != 10_000) == 1
+    assert draws == fair_draw(counted.repartition(7), "h", "n", 500)
+    assert fair_draw(counted, "h", "n", 6000) == {h: n for h, n in rows if n} and fair_draw(counted.limit(0), "h", "n", 5) == {}
+    assert len(fair_draw(counted, "h", "n", 1)) == 1
+
+
+def test_empty_texts_and_copies_do_not_crowd_out_the_sample(docs):
+    rng = random.Random(9)
+    clean = lambda: " ".join(rng.choice("red green blue tree house road lake hill bird fish wind rain".split()) for _ in range(6))
+    rows = [(i, clean() + (" vile" if i % 20 == 0 else "")) for i in range(2000)] + [(3000 + i, [None, "", " ?"][i % 3]) for i in range(4000)] + [(9000 + i, "copy of one text") for i in range(2000)]
+    df = docs(rows).withColumn("toxic", F.expr("CASE WHEN doc_id < 2000 AND doc_id % 40 = 0 THEN 1 WHEN doc_id % 40 IN (1, 2, 3, 4, 5, 6, 7, 8, 9) THEN 0 END"))
+    model = toxicity.learn(df, most_positive=50, most_unlabelled=400)
+    out = toxicity.score(docs(rows), model).collect()
+    assert all((r["predicted"] == 1) == ("vile" in (r["text"] or "")) for r in out)
+    assert np.flatnonzero(model.weights).size == 1
+    assert toxicity.learn(df, most_positive=1, most_unlabelled=5).intercept  # one positive stays
+
+
+def test_language_with_few_long_texts_stays(docs):
+    rows = [(i, "the cat sat on the mat " * 500, "en") for i in range(30)] + [(50 + i, f"le chat {i} noir " * 900, "fr") for i in range(5)]
+    assert language.learn(docs(rows), sample_bytes=20).langs == ["en", "fr"]
+
+
+def test_quality_sample_is_not_of_empty_texts(docs, monkeypatch):
+    rng, sizes = random.Random(4), []
+    prose = lambda: " ".join(rng.sample([f"bird{c}" for c in "abcdefghijklmnopqrstuvwxyz"], 24)) + "."
+    rows = [(i, prose()) for i in range(300)] + [(400 + i, "".join(rng.choice("#$%&*@!") for _ in range(200)) + " x") for i in range(60)] + [(1000 + i, None) for i in range(3000)]
+    fit = quality.fit_logistic
+    monkeypatch.setattr(quality, "fit_logistic", lambda x, goal: sizes.append(len(goal)) or fit(x, goal))
+    out = quality.classify(docs(rows), quality.learn(docs(rows), most_sample=100)).collect()
+    assert all(r["keep"] == (r["doc_id"] < 400 or r["doc_id"] >= 1000) for r in out)
+    assert sizes == [100]
