@@ -5,7 +5,8 @@ matching statistics: at every word, the longest run ending there that some templ
 that names it. Three things are read off:
 
 - base phrases: a phrase ends at a word if its own state lies on the suffix path of the current state;
-- long matches: maximal runs of `MIN_RUN` words or more (or whole shorter templates), with their templates;
+- long matches: for each template, runs of `MIN_RUN` words or more (or whole shorter templates) that this
+  template does not continue as the text does, whatever longer runs other templates have there;
 - spans: long matches of one template whose template places go up are chained over gaps of at most
   `MAX_GAP` words; a chain that covers `MIN_COVER` of the template is a licence span and gives its label.
 
@@ -169,6 +170,11 @@ class Scanner:
                 found += at.get(t, [])
                 t = self.automaton.link[t]
             self.told.append([(i, len(self.texts[i])) for i in found])
+        #: The least words that a match of each template must have.
+        self.least = [min(MIN_RUN, len(ws)) for ws in self.texts]
+        self.shortest = min(self.least[self.phrases :], default=MIN_RUN)
+        #: Filled as states come: see `held`.
+        self.kept: dict[int, list] = {}
 
     def word_numbers(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.int64)
@@ -178,18 +184,35 @@ class Scanner:
             out[maybe] = np.where(self.hashes[k] == hashes[maybe], self.numbers[k], 0)
         return out
 
+    def held(self, state: int) -> list:
+        """(template, words, ends) of the longest match of each template that ends where this state's does;
+        0 words stand for the whole match. Templates of shorter matches lie on the suffix links."""
+        if (out := self.kept.get(state)) is None:
+            out, seen, s = [], set(), state
+            while s > 0 and (s == state or self.automaton.length[s] >= self.shortest):
+                ends: dict[int, list] = {}
+                for t, end in self.automaton.ends[s]:
+                    if t >= self.phrases and t not in seen:
+                        ends.setdefault(t, []).append(end)
+                out += [(t, 0 if s == state else self.automaton.length[s], e) for t, e in ends.items()]
+                seen |= ends.keys()
+                s = self.automaton.link[s]
+            self.kept[state] = out
+        return out
+
     def run(self, numbers: list[int], at: int, base: list, matches: list) -> None:
         """Stream a run of template words that begins at word `at`; add base places and long matches."""
         states, lengths = self.automaton.statistics(numbers)
-        last = len(numbers) - 1
-        for i, (state, length) in enumerate(zip(states, lengths)):
+        before: dict[int, tuple] = {}  # template: words and ends of its match that ends at the word before
+        for i, (state, length) in enumerate(zip([*states, 0], [*lengths, 0])):
+            now = {t: (n or length, ends) for t, n, ends in self.held(state)} if length >= self.shortest else {}
+            for t, (n, ends) in before.items():
+                if n >= self.least[t] and now.get(t, (0,))[0] <= n:  # the template cannot make it longer to the right
+                    matches.extend((t, at + i - n, end - n, n) for end in ends)
+            before = now
             for phrase, n in self.told[state]:
                 if n <= length:
                     base.append((at + i - n + 1, phrase))
-            if length >= MIN_RUN and (i == last or lengths[i + 1] <= length):  # it cannot be made longer to the right
-                for t, end in self.automaton.ends[state]:
-                    if t >= self.phrases:
-                        matches.append((t, at + i - length + 1, end - length, length))
 
     def spans(self, matches: list) -> list[dict]:
         """Chains of a template's matches in order, over short gaps, that cover enough of it."""

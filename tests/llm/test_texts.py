@@ -180,6 +180,30 @@ def test_changed_notice_is_found(docs):
     assert r["labels"] == [] and r["score"] < 0.8
 
 
+def test_short_template_at_the_start_of_a_longer_one(docs):
+    short = {"s": ["one two three"], "a": ["red green blue lake hill"], "b": ["red green blue lake hill bird fish wind rain tree house road"]}
+    rows = [(1, 'Licensed under the Apache License, Version 2.0 (the "License"); see LICENSE'), (2, "red green blue lake hill bird fish"), (3, "x one two three four")]
+    labels = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(docs(rows[:1])).collect() + licences.scan(docs(rows[1:]), templates=short).collect()}
+    assert labels == {1: (["apache-2.0"], 1.0), 2: (["a"], 1.0), 3: (["s"], 1.0)}
+
+
+def test_matches_are_maximal_in_each_template():
+    rng = random.Random(8)
+    texts = {str(t): [" ".join(rng.choice("abc") for _ in range(rng.randint(2, 14)))] for t in range(7)}
+    scanner = licences.Scanner({}, texts)
+    for _ in range(60):
+        stream = [rng.randint(1, 3) for _ in range(30)]
+        matches, want = [], set()
+        scanner.run(stream, 0, [], matches)
+        for t, w in enumerate(scanner.texts):
+            inside = {tuple(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+            longest = [max((n for n in range(1, i + 2) if tuple(stream[i + 1 - n : i + 1]) in inside), default=0) for i in range(len(stream))] + [0]
+            for i, n in enumerate(longest[:-1]):
+                if n >= min(licences.MIN_RUN, len(w)) and longest[i + 1] <= n:
+                    want |= {(t, i - n + 1, e - n, n) for e in range(n, len(w) + 1) if w[e - n : e] == stream[i - n + 1 : i + 1]}
+        assert len(matches) == len(set(matches)) and set(matches) == want
+
+
 # decontamination
 
 
