@@ -4,7 +4,7 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame; its result is writt
 folder and read again as the next one's docs. All but the last return the columns of documents.
 
 1. quality: documents that the weak-label classifier rejects go.
-2. near_duplicates: of documents whose word 3-grams have a Jaccard similarity of 0.9 or more (and of chains
+2. near_duplicates: of documents whose word 5-grams have a Jaccard similarity of 0.8 or more (and of chains
    of these) one stays.
 3. decontamination: documents of whose words a twentieth or more is benchmark text go.
 4. mixing: sources are mixed to their target weights; a document is taken up to three times, or not at all.
@@ -27,7 +27,7 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

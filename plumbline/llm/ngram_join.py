@@ -1,6 +1,6 @@
 """N-gram Jaccard join (6) by vertical partitioning.
 
-All distinct word 3-grams stand in one global order: rare ones by hash, then the frequent ones by frequency.
+All distinct word n-grams (of three words, or of `words`) stand in one global order: rare ones by hash, then the frequent ones by frequency.
 Pivots on the hash cut both parts of the order into even fragments; a document's set falls into one segment
 per fragment.
 
@@ -23,7 +23,7 @@ The list of frequent grams only orders the grams (any order is correct); it hold
 grams, found by counting within tasks. Grams and sets are compared by 64-bit hashes.
 
 Edge cases: null text and text without words has no set, links with nothing and is its own component; with
-one or two words the sequence is the only gram; a null id counts after all others as the name of a
+fewer words than a gram has the sequence is the only gram; a null id counts after all others as the name of a
 component; repeated rows fall into one class; an empty table gives an empty result; other columns pass
 through. Working columns start with `__nj_`.
 """
@@ -40,7 +40,7 @@ from plumbline.llm.registry import query, table
 from plumbline.llm.shared import cut
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, slices, word_spans
 
-PERCENT = 90
+PERCENT, WORDS = 90, 3
 MOST_FREQUENT = 1 << 20
 FRAGMENTS, HALVES = 16, 32
 #: Segment sizes are packed into four numbers of 16 bits each; sets of more grams are not bounded by them.
@@ -56,23 +56,28 @@ MAP_BITS = 26
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def gram_sets(data: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct gram hashes of each text."""
+def factor(k: int) -> np.uint64:
+    """What the hash of a gram's word number k is multiplied by."""
+    return _C[k] if k < len(_C) else mix64(np.array([k], np.uint64))[0] | np.uint64(1)
+
+
+def gram_sets(data: np.ndarray, rows: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct hashes of the grams of so many words of each text."""
     starts, stops, first = word_spans(data, rows, NOT_SPACE)
     h = hash_spans(data, starts, stops)
     with np.errstate(over="ignore"):
-        grams = mix64(h[:-2] * _C[0] + h[1:-1] * _C[1] + h[2:] * _C[2]) if len(h) > 2 else h[:0]
+        grams = mix64(sum(h[k : len(h) - words + 1 + k] * factor(k) for k in range(words))) if len(h) >= words else h[:0]
         out = []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            if b - a >= 3:
-                g = np.sort(grams[a : b - 2])
+            if b - a >= words:
+                g = np.sort(grams[a : b - words + 1])
                 keep = np.ones(len(g), bool)
                 np.not_equal(g[1:], g[:-1], out=keep[1:])
                 out.append(g[keep])
-            elif b - a == 2:
-                out.append(mix64(h[a : a + 1] * _C[0] + h[a + 1 : b] * _C[1] + np.uint64(2)))
+            elif b > a:
+                out.append(mix64(sum(h[a + k : a + k + 1] * factor(k) for k in range(b - a)) + np.uint64(b - a)))
             else:
-                out.append(mix64(h[a:b] * _C[0] + np.uint64(1)))
+                out.append(h[:0])
     return out
 
 
@@ -112,7 +117,7 @@ def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
-def frequent_grams(text: str):
+def frequent_grams(text: str, words: int):
     """For mapInArrow: grams that come often within a chunk of a task's texts, with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +130,7 @@ def frequent_grams(text: str):
 
         for batch in batches:
             for _, _, data, rows in slices(batch.column(text)):
-                sets = gram_sets(data, rows)
+                sets = gram_sets(data, rows, words)
                 have += sets
                 size += sum(map(len, sets))
                 if size > CHUNK:
@@ -137,14 +142,14 @@ def frequent_grams(text: str):
     return run
 
 
-def describe(text: str, carried: list[str], order, percent: int):
+def describe(text: str, carried: list[str], order, percent: int, words: int):
     """For mapInArrow: each text's class key, set size, segment sizes and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Order(order.value)
         for batch in batches:
             for lo, hi, data, rows in slices(batch.column(text)):
-                sets = gram_sets(data, rows)
+                sets = gram_sets(data, rows, words)
                 n = np.array([len(s) for s in sets], np.int64)
                 flat, own = np.concatenate(sets), np.repeat(np.arange(hi - lo), n)
                 ranks = ranked.ranks(flat)
@@ -205,7 +210,7 @@ def shared_prefixes(grams_map, rows_map):
     return run
 
 
-def segments(text: str, bits):
+def segments(text: str, bits, words: int):
     """For mapInArrow: the segments of the sets whose row is on the map, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +218,7 @@ def segments(text: str, bits):
         for batch in batches:
             chosen = batch.filter(pa.array(marked(on, batch.column("__nj_r").to_numpy())))
             for lo, hi, data, rows in slices(chosen.column(text)):
-                sets = gram_sets(data, rows)
+                sets = gram_sets(data, rows, words)
                 n = np.array([len(s) for s in sets], np.int64)
                 keys = class_keys(np.concatenate(sets), np.repeat(np.arange(hi - lo), n), n)
                 fresh = [r for r, k in enumerate(keys.tolist()) if n[r] and not (k in done or done.add(k))]
@@ -262,12 +267,12 @@ def star_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
 
 class Join:
-    """One run of the join over docs; percent is the least Jaccard similarity."""
+    """One run of the join over docs; percent is the least Jaccard similarity of their grams of so many words."""
 
-    def __init__(self, docs: DataFrame, key: str, text: str, percent: int):
-        spark, self.percent = docs.sparkSession, percent
+    def __init__(self, docs: DataFrame, key: str, text: str, percent: int, words: int):
+        spark, self.percent, self.words = docs.sparkSession, percent, words
         self.texts = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
-        often = self.texts.select("__nj_text").mapInArrow(frequent_grams("__nj_text"), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        often = self.texts.select("__nj_text").mapInArrow(frequent_grams("__nj_text", words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         often = cut(often)
         least = F.sum("k").over(Window.orderBy(F.desc("n")))  # one row per count up to 1,000, fewer than a thousand rows
         sizes = often.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
@@ -279,7 +284,7 @@ class Join:
         kinds = {f.name: f.dataType for f in slim.schema}
         schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.LongType()) for c in (*PACKED, *FINE)), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
         #: One row per document; all that the join needs but the sets of candidates.
-        self.rows = cut(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], self.order, percent), schema))
+        self.rows = cut(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], self.order, percent, words), schema))
 
     def fits(self, nx, ny, px, py) -> Column:
         """Set sizes and grams passed over allow a link."""
@@ -311,7 +316,7 @@ class Join:
         ends = pairs.select(F.col("x").alias("__nj_c")).union(pairs.select(F.col("y").alias("__nj_c"))).distinct()
         first = self.rows.select("__nj_c", "__nj_r").join(ends, "__nj_c", "left_semi").groupBy("__nj_c").agg(F.min("__nj_r").alias("__nj_r"))
         bits = pairs.sparkSession.sparkContext.broadcast(bitmap(first, "__nj_r"))
-        parts = cut(self.texts.mapInArrow(segments("__nj_text", bits), "c long, f int, grams array<long>"))
+        parts = cut(self.texts.mapInArrow(segments("__nj_text", bits, self.words), "c long, f int, grams array<long>"))
         side = lambda c, g: parts.select(F.col("c").alias(c), "f", F.col("grams").alias(g))
         partial = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), ["y", "f"]).select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("gx", "gy")).alias("o"))
         once = partial.groupBy("x", "y", "nx", "ny", "f").agg(F.max("o").alias("o"))  # a class may come from two tasks
@@ -366,16 +371,16 @@ class Join:
         return rows.join(roots, "__nj_c", "left").select("__nj_id", "__nj_r", "n_shingles", F.coalesce("__nj_root", "__nj_c").alias("__nj_group"))
 
 
-def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """key, n_shingles and component_id, the smallest key that links reach, of every row of docs."""
-    rows = cut(Join(docs, key, text, percent).assigned())
+    rows = cut(Join(docs, key, text, percent, words).assigned())
     least = rows.filter("__nj_group is not null").groupBy("__nj_group").agg(F.min("__nj_id").alias("__nj_least"))
     return rows.join(least, "__nj_group", "left").select(F.col("__nj_id").alias(key), "n_shingles", F.when(F.col("__nj_group").isNull(), F.col("__nj_id")).otherwise(F.col("__nj_least")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs with one row of each component, that of the smallest key; rows without a set all stay, repeated rows once."""
-    rows = cut(Join(docs, key, text, percent).assigned())
+    rows = cut(Join(docs, key, text, percent, words).assigned())
     first = rows.filter("__nj_group is not null").groupBy("__nj_group").agg(F.min(F.struct(F.col("__nj_id").isNull().alias("no"), F.col("__nj_id"), F.col("__nj_r"))).alias("least")).select("least.__nj_r")
     kept = first.union(rows.filter("__nj_group is null").select("__nj_r").distinct())
     marked = docs.withColumn("__nj_r", F.xxhash64(F.col(key).cast("string"), F.col(text)))

@@ -80,6 +80,32 @@ def test_odd_rows_and_keep_one(docs):
     assert ngram_join.join_components(docs([])).collect() == [] and ngram_join.keep_one(docs([])).collect() == []
 
 
+def brute_links(rows, words, percent):
+    sets = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+    return {(i, j) for i in sets for j in sets if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+
+
+@pytest.mark.parametrize("words", [1, 5])
+def test_components_of_other_shingles(docs, words):
+    rows = crowd(5, 90)
+    group = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, j in brute_links(rows, words, 80):
+            group[i] = group[j] = min(group[i], group[j])
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(docs(rows).repartition(3), percent=80, words=words).collect()}
+    assert got == group
+
+
+def test_near_duplicate_stage_drops_appended_copies(spark, docs):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text), (2, text + " " + " ".join(f"x{i}" for i in range(18))), (3, "other words than those of the rest")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_stars_find_components(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 140), rng.randint(100, 140)) for _ in range(30)] + [(200, 200 + i) for i in range(1, 30)]
