@@ -1,12 +1,12 @@
 """LM scoring (9): logistic context mixing over bits, and a unigram word model beside it.
 
-A text is its UTF-8 bytes and an end symbol. Every bit is predicted by four hashed-context predictors (the
-bits of the byte so far with the 0 to 3 bytes before it), each a slot of counts of zeros and ones over all
-training texts. Their stretched predictions are combined by weights that a gate picks (bit position and how
+A text is its UTF-8 bytes and an end symbol. Every bit is predicted by five hashed-context predictors (the
+bits of the byte so far with the 0 to 3 bytes before it, or with all of the word before it), each a slot of
+counts of zeros and ones over all training texts. Their stretched predictions are combined by weights that a gate picks (bit position and how
 much the two longest contexts have seen), learned online; an adaptive probability map, one curve per bits so
 far, refines the result. Bits sum to the text's code length.
 
-Bytes with their three predecessors are the sufficient statistics: tasks count them over all training texts,
+Bytes with their three predecessors and the word so far are the sufficient statistics: tasks count them over all training texts,
 Spark sums them, and slots, weights and the map are learned from that table in Spark jobs. An occurrence
 is learned with its own count taken out, so that weights do not trust memories. Weights of
 the tasks, each online over its share, are averaged by what they have seen, twice over. Then all is frozen,
@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from plumbline.llm.language import PAD, shifted
 from plumbline.llm.registry import query, table
 from plumbline.llm.shared import cut, remainder, replaced
-from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, slices, sum_by_row, word_spans
+from plumbline.llm.tokens import NOT_SPACE, Hasher, hash_spans, mix64, slices, sum_by_row, word_spans
 
-#: Bits of the slot tables of orders 0 to 3; orders 0 and 1 have a slot for everything.
-TABLE_BITS = (8, 16, 19, 20)
+#: Bits of the slot tables of orders 0 to 3 and of words; orders 0 and 1 have a slot for everything.
+TABLE_BITS = (8, 16, 20, 20, 22)
 INPUTS = len(TABLE_BITS)
 BEGIN = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 #: Distinct words and windows that a task gathers before it reports them.
@@ -47,7 +47,7 @@ CONFIDENCE = np.array([0.5, 1.5, 3.5, 15.5])
 GATES = 8 * 25
 KNOTS = 33
 CACHE_BITS = 20
-RATE = 0.05
+RATE = 0.02
 
 
 def end_marked(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +56,14 @@ def end_marked(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def windows(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Each symbol (low byte) with its three predecessors."""
-    code = data.astype(np.uint32)
+    """Each symbol (low byte) with its three predecessors and, in the high half, a hash of the word before it."""
+    code = data.astype(np.uint64)
     for k in (1, 2, 3):
-        code |= shifted(data, rows, k, PAD).astype(np.uint32) << np.uint32(8 * k)
-    return code
+        code |= shifted(data, rows, k, PAD).astype(np.uint64) << np.uint64(8 * k)
+    at = np.arange(len(data))
+    begin = np.zeros(len(data), np.int64)
+    begin[1:] = np.maximum.accumulate(np.where(NOT_SPACE[data] & (data != PAD), 0, at + 1))[:-1]
+    return code | Hasher(data)(begin, at) >> np.uint64(32) << np.uint64(32)
 
 
 def slots(code: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +74,7 @@ def slots(code: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     out = np.empty((len(code), INPUTS), np.int32)
     out[:, 0] = so_far
     out[:, 1] = BEGIN[1] + ((code >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64) << 8 | so_far)
-    for k, before in ((2, code >> np.uint64(8) & np.uint64(0xFFFF)), (3, code >> np.uint64(8) & np.uint64(0xFFFFFF))):
+    for k, before in ((2, code >> np.uint64(8) & np.uint64(0xFFFF)), (3, code >> np.uint64(8) & np.uint64(0xFFFFFF)), (4, code >> np.uint64(32))):
         key = before << np.uint64(8) | so_far.astype(np.uint64) | np.uint64(k << 40)
         out[:, k] = BEGIN[k] + (mix64(key) >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
     return out, so_far, (byte >> (7 - bit)) & 1
@@ -94,7 +97,7 @@ def count_all(text: str):
                 starts, stops, first = word_spans(data, rows, NOT_SPACE)
                 have[0].append(np.unique(hash_spans(data, starts, stops), return_counts=True))
                 code, n = np.unique(windows(*end_marked(data, rows)), return_counts=True)
-                have[1].append((code.astype(np.uint64), n))
+                have[1].append((code, n))
                 size += sum(len(have[k][-1][0]) for k in (0, 1))
                 if size > BLOCK:
                     yield from flush()
@@ -154,7 +157,7 @@ class Model:
             zeros = zeros - (1 - actual)[:, None]
         x = np.ones((len(code), INPUTS + 1), np.float32)
         x[:, :INPUTS] = np.log((ones + 0.4) / (zeros + 0.4))
-        seen = np.searchsorted(CONFIDENCE, (zeros + ones)[:, 2:])
+        seen = np.searchsorted(CONFIDENCE, (zeros + ones)[:, 3:])
         return x, bit * 25 + seen[:, 1] * 5 + seen[:, 0], so_far, actual
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -249,7 +252,7 @@ def learn(counts: DataFrame) -> Model:
 
 
 #: No window: a text's first symbol has only padding before it, never this.
-NONE = np.uint32(0x00FFFFFF)
+NONE = np.uint64(0x00FFFFFF)
 
 
 class Scorer:
@@ -257,19 +260,19 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.keys, self.costs = np.full(1 << CACHE_BITS, NONE, np.uint32), np.zeros(1 << CACHE_BITS, np.float32)
+        self.keys, self.costs = np.full(1 << CACHE_BITS, NONE, np.uint64), np.zeros(1 << CACHE_BITS, np.float32)
 
     def __call__(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         data, rows = end_marked(data, rows)
         code = windows(data, rows)
-        slot = ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
+        slot = (mix64(code) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         cost = self.costs[slot]
         missing = np.flatnonzero(self.keys[slot] != code)
         if len(missing):
             new, at = np.unique(code[missing], return_inverse=True)
             price = np.concatenate([self.model.bits(new[i : i + 16384]) for i in range(0, len(new), 16384)]).astype(np.float32)
             cost[missing] = price[at]
-            place, kept = np.unique(((new * np.uint32(0x9E3779B1)) >> np.uint32(32 - CACHE_BITS)).astype(np.int64), return_index=True)  # of several that share a place, one
+            place, kept = np.unique((mix64(new) >> np.uint64(64 - CACHE_BITS)).astype(np.int64), return_index=True)  # of several that share a place, one
             self.keys[place], self.costs[place] = new[kept], price[kept]
         return np.add.reduceat(cost, rows[:-1], dtype=np.float64)
 

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +306,20 @@ def test_scoring_without_training(docs):
     assert context_mixing.score(docs([]), docs([])).collect() == []
 
 
+def test_word_so_far_predicts_beyond_three_bytes():
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["xxabcdeQ", "yyabcdeR"]) for _ in range(40))
+    counted = pa.Table.from_batches(context_mixing.count_all("text")(iter([pa.record_batch([pa.array([text() for _ in range(60)])], ["text"])])))
+    seen = counted.filter(pa.compute.equal(counted.column("kind"), 1)).combine_chunks().to_batches()
+    found = pa.Table.from_batches(context_mixing.count_slots(iter(seen)))
+    zeros, ones = np.zeros(context_mixing.BEGIN[-1]), np.zeros(context_mixing.BEGIN[-1])
+    np.add.at(zeros, found.column("slot").to_numpy(), found.column("zeros").to_numpy())
+    np.add.at(ones, found.column("slot").to_numpy(), found.column("ones").to_numpy())
+    scorer = context_mixing.Scorer(context_mixing.Model(zeros, ones))
+    cost = lambda t: scorer(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+    assert cost(b"xxabcdeQ") + 1 < cost(b"xxabcdeR") and cost(b"yyabcdeR") + 1 < cost(b"yyabcdeQ")
+
+
 # toxicity
 
 
