@@ -6,7 +6,9 @@ the numbers; a number that leaves [0, N) walks its cycle until it is inside. Pos
 p mod S, slot p div S: shard sizes differ by one row at most and slots have no gaps. Anybody who knows
 (N, seed) can compute the place of a row number without the data.
 
-Edge cases: null text has no bytes and crc32 0; rows with equal keys and texts are interchangeable; an
+Edge cases: null text has no bytes and crc32 0; rows with equal keys and texts are interchangeable (whichever
+of them comes first depends on the order in which the input is read, which must not change between two reads); very
+long texts are only hashed; an
 empty table gives an empty result; other columns pass through untouched, but for
 `law`, `shard` and `slot`, which are replaced. The columns this module adds
 while it works start with `__sh_`.
@@ -25,23 +27,34 @@ SHARDS = 40
 #: Rows are numbered inside hash buckets; each offset table has one row per bucket.
 BUCKETS = 4096
 ROUNDS = 4
-
-
-def _bucketed(df: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    h = F.xxhash64(F.col(key).cast("string"), F.col(text))
-    return df.withColumns({"__sh_h": h}).withColumn("__sh_b", F.pmod("__sh_h", F.lit(buckets)).cast("int"))
+#: Equal rows that are more than one in HOT of the table are numbered in PARTS parts.
+HOT, PARTS = 256, 256
 
 
 def number_rows(df: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> tuple[DataFrame, int]:
-    """Add `__sh_row`, a number from 0 to N-1 that depends on the rows alone; also return N."""
-    keyed = _bucketed(df, key, text, buckets)
-    counts = keyed.groupBy("__sh_b").agg(F.count(F.lit(1)).alias("__sh_n"))
-    before = Window.orderBy("__sh_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket, `buckets` at most
-    offsets = cut(counts.select("__sh_b", "__sh_n", F.coalesce(F.sum("__sh_n").over(before), F.lit(0)).alias("__sh_at")))
-    n = offsets.agg(F.sum("__sh_n")).first()[0] or 0
-    inside = F.row_number().over(Window.partitionBy("__sh_b").orderBy("__sh_h", key, text)) - 1
-    numbered = keyed.join(F.broadcast(offsets.drop("__sh_n")), "__sh_b").withColumn("__sh_row", F.col("__sh_at") + inside)
-    return numbered.drop("__sh_b", "__sh_h", "__sh_at"), n
+    """Add `__sh_row`, a number from 0 to N-1 that depends on the rows alone; also return N.
+
+    Rows are numbered inside the hash bucket of their key and text. Rows that are equal in both and make up more
+    than a `HOT`th of the table are dealt to `PARTS` parts first; as they are interchangeable, it does not
+    matter which of them comes first."""
+    keyed = df.withColumn("__sh_h", F.xxhash64(F.col(key).cast("string"), F.col(text))).withColumn("__sh_b", F.pmod("__sh_h", F.lit(buckets)).cast("int"))
+    sizes = cut(keyed.groupBy("__sh_b").agg(F.count(F.lit(1)).alias("__sh_n")))  # `buckets` rows at most
+    n = sizes.agg(F.sum("__sh_n")).first()[0] or 0
+    heavy = [r[0] for r in sizes.filter(F.col("__sh_n") * HOT > n).filter("__sh_n > 1").select("__sh_b").collect()]  # HOT rows at most
+    hot = []
+    if heavy:
+        equal = keyed.filter(F.col("__sh_b").isin(heavy)).groupBy("__sh_h").agg(F.count(F.lit(1)).alias("__sh_n"))
+        hot = [r[0] for r in equal.filter(F.col("__sh_n") * HOT > n).select("__sh_h").collect()]
+    part = F.when(F.col("__sh_h").isin(hot), F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int") + 1).otherwise(0) if hot else F.lit(0)
+    same = F.when(F.col("__sh_h").isin(hot), F.col("__sh_h")).otherwise(0) if hot else F.lit(0).cast("long")
+    keyed = keyed.withColumns({"__sh_p": part, "__sh_e": same})
+    group = ["__sh_b", "__sh_e", "__sh_p"]
+    counts = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("__sh_n"))
+    before = Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)  # buckets + HOT * PARTS rows at most
+    offsets = cut(counts.select(*group, F.coalesce(F.sum("__sh_n").over(before), F.lit(0)).alias("__sh_at")))
+    inside = F.row_number().over(Window.partitionBy(*group).orderBy("__sh_h", key, text)) - 1
+    numbered = keyed.join(F.broadcast(offsets), group).withColumn("__sh_row", F.col("__sh_at") + inside)
+    return numbered.drop(*group, "__sh_h", "__sh_at"), n
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -61,9 +74,14 @@ def permute_once(df: DataFrame, x: str, n: int, seed: int) -> DataFrame:
 
 
 def walks(spark, n: int, seed: int) -> int:
-    """The longest walk outside [0, n): found by following all cells that lie there, fewer than sqrt(n) + 1."""
+    """The longest walk outside [0, n). Only a cell outside that is no image of another one there is reached from
+    inside, so its walk comes back; cycles that lie wholly outside are never entered. Fewer than sqrt(n) + 1 cells."""
     a, b = grid(n)
-    out, steps = spark.range(n, a * b).toDF("__sh_x"), 0
+    if a * b == n:
+        return 0
+    beyond = spark.range(n, a * b, 1, 1).toDF("__sh_x")
+    image = permute_once(beyond, "__sh_x", n, seed)
+    out, steps = cut(beyond.join(image, "__sh_x", "left_anti")), 0
     while out.count():
         out = cut(permute_once(out, "__sh_x", n, seed).filter(F.col("__sh_x") >= n))
         steps += 1

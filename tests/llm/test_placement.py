@@ -28,7 +28,7 @@ def test_sharding_is_reproducible_and_shuffles(docs):
     assert len({r["shard"] for r in a.filter("doc_id < 40").collect()}) > 20
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 97, 1000])
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 40, 227, 5042])
 def test_permutation_is_a_bijection(spark, n):
     out = [r[0] for r in sharding.permute(spark.range(n).toDF("x"), "x", n, 5).collect()]
     assert sorted(out) == list(range(n))
