@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["quality", "language", "mixing", "licences", "decontaminate", "ngram_join", "hamming", "sharding", "context_mixing", "toxicity"]
+MODULES = ["quality", "language", "mixing", "licences", "decontaminate", "ngram_join", "hamming", "sharding", "context_mixing", "toxicity", "merkle", "chat", "whitening"]
 
 QUERIES: dict = {}
 SQL: dict = {}
