@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
-from plumbline.functions import text
+from plumbline.functions import phonetic, text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -124,7 +124,7 @@ def score(algorithm: str, a: Column, b: Column) -> Column:
     ``difflib`` depends on the order of its arguments: give the earlier row first.
     """
     if algorithm == "phonetic":
-        return F.when(F.soundex(a) == F.soundex(b), 100.0).otherwise(0.0)
+        return phonetic.graded(phonetic.keys(a), phonetic.keys(b))
     if algorithm == "combined":
         return score("ratio", a, b) * 0.4 + score("jaro_winkler", a, b) * 0.4 + score("phonetic", a, b) * 0.2
     if algorithm not in _SCORES:

@@ -6,13 +6,18 @@ the lexicographically first maximal independent set of the similarity graph, and
 joins its smallest leader. That definition needs no order of execution, so it runs in parallel:
 
 1. Rows collapse to distinct normalised texts (equal texts always share a group).
-2. While the texts are crowded, the smallest ones are settled on their own and the leaders among
-   them claim their followers everywhere. A crowd of near-equal texts is thus compared with its
-   few leaders, never with itself.
-3. What is left is sparse: candidate pairs come from a token prefix filter that loses no pair, are
-   scored, and the independent set is found by rounds over the edges.
-
-Nothing is capped: the filter is exact for every score and threshold.
+2. Each text gets tokens, at least one of which it shares with every text that is similar enough: of all its
+   letters or letter pairs, in one global order, the first few, or the pairs of these where two must be shared.
+   How many depends on the lengths of both texts, so there is a set of tokens per band of lengths.
+3. In a round, the `depth` smallest texts of each token meet. Texts that have no smaller text beyond that
+   depth are ready. Pairs that meet are compared by length and by a signature of their letters within the join,
+   and only what is left is scored. Then the independent set is settled over the edges: a text without a
+   smaller open neighbour leads, its neighbours follow, until nothing changes. Leaders claim their followers
+   among all other texts, so that a crowd of near-equal texts is compared with its few leaders, not with itself.
+4. Rounds end when no text is open. The depth is as large as a bounded number of expected pairs allows; where no
+   token is crowded, one round is enough.
+
+Nothing is capped: the filter is exact for every score and threshold, and nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -20,22 +25,27 @@ from __future__ import annotations
 import math
 import sys
 import tempfile
-from collections import Counter
+from itertools import combinations
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from plumbline.functions import dtypes, similarity, text
+from plumbline.functions import dtypes, phonetic, similarity, text
 from plumbline.operators.quality import row_keys
 from plumbline.operators.quantiles import col
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COMMON_GRAMS = 5_000  # grams whose frequency is known when tokens are ordered
-FIRST_BATCH, LAST_BATCH = 100, 800
-BROADCAST_CHARACTERS = 2_000_000  # leaders are broadcast only up to this much text
-PAIRS_PER_TEXT = 200  # below this many expected candidate pairs per text, the texts count as sparse
+MAX_PAIRS = 200_000_000  # pairs that may meet in a round, or PAIRS_PER_TEXT for each text
+PAIRS_PER_TEXT = 200
+PAIRS_A_TASK, SCORES_A_TASK = 2_000_000, 50_000
+MAX_SCORED, SCORED_PER_TEXT = 500_000, 30  # of these, so many may be left to be scored
+DEPTHS = [16 * 4**k for k in range(14)]
+BAND = 1.15  # lengths of one band differ by this factor at most, or not at all
+MOST_TOGETHER = {2: 14, 3: 9}  # the longest prefixes whose characters are taken in twos and in threes
+MAX_BROADCAST_LIMITS = 1 << 17
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -54,75 +64,125 @@ class TokenFilter:
     """Which tokens two texts of sufficient similarity are bound to share.
 
     Texts are multisets of single characters (q=1) or of character pairs (q=2). If two texts must
-    have at least ``o`` tokens in common, then, with tokens in one global order, the first
-    ``n - o + 1`` tokens of each must meet.
+    have at least ``o`` of them in common, then, with all in one global order, of the first ``n - o + k`` of each
+    ``k`` must be common (for k up to o). Tokens are these k, taken together.
+
+    Jaro-Winkler adds to the Jaro score for up to four equal first characters. There are tokens for each number
+    of equal first characters, which hold these and allow for just this addition.
     """
 
     def __init__(self, algorithm: str, threshold: float):
+        self.algorithm, self.threshold = algorithm, threshold
         self.exact_only = threshold > 100
-        if algorithm == "jaro_winkler":
-            # The common prefix lifts a Jaro score j to at most j + 0.4 (1 - j).
-            jaro = (threshold / 100.0 - 0.4) / 0.6
-            self.share, self.theta = 3 * jaro - 1, None
-            self.shortest = 3 * jaro - 2
-        else:
-            self.theta = (threshold - 60.0) / 40.0 if algorithm == "combined" else threshold / 100.0
-            self.share, self.shortest = None, self.theta / (2 - self.theta)
-        self.shortest = self.shortest if self.shortest > 0.05 else 0.0
-        # Pairs of characters are only guaranteed to meet at high similarity.
-        self.pairs = self.theta is not None and self.theta > 0.7
-        self.single_limit = math.floor(1 / (2 * (1.5 * self.theta - 1))) if self.pairs else 0
-
-    def regimes(self, n: int) -> list[int]:
-        """q values a text of ``n`` characters takes part in."""
-        if not self.pairs:
-            return [1]
-        out = [2] if n > self.single_limit else []
-        return out + ([1] if n <= math.ceil(self.single_limit / self.shortest) else [])
-
-    def prefix(self, n: int, q: int) -> int:
-        low = max(n * self.shortest, 1.0)
-        if self.theta is not None and self.theta > 0:
-            need = (1.5 * self.theta - 1) * (n + low) - 1 if q == 2 else self.theta * (n + low) / 2
-        elif self.share is not None:
-            need = self.share * n * low / (n + low)
-        else:
-            need = 1
-        tokens = n - q + 1
-        return max(1, min(tokens, tokens - max(1, math.ceil(need - 1e-9)) + 1))
+        self.theta = None if algorithm == "jaro_winkler" else (threshold - 60.0) / 40.0 if algorithm == "combined" else threshold / 100.0
+        self.starts = range(5) if algorithm == "jaro_winkler" else [0]
+        self.shortest = min(self.least(k) for k in self.starts)
+        # Without a common phonetic key a combined score ends at 80.
+        self.spoken = algorithm == "phonetic" or (algorithm == "combined" and threshold > 80)
+
+    def jaro(self, start: int) -> float:
+        """The Jaro score that is needed beside so many equal first characters."""
+        return (self.threshold / 100.0 - 0.1 * start) / (1 - 0.1 * start)
+
+    def least(self, start: int) -> float:
+        """How long the shorter text must be as a share of the longer one."""
+        share = self.theta / (2 - self.theta) if self.theta is not None else 3 * self.jaro(start) - 2
+        return min(1.0, share) if share > 0.05 else 0.0
 
     def band(self, n: int) -> int:
-        """Texts whose lengths are compatible lie in the same or in neighbouring bands."""
-        return int(math.log(n) / -math.log(self.shortest)) if 0 < self.shortest < 1 else (n if self.shortest else 0)
-
-
-def _token_udf(filter_: TokenFilter, frequency: dict[str, int], reach: int):
-    def tokens(texts: pd.Series) -> pd.Series:
-        def of(t):
-            out, n = [], len(t)
-            bands = range(filter_.band(n) - reach, filter_.band(n) + reach + 1)
-            for q in filter_.regimes(n):
-                seen: Counter = Counter()
-                grams = []
-                for i in range(n - q + 1):
-                    g = t[i : i + q]
-                    seen[g] += 1
-                    grams.append((frequency.get(g, 0), g, seen[g]))
-                grams.sort()
-                for _, g, k in grams[: filter_.prefix(n, q)]:
-                    out.extend(f"{b}|{q}|{k}|{g}" for b in bands)
-            return out
-
-        return texts.map(of)
-
-    return F.pandas_udf(tokens, T.ArrayType(T.StringType()))
-
-
-def _frequencies(nodes: DataFrame, filter_: TokenFilter) -> dict[str, int]:
-    """Counts of the most common grams: at most COMMON_GRAMS rows; rarer grams come first anyway."""
-    grams = "split(text, '')" if not filter_.pairs else (
-        "concat(split(text, ''), transform(sequence(1, greatest(length(text) - 1, 1)), i -> substring(text, i, 2)))"
-    )
+        """Bands are single lengths as long as these are further apart than the factor, else geometric."""
+        return int(math.log(max(n, 1)) / math.log(BAND))
+
+    def lowest(self, band: int) -> int:
+        return max(1, math.ceil(BAND**band - 1e-9))
+
+    def common(self, n: float, m: float, q: int, start: int) -> int:
+        """The least number of characters (or pairs) that texts of n and m characters must share; 1 if nothing is known."""
+        if self.theta is not None:
+            need = (1.5 * self.theta - 1) * (n + m) - 1 if q == 2 else self.theta * (n + m) / 2
+        else:
+            need = (3 * self.jaro(start) - 1) * n * m / (n + m)
+        return max(1, math.ceil(need - 1e-9))
+
+    def scheme(self, a: int, b: int, start: int) -> tuple[int, int]:
+        """(q, how many are taken together) of two bands; the same for all texts of these."""
+        low_a, low_b = self.lowest(a), self.lowest(b)
+        high = max(self.lowest(a + 1), self.lowest(b + 1)) - 1
+        q = 2 if self.theta is not None and min(low_a, low_b) > 1 and self.common(low_a, low_b, 2, start) > 1 else 1
+        need, have = self.common(low_a, low_b, q, start), max(high, low_a, low_b) - q + 1
+        # what the equal first characters tell apart needs no more
+        wanted = 1 if start > 1 else 3
+        return q, max(k for k in (1, 2, 3) if k == 1 or (k <= min(wanted, need) and have - need + k <= MOST_TOGETHER[k]))
+
+    def prefix(self, n: int, other: int, q: int, together: int, start: int) -> int:
+        """How many of a text's characters or pairs stand in its tokens for a band of partners."""
+        have = n - q + 1
+        low = max(self.lowest(other), math.ceil(n * self.least(start) - 1e-9))
+        return max(min(have, together), min(have, have - max(together, self.common(n, low, q, start)) + together))
+
+    def partners(self, n: int, bands: list[int], start: int) -> list[int]:
+        least = self.least(start)
+        if not least:
+            return bands
+        return [b for b in bands if self.lowest(b + 1) - 1 >= n * least - 1e-9 and self.lowest(b) <= n / least + 1e-9]
+
+    def factor(self, start: int) -> float:
+        """What the lengths of two texts are weighed by to give the characters that they must share."""
+        return max(self.theta, 0.0) / 2 if self.theta is not None else 3 * self.jaro(start) - 1
+
+    def needed(self, x: str, y: str) -> Column:
+        """Characters that two given texts must share if they have just the equal first characters that their token
+        says; with more of these they meet at another token, too."""
+        n, m, f = F.col(f"n{x}"), F.col(f"n{y}"), F.col(f"f{x}")
+        return f * (n + m) if self.theta is not None else f * n * m / (n + m)
+
+
+SIGNATURE = ["s0", "s1", "s2", "s3", "more"]
+TOKENS = T.StructType([*(T.StructField(c, T.LongType()) for c in SIGNATURE), T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("factors", T.ArrayType(T.DoubleType()))])
+
+
+def _signature(t: str) -> list[int]:
+    """Counts of 64 kinds of characters in unary, four bits each, and how many characters are beyond four."""
+    counts = [0] * 64
+    for ch in t:
+        o = ord(ch)
+        counts[o - 97 if 97 <= o < 123 else o - 22 if 48 <= o < 58 else 36 if o == 32 else 37 + o % 27] += 1
+    bits = [sum(((1 << min(c, 4)) - 1) << (4 * (k % 16)) for k, c in enumerate(counts[16 * w : 16 * w + 16], 0)) for w in range(4)]
+    return [b - (1 << 64) if b >> 63 else b for b in bits] + [sum(max(0, c - 4) for c in counts)]
+
+
+def _token_udf(filter_: TokenFilter, frequency: dict[str, int], bands: list[int]):
+    def of(t: str) -> tuple[list[str], list[float]]:
+        n, out, factors, ordered = len(t), [], [], {}
+        own = filter_.band(n)
+        for start in filter_.starts:
+            if start > n:
+                break
+            for other in filter_.partners(n, bands, start):
+                lo, hi = min(own, other), max(own, other)
+                q, together = filter_.scheme(lo, hi, start)
+                if q not in ordered:
+                    seen: dict[str, int] = {}
+                    grams = []
+                    for i in range(n - q + 1):
+                        g = t[i : i + q]
+                        seen[g] = seen.get(g, 0) + 1
+                        grams.append((frequency.get(g, 0), g, seen[g]))
+                    ordered[q] = sorted(grams)
+                first = [f"{k}{g}" for _, g, k in ordered[q][: filter_.prefix(n, other, q, together, start)]]
+                out += [f"{start}{t[:start]}|{lo}|{hi}|{q}|" + "|".join(c) for c in combinations(first, together)]
+                factors += [filter_.factor(start)] * (len(out) - len(factors))
+        return out, factors
+
+    def tokens(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*_signature(t), *of(t)) for t in texts], columns=[*SIGNATURE, "tokens", "factors"])
+
+    return F.pandas_udf(tokens, TOKENS)
+
+
+def _frequencies(nodes: DataFrame) -> dict[str, int]:
+    """Counts of the most common characters and pairs: at most COMMON_GRAMS rows; rarer ones come first anyway."""
+    grams = "concat(split(text, ''), transform(sequence(1, greatest(length(text) - 1, 1)), i -> substring(text, i, 2)))"
     top = (
         nodes.select(F.explode(F.expr(grams)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "g").limit(COMMON_GRAMS).collect()
@@ -130,102 +190,140 @@ def _frequencies(nodes: DataFrame, filter_: TokenFilter) -> dict[str, int]:
     return {r["g"]: r["n"] for r in top}
 
 
-def _candidates(left: DataFrame, right: DataFrame, filter_: TokenFilter, frequency: dict[str, int], small_left: bool) -> DataFrame:
-    """(l, r, lt, rt): pairs with l < r that may be similar; no similar pair is missing."""
-    a = left.select("block", F.col("id").alias("l"), F.col("text").alias("lt"), F.explode(_token_udf(filter_, frequency, 0)("text")).alias("token"))
-    b = right.select("block", F.col("id").alias("r"), F.col("text").alias("rt"), F.explode(_token_udf(filter_, frequency, 1)("text")).alias("token"))
-    a = F.broadcast(a) if small_left else a
-    joined = b.join(a, ["block", "token"]).filter("l < r")
-    if filter_.shortest > 0:
-        la, lb = F.length("lt"), F.length("rt")
-        joined = joined.filter(F.least(la, lb) >= F.greatest(la, lb) * (filter_.shortest - 1e-9))
-    return joined.select("l", "r", "lt", "rt").distinct()
-
-
-def _expected_pairs(nodes: DataFrame, filter_: TokenFilter, frequency: dict[str, int]) -> tuple[int, int]:
-    """(number of texts, upper estimate of candidate pairs)."""
-    own = nodes.select("block", F.explode(_token_udf(filter_, frequency, 0)("text")).alias("token"))
-    crowd = own.groupBy("block", "token").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    pairs = crowd.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
-    return nodes.count(), int(pairs or 0)
-
-
-def _local_leaders(batch: list, edges: list) -> dict:
-    """Leader of each text of a small batch, settled in id order over its edges."""
-    smaller: dict = {}
-    for l, r in edges:
-        smaller.setdefault(r, []).append(l)
-    out: dict = {}
-    for node in batch:
-        i = node["id"]
-        out[i] = min((l for l in smaller.get(i, ()) if out[l] == l), default=i)
-    return out
-
+def _tasks(df: DataFrame, wanted: float) -> int:
+    return int(min(10_000, max(wanted, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
-def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
-    """(block, id, text, leader) for every node (block, id, text)."""
-    if algorithm == "phonetic":
-        code = F.when(F.lit(threshold <= 100), F.soundex("text")).otherwise(F.col("text"))
-        coded = nodes.withColumn("code", code)
-        return coded.join(coded.groupBy("block", "code").agg(F.min("id").alias("leader")), ["block", "code"]).select("block", "id", "text", "leader")
-    filter_ = TokenFilter(algorithm, threshold)
-    frequency = _frequencies(nodes, filter_)
-    spark = nodes.sparkSession
-    open_nodes, settled, size = nodes, [], FIRST_BATCH
-    while algorithm != "combined":
-        total, pairs = _expected_pairs(open_nodes, filter_, frequency)
-        if total <= 1 or pairs <= PAIRS_PER_TEXT * total:
-            break
-        batch = open_nodes.orderBy("id").limit(size).collect()
-        picked = spark.createDataFrame(batch, nodes.schema)
-        light = sum(len(r["text"]) for r in batch) <= BROADCAST_CHARACTERS
-        # Both the batch and its edges are bounded by the batch size.
-        near = (
-            _candidates(picked, picked, filter_, frequency, small_left=light)
-            .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold)).select("l", "r").collect()
-        )
-        local = _local_leaders(batch, near)
-        heads = [r for r in batch if local[r["id"]] == r["id"]]
-        leaders = spark.createDataFrame(heads, nodes.schema)
-        in_batch = spark.createDataFrame(list(local.items()), T.StructType([T.StructField("id", nodes.schema["id"].dataType), T.StructField("own", nodes.schema["id"].dataType)]))
-        rest = open_nodes.join(F.broadcast(in_batch), "id", "left")
-        # At most `size` leaders are broadcast, and only when their texts are short enough.
-        claims = (
-            _candidates(leaders, open_nodes, filter_, frequency, small_left=light)
-            .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold))
-            .groupBy(F.col("r").alias("id")).agg(F.min("l").alias("claimed"))
-        )
-        round_ = checkpoint(rest.join(claims, "id", "left").select("block", "id", "text", F.coalesce("own", "claimed").alias("leader")))
-        settled.append(round_.filter("leader is not null"))
-        open_nodes = round_.filter("leader is null").drop("leader")
-        size = min(size * 2, LAST_BATCH)
-    out = _by_edges(open_nodes, algorithm, threshold, filter_, frequency)
-    for s in settled:
-        out = out.unionByName(s)
-    return out
 
+class Crowd:
+    """The distinct texts (block, id, text) of one grouping, with their tokens."""
 
-def _by_edges(nodes: DataFrame, algorithm: str, threshold: float, filter_: TokenFilter, frequency: dict[str, int]) -> DataFrame:
-    edges = checkpoint(
-        _candidates(nodes, nodes, filter_, frequency, small_left=False)
-        .filter(similarity.reaches(algorithm, F.col("lt"), F.col("rt"), threshold)).select("l", "r")
-    )
-    left, members = edges, None
+    def __init__(self, nodes: DataFrame, algorithm: str, threshold: float):
+        self.nodes, self.algorithm, self.threshold = nodes, algorithm, threshold
+        self.filter = TokenFilter(algorithm, threshold)
+        base = nodes.select("block", "id", "text", F.length("text").cast("double").alias("n"))
+        if algorithm == "phonetic":
+            tokens = F.transform(phonetic.shared(F.col("keys")), lambda k: F.struct(F.xxhash64(k).alias("token"), F.lit(0.0).alias("f")))
+            marked = base.withColumn("keys", phonetic.keys(F.col("text"))).select("block", "id", "n", *[F.lit(0).cast("long").alias(c) for c in SIGNATURE], tokens.alias("tokens"))
+        else:
+            marked = base.withColumn("t", _token_udf(self.filter, _frequencies(nodes), self._bands())("text"))
+            pair = F.arrays_zip(F.col("t.tokens").alias("token"), F.col("t.factors").alias("f"))
+            if self.filter.spoken:
+                marked = marked.withColumn("keys", phonetic.shared(phonetic.keys(F.col("text"))))
+                tokens = F.flatten(F.transform(pair, lambda t: F.transform("keys", lambda k: F.struct(F.xxhash64(t["token"], k).alias("token"), t["f"].alias("f")))))
+            else:
+                tokens = F.transform(pair, lambda t: F.struct(F.xxhash64(t["token"]).alias("token"), t["f"].alias("f")))
+            marked = marked.select("block", "id", "n", *[f"t.{c}" for c in SIGNATURE], F.array_distinct(tokens).alias("tokens"))
+        #: What meets in joins: no text, but its length and signature.
+        self.marked = checkpoint(marked)
+
+    def _bands(self) -> list[int]:
+        """Bands of lengths that occur: their number grows with the logarithm of the longest text."""
+        lengths = self.nodes.select(F.length("text").alias("n")).groupBy(F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).alias("b")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect()
+        return sorted({self.filter.band(n) for r in lengths for n in (r["lo"], r["hi"])})
+
+    def exploded(self, rows: DataFrame) -> DataFrame:
+        return rows.select("block", "id", "n", *SIGNATURE, F.inline("tokens"))
+
+    def pairs(self, left: DataFrame, right: DataFrame, expected: float = 0) -> DataFrame:
+        """(l, r): pairs with l < r of exploded rows that may be similar; no similar pair is missing. Few rows can meet in
+        many pairs, so the number of tasks follows the expected pairs, not the bytes."""
+        parts = _tasks(left, expected / PAIRS_A_TASK)
+        side = lambda df, s: df.repartition(parts, "block", "token").select("block", "token", *[F.col(c).alias(c + s) for c in ("id", "n", "f", *SIGNATURE)])
+        met = side(left, "x").join(side(right, "y"), ["block", "token"]).filter("idx < idy")
+        if self.algorithm != "phonetic":
+            both = sum((F.bit_count(F.col(f"{c}x").bitwiseAND(F.col(f"{c}y"))) for c in SIGNATURE[:4]), F.least("morex", "morey"))
+            met = met.filter(both >= self.filter.needed("x", "y") - 1e-6)
+            if self.filter.shortest > 0:
+                met = met.filter(F.least("nx", "ny") >= F.greatest("nx", "ny") * (self.filter.shortest - 1e-9))
+        return met.select(F.col("idx").alias("l"), F.col("idy").alias("r")).distinct()
+
+    def similar(self, pairs: DataFrame, n: int = 0) -> DataFrame:
+        """The pairs, about n of them, that are similar."""
+        texts = lambda i, t: self.nodes.select(F.col("id").alias(i), F.col("text").alias(t))
+        known = pairs.join(texts("l", "lt"), "l").join(texts("r", "rt"), "r")
+        return known.repartition(_tasks(pairs, n / SCORES_A_TASK)).filter(similarity.reaches(self.algorithm, F.col("lt"), F.col("rt"), self.threshold)).select("l", "r")
+
+    def smallest(self, open_: DataFrame, own: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        """The `depth` smallest texts of each token, and the ids of texts all of whose smaller partners are among them."""
+        place = F.row_number().over(Window.partitionBy("block", "token").orderBy("id"))
+        top = checkpoint(own.withColumn("place", place).filter(F.col("place") <= depth))
+        limits = checkpoint(top.groupBy("block", "token").agg(F.max("id").alias("last"), F.max("place").alias("place")).filter(F.col("place") == depth).drop("place"))
+        limits = F.broadcast(limits) if limits.count() <= MAX_BROADCAST_LIMITS else limits
+        late = own.select("block", "token", "id").join(limits, ["block", "token"]).filter("id > last").select("id").distinct()
+        return top, checkpoint(open_.select("id").join(late, "id", "left_anti"))
+
+    def leaders(self) -> DataFrame:
+        """(id, leader) of every text."""
+        ids = self.nodes.select("id")
+        if self.filter.exact_only:
+            return ids.withColumn("leader", F.col("id"))
+        open_, settled, deepest = self.marked, None, DEPTHS[-1]
+        while True:
+            own = self.exploded(open_)
+            sizes = own.groupBy("block", "token").agg(F.count(F.lit(1)).alias("k"))
+            upto = lambda d: F.least(F.col("k"), F.lit(d)).cast("double")
+            told = sizes.agg(F.max("k").alias("largest"), *[F.sum(upto(d) * (upto(d) - 1) / 2).alias(f"d{d}") for d in DEPTHS]).first()
+            texts = open_.count()
+            if not texts:
+                break
+            most = max(MAX_PAIRS, PAIRS_PER_TEXT * texts)
+            depths = [d for d in DEPTHS if told[f"d{d}"] <= most and d <= deepest] or DEPTHS[:1]
+            while True:
+                depth = depths.pop()
+                whole = told["largest"] <= depth
+                if whole:
+                    top, ready = own, open_.select("id")
+                else:
+                    top, ready = self.smallest(open_, own, depth)
+                pairs = checkpoint(self.pairs(top, top if whole else top.join(ready, "id", "left_semi"), told[f"d{depth}"]))
+                met = pairs.count()
+                # a crowd of near-equal texts passes the signatures: it takes fewer texts to find its leaders
+                if not depths or met <= max(MAX_SCORED, SCORED_PER_TEXT * texts):
+                    break
+                deepest = depths[-1]
+            edges = checkpoint(self.similar(pairs, met))
+            heads = checkpoint(_first_independent(ready, edges))
+            claims = edges.join(heads.withColumnRenamed("id", "l"), "l", "left_semi")
+            # texts that were not ready, and followers of a larger leader, have not met the new leaders
+            others = None if whole else open_.join(ready, "id", "left_anti")
+            if settled is not None:
+                followers = self.marked.join(settled.filter("id <> leader").select("id"), "id", "left_semi")
+                others = followers if others is None else others.unionByName(followers)
+            if others is not None:
+                claims = claims.unionByName(self.similar(self.pairs(self.exploded(open_.join(heads, "id", "left_semi")), self.exploded(others.join(heads, "id", "left_anti")))))
+            claims = checkpoint(claims.groupBy(F.col("r").alias("id")).agg(F.min("l").alias("claim")))
+            now = heads.withColumn("leader", F.col("id"))
+            if settled is None:
+                now = now.unionByName(claims.select("id", F.col("claim").alias("leader")))
+            else:
+                kept = settled.join(claims, "id", "left").select("id", F.least("leader", "claim").alias("leader"))
+                now = now.unionByName(kept).unionByName(claims.join(settled, "id", "left_anti").select("id", F.col("claim").alias("leader")))
+            settled = checkpoint(now)
+            if whole:
+                break
+            open_ = checkpoint(open_.join(settled, "id", "left_anti"))
+        return ids.withColumn("leader", F.col("id")) if settled is None else settled
+
+
+def _first_independent(ready: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids among ready that lead: each is decided once all its smaller neighbours over edges (l, r), l < r, are. All r are
+    ready; an l that is not stays undecided, and so does who waits for it."""
+    touched = edges.select(F.col("l").alias("id")).union(edges.select(F.col("r").alias("id"))).distinct()
+    heads = ready.join(touched, "id", "left_anti")
+    undecided, alive = checkpoint(ready.join(touched, "id", "left_semi")), edges
     while True:
-        # A node without a smaller open neighbour leads; its neighbours are members.
-        heads = left.select(F.col("l").alias("h")).distinct().join(left.select(F.col("r").alias("h")).distinct(), "h", "left_anti")
-        found = checkpoint(left.join(heads, left["l"] == heads["h"], "left_semi").select(F.col("r").alias("m")).distinct())
-        if found.isEmpty():
-            break
-        members = found if members is None else members.unionByName(found)
-        left = checkpoint(
-            left.join(found, left["l"] == found["m"], "left_anti").join(found, F.col("r") == found["m"], "left_anti")
-        )
-    if members is None:
-        return nodes.select("block", "id", "text", F.col("id").alias("leader"))
-    own = edges.join(members, edges["l"] == members["m"], "left_anti").groupBy(F.col("r").alias("id")).agg(F.min("l").alias("first"))
-    own = own.join(members.select(F.col("m").alias("id")), "id", "left_semi")
-    return nodes.join(own, "id", "left").select("block", "id", "text", F.coalesce("first", "id").alias("leader"))
+        first = checkpoint(undecided.join(alive.select(F.col("r").alias("id")), "id", "left_anti"))
+        if first.isEmpty():
+            return heads
+        heads = heads.unionByName(first)
+        gone = checkpoint(alive.join(first.withColumnRenamed("id", "l"), "l", "left_semi").select(F.col("r").alias("id")).distinct())
+        alive = checkpoint(alive.join(gone.withColumnRenamed("id", "l"), "l", "left_anti").join(gone.withColumnRenamed("id", "r"), "r", "left_anti"))
+        undecided = checkpoint(undecided.join(first, "id", "left_anti").join(gone, "id", "left_anti"))
+
+
+def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
+    """(block, id, text, leader) for every node (block, id, text)."""
+    return nodes.join(Crowd(nodes, algorithm, threshold).leaders(), "id").select("block", "id", "text", "leader")
 
 
 def _groups(rows: DataFrame, algorithm: str, threshold: float, match_type: str, key_columns: list[str], prefix: str = "") -> DataFrame:

@@ -13,10 +13,11 @@ from plumbline.functions import dtypes, numbers
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Most values one task may have to sort to finish an exact quantile.
-MAX_BRACKET_ROWS = 5_000_000
-_SKETCH_ACCURACY = 5_000
-_SAMPLE_ROWS = 100_000
+# Bits of a value that one pass settles, and how many values may be left for a last pass over all of their bits.
+_DIGIT_BITS = 16
+MAX_LAST_VALUES = 1 << 20
+# Rows of a rank table up to which it is broadcast.
+MAX_BROADCAST_RANKS = 1 << 17
 
 
 def col(name: str) -> Column:
@@ -29,142 +30,114 @@ def numeric(df: DataFrame, name: str) -> Column:
     return numbers.clean(col(name), df.schema[name].dataType).cast("double")
 
 
+def ordered_bits(x):
+    """Doubles as unsigned 64-bit numbers of the same order (numpy)."""
+    import numpy as np
+
+    bits = (x + 0.0).view(np.int64)  # -0.0 becomes 0.0
+    return np.where(bits < 0, ~bits, bits ^ np.int64(-(1 << 63))).view(np.uint64)
+
+
+def from_ordered_bits(image: int) -> float:
+    import struct
+
+    bits = image ^ (1 << 63) if image >> 63 else image ^ ((1 << 64) - 1)
+    return struct.unpack("<d", struct.pack("<Q", bits))[0]
+
+
+def _digit_counts(slots: list[tuple[int, int]], done: int, width: int):
+    """For mapInArrow over double columns: (slot, digit, n). A slot is a column and the first ``done`` bits of its
+    values; the digit is the next ``width`` bits."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            images, out = {}, []
+            for k, (column, prefix) in enumerate(slots):
+                if column not in images:
+                    values = batch.column(column).drop_null().to_numpy(zero_copy_only=False)
+                    images[column] = ordered_bits(values[~np.isnan(values)])
+                image = images[column]
+                if done:
+                    image = image[image >> np.uint64(64 - done) == np.uint64(prefix)]
+                rest = image >> np.uint64(64 - done - width)
+                digits = (rest & np.uint64((1 << width) - 1)) if done else rest
+                if not len(digits):
+                    continue
+                if width <= _DIGIT_BITS and len(digits) > 1000:
+                    n = np.bincount(digits.astype(np.int64), minlength=1)
+                    found = np.flatnonzero(n)
+                    out.append((k, found, n[found]))
+                else:
+                    found, n = np.unique(digits, return_counts=True)
+                    out.append((k, found.astype(np.int64), n))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat([k for k, _, _ in out], [len(d) for _, d, _ in out]).astype(np.int32)), pa.array(np.concatenate([d for _, d, _ in out])), pa.array(np.concatenate([n for _, _, n in out]).astype(np.int64))],
+                    ["slot", "digit", "n"],
+                )
+
+    return run
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles (as pandas computes them), per column.
 
-    Selection by bracketing: a sketch of a random sample brackets each wanted rank, counting
-    inside the bracket finds the value. Brackets holding more than ``MAX_BRACKET_ROWS`` rows are
-    narrowed by another sketch first, so no task sorts more than that and the driver only sees one
-    row per quantile. The sample only guides the search: a bracket that misses is detected by the
-    exact counts and replaced by the whole range.
+    Radix selection: values are read as 64-bit numbers of the same order. A pass counts the next 16 bits of
+    all values that agree with what is known of a wanted rank so far; the running count picks the digit. All columns
+    and ranks share each pass. As soon as at most ``MAX_LAST_VALUES`` values can still be meant, one pass counts all
+    of their remaining bits; so there are two passes as a rule and never more than four. Nothing is sampled, no task
+    sorts more than 2^16 digits or the last values of a slot, and the driver sees a row per wanted rank.
     """
-    if not columns:
-        return {}
-    values = df.select(*[numeric(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    fraction = min(1.0, _SAMPLE_ROWS / max(df.count(), 1))
-    sampled = values.withColumn("draw", F.rand(42)) if fraction < 1 else values.withColumn("draw", F.lit(0.0))
-    # Four standard errors of a sampled rank, or the error of the sketch if that is larger.
-    eps = 2.0 / _SKETCH_ACCURACY + (4 * 0.5 / math.sqrt(_SAMPLE_ROWS) if fraction < 1 else 0.0)
-
-    def around(p: float) -> list[float]:
-        return [max(0.0, p - eps), min(1.0, p + eps)]
-
-    first = sampled.agg(
-        *[
-            agg
-            for i in range(len(columns))
-            for agg in (
-                F.count(f"c{i}").alias(f"n{i}"),
-                F.percentile_approx(F.when(F.col("draw") <= fraction, F.col(f"c{i}")), [x for p in probs for x in around(p)], _SKETCH_ACCURACY).alias(f"q{i}"),
-            )
-        ]
-    ).first()
-
     result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
-    open_targets = []
+    if not columns or not probs:
+        return result
+    values = df.select(*[numeric(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    slots, done, left = [(i, 0) for i in range(len(columns))], 0, None
+    # of each wanted rank: the column, its number among the column's ranks, the bits known, the rank among values with these bits
+    wanted: list[list] = []
+    totals: dict[int, int] = {}
+    while done < 64:
+        width = 64 - done if left is not None and left <= MAX_LAST_VALUES else min(_DIGIT_BITS, 64 - done)
+        counted = values.mapInArrow(_digit_counts(slots, done, width), "slot int, digit long, n long").groupBy("slot", "digit").agg(F.sum("n").alias("n"))
+        order = F.col("digit") + F.lit(-(1 << 63)) if width == 64 else F.col("digit")
+        running = Window.partitionBy("slot").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        upto = counted.select("slot", "digit", "n", F.sum("n").over(running).alias("upto"), F.sum("n").over(Window.partitionBy("slot")).alias("total"))
+        if not done:
+            position = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
+            ranks = F.array(*[F.struct(F.lit(2 * j + k).alias("id"), f(x).cast("long").alias("rank")) for j, x in enumerate(position) for k, f in enumerate((F.floor, F.ceil))])
+        else:
+            by_slot: dict[int, list] = {}
+            for i, w in enumerate(wanted):
+                by_slot.setdefault(slots.index((w[0], w[2])), []).append(F.struct(F.lit(i).alias("id"), F.lit(w[3]).cast("long").alias("rank")))
+            ranks = F.element_at(F.create_map(*[x for k, r in by_slot.items() for x in (F.lit(k), F.array(*r))]), F.col("slot"))
+        met = F.filter(ranks, lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("n")))
+        rows = upto.select("slot", "digit", "n", "total", (F.col("upto") - F.col("n")).alias("before"), F.explode(met).alias("r")).select("*", "r.id", "r.rank").collect()
+        if not done:
+            wanted = [[r["slot"], r["id"], r["digit"], r["rank"] - r["before"]] for r in rows]
+            totals = {r["slot"]: r["total"] for r in rows}
+        else:
+            for r in rows:
+                w = wanted[r["id"]]
+                w[2], w[3] = w[2] << width | (r["digit"] & ((1 << width) - 1)), r["rank"] - r["before"]
+        done += width
+        sizes = {(r["slot"], r["digit"]): r["n"] for r in rows}
+        left = sum(sizes.values())
+        slots = sorted({(w[0], w[2]) for w in wanted})
+        if not slots:
+            return result
+    at = {(w[0], w[1]): from_ordered_bits(w[2]) for w in wanted}
     for i, name in enumerate(columns):
-        n = first[f"n{i}"]
         for j, p in enumerate(probs):
-            if not n:
-                continue
-            position = (n - 1) * p
-            bracket = first[f"q{i}"]
-            # At the ends, and where the sample holds no value, the bracket stays open.
-            open_low, open_high = bracket is None or p - eps <= 0, bracket is None or p + eps >= 1
-            open_targets.append(
-                {
-                    "col": i, "prob": j, "lo_rank": math.floor(position), "hi_rank": math.ceil(position),
-                    "fraction": position - math.floor(position), "n": n,
-                    "a": float("-inf") if open_low else bracket[2 * j], "b": float("inf") if open_high else bracket[2 * j + 1],
-                    "wide": n if bracket is None else n * 2 * eps,
-                }
-            )
-    while True:
-        wide = [t for t in open_targets if t["wide"] > MAX_BRACKET_ROWS and t["a"] < t["b"]]
-        if not wide:
-            break
-        _narrow(values, wide, 2.0 / _SKETCH_ACCURACY)
-    for t, (lo, hi) in zip(open_targets, _ranked_values(values, open_targets)):
-        result[columns[t["col"]]][t["prob"]] = lo if t["fraction"] == 0 else lo + (hi - lo) * t["fraction"]
+            if i in totals:
+                position = (totals[i] - 1) * float(p)
+                lo, hi, part = at[i, 2 * j], at[i, 2 * j + 1], position - math.floor(position)
+                result[name][j] = lo if part == 0 else lo + (hi - lo) * part
     return result
 
 
-def _narrow(values: DataFrame, targets: list[dict], eps: float) -> None:
-    def inside(t: dict) -> Column:
-        c = F.col(f"c{t['col']}")
-        return c.between(t["a"], t["b"])
-
-    counts = values.agg(
-        *[
-            agg
-            for k, t in enumerate(targets)
-            for agg in (
-                F.count_if(F.col(f"c{t['col']}") < t["a"]).alias(f"below{k}"),
-                F.count_if(inside(t)).alias(f"in{k}"),
-            )
-        ]
-    ).first()
-    sketches = []
-    for k, t in enumerate(targets):
-        p = (t["lo_rank"] - counts[f"below{k}"]) / max(counts[f"in{k}"] - 1, 1)
-        bounds = [max(0.0, p - eps), min(1.0, p + eps)]
-        sketches.append(
-            F.percentile_approx(F.when(inside(t), F.col(f"c{t['col']}")), bounds, _SKETCH_ACCURACY).alias(f"q{k}")
-        )
-    row = values.agg(*sketches).first()
-    for k, t in enumerate(targets):
-        before = (t["a"], t["b"])
-        t["a"], t["b"] = row[f"q{k}"]
-        # A bracket that a sketch cannot narrow ends in heavy values; equal values are counted before they
-        # are sorted, so what is left to sort are the few distinct values in between.
-        t["wide"] = 0 if (t["a"], t["b"]) == before else counts[f"in{k}"] * 2 * eps
-
-
-def _ranked_values(values: DataFrame, targets: list[dict]) -> list[tuple[float, float]]:
-    """Values at the two wanted ranks of every target, checked against the exact counts."""
-    if not targets:
-        return []
-    # One value column per target: NaN for "below the bracket", the value inside it, else NULL.
-    below, ids = F.lit(float("nan")), [f"t{k}" for k in range(len(targets))]
-    marked = values.select(
-        *[
-            F.when(F.col(f"c{t['col']}") < t["a"], below).when(F.col(f"c{t['col']}") <= t["b"], F.col(f"c{t['col']}")).alias(i)
-            for i, t in zip(ids, targets)
-        ]
-    )
-    numbers_of = F.create_map(*[x for k, i in enumerate(ids) for x in (F.lit(i), F.lit(k))])
-    counted = (
-        marked.unpivot([], ids, "id", "v").filter("v IS NOT NULL").groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
-        .select(F.element_at(numbers_of, F.col("id")).alias("k"), F.when(F.isnan("v"), 0).otherwise(1).alias("place"), "v", "n")
-    )
-    running = Window.partitionBy("k").orderBy("place", "v").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = F.create_map(*[x for k, t in enumerate(targets) for x in (F.lit(k), F.array(F.lit(t["lo_rank"]).cast("bigint"), F.lit(t["hi_rank"]).cast("bigint")))])
-    upto = counted.select("k", "place", "v", "n", F.sum("n").over(running).alias("upto"))
-    wanted = F.element_at(ranks, F.col("k"))
-    rows = (
-        upto.select("k", "place", "v", "n", "upto", wanted[0].alias("r0"), wanted[1].alias("r1"))
-        .filter((F.col("upto") > F.col("r0")) & (F.col("upto") - F.col("n") <= F.col("r1")))
-        .collect()
-    )
-    found: list[list] = [[None, None] for _ in targets]
-    failed = set()
-    for r in rows:
-        for slot, rank in enumerate((r["r0"], r["r1"])):
-            if r["upto"] - r["n"] <= rank < r["upto"]:
-                if r["place"] == 0:
-                    failed.add(r["k"])
-                found[r["k"]][slot] = r["v"]
-    failed |= {k for k, f in enumerate(found) if None in f}
-    if failed:
-        # The sketch missed the rank (its error bound did not hold): look at everything instead.
-        again = [dict(targets[k], a=float("-inf"), b=float("inf"), wide=targets[k]["n"]) for k in sorted(failed)]
-        while wide := [t for t in again if t["wide"] > MAX_BRACKET_ROWS and t["a"] < t["b"]]:
-            _narrow(values, wide, 2.0 / _SKETCH_ACCURACY)
-        for k, pair in zip(sorted(failed), _ranked_values(values, again)):
-            found[k] = list(pair)
-    return [tuple(f) for f in found]
-
-
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Mean, sample standard deviation, min, max and exact median per numeric column."""
     columns = dtypes.numeric_columns(df) if columns is None else columns
@@ -188,54 +161,27 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return out
 
 
-def average_ranks(df: DataFrame, columns: list[str], buckets: int | None = None) -> DataFrame:
+def average_ranks(cells: DataFrame, rows: int) -> DataFrame:
     """Average rank (ties share their mean rank) of every distinct value: (column, value, rank, n).
 
-    Values are cut into equal-depth buckets at sketched boundaries; counts are summed up inside
-    each bucket by one task per bucket, and bucket offsets come from the small bucket table. No
-    window ever spans a whole column.
+    ``cells`` are (column, value) without NULLs, ``rows`` about the number of one column's cells. Distinct values
+    are cut into buckets at sketched boundaries (which only spread the work), numbered inside each bucket,
+    and shifted by the counts of the buckets before. No window ever spans a whole column.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    if buckets is None:
-        n = df.count()
-        buckets = int(min(10_000, max(8, n // 500_000)))
+    counted = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    buckets = int(min(10_000, max(8, rows // 500_000)))
     probs = [i / buckets for i in range(1, buckets)]
-    names = [f"v{i}" for i in range(len(columns))]
-    wide = df.select(*[numeric(df, c).alias(v) for c, v in zip(columns, names)])
-    cuts = wide.agg(*[F.percentile_approx(v, probs, max(1_000, 2 * buckets)).alias(v) for v in names]).first()
-    splits = []
-    for v in names:
-        inner = sorted({x for x in (cuts[v] or []) if not math.isinf(x)}) or [0.0]
-        splits.append([float("-inf"), *inner, float("inf")])
-    bucketizer = Bucketizer(
-        splitsArray=splits, inputCols=names, outputCols=[f"b_{v}" for v in names], handleInvalid="keep"
-    )
-    cells = bucketizer.transform(wide).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column"), F.col(f"b_{v}").cast("int").alias("bucket"), F.col(v).alias("value"))
-                    for c, v in zip(columns, names)
-                ]
-            )
-        )
-    ).filter(F.col("value").isNotNull())
-    counted = cells.groupBy("column", "bucket", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_bucket = cells.groupBy("column", "bucket").agg(F.count(F.lit(1)).alias("bucket_n"))
+    cuts = counted.groupBy("column").agg(F.percentile_approx("value", probs, max(1_000, 2 * buckets)).alias("cuts"))
+    # at most `buckets` boundaries per column
+    placed = counted.join(F.broadcast(cuts), "column").withColumn("bucket", F.size(F.filter("cuts", lambda x: x < F.col("value")))).drop("cuts")
+    per_bucket = placed.groupBy("column", "bucket").agg(F.sum("n").alias("bucket_n"))
     before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        "column", "bucket", F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("offset")
-    )
+    offsets = per_bucket.select("column", "bucket", F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    # The offsets table has at most `buckets` rows per column, so broadcasting it is bounded.
     return (
-        counted.withColumn("upto", F.sum("n").over(within))
+        placed.withColumn("upto", F.sum("n").over(within))
         .join(F.broadcast(offsets), ["column", "bucket"])
-        .select(
-            "column", "value", "n",
-            (F.col("offset") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"),
-        )
+        .select("column", "value", "n", (F.col("offset") + F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
     )
 
 
@@ -246,11 +192,11 @@ def correlation(df: DataFrame, columns: list[str] | None = None, method: str = "
         wide = df.select(*[numeric(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
         names = {(i, j): (f"v{i}", f"v{j}") for i in range(len(columns)) for j in range(i, len(columns))}
     elif method == "spearman":
-        wide, names = _rank_table(df, columns)
+        wide, names, middle = _rank_table(df, columns)
     else:
         raise ValueError(f"unknown correlation method: {method}")
     # Ranks lie around half the number of rows, so they need no pass for their means.
-    shift = None if method == "pearson" else [df.count() / 2.0] * len(wide.columns)
+    shift = None if method == "pearson" else [middle] * len(wide.columns)
     r = pairwise_correlation(wide, shift)
     wanted = df.sparkSession.createDataFrame(
         [(columns[i], columns[j], i, j, a, b) for (i, j), (a, b) in names.items()],
@@ -309,29 +255,32 @@ def _rank_table(df: DataFrame, columns: list[str]):
     every partner without NULLs; two columns with NULLs get ranks of their own.
     """
     wide = df.select(*[numeric(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    gaps = wide.agg(*[F.count_if(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in range(len(columns))]).first()
+    told = wide.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"v{i}").isNull()).alias(f"v{i}") for i in range(len(columns))]).first()
     wanted: dict[str, Column] = {f"v{i}": F.col(f"v{i}") for i in range(len(columns))}
     names: dict[tuple[int, int], tuple[str, str]] = {(i, i): (f"v{i}", f"v{i}") for i in range(len(columns))}
     for i, j in combinations(range(len(columns)), 2):
         a, b = f"v{i}", f"v{j}"
-        if gaps[b]:
-            wanted[f"{a}_{b}"] = F.when(F.col(b).isNotNull(), F.col(a))
-            a_name = f"{a}_{b}"
-        else:
-            a_name = a
-        if gaps[a]:
-            wanted[f"{b}_{a}"] = F.when(F.col(a).isNotNull(), F.col(b))
-            b_name = f"{b}_{a}"
-        else:
-            b_name = b
-        names[(i, j)] = (a_name, b_name)
-    base = wide.select(*[e.alias(n) for n, e in wanted.items()])
-    ranks = average_ranks(base, list(wanted))
-    out = base
-    for n in wanted:
-        one = ranks.filter(F.col("column") == n).select(F.col("value").alias(n), F.col("rank").alias(f"rank_{n}"))
-        out = out.join(one, n, "left")
-    return out.select(*[f"rank_{n}" for n in wanted]), {k: (f"rank_{a}", f"rank_{b}") for k, (a, b) in names.items()}
+        sides = []
+        for own, other in ((a, b), (b, a)):
+            if told[other]:
+                wanted[f"{own}_{other}"] = F.when(F.col(other).isNotNull(), F.col(own))
+            sides.append(f"{own}_{other}" if told[other] else own)
+        names[(i, j)] = tuple(sides)
+    # one row per cell, of all columns at once; a row's number lets its cells find each other again
+    keyed = wide.withColumn("row", F.monotonically_increasing_id())
+    cell = F.array(*[F.struct(F.lit(k).alias("column"), e.alias("value")) for k, e in enumerate(wanted.values())])
+    cells = keyed.select("row", F.inline(cell)).filter(F.col("value").isNotNull())
+    ranks = average_ranks(cells.select("column", "value"), told["rows"])
+    # a value that many rows share would crowd a join: there are few of these, and their ranks are broadcast
+    often = max(2, told["rows"] * len(wanted) // MAX_BROADCAST_RANKS)
+    heavy = ranks.filter(F.col("n") >= often).select("column", "value", F.col("rank").alias("common"))  # MAX_BROADCAST_RANKS rows at most
+    light = ranks.filter(F.col("n") < often).select("column", "value", F.col("rank").alias("seldom"))
+    marked = cells.join(F.broadcast(heavy), ["column", "value"], "left")
+    ranked = marked.filter("common IS NOT NULL").select("row", "column", F.col("common").alias("rank")).unionByName(
+        marked.filter("common IS NULL").join(light, ["column", "value"]).select("row", "column", F.col("seldom").alias("rank"))
+    )
+    out = ranked.groupBy("row").agg(*[F.max(F.when(F.col("column") == k, F.col("rank"))).alias(f"rank_{n}") for k, n in enumerate(wanted)]).drop("row")
+    return out, {k: (f"rank_{a}", f"rank_{b}") for k, (a, b) in names.items()}, told["rows"] / 2.0
 
 
 def high_correlation(matrix: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -109,24 +109,65 @@ def _(spark, sf):
     return Z.fuzzy_groups(table(spark, sf, "part"), "p_name", "p_partkey", 85.0, "jaro_winkler").select("group_id", "row_id")
 
 
+def lcs_ratio(a: str, b: str) -> str:
+    """SQL: Indel similarity of two ASCII texts of up to 120 characters, their longest common subsequence by bits."""
+    full = f"((1::HUGEINT << length({a})) - 1)"
+    mask = f"list_sum(list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = ch THEN 1::HUGEINT << i ELSE 0::HUGEINT END))"
+    steps = f"list_transform(string_split({b}, ''), lambda ch: {mask})"
+    row = f"list_reduce(list_prepend({full}, {steps}), lambda row, m: ((row + (row & m)) | (row - (row & m))) & {full})"
+    return f"(200.0 * (length({a}) - bit_count({row})) / (length({a}) + length({b})))"
+
+
+def ratio_groups(rows: str, match_type: str) -> str:
+    """SQL: groups of similar texts among rows (block, row_id, value), one by one in the order of the ids."""
+    plain = r"regexp_replace(lower(value), '[^\w\s]', '', 'g')"
+    return f"""WITH RECURSIVE
+  src AS ({rows}),
+  x AS (SELECT block, row_id, value, trim(regexp_replace({plain}, '\\s+', ' ', 'g')) AS t FROM src WHERE value IS NOT NULL),
+  n AS (SELECT block, t, min(row_id) AS id FROM x WHERE t <> '' GROUP BY block, t),
+  r AS (SELECT *, row_number() OVER (ORDER BY id, block) AS k FROM n),
+  e AS (SELECT a.k AS lo, b.k AS hi FROM r a JOIN r b ON a.block = b.block AND a.k < b.k AND least(length(a.t), length(b.t)) >= 0.73 * greatest(length(a.t), length(b.t)) WHERE {lcs_ratio('a.t', 'b.t')} >= 85),
+  walk(k, lead) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+    UNION ALL
+    SELECT w.k + 1, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.hi = w.k + 1 AND list_contains(w.lead, e.lo)) THEN w.lead ELSE list_append(w.lead, w.k + 1) END
+    FROM walk w WHERE w.k < (SELECT max(k) FROM r)),
+  heads AS (SELECT unnest(lead) AS k FROM walk WHERE k = (SELECT max(k) FROM r)),
+  own AS (SELECT r.*, CASE WHEN r.k IN (SELECT k FROM heads) THEN r.k ELSE (SELECT min(e.lo) FROM e WHERE e.hi = r.k AND e.lo IN (SELECT k FROM heads)) END AS head FROM r),
+  member AS (SELECT x.*, o.head, l.id AS leader, l.t AS lead_text, row_number() OVER (PARTITION BY o.head ORDER BY x.row_id) AS place, count(*) OVER (PARTITION BY o.head) AS size
+             FROM x JOIN own o USING (block, t) JOIN r l ON l.k = o.head),
+  two AS (SELECT head, {lcs_ratio('lead_text', 't')} AS similarity FROM member WHERE place = 2)
+  SELECT m.leader AS group_id, m.row_id, '{match_type}' AS match_type, two.similarity, first_value(m.value) OVER (PARTITION BY m.head ORDER BY m.row_id) AS representative
+  FROM member m JOIN two USING (head)"""
+
+
 @query("fuzzy_groups_customers", "D10")
 def _(spark, sf):
     return Z.fuzzy_groups(table(spark, sf, "customer"), "c_name", "c_custkey")
 
 
-@query("fuzzy_groups_urls", "D10")
+@query("fuzzy_groups_urls", "D10", ratio_groups("SELECT 0 AS block, page_id AS row_id, url AS value FROM pages", "fuzzy"))
+def _(spark, sf):
+    return Z.fuzzy_groups(table(spark, sf, "pages"), "url", "page_id").drop("key_columns")
+
+
+@query("fuzzy_groups_titles", "D10", ratio_groups("SELECT 0 AS block, p_partkey AS row_id, p_name || ' ' || p_brand AS value FROM part", "fuzzy"))
 def _(spark, sf):
-    return Z.fuzzy_groups(table(spark, sf, "pages"), "url", "page_id")
+    parts = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("title"))
+    return Z.fuzzy_groups(parts, "title", "p_partkey").drop("key_columns")
+
+
+_NAMES, _MAILS = (ratio_groups(f"SELECT 0 AS block, vendor_id AS row_id, {c} AS value FROM vendors", "fuzzy") for c in ("vendor_name", "email"))
 
 
-@query("fuzzy_groups_columns", "D11")
+@query("fuzzy_groups_columns", "D11", f"SELECT 'vendor_name:' || group_id AS group_id, * EXCLUDE (group_id) FROM ({_NAMES}) UNION ALL SELECT 'email:' || group_id, * EXCLUDE (group_id) FROM ({_MAILS})")
 def _(spark, sf):
-    return Z.fuzzy_groups_all(table(spark, sf, "vendors"), ["vendor_name", "email"], "vendor_id")
+    return Z.fuzzy_groups_all(table(spark, sf, "vendors"), ["vendor_name", "email"], "vendor_id").drop("key_columns")
 
 
-@query("combined_groups", "D12")
+@query("combined_groups", "D12", f"SELECT 'p_name:' || group_id AS group_id, * EXCLUDE (group_id) FROM ({ratio_groups('SELECT p_brand AS block, p_partkey AS row_id, p_name AS value FROM part', 'combined')})")
 def _(spark, sf):
-    return Z.combined_groups(table(spark, sf, "part"), ["p_brand"], ["p_name"], "p_partkey")
+    return Z.combined_groups(table(spark, sf, "part"), ["p_brand"], ["p_name"], "p_partkey").drop("key_columns")
 
 
 def brand_groups(spark, sf):
@@ -228,6 +269,6 @@ def _(spark, sf):
     return D.repeated_values(table(spark, sf, "vendors"), ["vendor_name", "email", "status", "note"])
 
 
-@query("similar_values", "D24")
+@query("similar_values", "D24", ratio_groups("SELECT 0 AS block, s_suppkey AS row_id, s_name AS value FROM supplier QUALIFY count(*) OVER (PARTITION BY s_name) = 1", "fuzzy"))
 def _(spark, sf):
-    return Z.similar_values(table(spark, sf, "supplier"), "s_name", "s_suppkey")
+    return Z.similar_values(table(spark, sf, "supplier"), "s_name", "s_suppkey").drop("key_columns")

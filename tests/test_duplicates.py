@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,9 +93,12 @@ def names():
     return out + ["a", "ab", "ba", "abc", "...", "", "É cole", "ecole"] + [f"Customer#{i:05d}" for i in range(40)]
 
 
-@pytest.mark.parametrize(("algorithm", "threshold", "crowd"), [("ratio", 85, 200), ("ratio", 85, 1), ("jaro_winkler", 90, 200), ("difflib", 80, 1)])
-def test_fuzzy_groups_match_brute_force(spark, monkeypatch, algorithm, threshold, crowd):
-    monkeypatch.setattr(Z, "PAIRS_PER_TEXT", crowd)
+@pytest.mark.parametrize(("algorithm", "threshold", "depth"), [("ratio", 85, None), ("ratio", 85, 3), ("ratio", 70, None), ("jaro_winkler", 90, None), ("jaro_winkler", 85, 20), ("difflib", 80, None)])
+def test_fuzzy_groups_match_brute_force(spark, monkeypatch, algorithm, threshold, depth):
+    if depth:  # few texts of a token meet in a round
+        monkeypatch.setattr(Z, "MAX_PAIRS", 0)
+        monkeypatch.setattr(Z, "PAIRS_PER_TEXT", 0)
+        monkeypatch.setattr(Z, "DEPTHS", [depth, 1000])
     df = spark.createDataFrame(list(enumerate(names())), "rid bigint, name string")
     plain = [r[0] for r in df.orderBy("rid").select(S.normalize(F.col("name"))).collect()]
     got = {}
@@ -103,6 +107,35 @@ def test_fuzzy_groups_match_brute_force(spark, monkeypatch, algorithm, threshold
     assert {k: sorted(v) for k, v in got.items()} == brute_groups(plain, algorithm, threshold)
 
 
+def test_no_similar_pair_is_lost():
+    """Every pair of random texts that is similar shares a token, and its signatures overlap enough."""
+    rng = random.Random(5)
+    texts = list({"".join(rng.choice("abcde ") for _ in range(rng.randint(1, 18))) for _ in range(250)} | {"abcdef" * k for k in range(1, 9)})
+    scores = {"ratio": S.indel, "jaro_winkler": S.jaro_winkler}
+    for algorithm, threshold in (("ratio", 85), ("ratio", 60), ("jaro_winkler", 85), ("jaro_winkler", 70)):
+        f = Z.TokenFilter(algorithm, threshold)
+        bands = sorted({f.band(len(t)) for t in texts})
+        import pandas as pd
+
+        made = Z._token_udf(f, {"a": 9, "ab": 3}, bands).func(pd.Series(texts))
+        tokens = [set(x) for x in made["tokens"]]
+        for i, a in enumerate(texts):
+            for j in range(i):
+                if scores[algorithm](a, texts[j]) >= threshold:
+                    assert tokens[i] & tokens[j], (algorithm, threshold, a, texts[j])
+                    both = sum(((int(made[c][i]) & int(made[c][j])) % (1 << 64)).bit_count() for c in Z.SIGNATURE[:4]) + min(made["more"][i], made["more"][j])
+                    assert both >= (Counter(a) & Counter(texts[j])).total()
+
+
+def test_phonetic_grades():
+    from plumbline.functions import phonetic
+
+    assert phonetic.encode("Smith") == ("SM0", "SMT") and phonetic.encode("Schmidt") == ("XMT", "SKMT")
+    assert [phonetic.grade(a, b) for a, b in (("philip", "filip"), ("thomas", "tomas"), ("jose", "hose"), ("jose", "joseph"), ("knight", "night"), ("church", "kirk"))] == [100, 85, 85, 0, 100, 85]
+    assert phonetic.grade("catherine", "kathryn") == 100 and phonetic.grade("jan chen", "han chen") == 70 and phonetic.grade("12", "34") == 100
+    assert phonetic.grade("jath", "hot") == 0 and phonetic.grade("thomas jo", "tomas ho") == 85 and phonetic.grade("zoe jo", "tso ho") == 85
+
+
 def test_leader_order_matters_in_chains(spark):
     # a~b and b~c but not a~c: b follows a, c stays alone.
     df = spark.createDataFrame([(1, "abcdefgh"), (2, "abcdefxy"), (3, "abcdwzxy")], "rid bigint, name string")

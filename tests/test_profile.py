@@ -57,8 +57,7 @@ def test_future_dates(spark):
 def test_exact_quantiles(spark, rows, monkeypatch):
     import numpy as np
 
-    monkeypatch.setattr(Q, "_SAMPLE_ROWS", 500)
-    monkeypatch.setattr(Q, "MAX_BRACKET_ROWS", 200)
+    monkeypatch.setattr(Q, "MAX_LAST_VALUES", 200)
     df = spark.range(rows).select(F.pow((F.col("id") * 7919) % 1009, 1.5).alias("x"), F.lit(3).alias("same"))
     got = Q.exact_quantiles(df, ["x", "same"], [0.0, 0.25, 0.5, 0.75, 1.0])
     values = [r[0] for r in df.select("x").collect()]
@@ -66,6 +65,26 @@ def test_exact_quantiles(spark, rows, monkeypatch):
     assert got["same"] == [3.0] * 5
 
 
+@pytest.mark.parametrize("last", [0, 5, 1 << 20])
+def test_quantiles_of_odd_values(spark, monkeypatch, last):
+    monkeypatch.setattr(Q, "MAX_LAST_VALUES", last)
+    data = [-0.0, 0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), 3.0, 3.0, 3.0000000000000004, None, float("nan"), -2.5]
+    df = spark.createDataFrame([(x, None, None if x != 3.0 else 7) for x in data], "x double, none double, n int")
+    got = Q.exact_quantiles(df, ["x", "none", "n"], [0.0, 0.25, 0.5, 1.0])
+    real = sorted(x for x in data if x is not None and x == x)
+    assert got["x"] == [real[0], (real[2] + real[3]) / 2 if (len(real) - 1) % 4 == 2 else real[(len(real) - 1) // 4] + (real[(len(real) - 1) // 4 + 1] - real[(len(real) - 1) // 4]) * ((len(real) - 1) * 0.25 % 1), (real[5] + real[6]) / 2 if len(real) % 2 == 0 else real[len(real) // 2], real[-1]]
+    assert got["none"] == [None] * 4 and got["n"] == [7.0] * 4
+    assert Q.exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
+
+
+def test_spearman_has_a_fixed_number_of_joins(spark):
+    def joins(n):
+        df = spark.range(60).select(*[F.when((F.col("id") + k) % 7 > 0, (F.col("id") * (k + 3)) % 11).cast("double").alias(f"c{k}") for k in range(n)])
+        return Q._rank_table(df, df.columns)[0]._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(2) == joins(5)
+
+
 def test_correlations_match_pandas(spark):
     import numpy as np
     import pandas as pd

@@ -85,7 +85,7 @@ def test_small_and_large_numbers_keep_their_digits(spark):
 
 
 def test_quantiles_end_between_heavy_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MAX_BRACKET_ROWS", 50)
+    monkeypatch.setattr(quantiles, "MAX_LAST_VALUES", 50)
     df = spark.range(100_000).selectExpr("id % 2 AS x")
     assert quantiles.exact_quantiles(df, ["x"], [0.5]) == {"x": [0.5]}
 
