@@ -1,9 +1,9 @@
 """Mixing sources to target weights (3): a multivariate-hypergeometric splitting tree over block quotas.
 
 Each source is cut into hash blocks of about `block_words` words (at most `max_blocks` in all, plus one per
-source). A source's target decides how many whole passes over its blocks the mix takes and, of one more
-pass, which blocks: the first ones in a permuted order, then single documents of the next block. The taken
-blocks are tickets. A binary tree over the output shards splits the vector of ticket counts by exact
+source). A source's documents are taken in a permuted order of its blocks until its target is reached: all of
+them that fit, then once more, up to three times; where the next one does not fit, smaller ones go on in what is
+left, so that a very long document costs no more than its place. Each copy of a block in the mix is a ticket. A binary tree over the output shards splits the vector of ticket counts by exact
 multivariate-hypergeometric draws, so a leaf holds what drawing without replacement would give it; then
 every source deals its permuted tickets to the shards in order, disjointly, and a shard is shuffled locally.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.llm.registry import query, table
 from plumbline.llm.shared import SPACE_WORD, cut, literal_rows
@@ -30,6 +30,8 @@ MOST = 3
 BLOCK_WORDS = 1 << 13
 MAX_BLOCKS = 1 << 15
 SHARD_WORDS = 1 << 22
+#: So many units of repeated rows at most are broadcast.
+MOST_UNITS = 1 << 17
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -85,6 +87,63 @@ def split_quotas(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
+STEPS = "array<struct<level:int,gap:bigint,whole:boolean,o:bigint,h:bigint>>"
+PLAN = f"__mx_k string, __mx_source_size long, __mx_target double, __mx_blocks long, __mx_steps {STEPS}"
+
+
+def copies(size, most: int) -> Column:
+    """Copies that the steps of its source take of a document of this size, in block order `__mx_o` and hash `__mx_h`.
+    A step takes one more copy of the documents that have `level` copies and fit into the gap: all of them, or those
+    up to a place in the permuted order."""
+    size = F.col(size) if isinstance(size, str) else size
+
+    def step(c, s):
+        before = (F.col("__mx_o") < s["o"]) | ((F.col("__mx_o") == s["o"]) & (F.col("__mx_h") <= s["h"]))
+        return F.when((c == s["level"]) & (size <= s["gap"]) & (s["whole"] | before), c + 1).otherwise(c)
+
+    return F.when(size > 0, F.aggregate("__mx_steps", F.lit(0), step)).otherwise(0)
+
+
+def fill(plan: dict, in_blocks, narrow: DataFrame, most: int) -> None:
+    """Add the steps of every source to the plan, until no document that may be taken once more fits into the gap.
+
+    Documents with the fewest copies come first: those that fit are taken in permuted order of their blocks
+    up to the first that does not; then smaller ones go on in what is left, until none fits; then come second and third
+    copies. Every step leaves less than the document at which it stopped. All sources go in the same jobs."""
+    state = {k: [0, round(p["__mx_target"])] for k, p in plan.items() if p["__mx_target"] >= 1}
+    while state:
+        now = literal_rows(narrow.sparkSession, [{"__mx_k": k, "__mx_level": v[0], "__mx_gap": v[1]} for k, v in state.items()], "__mx_k string, __mx_level int, __mx_gap long")
+        widest = max(v[1] for v in state.values())
+        fit = in_blocks(narrow.filter(f"__mx_w > 0 AND __mx_w <= {widest}"), list(state)).join(F.broadcast(now), "__mx_k")
+        fit = fit.filter((F.col("__mx_w") <= F.col("__mx_gap")) & (copies("__mx_w", most) == F.col("__mx_level")))
+        per_block = fit.groupBy("__mx_k", "__mx_gap", "__mx_o").agg(F.sum("__mx_w").alias("bw"))
+        end = per_block.withColumn("end", F.sum("bw").over(Window.partitionBy("__mx_k").orderBy("__mx_o")))  # a row per block
+        cross = (F.col("end") > F.col("__mx_gap"))
+        told = {r["__mx_k"]: r for r in end.groupBy("__mx_k").agg(F.sum("bw").alias("total"), F.min(F.when(cross, F.struct("__mx_o", (F.col("end") - F.col("bw")).alias("start")))).alias("at")).collect()}
+        parts = {k: r["at"] for k, r in told.items() if r["at"] is not None}
+        inside = {}
+        if parts:
+            edges = literal_rows(narrow.sparkSession, [{"__mx_k": k, "__mx_o": r["__mx_o"], "start": r["start"]} for k, r in parts.items()], "__mx_k string, __mx_o long, start long")
+            run = fit.join(F.broadcast(edges), ["__mx_k", "__mx_o"]).withColumn("end", F.col("start") + F.sum("__mx_w").over(Window.partitionBy("__mx_k").orderBy("__mx_h")))  # one block
+            inside = {r["__mx_k"]: r for r in run.filter("end <= __mx_gap").groupBy("__mx_k").agg(F.max("__mx_h").alias("h"), F.max("end").alias("end")).collect()}
+        for k in list(state):
+            level, gap = state[k]
+            step = {"level": level, "gap": gap, "whole": k not in parts, "o": 0, "h": -(1 << 63)}
+            if k in parts:
+                step["o"], end_ = parts[k]["__mx_o"], parts[k]["start"]
+                if k in inside:
+                    step["h"], end_ = inside[k]["h"], inside[k]["end"]
+                state[k][1] -= end_
+            elif k in told:
+                state[k][1] -= told[k]["total"]
+            if k in told:
+                plan[k]["__mx_steps"].append(step)
+            if k not in parts:  # nothing of this level is left that fits
+                state[k][0] += 1
+            if state[k][0] == most or state[k][1] <= 0:
+                del state[k]
+
+
 def assign(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, shards: int | None = None, seed: int = 1) -> DataFrame:
     """Every row of df with `__mx_size`, `__mx_source_size`, `__mx_target`, `__mx_copies` and `__mx_taken`, and `__mx_h` and
     `__mx_shards`, the output shards of its copies. Weights repeat over the sources in code-point order, null last."""
@@ -94,40 +153,29 @@ def assign(df: DataFrame, source: str = "source", text: str = "text", key: str =
         "__mx_size": F.coalesce(F.regexp_count(F.col(text), F.lit(SPACE_WORD)), F.lit(0)).cast("long"),
         "__mx_h": F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(text)),
     })
-    narrow = cut(sized.groupBy("__mx_k", "__mx_h").agg(F.sum("__mx_size").alias("__mx_w")))  # the numbers alone; the texts are read once for them
+    narrow = cut(sized.groupBy("__mx_k", "__mx_h").agg(F.sum("__mx_size").alias("__mx_w"), F.count(F.lit(1)).alias("__mx_rows")))  # the numbers alone; the texts are read once for them
     found = sorted((r[0], r[1] or 0) for r in narrow.groupBy("__mx_k").agg(F.sum("__mx_w")).collect())
     total = sum(s for _, s in found)
     words = max(block_words, -(-total // max_blocks))
-    plan = []
-    for (k, s), t in zip(found, targets([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], most)):
-        full = min(most, int(t // s)) if s else 0
-        plan.append({"__mx_k": k, "__mx_source_size": s, "__mx_target": t, "__mx_blocks": max(1, -(-s // words)), "__mx_full": full, "__mx_left": max(0, min(s, round(t - full * s))) if full < most else 0})
-    sources = literal_rows(spark, plan, "__mx_k string, __mx_source_size long, __mx_target double, __mx_blocks long, __mx_full int, __mx_left long")
-    block = F.pmod("__mx_h", "__mx_blocks")
-
-    # whole blocks of the last pass, in permuted order, and the block that is taken in part
-    inner = narrow.join(F.broadcast(sources), "__mx_k").withColumn("__mx_b", block)
-    per_block = inner.groupBy("__mx_k", "__mx_b", "__mx_full", "__mx_left").agg(F.sum("__mx_w").alias("__mx_bw"))
-    turn = Window.partitionBy("__mx_k").orderBy(F.xxhash64(F.lit(seed + 1), "__mx_k", "__mx_b"), "__mx_b")
-    ranked = per_block.withColumns({"__mx_rank": F.row_number().over(turn) - 1, "__mx_end": F.sum("__mx_bw").over(turn.rowsBetween(Window.unboundedPreceding, 0)), "__mx_n": F.count(F.lit(1)).over(Window.partitionBy("__mx_k"))})
-    start = F.col("__mx_end") - F.col("__mx_bw")
-    blocks = cut(ranked.select("__mx_k", "__mx_b", "__mx_full", "__mx_rank", "__mx_n", (F.col("__mx_end") <= F.col("__mx_left")).alias("__mx_whole"),
-        F.when((F.col("__mx_end") > F.col("__mx_left")) & (start < F.col("__mx_left")), F.col("__mx_left") - start).alias("__mx_part")))
-
-    # documents of the partial block, in hash order, then the untaken one whose size comes nearest to what is left
-    edge = inner.filter("__mx_w > 0").join(F.broadcast(blocks.filter("__mx_part is not null").select("__mx_k", "__mx_b", "__mx_part")), ["__mx_k", "__mx_b"])
-    upto = edge.withColumn("__mx_end", F.sum("__mx_w").over(Window.partitionBy("__mx_k").orderBy("__mx_h")))
-    taken = F.col("__mx_end") <= F.col("__mx_part")
-    edges = cut(upto.groupBy("__mx_k").agg(F.max(F.when(taken, F.col("__mx_h"))).alias("__mx_to"), (F.max("__mx_part") - F.coalesce(F.max(F.when(taken, F.col("__mx_end"))), F.lit(0))).alias("__mx_gap")))
-    rest = inner.filter("__mx_w > 0").join(F.broadcast(blocks.select("__mx_k", "__mx_b", "__mx_whole", "__mx_part")), ["__mx_k", "__mx_b"]).join(F.broadcast(edges), "__mx_k")
-    miss = F.abs(F.col("__mx_w") - F.col("__mx_gap"))
-    rest = rest.filter(~F.col("__mx_whole") & ~F.coalesce(F.col("__mx_part").isNotNull() & (F.col("__mx_h") <= F.col("__mx_to")), F.lit(False)) & (miss < F.col("__mx_gap")))
-    edges = edges.join(rest.groupBy("__mx_k").agg(F.min(F.struct(miss, "__mx_h")).alias("__mx_best")), "__mx_k", "left").select("__mx_k", "__mx_to", F.col("__mx_best.__mx_h").alias("__mx_also"))
+    goal = targets([s for _, s in found], [weights[i % len(weights)] for i in range(len(found))], most)
+    plan = {k: {"__mx_k": k, "__mx_source_size": s, "__mx_target": t, "__mx_blocks": max(1, -(-s // words)), "__mx_steps": []} for (k, s), t in zip(found, goal)}
+
+    def planned(names) -> DataFrame:
+        """One row per source."""
+        return F.broadcast(literal_rows(spark, [plan[k] for k in names], PLAN))
+
+    def in_blocks(rows: DataFrame, names) -> DataFrame:
+        rows = rows.join(planned(names), "__mx_k").withColumn("__mx_b", F.pmod("__mx_h", "__mx_blocks"))
+        return rows.withColumn("__mx_o", F.xxhash64(F.lit(seed + 1), "__mx_k", "__mx_b"))
+
+    fill(plan, in_blocks, narrow, most)
+    copied = in_blocks(narrow, list(plan)).withColumn("__mx_c", copies("__mx_w", most))
+    blocks = cut(copied.groupBy("__mx_k", "__mx_b", "__mx_o").agg(F.max("__mx_c").alias("__mx_passes")).filter("__mx_passes > 0"))
 
     # tickets, their split over the shards, and each block's shards in the order of its copies
     shards = shards or max(1, min(max_blocks // 8, total // SHARD_WORDS))
-    passes = F.col("__mx_full") + (F.col("__mx_whole") | F.col("__mx_part").isNotNull()).cast("int")
-    tickets = blocks.withColumn("__mx_pass", F.explode(F.sequence(F.lit(1), F.greatest(passes, F.lit(1))))).filter(F.col("__mx_pass") <= passes).withColumn("__mx_ticket", (F.col("__mx_pass") - 1) * F.col("__mx_n") + F.col("__mx_rank"))
+    order = Window.partitionBy("__mx_k").orderBy("__mx_pass", "__mx_o", "__mx_b")  # at most `most` times the blocks
+    tickets = blocks.select("__mx_k", "__mx_b", "__mx_o", F.explode(F.sequence(F.lit(1), F.col("__mx_passes"))).alias("__mx_pass")).withColumn("__mx_ticket", F.row_number().over(order) - 1)
     quotas = dict(tickets.groupBy("__mx_k").count().collect())
     names, ranges = sorted(quotas), []
     begun = [0] * len(names)
@@ -137,19 +185,19 @@ def assign(df: DataFrame, source: str = "source", text: str = "text", key: str =
                 ranges.append({"__mx_k": names[i], "__mx_shard": s, "__mx_lo": begun[i], "__mx_hi": begun[i] + q - 1})
                 begun[i] += q
     dealt = literal_rows(spark, ranges, "__mx_k string, __mx_shard int, __mx_lo long, __mx_hi long").select("__mx_k", "__mx_shard", F.explode(F.sequence("__mx_lo", "__mx_hi")).alias("__mx_ticket"))
-    placed = tickets.join(dealt, ["__mx_k", "__mx_ticket"]).groupBy("__mx_k", "__mx_b").agg(F.array_sort(F.collect_list(F.struct("__mx_pass", "__mx_shard"))).alias("__mx_at"))
-    placed = cut(blocks.join(placed, ["__mx_k", "__mx_b"], "left").withColumn("__mx_shards", F.coalesce(F.col("__mx_at.__mx_shard"), F.array().cast("array<int>"))).drop("__mx_at"))
-    # the one document from another block goes with the ticket of the partial block
-    extra = edges.join(placed.filter("__mx_part is not null").select("__mx_k", F.element_at("__mx_shards", -1).alias("__mx_extra")), "__mx_k")
-    book = placed.join(extra, "__mx_k", "left").select("__mx_k", "__mx_b", "__mx_full", "__mx_whole", "__mx_part", "__mx_to", "__mx_also", "__mx_shards", "__mx_extra")
+    placed = cut(tickets.join(dealt, ["__mx_k", "__mx_ticket"]).groupBy("__mx_k", "__mx_b").agg(F.array_sort(F.collect_list(F.struct("__mx_pass", "__mx_shard"))).alias("__mx_at")))
 
-    # at most max_blocks + one row per source
-    out = sized.join(F.broadcast(sources.drop("__mx_full", "__mx_left")), "__mx_k").withColumn("__mx_b", block).join(F.broadcast(cut(book)), ["__mx_k", "__mx_b"])
-    upto = F.coalesce(F.col("__mx_part").isNotNull() & (F.col("__mx_h") <= F.col("__mx_to")), F.lit(False))
-    part = (F.col("__mx_size") > 0) & (upto | F.coalesce(F.col("__mx_h") == F.col("__mx_also"), F.lit(False)))
-    copies = F.col("__mx_full") + (F.col("__mx_whole") | part).cast("int")
-    at = F.when(copies > F.size("__mx_shards"), F.concat("__mx_shards", F.array("__mx_extra"))).otherwise(F.slice("__mx_shards", F.lit(1), copies))
-    return out.withColumns({"__mx_copies": copies, "__mx_taken": F.col("__mx_size") * copies, "__mx_shards": at}).select(*df.columns, "__mx_size", "__mx_source_size", "__mx_target", "__mx_copies", "__mx_taken", "__mx_h", "__mx_shards")
+    # at most max_blocks rows, and one per source
+    out = in_blocks(sized, list(plan)).join(F.broadcast(placed), ["__mx_k", "__mx_b"], "left")
+    # rows that are equal in key and text are one unit, whose size decides; as a rule there are none
+    units = cut(narrow.filter("__mx_rows > 1 AND __mx_w > 0").select("__mx_k", "__mx_h", "__mx_w"))
+    repeated = units.count()
+    if repeated:
+        out = out.join(F.broadcast(units) if repeated <= MOST_UNITS else units, ["__mx_k", "__mx_h"], "left")
+    size = F.coalesce("__mx_w", "__mx_size") if repeated else F.col("__mx_size")
+    out = out.withColumn("__mx_c", copies(size, most))
+    out = out.withColumns({"__mx_copies": F.col("__mx_c"), "__mx_taken": F.col("__mx_size") * F.col("__mx_c"), "__mx_shards": F.coalesce(F.slice("__mx_at.__mx_shard", F.lit(1), F.col("__mx_c")), F.array().cast("array<int>"))})
+    return out.select(*df.columns, "__mx_size", "__mx_source_size", "__mx_target", "__mx_copies", "__mx_taken", "__mx_h", "__mx_shards")
 
 
 def mix(df: DataFrame, seed: int = 1, shuffle: bool = True, **options) -> DataFrame:
@@ -163,4 +211,4 @@ def mix(df: DataFrame, seed: int = 1, shuffle: bool = True, **options) -> DataFr
 @query("op3_hypergeometric_mixing")
 def _(spark, sf):
     mixed = assign(table(spark, sf, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", *(F.col(f"__mx_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "copies")))
+    return mixed.select("doc_id", *(F.col(f"__mx_{c}").alias(c) for c in ("size", "source_size", "target", "taken", "copies", "shards")))

@@ -79,6 +79,57 @@ def test_mix_meets_targets(docs):
     assert sorted(map(key, out)) == sorted(map(key, again))
 
 
+def test_long_texts_do_not_cost_the_target(docs):
+    rows = [(i, "w " * 100, None, "b") for i in range(100)] + [(1000, "w " * 50_000, None, "b")] + [(2000 + i, "w " * 700, None, "a") for i in range(50)]
+    for seed in (1, 2, 3):
+        out = mixed(docs(rows), seed=seed, block_words=1000)
+        for s in "ab":
+            mine = [r for r in out if r["source"] == s]
+            # what can be reached: three times all that is not longer than the target itself
+            target = mine[0]["__mx_target"]
+            reach = min(target, 3 * sum(r["__mx_size"] for r in mine if r["__mx_size"] <= target))
+            taken = sum(r["__mx_taken"] for r in mine)
+            left = [r["__mx_size"] for r in mine if r["__mx_copies"] < 3]
+            assert taken <= target + 1 and (taken == reach or target - taken < min(left) + 1), (s, seed, taken, target)
+
+
+def test_mix_against_the_rule_written_out(docs):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.choice([0, 1, 2, 3, 5, 8, 40, 300]), None, f"s{i % 3}") for i in range(120)] + [(7, "w w w", None, "s1")] * 4
+    out = mixed(docs(rows), block_words=20)
+    by = {}
+    for r in out:
+        by.setdefault(r["source"], {}).setdefault(r["__mx_h"], []).append(r)
+    for mine in by.values():
+        assert all(len({r["__mx_copies"] for r in same}) == 1 for same in mine.values())
+        units = [(sum(r["__mx_size"] for r in same), same[0]["__mx_copies"]) for same in mine.values()]
+        target = round(next(iter(mine.values()))[0]["__mx_target"])
+        gap = target - sum(w * c for w, c in units)
+        # nothing that may be taken once more fits, and fewer copies come first
+        assert gap >= 0 and all(w == 0 or c == 3 or w > gap for w, c in units)
+
+
+def test_shards_get_what_the_tree_draws(docs):
+    df = docs([(i, "w " * (1 + i % 9), "en", f"s{i % 4}") for i in range(400)])
+    out = mixed(df, block_words=40, shards=5)
+    tickets = {}
+    for r in out:
+        for c, shard in enumerate(r["__mx_shards"]):
+            tickets.setdefault((r["source"], block_of(r), c), set()).add(shard)
+    assert all(len(s) == 1 for s in tickets.values())  # a copy of a block goes to one shard
+    names = sorted({k[0] for k in tickets})
+    quotas = [sum(k[0] == n for k in tickets) for n in names]
+    drawn = mixing.split_quotas(quotas, 5, 1)
+    got = [[sum(k[0] == n and s == {shard} for k, s in tickets.items()) for n in names] for shard in range(5)]
+    assert got == drawn
+
+
+def block_of(r, words=40):
+    return r["__mx_h"] % max(1, -(-r["__mx_source_size"] // words))
+
+
 def test_mix_returns_the_copies(docs):
     df = docs([(i, "w " * (1 + i % 9), "en", f"s{i % 4}") for i in range(300)], {"size": "9", "target": "'t'"})
     copies = {r["doc_id"]: r["__mx_copies"] for r in mixed(df, block_words=50)}
