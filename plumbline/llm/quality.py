@@ -2,14 +2,15 @@
 
 Ten heuristic labellers vote on every whole text: eight look for a defect (bad or abstain), two for signs of
 prose (good or abstain). Expectation maximisation over the counts of vote patterns (2^10 at most, counted
-over all texts) estimates how often each votes on good and on bad texts, and the share of good ones, under a
-prior that labellers are mostly right, which decides where they do not overlap. The posterior of a text's
-pattern is its soft label. A logistic scorer on hashed features (shape trigrams of letters, capitals, digits
+over all texts) estimates how often each votes on good and on bad texts, and the share of good ones, from a
+start that weighs as `PSEUDO_TEXTS` texts however many there are, and under a bound on false reports of defects. The
+posterior of a text's pattern is its soft label. A logistic scorer on hashed features (shape trigrams of letters, capitals, digits
 and marks; whether words repeat the ones before them) is fitted to the posteriors of a bounded sample: at most `most_sample` rows that have a text, drawn fairly by hash (a text with
 many copies comes as often as its share of the rows says); it scores every text. A text is kept if the scorer does not call it bad.
 
-Edge cases: null or empty text has no trigrams, all labellers abstain, and its score is the posterior
-of that; an empty table gives an empty result; other columns pass through. Added columns: `votes`,
+Edge cases: null or empty text has no features and is kept, at a score of 0.5 whatever the other rows are;
+repeated rows are labelled and scored one by one and alike; texts of any length are read whole, their features
+are shares; an empty table gives an empty result; other columns pass through. Added columns: `votes`,
 `posterior`, `score`, `keep`, which replace columns of these names; working columns start with `__ql_`.
 """
 
@@ -31,6 +32,15 @@ DEFECTS = ["marks", "capitals", "lines", "runs", "word_length", "letters", "cell
 LABELLERS = [*DEFECTS, "sentences", "prose"]
 BITS = 14
 MOST_SAMPLE = 6000
+#: Where the estimate of the labellers' rates starts: a labeller votes on 30 % of the class that it looks for and on
+#: 0.2 % of the other (signs of prose: 90 % and 10 %). It weighs as so many texts of each class.
+EXPECTED = np.array([[0.3] * len(DEFECTS) + [0.1] * 2, [0.002] * len(DEFECTS) + [0.9] * 2])
+PSEUDO_TEXTS = 50.0
+#: A defect labeller speaks on so much of the good class at most (its thresholds are set for that). Without a bound
+#: the two classes could change places, or a labeller that stands alone could be taken for noise.
+MOST_FALSE = 0.002
+#: Score of a text without any byte: nothing speaks against it, and it is kept.
+EMPTY_SCORE = 0.5
 REJECT_BELOW = 0.5
 ADDED = {"votes": T.StringType(), "posterior": T.DoubleType(), "score": T.DoubleType(), "keep": T.BooleanType()}
 
@@ -91,26 +101,27 @@ def echoes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def em(patterns: np.ndarray, n: np.ndarray, rounds: int = 200, belief: float = 0.5) -> np.ndarray:
-    """Probability that a text with each pattern is good: a mixture of two classes in which labellers are
-    independent. The prior (weighing `belief` of all texts) holds that a labeller votes on 30 % of the class
-    that it looks for and on 0.2 % of the other (signs of prose: 90 % and 10 %). That no defect is found speaks
-    for a text; that no prose is found does not speak against it, as short texts and lists show none."""
+def em(patterns: np.ndarray, n: np.ndarray, rounds: int = 500, pseudo: float = PSEUDO_TEXTS) -> tuple[np.ndarray, np.ndarray]:
+    """Probability that a text with each pattern is good, and the estimated share of each class (rows: bad, good) on which
+    each labeller votes: a mixture of two classes in which labellers are independent. No defect is reported for more
+    than MOST_FALSE of the good class. The estimate starts from the
+    rates of EXPECTED, which weigh as `pseudo` texts of each class however many texts there are; so the counts decide
+    as soon as there are many. That no defect is found speaks for a text; that no prose is found does not speak against
+    it, as short texts and lists show none."""
     spoke = (patterns != 0).astype(float)  # pattern, labeller
     defect = np.arange(len(LABELLERS)) < len(DEFECTS)
-    expected = np.stack([np.where(defect, 0.3, 0.1), np.where(defect, 0.002, 0.9)])  # class, labeller
-    pseudo = belief * n.sum() + 1
     good = np.where((patterns < 0).any(1), 0.05, 0.95)
     for _ in range(rounds):
         weight = np.stack([n * (1 - good), n * good])  # class, pattern
         share = (weight.sum(1) + 1) / (weight.sum() + 2)
-        says = (weight @ spoke + pseudo * expected) / (weight.sum(1, keepdims=True) + pseudo)
+        says = (weight @ spoke + pseudo * EXPECTED) / (weight.sum(1, keepdims=True) + pseudo)
+        says[1, defect] = np.minimum(says[1, defect], MOST_FALSE)
         logs = np.log(share)[:, None] + np.log(says) @ spoke.T + (np.log1p(-says) * defect) @ (1 - spoke).T
         now = sigmoid(logs[1] - logs[0])
         if np.abs(now - good).max() < 1e-9:
             break
         good = now
-    return good
+    return good, says
 
 
 def buckets_of(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,18 +146,18 @@ def buckets_of(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Model:
-    """Posterior of each vote pattern, and the scorer's weights and intercept."""
+    """Posterior of each vote pattern, the scorer's weights and intercept, and the estimated rates (class, labeller)."""
 
     posteriors: dict[str, float]
     weights: np.ndarray
     intercept: float
+    rates: np.ndarray | None = None
 
     def scores(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         shapes, rows, words, first = buckets_of(data, rows)
         mean = lambda x, at: sum_by_row(self.weights[x], at) / np.maximum(np.diff(at), 1)
         out = sigmoid(self.intercept + mean(shapes, rows) + mean(words, first))
-        silent = self.posteriors.get("0" * len(LABELLERS))
-        return out if silent is None else np.where(np.diff(rows) > 0, out, silent)  # no features: what silent labellers say
+        return np.where(np.diff(rows) > 0, out, EMPTY_SCORE)
 
 
 def names_of(v: np.ndarray) -> np.ndarray:
@@ -192,7 +203,8 @@ def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -
     if not total:
         return Model({}, np.zeros(1 << BITS), 0.0)
     patterns = np.array([["-0+".index(c) - 1 for c in r[0]] for r in counted])
-    posterior = dict(zip((r[0] for r in counted), em(patterns, np.array([r[1] for r in counted], float)).tolist()))
+    good, rates = em(patterns, np.array([r[1] for r in counted], float))
+    posterior = dict(zip((r[0] for r in counted), good.tolist()))
     filled = texts.filter(F.length("__ql_text") > 0).withColumn("__ql_digest", F.xxhash64("__ql_text"))  # an empty text has no features
     draws = fair_draw(cut(filled.groupBy("__ql_digest").agg(F.count(F.lit(1)).alias("n"))), "__ql_digest", "n", most_sample)
     sample = label(drawn(filled, "__ql_digest", draws), "__ql_text").withColumnRenamed("votes", "__ql_votes").mapInArrow(features("__ql_text"), "votes string, digest long, buckets array<int>, shares array<float>")
@@ -200,11 +212,11 @@ def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -
     goal = np.array([posterior[r["votes"]] for r in found])
     if not 0.5 < goal.sum() < len(goal) - 0.5:  # one class only: nothing to tell apart
         share = float(np.clip(goal.mean() if len(goal) else 0.5, 1e-3, 1 - 1e-3))
-        return Model(posterior, np.zeros(1 << BITS), float(np.log(share / (1 - share))))
+        return Model(posterior, np.zeros(1 << BITS), float(np.log(share / (1 - share))), rates)
     scale = 20.0  # shares are small numbers
     x = rows_from([(r["buckets"], np.array(r["shares"]) * scale) for r in found], 1 << BITS)
     weights, intercept = fit_logistic(x, goal)
-    return Model(posterior, weights * scale, intercept)
+    return Model(posterior, weights * scale, intercept, rates)
 
 
 def classify(docs: DataFrame, model: Model | None = None, text: str = "text", reject_below: float = REJECT_BELOW, prefix: str = "") -> DataFrame:
