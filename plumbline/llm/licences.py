@@ -21,6 +21,7 @@ columns pass through. Added columns: see `scan`; they replace columns of these n
 from __future__ import annotations
 
 import re
+from collections import deque
 from typing import Iterator
 
 import numpy as np
@@ -215,26 +216,64 @@ class Scanner:
                     base.append((at + i - n + 1, phrase))
 
     def spans(self, matches: list) -> list[dict]:
-        """Chains of a template's matches in order, over short gaps, that cover enough of it."""
+        """Chains of a template's matches, in order and apart both in the text and in the template, over gaps of at
+        most MAX_GAP words of text, that cover enough of it."""
         out = []
         by_template: dict[int, list] = {}
         for t, word, place, n in matches:
             by_template.setdefault(t, []).append((word, place, n))
         for t, found in sorted(by_template.items()):
-            size, chain = len(self.texts[t]), []
-            for word, place, n in sorted(found) + [(1 << 60, 0, 0)]:
-                if chain and (word - chain[-1][0] - chain[-1][2] > MAX_GAP or place < chain[-1][1] + chain[-1][2]):
-                    if place < chain[-1][1] + chain[-1][2] and word < 1 << 60 and n <= chain[-1][2] and word < chain[-1][0] + chain[-1][2]:
-                        continue  # inside what the chain has
-                    covered = sum(m for _, _, m in chain)
-                    if covered >= MIN_COVER * size:
-                        out.append({"label": self.labels[t], "word": chain[0][0], "words": chain[-1][0] + chain[-1][2] - chain[0][0], "cover": covered / size})
-                    chain = []
-                if word < 1 << 60:
-                    chain.append((word, place, n))
+            size = len(self.texts[t])
+            for covered, begin, stop in chains(sorted(set(found)), MIN_COVER * size):
+                out.append({"label": self.labels[t], "word": begin, "words": stop - begin, "cover": covered / size})
         return out
 
 
+def best_chain(found: list) -> tuple[int, int, int]:
+    """(words covered, first word, end) of the heaviest chain of matches (word, place, n), sorted. The matches that may
+    come before one end within MAX_GAP words of text, so only these are looked at; of several heaviest chains the one
+    in the middle is taken."""
+    weight, begin, active = [], [], deque()
+    order = sorted(range(len(found)), key=lambda i: found[i][0] + found[i][2])  # by end in the text
+    nxt = 0
+    for j, (word, place, n) in enumerate(found):
+        while nxt < len(order) and found[order[nxt]][0] + found[order[nxt]][2] <= word:
+            active.append(order[nxt])  # ends before this one begins, hence has its weight already
+            nxt += 1
+        while active and word - found[active[0]][0] - found[active[0]][2] > MAX_GAP:
+            active.popleft()
+        best = max((i for i in active if found[i][1] + found[i][2] <= place), key=lambda i: (weight[i], begin[i]), default=None)
+        weight.append(n + (weight[best] if best is not None else 0))
+        begin.append(begin[best] if best is not None else word)
+    top = max(weight)
+    at = [j for j, w in enumerate(weight) if w == top]
+    j = at[len(at) // 2]
+    return top, begin[j], found[j][0] + found[j][2]
+
+
+def chains(found: list, least: float) -> list[tuple[int, int, int]]:
+    """The heaviest chain, then those of the words before and after it, as long as they cover enough."""
+    out, todo = [], []
+    run, end = [], 0
+    for m in found:  # no chain goes over a longer gap
+        if run and m[0] - end > MAX_GAP:
+            todo.append(run)
+            run, end = [], 0
+        run.append(m)
+        end = max(end, m[0] + m[2])
+    if run:
+        todo.append(run)
+    while todo:
+        run = todo.pop()
+        if sum(n for _, _, n in run) < least:
+            continue
+        covered, begin, stop = best_chain(run)
+        if covered >= least:
+            out.append((covered, begin, stop))
+            todo += [part for part in ([m for m in run if m[0] + m[2] <= begin], [m for m in run if m[0] >= stop]) if part]
+    return sorted(out, key=lambda c: c[1])
+
+
 SPAN = "struct<label:string,word:bigint,words:bigint,cover:double>"
 
 
