@@ -65,8 +65,64 @@ def test_em_finds_accuracies():
         rows.append(tuple([-1 if rng.random() < (0.4 if bad else 0.01) else 0 for _ in range(defect)] + [1 if rng.random() < (0.1 if bad else 0.9) else 0 for _ in range(2)] + [bad]))
     counts = Counter(r[:-1] for r in rows)
     patterns = np.array(list(counts))
-    p = dict(zip(map(tuple, patterns.tolist()), quality.em(patterns, np.array(list(counts.values()), float))))
+    weights = np.array(list(counts.values()), float)
+    good, rates = quality.em(patterns, weights)
+    p = dict(zip(map(tuple, patterns.tolist()), good))
     assert sum((p[r[:-1]] < 0.5) == r[-1] for r in rows) / n > 0.95
+    # with ten times the texts the start weighs less, and the rates of the simulation come out
+    _, more = quality.em(patterns, weights * 10)
+    assert np.abs(more[0, :defect] - 0.4).max() < 0.06 and (more[1, :defect] <= quality.MOST_FALSE).all() and abs(more[1, -1] - 0.9) < 0.05
+    assert np.abs(more - rates).max() > 0
+
+
+def test_em_step_against_plain_python():
+    """The result is a fixed point of the two steps, written out per text."""
+    rng = random.Random(5)
+    k, defect = len(quality.LABELLERS), len(quality.DEFECTS)
+    texts = [tuple((-1 if i < defect else 1) if rng.random() < 0.3 else 0 for i in range(k)) for _ in range(300)]
+    counts = Counter(texts)
+    patterns = np.array(list(counts))
+    good, rates = quality.em(patterns, np.array(list(counts.values()), float), rounds=5000)
+    p = dict(zip(map(tuple, patterns.tolist()), good))
+    mass = [sum(1 - p[t] for t in texts), sum(p[t] for t in texts)]
+    for c in (0, 1):
+        for i in range(k):
+            said = sum((p[t] if c else 1 - p[t]) for t in texts if t[i])
+            want = (said + quality.PSEUDO_TEXTS * quality.EXPECTED[c, i]) / (mass[c] + quality.PSEUDO_TEXTS)
+            assert abs(rates[c, i] - (min(want, quality.MOST_FALSE) if c and i < defect else want)) < 1e-6
+    share = [(m + 1) / (sum(mass) + 2) for m in mass]
+    for t in counts:
+        odds = []
+        for c in (0, 1):
+            x = math.log(share[c])
+            for i in range(k):
+                x += math.log(rates[c, i]) if t[i] else math.log(1 - rates[c, i]) if i < defect else 0.0
+            odds.append(x)
+        assert abs(p[t] - 1 / (1 + math.exp(odds[0] - odds[1]))) < 1e-5
+
+
+def test_labellers_against_plain_python(docs, tables):
+    """Votes of single texts, each labeller written out."""
+    rows = [(r["doc_id"], r["text"]) for r in tables[0].limit(300).collect()] + ODD + [(900, "a a a a a a a a a a a a"), (901, "x|y|z " * 12), (902, "!!! ??? ### " * 9), (903, "ABC DEF GHI JKL MNO."), (904, "one\ntwo\none\ntwo\none\ntwo\none"), (905, "Ordinary prose has words. It ends. " * 5)]
+    for r in quality.label(docs(rows)).collect():
+        data = (r["text"] or "").encode()
+        words = [w for w in re.split(rb"[ \t-\r]+", data) if w]
+        n, w = len(words), max(len(words), 1)
+        lower = sum(97 <= b < 123 or b >= 128 for b in data)
+        upper, digit = sum(65 <= b < 91 for b in data), sum(48 <= b < 58 for b in data)
+        solid = max(1, sum(b not in (9, 10, 11, 12, 13, 32) for b in data))
+        odd = [not (97 <= b < 123 or b >= 128 or 65 <= b < 91 or 48 <= b < 58 or b in (9, 10, 11, 12, 13, 32)) and chr(b) not in ".,;:'\"-()?|" for b in data]
+        marks, runs = sum(odd), sum(odd[i] and i > 0 and data[i] == data[i - 1] for i in range(len(data)))
+        low = [x.lower() for x in words]
+        echo = sum((i > 0 and low[i] == low[i - 1]) or (i > 1 and low[i] == low[i - 2]) for i in range(n))
+        lines = [x.lower() for x in re.split(rb"[\n\r]+", data) if x]
+        cells, mean = data.count(b"|"), solid / w
+        ended = sum(x[-1:] in (b".", b"?") for x in words)
+        capital = upper / max(lower + upper, 1)
+        plain = cells < 0.02 * w and echo < 0.1 * w
+        want = [marks > 0.3 * w, capital > 0.5 and n >= 5, len(lines) >= 4 and 1 - len(set(lines)) / len(lines) > 0.5, runs > 0.2 * w, n >= 10 and (mean > 25 or mean < 2), n >= 10 and lower + upper < 0.5 * solid, n >= 10 and cells > 0.25 * w, n >= 10 and echo > 0.25 * w,
+                plain and n >= 20 and 0.02 * w < ended < 0.4 * w, plain and n >= 5 and marks < 0.05 * w and capital < 0.2 and 3 < mean < 12]
+        assert r["votes"] == "".join("0" if not x else "-" if i < 8 else "+" for i, x in enumerate(want)), (r["doc_id"], r["text"][:80])
 
 
 def test_quality_odd_rows(docs):
@@ -189,6 +245,31 @@ def test_short_template_at_the_start_of_a_longer_one(docs):
     assert labels == {1: (["apache-2.0"], 1.0), 2: (["a"], 1.0), 3: (["s"], 1.0)}
 
 
+def test_chains_against_all_subsets():
+    from itertools import combinations
+
+    rng = random.Random(6)
+    for _ in range(150):
+        found = sorted({(rng.randrange(30), rng.randrange(25), rng.randint(1, 5)) for _ in range(rng.randint(1, 9))})
+        best = 0
+        for k in range(1, len(found) + 1):
+            for c in combinations(found, k):
+                if all(a[0] + a[2] <= b[0] <= a[0] + a[2] + licences.MAX_GAP and a[1] + a[2] <= b[1] for a, b in zip(c, c[1:])):
+                    best = max(best, sum(n for _, _, n in c))
+        assert licences.best_chain(found)[0] == best
+        spans = licences.chains(found, 3)
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:])) and max((c for c, _, _ in spans), default=0) == (best if best >= 3 else 0)
+
+
+def test_a_run_counts_once(docs):
+    """Templates that repeat a run: one run of the text is not two of the template."""
+    twice = {"t": ["a b c d x a b c d y"]}
+    rows = [(1, "foo a b c d bar"), (2, "a b c d x a b c d y"), (3, "a b c d x a b c d y " * 3), (4, "a b c d a b c d")]
+    out = {r["doc_id"]: r for r in licences.scan(docs(rows), base={}, templates=twice).collect()}
+    assert [out[i]["labels"] for i in (1, 2, 3, 4)] == [[], ["t"], ["t"], ["t"]]
+    assert [(s["word"], s["words"], s["cover"]) for s in out[3]["spans"]] == [(0, 10, 1.0), (10, 10, 1.0), (20, 10, 1.0)] and out[4]["spans"][0]["cover"] == 0.8
+
+
 def test_matches_are_maximal_in_each_template():
     rng = random.Random(8)
     texts = {str(t): [" ".join(rng.choice("abc") for _ in range(rng.randint(2, 14)))] for t in range(7)}
