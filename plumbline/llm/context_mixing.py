@@ -36,10 +36,11 @@ from plumbline.llm.registry import query, table
 from plumbline.llm.shared import cut, remainder, replaced
 from plumbline.llm.tokens import NOT_SPACE, Hasher, hash_spans, mix64, slices, sum_by_row, word_spans
 
-#: Bits of the slot tables of orders 0 to 3 and of words; orders 0 and 1 have a slot for everything.
-TABLE_BITS = (8, 16, 20, 20, 22)
-INPUTS = len(TABLE_BITS)
-BEGIN = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+#: Most bits of the slot tables of orders 0 to 3 and of words; orders 0 and 1 have a slot for everything. The hashed
+#: tables grow with the number of distinct windows up to these, which bound what is broadcast.
+MOST_BITS = (8, 16, 20, 21, 22)
+LEAST_BITS = 14
+INPUTS = len(MOST_BITS)
 #: Distinct words and windows that a task gathers before it reports them.
 BLOCK = 1 << 21
 COMMON, COMMON_BITS = 1 << 19, 20
@@ -66,18 +67,31 @@ def windows(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return code | Hasher(data)(begin, at) >> np.uint64(32) << np.uint64(32)
 
 
-def slots(code: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of all predictors (columns) before bit number `bit` (0 is the highest), the bits so far, and the bit."""
-    code = code.astype(np.uint64)
-    byte = (code & np.uint64(0xFF)).astype(np.int64)
-    so_far = (1 << bit) | (byte >> (8 - bit))
-    out = np.empty((len(code), INPUTS), np.int32)
-    out[:, 0] = so_far
-    out[:, 1] = BEGIN[1] + ((code >> np.uint64(8) & np.uint64(0xFF)).astype(np.int64) << 8 | so_far)
-    for k, before in ((2, code >> np.uint64(8) & np.uint64(0xFFFF)), (3, code >> np.uint64(8) & np.uint64(0xFFFFFF)), (4, code >> np.uint64(32))):
-        key = before << np.uint64(8) | so_far.astype(np.uint64) | np.uint64(k << 40)
-        out[:, k] = BEGIN[k] + (mix64(key) >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
-    return out, so_far, (byte >> (7 - bit)) & 1
+class Tables:
+    """Where the slots of each predictor lie: those of the bits so far after a context."""
+
+    def __init__(self, windows: int):
+        """Tables for so many distinct windows."""
+        grown = max(LEAST_BITS, int(np.ceil(np.log2(max(windows, 1)))) + 1)
+        self.bits = [most if k < 2 else min(most, grown) for k, most in enumerate(MOST_BITS)]
+        self.begin = np.concatenate([[0], np.cumsum([1 << b for b in self.bits])]).astype(np.int32)
+        # the bits so far shuffle a context's slots over its table
+        self.step = [(mix64(np.arange(256, dtype=np.uint64) + np.uint64(k << 20)) & np.uint64((1 << b) - 1)).astype(np.int32) for k, b in enumerate(self.bits)]
+
+    def contexts(self, code: np.ndarray) -> tuple[np.ndarray, list]:
+        """The byte of each window, and its place in each table before any bit is known."""
+        code = code.astype(np.uint64)
+        before = code >> np.uint64(8)
+        places = [np.int32(0), self.begin[1] + ((before & np.uint64(0xFF)).astype(np.int32) << 8)]
+        for k, context in ((2, before & np.uint64(0xFFFF)), (3, before & np.uint64(0xFFFFFF)), (4, code >> np.uint64(32))):
+            places.append((mix64(context | np.uint64(k << 40)) >> np.uint64(64 - self.bits[k])).astype(np.int32))
+        return (code & np.uint64(0xFF)).astype(np.int32), places
+
+    def slots(self, byte: np.ndarray, places: list, bit: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Slots of all predictors before bit number `bit` (0 is the highest), the bits so far, and the bit."""
+        so_far = (1 << bit) | (byte >> (8 - bit))
+        at = [so_far, places[1] | so_far] + [self.begin[k] + (places[k] ^ self.step[k][so_far]) for k in range(2, INPUTS)]
+        return at, so_far, (byte >> (7 - bit)) & 1
 
 
 def count_all(text: str):
@@ -108,77 +122,103 @@ def count_all(text: str):
     return run
 
 
-def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_slots(tables: Tables):
     """For mapInArrow over windows: zeros and ones of every slot."""
-    zeros, ones = np.zeros(BEGIN[-1]), np.zeros(BEGIN[-1])
-    for batch in batches:
-        code, n = batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy().astype(float)
-        for j in range(8):
-            at, _, bit = slots(code, j)
-            for k in range(INPUTS):
-                np.add.at(ones, at[:, k], n * bit)
-                np.add.at(zeros, at[:, k], n * (1 - bit))
-    used = np.flatnonzero(zeros + ones)
-    for lo in range(0, len(used), 1 << 18):
-        u = used[lo : lo + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(zeros[u]), pa.array(ones[u])], ["slot", "zeros", "ones"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * int(tables.begin[-1]), np.uint32)
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(np.uint32)
+            byte, places = tables.contexts(batch.column("key").to_numpy().view(np.uint64))
+            for j in range(8):
+                at, _, bit = tables.slots(byte, places, j)
+                for slot in at:
+                    np.add.at(counts, 2 * slot + bit, n)
+        counts = counts.reshape(-1, 2)
+        used = np.flatnonzero(counts.any(1))
+        for lo in range(0, len(used), 1 << 18):
+            u = used[lo : lo + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.array(counts[u, 0].astype(np.int64)), pa.array(counts[u, 1].astype(np.int64))], ["slot", "zeros", "ones"])
+
+    return run
 
 
 class Model:
-    """Frozen tables; weights and map start neutral. The tables go to the tasks once, the rest with each step."""
+    """Tables, mixer weights and map. What it shares goes to the tasks once, the rest with each step."""
 
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
-        self.zeros, self.ones = zeros.astype(np.float32), ones.astype(np.float32)
-        self.tables = None
+    def __init__(self, tables: Tables, zeros: np.ndarray, ones: np.ndarray):
+        self.tables, self.zeros, self.ones = tables, zeros.astype(np.float32), ones.astype(np.float32)
+        self.stretched = self.seen = self.shared = None
         self.weights = np.full((GATES, INPUTS + 1), 0.25, np.float32)
         self.weights[:, INPUTS] = 0.0
         self.knots = np.linspace(-8, 8, KNOTS)
-        self.map = np.tile(1 / (1 + np.exp(-self.knots)), (256, 1))
+        self.map = np.tile(1 / (1 + np.exp(-self.knots)), (256, 1)).astype(np.float32)
+
+    ARRAYS = ("zeros", "ones", "stretched", "seen")
 
     def share(self, spark) -> None:
         """Broadcast the tables; the model then travels without them."""
-        self.tables = spark.sparkContext.broadcast((self.zeros, self.ones))
+        self.release()
+        self.shared = spark.sparkContext.broadcast({k: getattr(self, k) for k in self.ARRAYS})
+
+    def release(self) -> None:
+        if self.shared is not None:
+            self.shared.destroy()
+            self.shared = None
+
+    def freeze(self) -> None:
+        """From here on the model only scores: a slot's prediction and confidence are looked up, its counts are not."""
+        self.stretched = np.log((self.ones + np.float32(0.4)) / (self.zeros + np.float32(0.4)))
+        self.seen = np.searchsorted(CONFIDENCE, self.zeros + self.ones).astype(np.uint8)
+        self.zeros = self.ones = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("zeros", "ones") or self.tables is None}
+        return {k: v for k, v in self.__dict__.items() if k not in self.ARRAYS or self.shared is None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        if self.tables is not None:
-            self.zeros, self.ones = self.tables.value
-
-    def inputs(self, code: np.ndarray, bit: int, own: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched predictions and a bias, the gate, the bits so far, and the bit; with `own`, an occurrence's
-        own count is taken out."""
-        at, so_far, actual = slots(code, bit)
-        zeros, ones = self.zeros[at], self.ones[at]
-        if own:
-            ones = ones - actual[:, None]
-            zeros = zeros - (1 - actual)[:, None]
-        x = np.ones((len(code), INPUTS + 1), np.float32)
-        x[:, :INPUTS] = np.log((ones + 0.4) / (zeros + 0.4))
-        seen = np.searchsorted(CONFIDENCE, (zeros + ones)[:, 3:])
-        return x, bit * 25 + seen[:, 1] * 5 + seen[:, 0], so_far, actual
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("nk,nk->n", x, self.weights[gate]), -8, 8)
+        if self.shared is not None:
+            self.__dict__.update(self.shared.value)
+
+    def inputs(self, at: list[np.ndarray], actual: np.ndarray, bit: int, own: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+        """Stretched predictions of the slots, and the gate; with `own`, an occurrence's own count is taken out."""
+        if self.stretched is not None:
+            x, seen = [self.stretched[a] for a in at], [self.seen[a] for a in at[3:]]
+        else:
+            zeros, ones = [self.zeros[a] for a in at], [self.ones[a] for a in at]
+            if own:
+                hit = actual.astype(np.float32)
+                zeros, ones = [c - (1 - hit) for c in zeros], [c - hit for c in ones]
+            x = [np.log((o + np.float32(0.4)) / (z + np.float32(0.4))) for z, o in zip(zeros, ones)]
+            seen = [np.searchsorted(CONFIDENCE, z + o) for z, o in zip(zeros[3:], ones[3:])]
+        return x, bit * 25 + seen[1].astype(np.int32) * 5 + seen[0]
+
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        flat, at = self.weights.reshape(-1), gate * (INPUTS + 1)
+        z = flat[at + INPUTS]
+        for k, one in enumerate(x):
+            z += one * flat[at + k]
+        return np.clip(z, -8, 8, out=z)
 
     def refine(self, z: np.ndarray, so_far: np.ndarray) -> np.ndarray:
         """Probability of a one: the mix and its place on the map's curve, averaged."""
-        t = (z + 8) * ((KNOTS - 1) / 16)
-        k = np.minimum(t.astype(np.int64), KNOTS - 2)
+        t = (z + np.float32(8)) * np.float32((KNOTS - 1) / 16)
+        k = np.minimum(t.astype(np.int32), KNOTS - 2)
         f = t - k
-        mapped = self.map[so_far, k] * (1 - f) + self.map[so_far, k + 1] * f
-        return np.clip(0.5 * mapped + 0.5 / (1 + np.exp(-z)), 1e-6, 1 - 1e-6)
+        curve, at = self.map.reshape(-1), so_far * KNOTS + k
+        low = curve[at]
+        mapped = low + (curve[at + 1] - low) * f
+        return np.clip(np.float32(0.5) * mapped + np.float32(0.5) / (1 + np.exp(-z)), np.float32(1e-6), np.float32(1 - 1e-6))
 
     def bits(self, code: np.ndarray) -> np.ndarray:
         """Code length of each window's symbol."""
-        out = np.zeros(len(code))
+        chance = np.ones(len(code))  # 1e-48 at least
+        byte, places = self.tables.contexts(code)
         for j in range(8):
-            x, gate, so_far, actual = self.inputs(code, j)
-            p = self.refine(self.mixed(x, gate), so_far)
-            out -= np.log2(np.where(actual == 1, p, 1 - p))
-        return out
+            at, so_far, actual = self.tables.slots(byte, places, j)
+            p = self.refine(self.mixed(*self.inputs(at, actual, j)), so_far).astype(np.float64)
+            chance *= np.where(actual == 1, p, 1 - p)
+        return -np.log2(chance)
 
 
 def learn_weights(model: Model):
@@ -191,11 +231,16 @@ def learn_weights(model: Model):
             for lo in range(0, len(codes), 4096):
                 code, n = codes[lo : lo + 4096], counts[lo : lo + 4096]
                 total += n.sum()
+                byte, places = model.tables.contexts(code)
                 for j in range(8):
-                    x, gate, _, actual = model.inputs(code, j, own=True)
+                    at, _, actual = model.tables.slots(byte, places, j)
+                    x, gate = model.inputs(at, actual, j, own=True)
                     error = (actual - 1 / (1 + np.exp(-model.mixed(x, gate)))) * n
-                    mass = np.bincount(gate, n, GATES)
-                    step = np.stack([np.bincount(gate, error * x[:, k], GATES) for k in range(INPUTS + 1)], 1)
+                    lo_, own = j * 25, gate - j * 25  # a bit has gates of its own
+                    mass, step = np.zeros(GATES), np.zeros((GATES, INPUTS + 1))
+                    mass[lo_ : lo_ + 25] = np.bincount(own, n, 25)
+                    for k in range(INPUTS + 1):
+                        step[lo_ : lo_ + 25, k] = np.bincount(own, error * x[k] if k < INPUTS else error, 25)
                     # a gate's mean gradient, slower where it has seen little in this step
                     model.weights += (RATE * step / np.maximum(mass, 50.0)[:, None]).astype(np.float32)
         if total:
@@ -211,13 +256,15 @@ def learn_map(model: Model):
         hits, ones = np.zeros(256 * KNOTS), np.zeros(256 * KNOTS)
         for batch in batches:
             code, n = batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy().astype(float)
+            byte, places = model.tables.contexts(code)
             for j in range(8):
-                x, gate, so_far, actual = model.inputs(code, j, own=True)
-                t = (model.mixed(x, gate) + 8) * ((KNOTS - 1) / 16)
+                at, so_far, actual = model.tables.slots(byte, places, j)
+                x, gate = model.inputs(at, actual, j, own=True)
+                t = (model.mixed(x, gate).astype(np.float64) + 8) * ((KNOTS - 1) / 16)
                 k = np.minimum(t.astype(np.int64), KNOTS - 2)
-                for at, share in ((k, 1 - (t - k)), (k + 1, t - k)):
-                    hits += np.bincount(so_far * KNOTS + at, n * share, len(hits))
-                    ones += np.bincount(so_far * KNOTS + at, n * share * actual, len(ones))
+                for knot, share in ((k, 1 - (t - k)), (k + 1, t - k)):
+                    hits += np.bincount(so_far * KNOTS + knot, n * share, len(hits))
+                    ones += np.bincount(so_far * KNOTS + knot, n * share * actual, len(ones))
         used = np.flatnonzero(hits)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(hits[used]), pa.array(ones[used])], ["place", "hits", "ones"])
 
@@ -225,19 +272,23 @@ def learn_map(model: Model):
 
 
 def count(training: DataFrame, text: str = "text") -> DataFrame:
-    """kind (0: word, 1: byte window), key and n over all training texts."""
+    """kind (0: word, 1: byte window), key and n over all training texts. Windows are dealt by the two bytes before them, so
+    that the tasks which go over them have few slots in common."""
     found = training.select(F.col(text).alias("__cm_text")).mapInArrow(count_all("__cm_text"), "kind int, key long, n long")
-    return cut(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    near = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    dealt = found.select("kind", near.alias("near"), "key", "n").repartition("kind", "near")
+    return cut(dealt.groupBy("kind", "near", "key").agg(F.sum("n").alias("n")).select("kind", "key", "n"))
 
 
 def learn(counts: DataFrame) -> Model:
     """The mixing model from the counts of byte windows."""
     spark, seen = counts.sparkSession, counts.filter("kind = 1").select("key", "n")
-    found = seen.mapInArrow(count_slots, "slot int, zeros double, ones double").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    zeros, ones = np.zeros(BEGIN[-1]), np.zeros(BEGIN[-1])
+    tables = Tables(seen.count())
+    found = seen.mapInArrow(count_slots(tables), "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    zeros, ones = (np.zeros(int(tables.begin[-1]), np.float32) for _ in range(2))
     at = found.column("slot").to_numpy()
     zeros[at], ones[at] = found.column("zeros").to_numpy(), found.column("ones").to_numpy()
-    model = Model(zeros, ones)
+    model = Model(tables, zeros, ones)
     model.share(spark)
     for _ in range(2):
         rows = seen.mapInArrow(learn_weights(model), "seen double, weights array<double>").groupBy().agg(F.sum("seen"), F.array(*(F.sum(F.col("seen") * F.col("weights")[i]) for i in range(GATES * (INPUTS + 1))))).first()
@@ -247,7 +298,9 @@ def learn(counts: DataFrame) -> Model:
     start, at = model.map.reshape(-1), curve.column("place").to_numpy()
     hits, ones = np.zeros(256 * KNOTS), np.zeros(256 * KNOTS)
     hits[at], ones[at] = curve.column("hits").to_numpy(), curve.column("ones").to_numpy()
-    model.map = ((ones + 20 * start) / (hits + 20)).reshape(256, KNOTS)  # a curve moves from the identity as it sees cases
+    model.map = ((ones + 20 * start) / (hits + 20)).reshape(256, KNOTS).astype(np.float32)  # a curve moves from the identity as it sees cases
+    model.freeze()
+    model.share(spark)
     return model
 
 
@@ -344,7 +397,10 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text") -> DataFrame
     carried = [c for c in docs.columns if c != text]
     kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*kept, *T._parse_datatype_string("__cm_row long, score double, __cm_words long, __cm_common long, __cm_logs double, __cm_rare array<long>").fields])
-    rows = cut(docs.mapInArrow(measure(text, carried, learn(counts), common), schema))
+    model = learn(counts)
+    rows = cut(docs.mapInArrow(measure(text, carried, model, common), schema))
+    model.release()
+    common.destroy()
     rare = rows.select("__cm_row", F.explode("__cm_rare").alias("__cm_hash")).groupBy("__cm_row", "__cm_hash").agg(F.count(F.lit(1)).alias("t"))
     met = rare.join(words, "__cm_hash")  # a word that is not in the training texts adds log10(1)
     sums = met.groupBy("__cm_row").agg(F.sum("t").alias("__cm_more"), F.sum(F.col("t") * F.log10(F.col("n") + 1)).alias("__cm_more_logs"))
