@@ -362,6 +362,53 @@ def test_model_is_a_distribution_and_learns(docs):
     assert cost(b"the cat sat on the mat. ") < 1.2 < 3 < cost(b"zq!zq!zq!zq!zq!zq!zq!zq!")
 
 
+def test_scores_against_the_model_written_out(docs):
+    """Code lengths symbol by symbol and bit by bit, from slot counts that are counted here; frozen or not."""
+    rows = [(i, t) for i, t in enumerate(["the cat sat.", "the mat", "a cat\nand the hat", "Caf\u00e9 the end"])]
+    model = context_mixing.learn(context_mixing.count(docs(rows)))
+    tables, counts = model.tables, {}
+
+    def symbols(text):
+        data = list((text or "").encode()) + [context_mixing.PAD]
+        for i, b in enumerate(data):
+            before = [data[i - k] if i >= k else context_mixing.PAD for k in (1, 2, 3)]
+            start = max([j + 1 for j in range(i) if data[j] in (9, 10, 11, 12, 13, 32)], default=0)
+            word = bytes(data[start:i])
+            h = int(hash_spans(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]) >> 32 if word else int(hash_spans(np.zeros(1, np.uint8), np.array([0]), np.array([0]))[0]) >> 32
+            yield b, before, h
+
+    def slots(b, before, h, bit):
+        so_far = (1 << bit) | (b >> (8 - bit))
+        one = lambda x, k: int(context_mixing.mix64(np.array([x], np.uint64))[0]) >> (64 - tables.bits[k])
+        keys = {2: before[0] | before[1] << 8, 3: before[0] | before[1] << 8 | before[2] << 16, 4: h}
+        hashed = [int(tables.begin[k]) + (one(x | k << 40, k) ^ int(tables.step[k][so_far])) for k, x in keys.items()]
+        return [so_far, int(tables.begin[1]) + (before[0] << 8 | so_far), *hashed], so_far, b >> (7 - bit) & 1
+
+    for _, text in rows:
+        for b, before, h in symbols(text):
+            for bit in range(8):
+                at, _, value = slots(b, before, h, bit)
+                for a in at:
+                    counts.setdefault(a, [0, 0])[value] += 1
+    for _, text in [*rows, (9, "the dog sat"), (10, "")]:
+        bits = 0.0
+        for b, before, h in symbols(text):
+            for bit in range(8):
+                at, so_far, value = slots(b, before, h, bit)
+                seen = [counts.get(a, [0, 0]) for a in at]
+                level = [sum(sum(c) > x for x in context_mixing.CONFIDENCE) for c in seen[3:]]
+                w = model.weights[bit * 25 + level[1] * 5 + level[0]]
+                z = min(8.0, max(-8.0, float(w[-1]) + sum(float(w[k]) * math.log((c[1] + 0.4) / (c[0] + 0.4)) for k, c in enumerate(seen))))
+                t = (z + 8) * (context_mixing.KNOTS - 1) / 16
+                k = min(int(t), context_mixing.KNOTS - 2)
+                curve = model.map[so_far]
+                p = 0.5 * (curve[k] * (1 - t + k) + curve[k + 1] * (t - k)) + 0.5 / (1 + math.exp(-z))
+                p = min(1 - 1e-6, max(1e-6, p))
+                bits -= math.log2(p if value else 1 - p)
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        assert context_mixing.Scorer(model)(data, np.array([0, len(data)]))[0] == pytest.approx(bits, rel=1e-4)
+
+
 def test_common_words_keep_the_most_frequent():
     rng = np.random.default_rng(2)
     hashes, n = rng.integers(1, 1 << 63, 50_000, dtype=np.uint64), rng.integers(1, 1000, 50_000)
@@ -373,7 +420,8 @@ def test_common_words_keep_the_most_frequent():
 
 def test_scores_do_not_depend_on_the_cache():
     rng = np.random.default_rng(1)
-    model = context_mixing.Model(rng.integers(0, 9, context_mixing.BEGIN[-1]), rng.integers(0, 9, context_mixing.BEGIN[-1]))
+    tables = context_mixing.Tables(1 << 16)
+    model = context_mixing.Model(tables, rng.integers(0, 9, tables.begin[-1]), rng.integers(0, 9, tables.begin[-1]))
     scorer, texts = context_mixing.Scorer(model), [bytes(rng.integers(32, 127, 3000, dtype=np.uint8)) for _ in range(4)]
     for t in texts + texts:
         data, rows = context_mixing.end_marked(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
@@ -392,11 +440,12 @@ def test_word_so_far_predicts_beyond_three_bytes():
     text = lambda: " ".join(rng.choice(["xxabcdeQ", "yyabcdeR"]) for _ in range(40))
     counted = pa.Table.from_batches(context_mixing.count_all("text")(iter([pa.record_batch([pa.array([text() for _ in range(60)])], ["text"])])))
     seen = counted.filter(pa.compute.equal(counted.column("kind"), 1)).combine_chunks().to_batches()
-    found = pa.Table.from_batches(context_mixing.count_slots(iter(seen)))
-    zeros, ones = np.zeros(context_mixing.BEGIN[-1]), np.zeros(context_mixing.BEGIN[-1])
+    tables = context_mixing.Tables(sum(b.num_rows for b in seen))
+    found = pa.Table.from_batches(context_mixing.count_slots(tables)(iter(seen)))
+    zeros, ones = np.zeros(tables.begin[-1]), np.zeros(tables.begin[-1])
     np.add.at(zeros, found.column("slot").to_numpy(), found.column("zeros").to_numpy())
     np.add.at(ones, found.column("slot").to_numpy(), found.column("ones").to_numpy())
-    scorer = context_mixing.Scorer(context_mixing.Model(zeros, ones))
+    scorer = context_mixing.Scorer(context_mixing.Model(tables, zeros, ones))
     cost = lambda t: scorer(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
     assert cost(b"xxabcdeQ") + 1 < cost(b"xxabcdeR") and cost(b"yyabcdeR") + 1 < cost(b"yyabcdeQ")
 
