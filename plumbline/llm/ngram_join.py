@@ -49,7 +49,7 @@ PACKED = ["s0", "s1", "s2", "s3"]
 FINE = [f"f{k}" for k in range(8)]
 CROWD = 32
 #: Grams of a task that are counted together, and how often one must come to be reported.
-CHUNK, LOCAL = 1 << 22, 2
+CHUNK, LOCAL = 1 << 19, 2
 #: Bits of the map that tells tasks which rows may be candidates' representatives.
 MAP_BITS = 26
 
@@ -279,12 +279,13 @@ class Join:
         enough = sizes.withColumn("upto", least).filter(F.col("upto") <= MOST_FREQUENT).agg(F.min("n")).first()[0]
         top = often.filter(F.col("n") >= (1 << 62 if enough is None else enough)).toArrow()
         grams, n = top.column("gram").to_numpy().view(np.uint64), top.column("n").to_numpy()
-        self.order = spark.sparkContext.broadcast(grams[np.lexsort((grams, n))])
+        order = spark.sparkContext.broadcast(grams[np.lexsort((grams, n))])
         slim = docs.select(F.col(key).alias("__nj_id"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
         kinds = {f.name: f.dataType for f in slim.schema}
         schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.LongType()) for c in (*PACKED, *FINE)), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
         #: One row per document; all that the join needs but the sets of candidates.
-        self.rows = cut(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], self.order, percent, words), schema))
+        self.rows = cut(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], order, percent, words), schema))
+        order.destroy()  # what was cut reads files from here on
 
     def fits(self, nx, ny, px, py) -> Column:
         """Set sizes and grams passed over allow a link."""
@@ -305,6 +306,7 @@ class Join:
         bits = pairs.sparkSession.sparkContext.broadcast(bitmap(first, "__nj_r"))
         found = self.rows.select("__nj_r", "__nj_c", "__nj_prefix").mapInArrow(on_map("__nj_r", bits), "__nj_r long, __nj_c long, __nj_prefix array<long>")
         prefix = cut(found.join(ends, "__nj_c", "left_semi").dropDuplicates(["__nj_c"]))
+        bits.destroy()
         side = lambda c, g: prefix.select(F.col("__nj_c").alias(c), F.col("__nj_prefix").alias(g))
         both = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), "y")
         kept = F.greatest(F.col("nx") - F.size("gx"), F.col("ny") - F.size("gy")) + F.size(F.array_intersect("gx", "gy"))
@@ -317,6 +319,7 @@ class Join:
         first = self.rows.select("__nj_c", "__nj_r").join(ends, "__nj_c", "left_semi").groupBy("__nj_c").agg(F.min("__nj_r").alias("__nj_r"))
         bits = pairs.sparkSession.sparkContext.broadcast(bitmap(first, "__nj_r"))
         parts = cut(self.texts.mapInArrow(segments("__nj_text", bits, self.words), "c long, f int, grams array<long>"))
+        bits.destroy()
         side = lambda c, g: parts.select(F.col("c").alias(c), "f", F.col("grams").alias(g))
         partial = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), ["y", "f"]).select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("gx", "gy")).alias("o"))
         once = partial.groupBy("x", "y", "nx", "ny", "f").agg(F.max("o").alias("o"))  # a class may come from two tasks
@@ -334,6 +337,8 @@ class Join:
         rows_map = share(bitmap(full.groupBy("__nj_c").agg(F.min("__nj_r").alias("r")), "r"))
         fields = ["p", "c", "n", *PACKED]
         prefix = cut(full.select("__nj_r", "__nj_c", "n_shingles", *PACKED, "__nj_prefix").mapInArrow(shared_prefixes(grams_map, rows_map), "g long, p int, c long, n long, s0 long, s1 long, s2 long, s3 long"))
+        grams_map.destroy()
+        rows_map.destroy()
         shared = cut(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("other"), F.min("c").alias("one"), F.min(F.struct(*fields)).alias("lead")).filter("one <> other").select("g", "k", *(F.col(f"lead.{c}").alias(f"{c}x") for c in fields)))
 
         member = prefix.select("g", *(F.col(c).alias(f"{c}y") for c in fields))
@@ -383,8 +388,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent:
     rows = cut(Join(docs, key, text, percent, words).assigned())
     first = rows.filter("__nj_group is not null").groupBy("__nj_group").agg(F.min(F.struct(F.col("__nj_id").isNull().alias("no"), F.col("__nj_id"), F.col("__nj_r"))).alias("least")).select("least.__nj_r")
     kept = first.union(rows.filter("__nj_group is null").select("__nj_r").distinct())
+    kept, repeated = cut(kept), cut(rows.groupBy("__nj_r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__nj_r"))
     marked = docs.withColumn("__nj_r", F.xxhash64(F.col(key).cast("string"), F.col(text)))
-    return marked.join(cut(kept), "__nj_r", "left_semi").dropDuplicates(["__nj_r"]).drop("__nj_r")
+    chosen = lambda keys: marked.join(keys.hint("shuffle_hash"), "__nj_r", "left_semi")  # noqa: E731  texts are not sorted
+    if repeated.isEmpty():
+        return chosen(kept).drop("__nj_r")
+    once = chosen(kept.join(repeated, "__nj_r", "left_anti"))
+    return once.unionByName(chosen(kept.join(repeated, "__nj_r", "left_semi")).dropDuplicates(["__nj_r"])).drop("__nj_r")
 
 
 SQL = rf"""
