@@ -30,6 +30,8 @@ MOST = 3
 BLOCK_WORDS = 1 << 13
 MAX_BLOCKS = 1 << 15
 SHARD_WORDS = 1 << 22
+#: A source has its words when it is as near to its target.
+NEAR = 0.001
 #: So many units of repeated rows at most are broadcast.
 MOST_UNITS = 1 << 17
 
@@ -104,8 +106,9 @@ def copies(size, most: int) -> Column:
     return F.when(size > 0, F.aggregate("__mx_steps", F.lit(0), step)).otherwise(0)
 
 
-def fill(plan: dict, in_blocks, narrow: DataFrame, most: int) -> None:
-    """Add the steps of every source to the plan, until no document that may be taken once more fits into the gap.
+def fill(plan: dict, in_blocks, narrow: DataFrame, most: int, near: float) -> None:
+    """Add the steps of every source to the plan, until no document that may be taken once more fits into the gap, or
+    the gap is no more than the share `near` of the target.
 
     Documents with the fewest copies come first: those that fit are taken in permuted order of their blocks
     up to the first that does not; then smaller ones go on in what is left, until none fits; then come second and third
@@ -140,11 +143,11 @@ def fill(plan: dict, in_blocks, narrow: DataFrame, most: int) -> None:
                 plan[k]["__mx_steps"].append(step)
             if k not in parts:  # nothing of this level is left that fits
                 state[k][0] += 1
-            if state[k][0] == most or state[k][1] <= 0:
+            if state[k][0] == most or state[k][1] <= near * plan[k]["__mx_target"]:
                 del state[k]
 
 
-def assign(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, shards: int | None = None, seed: int = 1) -> DataFrame:
+def assign(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple = WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, shards: int | None = None, seed: int = 1, near: float = NEAR) -> DataFrame:
     """Every row of df with `__mx_size`, `__mx_source_size`, `__mx_target`, `__mx_copies` and `__mx_taken`, and `__mx_h` and
     `__mx_shards`, the output shards of its copies. Weights repeat over the sources in code-point order, null last."""
     spark = df.sparkSession
@@ -168,7 +171,7 @@ def assign(df: DataFrame, source: str = "source", text: str = "text", key: str =
         rows = rows.join(planned(names), "__mx_k").withColumn("__mx_b", F.pmod("__mx_h", "__mx_blocks"))
         return rows.withColumn("__mx_o", F.xxhash64(F.lit(seed + 1), "__mx_k", "__mx_b"))
 
-    fill(plan, in_blocks, narrow, most)
+    fill(plan, in_blocks, narrow, most, near)
     copied = in_blocks(narrow, list(plan)).withColumn("__mx_c", copies("__mx_w", most))
     blocks = cut(copied.groupBy("__mx_k", "__mx_b", "__mx_o").agg(F.max("__mx_c").alias("__mx_passes")).filter("__mx_passes > 0"))
 
