@@ -82,7 +82,7 @@ def test_mix_meets_targets(docs):
 def test_long_texts_do_not_cost_the_target(docs):
     rows = [(i, "w " * 100, None, "b") for i in range(100)] + [(1000, "w " * 50_000, None, "b")] + [(2000 + i, "w " * 700, None, "a") for i in range(50)]
     for seed in (1, 2, 3):
-        out = mixed(docs(rows), seed=seed, block_words=1000)
+        out = mixed(docs(rows), seed=seed, block_words=1000, near=0)
         for s in "ab":
             mine = [r for r in out if r["source"] == s]
             # what can be reached: three times all that is not longer than the target itself
@@ -98,7 +98,7 @@ def test_mix_against_the_rule_written_out(docs):
 
     rng = random.Random(4)
     rows = [(i, "w " * rng.choice([0, 1, 2, 3, 5, 8, 40, 300]), None, f"s{i % 3}") for i in range(120)] + [(7, "w w w", None, "s1")] * 4
-    out = mixed(docs(rows), block_words=20)
+    out = mixed(docs(rows), block_words=20, near=0)
     by = {}
     for r in out:
         by.setdefault(r["source"], {}).setdefault(r["__mx_h"], []).append(r)
