@@ -29,9 +29,43 @@ def drop_ghost_columns(df: DataFrame) -> DataFrame:
     return drop_columns(df, [c for i, c in enumerate(suspects) if counts[f"n{i}"] == 0])
 
 
+NUMBER = "__row_number"
+
+
+def numbered(df: DataFrame, name: str = NUMBER) -> DataFrame:
+    """df with the number of each row, from 0 in the order of its partitions, without a shuffle of rows: they are counted
+    per partition first. df must read the same each time."""
+    at = F.monotonically_increasing_id()  # partition and place in it
+    counts = df.select(F.shiftright(at, 33).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # a row per partition
+    starts, total = [], 0
+    for r in counts:
+        starts += [F.lit(r["p"]), F.lit(total).cast("long")]
+        total += r["n"]
+    placed = df.withColumn(name, at)
+    start = F.element_at(F.create_map(*starts), F.shiftright(name, 33)) if starts else F.lit(0).cast("long")
+    return placed.withColumn(name, start + F.col(name).bitwiseAND((1 << 33) - 1))
+
+
 def page(df: DataFrame, number: int, size: int, order_by: list[str]) -> DataFrame:
-    """Page ``number`` (from 0) of ``size`` rows in a stable order."""
-    return df.orderBy(*[col(c) for c in order_by]).offset(number * size).limit(size)
+    """Page ``number`` (from 0) of ``size`` rows in a stable order.
+
+    The keys alone are laid out by ranges and counted per range, which tells the keys where the page begins and ends. Only
+    rows between these are read and sorted, so a late page costs a task no more than the first one.
+    """
+    from plumbline.operators.fuzzy import checkpoint
+
+    keys = [col(c) for c in order_by]
+    laid = checkpoint(df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).repartitionByRange(*[F.col(f"k{i}") for i in range(len(keys))]).sortWithinPartitions(*[f"k{i}" for i in range(len(keys))]))
+    known = numbered(laid)
+    edge = known.filter(F.col(NUMBER).between(number * size, number * size + size - 1))
+    key = F.struct(*[f"k{i}" for i in range(len(keys))])
+    told = edge.agg(F.min(key).alias("first"), F.max(key).alias("last")).first()
+    if told["first"] is None:
+        return df.limit(0)
+    literal = lambda row: F.struct(*[F.lit(row[f"k{i}"]).cast(laid.schema[f"k{i}"].dataType).alias(f"k{i}") for i in range(len(keys))])
+    before = known.filter((F.col(NUMBER) < number * size) & (key == literal(told["first"]))).count()
+    own = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    return df.filter((own >= literal(told["first"])) & (own <= literal(told["last"]))).orderBy(*keys).offset(before).limit(size)
 
 
 def search(df: DataFrame, term: str, columns: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import apply as A
 from plumbline.operators.compare import baseline
+from plumbline.operators.fuzzy import checkpoint
 from plumbline.operators.profile import profile
 from plumbline.plans import query
 from plumbline.plans.inputs import table
@@ -62,6 +63,44 @@ def _(spark, sf):
     return files.read(spark, path + "/part=*", "csv", header_row=1, schema=SCHEMA)
 
 
+@query("metadata_rows", "S11", "SELECT p AS part, r AS row, CASE r WHEN 0 THEN 'made by \"hand\", or not' ELSE 'part' END AS first, CASE r WHEN 0 THEN (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = p) ELSE p END AS second FROM range(0, 3) a(p), range(0, 2) b(r)")
+def _(spark, sf):
+    path = scratch(spark) + "/reports"
+    rows = table(spark, sf, "supplier").select(F.pmod("s_suppkey", F.lit(3)).alias("part"), F.concat_ws(",", "s_suppkey", "s_name").alias("line"), F.col("s_suppkey").alias("at"))
+    head = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.inline(F.array(
+        F.struct(F.lit(-3).cast("long").alias("at"), F.concat(F.lit('"made by ""hand"", or not",'), F.col("n")).alias("line")),
+        F.struct(F.lit(-2).cast("long").alias("at"), F.concat(F.lit("part,"), F.col("part")).alias("line")),
+        F.struct(F.lit(-1).cast("long").alias("at"), F.lit("s_suppkey,s_name").alias("line")))))
+    head.unionByName(rows).repartition(3, "part").sortWithinPartitions("part", "at").select("part", "line").write.partitionBy("part").text(path)
+    found = files.metadata_rows(spark, path + "/part=*", 2)
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
+    return found.select(part.alias("part"), "row", F.col("fields")[0].alias("first"), F.col("fields")[1].cast("long").alias("second"))
+
+
+@query("feather_files", "S07", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def _(spark, sf):
+    path = scratch(spark) + "/feather"
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority").repartition(3, "o_orderkey")
+    kind = "o_orderkey bigint, o_totalprice double, o_orderpriority string"
+    spark.createDataFrame([], "x int").write.parquet(path)  # makes the shared folder
+    files.write_feather(orders, path, 500).collect()
+    return files.read(spark, path, "feather", schema=kind)
+
+
+@query("csv_quoted_blocks", "S02 S03 S08", """SELECT doc_id, md5(coalesce(text, '') || chr(10) || '"x", y') AS digest FROM documents""")
+def _(spark, sf):
+    path = scratch(spark) + "/wide.csv"
+    rows = table(spark, sf, "documents").selectExpr("doc_id", """coalesce(text, '') || chr(10) || '"x", y' AS text""")
+    files.write(rows.coalesce(1), path, "csv")
+    size, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # several blocks in one file
+        spark.conf.set(size, "256k")
+        out = files.read(spark, path, schema="doc_id bigint, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+        return checkpoint(out)
+    finally:
+        spark.conf.set(size, before)
+
+
 @query("tsv_round_trip", "S03 S16", SUPPLIER)
 def _(spark, sf):
     path = scratch(spark) + "/supplier.tsv"
@@ -97,12 +136,15 @@ def _(spark, sf):
     return files.preview(spark, f"{sf.rstrip('/')}/orders.parquet").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("batch_export", "S19", "SELECT CAST(max(n) AS BIGINT) AS largest, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT least(1000, (SELECT count(*) FROM orders) - 1000 * i) AS n FROM range(0, 100000) t(i) WHERE 1000 * i < (SELECT count(*) FROM orders))")
+@query("batch_export", "S19", """WITH n AS (SELECT count(*) AS n FROM orders)
+  SELECT (1000 * i + 1) || '-' || least(1000 * (i + 1), n) AS rows, CAST(least(1000, n - 1000 * i) AS BIGINT) AS count, CAST(1 AS BIGINT) AS files, k AS first_key
+  FROM n, range(0, 100000) t(i) JOIN (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS at FROM orders) o ON o.at = 1000 * i WHERE 1000 * i < n""")
 def _(spark, sf):
     path = scratch(spark) + "/batches.parquet"
-    files.batch_export(table(spark, sf, "orders"), path, 1000)
-    per_file = files.read(spark, path).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n"))
-    return per_file.agg(F.max("n").alias("largest"), F.sum("n").cast("bigint").alias("rows"))
+    files.batch_export(table(spark, sf, "orders"), path, 1000, order_by=["o_orderkey"])
+    back = spark.read.option("recursiveFileLookup", "true").parquet(path).select("o_orderkey", F.input_file_name().alias("f"))
+    name = F.regexp_extract("f", r"rows=([0-9-]+)", 1)
+    return back.groupBy(name.alias("rows")).agg(F.count(F.lit(1)).alias("count"), F.count_distinct("f").alias("files"), F.min("o_orderkey").alias("first_key"))
 
 
 @query("rejects_export", "S20", "SELECT rejection_reason, count(*) AS rows FROM (SELECT 'Source - Does not match' AS rejection_reason FROM messy WHERE label IS NULL OR NOT regexp_matches(label, '^src')) GROUP BY ALL")

@@ -7,9 +7,10 @@ import posixpath
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from plumbline.operators.quantiles import col
+from plumbline.operators.select import NUMBER, numbered
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,9 +36,8 @@ def read(
     """A file or a directory of files as a DataFrame.
 
     ``header_row`` is the line with the column names in every file; lines above it are ignored. Give a
-    ``schema`` to spare the pass that infers one. Quoted fields may hold line breaks and doubled quotes; such
-    files are read by one task each. With ``lines_are_rows`` no field holds a line break, and Spark splits
-    large files.
+    ``schema`` to spare the pass that infers one. Quoted fields may hold line breaks and doubled quotes; large files are
+    still read by many tasks (see ``records``). With ``lines_are_rows`` no field holds a line break, which saves a pass.
     """
     fmt = fmt or file_type(path)
     if fmt in ("csv", "tsv"):
@@ -51,7 +51,9 @@ def read(
         df = read_feather(spark, path, schema)
     else:
         raise ValueError(f"unsupported format: {fmt}")
-    df = df.offset(offset) if offset else df
+    if offset:  # by row number: no task sees more than it reads
+        last = F.col(NUMBER) < offset + limit if limit is not None else F.lit(True)
+        return numbered(df).filter((F.col(NUMBER) >= offset) & last).drop(NUMBER)
     return df.limit(limit) if limit is not None else df
 
 
@@ -62,39 +64,165 @@ def preview(spark: SparkSession, path: str, n: int = 1000, **options) -> DataFra
 
 def _read_delimited(spark: SparkSession, path: str, sep: str, header_row: int, schema, lines_are_rows: bool) -> DataFrame:
     # With a null value that no field holds, an empty field is NULL and a quoted empty one is the empty text.
-    options = {"sep": sep, "multiLine": not lines_are_rows, "escape": '"', "nullValue": "\u0000"}
-    if header_row <= 0:
+    options = {"sep": sep, "escape": '"', "nullValue": "\u0000"}
+    if header_row <= 0 and lines_are_rows:
         return spark.read.csv(path, header=True, **options, **({"schema": schema} if schema else {"inferSchema": True}))
-    # Each file has the same lines above its rows: the first one tells the names.
-    top = spark.read.text(path).filter("value <> ''").limit(header_row + 1).collect()
-    names = next(csv.reader([top[header_row]["value"]], delimiter=sep))
-    columns = [n or f"_c{i}" for i, n in enumerate(names)]
+    rows = records(spark, path, sep, lines_are_rows)
+    head = rows.filter(f"start = 0 AND place = {max(header_row, 0)}").select("record").limit(1).collect()
+    names = next(csv.reader([head[0]["record"]], delimiter=sep)) if head else []
+    columns = [n if n and names.index(n) == i else f"{n or '_c'}{i}" for i, n in enumerate(names)]
     struct = schema or T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    rows = spark.read.csv(path, header=False, schema=struct, enforceSchema=True, **options)
-    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
-    body = placed.mapInArrow(_below(header_row), rows.schema)
+    struct = spark.createDataFrame([], struct).schema if isinstance(struct, str) else struct
+    if not struct.fields:
+        return spark.createDataFrame([], struct)
+    below = rows.filter(f"NOT (start = 0 AND place <= {max(header_row, 0)})")
+    body = below.select(F.from_csv("record", _ddl(struct), {**options, "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
     return body if schema else infer_types(body)
 
 
-def _below(header_row: int):
-    """For mapInArrow: drops the first rows, header included, of every file. A file's head is read in order by
-    the task that has its first block."""
+def _ddl(struct: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in struct.fields)
+
+
+def ends_inside(line: str, inside: bool, sep: str) -> bool:
+    """Whether a line that starts inside a quoted field (or at the start of a field) ends inside one. A quote opens a field
+    only where the field begins; doubled quotes stand for one."""
+    at = 0
+    while True:
+        if not inside:
+            if not line.startswith('"', at):
+                at = line.find(sep + '"', at)
+                if at < 0:
+                    return False
+                at += len(sep)
+            at += 1
+        while (end := line.find('"', at)) >= 0 and line.startswith('"', end + 1):
+            at = end + 2
+        if end < 0:
+            return True
+        # behind a closed field comes the next separator
+        after = line.find(sep, end + 1)
+        if after < 0:
+            return False
+        inside, at = False, after + len(sep)
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of the files with their file and the start of the block (of a splittable file) they were read in."""
+    text = spark.read.text(path, lineSep="\n")
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def _runs(batch):
+    """(file, start, first row, end row) of the consecutive rows of one block within a batch."""
+    import numpy as np
+
+    files, starts = batch.column("file").to_numpy(zero_copy_only=False), batch.column("start").to_numpy()
+    edges = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1 if batch.num_rows else []
+    bounds = [0, *edges, batch.num_rows]
+    return [(files[a], int(starts[a]), a, b) for a, b in zip(bounds, bounds[1:]) if b > a]
+
+
+def _block_ends(sep: str):
+    """For mapInArrow over lines: how each block ends if it starts outside and if it starts inside a quoted field."""
 
     def run(batches):
-        seen: dict[str, int] = {}
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ends: dict = {}
         for batch in batches:
-            names, starts = batch.column("__file").to_pylist(), batch.column("__start").to_pylist()
-            keep = []
-            for name, start in zip(names, starts):
-                seen[name] = seen.get(name, 0) + 1
-                keep.append(start > 0 or seen[name] > header_row + 1)
-            import pyarrow as pa
+            quoted = pc.match_substring(batch.column("value"), '"').to_numpy(zero_copy_only=False)
+            for file, start, a, b in _runs(batch):
+                state = ends.setdefault((file, start), [False, True])
+                for i in quoted[a:b].nonzero()[0]:
+                    line = batch.column("value")[int(a + i)].as_py()
+                    state[:] = [ends_inside(line, s, sep) for s in state]
+        yield pa.RecordBatch.from_pydict(
+            {"file": [f for f, _ in ends], "start": [s for _, s in ends], "out": [e[0] for e in ends.values()], "ins": [e[1] for e in ends.values()]},
+            schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("out", pa.bool_()), ("ins", pa.bool_())]),
+        )
+
+    return run
+
+
+RECORD = "file string, start long, place long, record string, open boolean, tail boolean"
+
+
+def _block_records(sep: str, lines_are_rows: bool):
+    """For mapInArrow over lines with the state of their block's start: the block's records. What belongs to a record of
+    an earlier block is a tail; a record that the block does not end is open."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__file", "__start"])
+        schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("place", pa.int64()), ("record", pa.string()), ("open", pa.bool_()), ("tail", pa.bool_())])
+        key, inside, held, tail, place = None, False, [], False, 0
+
+        def last():
+            return [(key[0], key[1], -1 if tail else place, "\n".join(held), inside, tail)] if held else []
+
+        for batch in batches:
+            values, out = batch.column("value"), []
+            quoted = pc.match_substring(values, '"').to_numpy(zero_copy_only=False)
+            begins = batch.column("inside").to_numpy(zero_copy_only=False)
+            texts = values.to_pylist()
+            for file, start, a, b in _runs(batch):
+                if key != (file, start):
+                    out += last()
+                    key, inside, held, place = (file, start), bool(begins[a]) and not lines_are_rows, [], 0
+                    tail = inside
+                for i in range(a, b):
+                    line = texts[i]
+                    if not inside and not held and not line.strip("\r"):
+                        continue  # an empty line
+                    if not lines_are_rows and quoted[i]:
+                        inside = ends_inside(line, inside, sep)
+                    held.append(line)
+                    if not inside:
+                        out.append((file, start, -1 if tail else place, "\n".join(held).removesuffix("\r"), False, tail))
+                        place, held, tail = place + (not tail), [], False
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if out := last():
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
+def records(spark: SparkSession, path: str, sep: str = ",", lines_are_rows: bool = False) -> DataFrame:
+    """The records of delimited files: (file, start, place, record), where place counts from 0 within the block at start.
+
+    Blocks are read by different tasks, also where quoted fields hold line breaks: a first pass tells of each block
+    how it ends for both states it may start in, composing these settles the states, and a second pass reads from
+    record to record. Records that cross blocks leave a piece in each, which are put together by their files and starts.
+    """
+    lines = _lines(spark, path)
+    if lines_are_rows:
+        known = lines.withColumn("inside", F.lit(False))
+    else:
+        ends = lines.mapInArrow(_block_ends(sep), "file string, start long, out boolean, ins boolean")
+        step = lambda acc, x: F.struct(F.when(acc["now"], x["ins"]).otherwise(x["out"]).alias("now"), F.concat(acc["all"], F.array(F.struct(x["start"].alias("start"), acc["now"].alias("inside")))).alias("all"))
+        none = F.struct(F.lit(False).alias("now"), F.array().cast("array<struct<start:bigint,inside:boolean>>").alias("all"))
+        states = ends.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "out", "ins"))).alias("blocks"))
+        states = states.select("file", F.inline(F.aggregate("blocks", none, step)["all"]))
+        # only the blocks that start inside a field: a row for some blocks of 128 MB
+        known = lines.join(F.broadcast(states.filter("inside")), ["file", "start"], "left").select("value", "file", "start", F.coalesce("inside", F.lit(False)).alias("inside"))
+    found = known.mapInArrow(_block_records(sep, lines_are_rows), RECORD)
+    plain = F.when((F.col("start") == 0) & (F.col("place") == 0), F.regexp_replace("record", "^\ufeff", "")).otherwise(F.col("record")).alias("record")
+    whole = found.filter("NOT open AND NOT tail").select("file", "start", "place", plain)
+    if lines_are_rows:
+        return whole
+    # pieces, at most two of a block: a record begins with a piece that is no tail
+    pieces = found.filter("open OR tail")
+    order = Window.partitionBy("file").orderBy("start", "place").rowsBetween(Window.unboundedPreceding, 0)
+    named = pieces.withColumn("of", F.sum(F.when(F.col("tail"), 0).otherwise(1)).over(order))
+    parts = F.sort_array(F.collect_list(F.struct("start", "place", "record")))
+    joined = named.groupBy("file", "of").agg(parts.alias("p")).select("file", F.col("p")[0]["start"].alias("start"), F.col("p")[0]["place"].alias("place"), F.array_join(F.transform("p", lambda x: x["record"]), "\n").alias("record"))
+    return whole.unionByName(joined)
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast text columns to bigint, double or timestamp where every value allows it (one scan)."""
     targets = ["bigint", "double", "timestamp"]
@@ -118,13 +246,14 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def metadata_rows(spark: SparkSession, path: str, header_row: int, sep: str = ",") -> DataFrame:
-    """The rows above the header as a table of their own."""
-    df = spark.read.csv(path, header=False, sep=sep)
-    return df.limit(header_row) if header_row > 0 else df.limit(0)
+    """The rows above the header of every file as a table of their own: file, row, and the fields."""
+    above = records(spark, path, sep).filter(f"start = 0 AND place < {max(header_row, 0)}").select("file", F.col("place").alias("row"), "record")
+    fields = F.pandas_udf(lambda r: r.map(lambda line: next(csv.reader([line], delimiter=sep), [])), T.ArrayType(T.StringType()))
+    return above.select("file", "row", fields("record").alias("fields"))
 
 
 def read_feather(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Feather (Arrow IPC) files: one task per file, record batches handed over one by one."""
+    """Feather (Arrow IPC) files: a task per record batch, found in the files' footers."""
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{feather,ftr}").load(path).select("path")
@@ -135,21 +264,53 @@ def read_feather(spark: SparkSession, path: str, schema: T.StructType | str | No
         schema = from_arrow_schema(_open_feather(first[0]["path"]).schema)
     elif isinstance(schema, str):
         schema = spark.createDataFrame([], schema).schema
-    target = to_arrow_schema(schema)
-    open_feather = _open_feather
+    target, open_feather = to_arrow_schema(schema), _open_feather
+
+    def footers(listings):
+        import pyarrow as pa
+
+        for listing in listings:
+            found = [(p, i) for p in listing.column(0).to_pylist() for i in range(open_feather(p).num_record_batches)]
+            yield pa.RecordBatch.from_pydict({"path": [p for p, _ in found], "batch": [i for _, i in found]}, schema=pa.schema([("path", pa.string()), ("batch", pa.int32())]))
+
+    def read_batches(listings):
+        import pyarrow as pa
+
+        for listing in listings:
+            for name, i in zip(listing.column(0).to_pylist(), listing.column(1).to_pylist()):
+                table = pa.Table.from_batches([open_feather(name).get_batch(i)]).select(target.names).cast(target, safe=False)
+                yield from table.to_batches()
+
+    batches = files.mapInArrow(footers, "path string, batch int")
+    tasks = int(min(10_000, max(1, batches.count())))
+    return batches.repartition(tasks, "path", "batch").mapInArrow(read_batches, schema)
+
+
+def write_feather(df: DataFrame, path: str, rows_per_batch: int = 65_536) -> DataFrame:
+    """Write one Feather file per partition into an existing folder that all executors share, as the result is read:
+    (file, rows) of each."""
+
+    def run(batches):
+        import uuid
 
-    def batches(paths):
         import pyarrow as pa
+        from pyarrow import fs
 
-        for listing in paths:
-            for name in listing.column(0).to_pylist():
-                reader = open_feather(name)
-                for i in range(reader.num_record_batches):
-                    table = pa.Table.from_batches([reader.get_batch(i)]).select(target.names).cast(target, safe=False)
-                    yield from table.to_batches()
+        plain = path[5:] if path.startswith("file:") else path
+        system, folder = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(plain)
+        first = next(batches, None)
+        if first is None:
+            return
+        name = f"{folder}/part-{uuid.uuid4().hex}.feather"
+        count = 0
+        with system.open_output_stream(name) as out, pa.ipc.new_file(out, first.schema) as writer:
+            while first is not None:
+                for lo in range(0, first.num_rows, rows_per_batch):
+                    writer.write_batch(first.slice(lo, rows_per_batch))
+                count, first = count + first.num_rows, next(batches, None)
+        yield pa.RecordBatch.from_pydict({"file": [name], "rows": [count]})
 
-    count = max(1, files.count())
-    return files.repartition(count, "path").mapInArrow(batches, schema)
+    return df.mapInArrow(run, "file string, rows long")
 
 
 def _open_feather(path: str):
@@ -170,12 +331,15 @@ def write(
 ) -> None:
     """Export as CSV, Parquet or JSON Lines (S16-S18, S20), optionally some columns or a sample.
 
-    Compression for text formats: none, gzip, bzip2 (also under the names zip and bz2).
+    Compression for text formats: none, gzip, bzip2 (or bz2). A zip archive holds whole files under one index and cannot
+    be written by many tasks; it is refused rather than replaced by another format.
     """
+    if compression == "zip":
+        raise ValueError("zip archives cannot be written in parallel: choose gzip or bzip2")
     out = df.select(*[col(c) for c in columns]) if columns else df
     if sample_percent < 100:
         out = out.sample(fraction=sample_percent / 100.0, seed=42)
-    codec = {"zip": "gzip", "bz2": "bzip2"}.get(compression or "", compression)
+    codec = {"bz2": "bzip2"}.get(compression or "", compression)
     writer = out.write.mode(mode)
     if fmt == "csv":
         writer.csv(path, header=True, sep=delimiter, quote=quote, escape=quote, encoding=encoding, compression=codec)
@@ -187,10 +351,18 @@ def write(
         raise ValueError(f"unsupported export format: {fmt}")
 
 
-def batch_export(df: DataFrame, path: str, rows_per_file: int, fmt: str = "parquet", columns: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Export with at most ``rows_per_file`` rows in each file."""
+def batch_export(df: DataFrame, path: str, rows_per_file: int, fmt: str = "parquet", columns: list[str] | None = None, mode: str = "overwrite", order_by: list[str] | None = None) -> None:
+    """Export with ``rows_per_file`` rows in each file, in folders named by the first and last row, counted from 1:
+    ``rows=1-1000`` (S19). Rows are numbered as they are read, or in the given order; df must read the same each time."""
     out = df.select(*[col(c) for c in columns]) if columns else df
-    writer = out.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    if order_by:
+        out = out.orderBy(*[col(c) for c in order_by])
+    out = numbered(out)
+    last = out.agg(F.max(NUMBER)).first()[0]
+    batch = F.floor(F.col(NUMBER) / rows_per_file).cast("long")
+    name = F.concat_ws("-", batch * rows_per_file + 1, F.least((batch + 1) * rows_per_file, F.lit((last if last is not None else -1) + 1)))
+    files = int(min(10_000, max(1, ((last if last is not None else -1) + 1) // rows_per_file)))
+    writer = out.withColumn("rows", name).repartition(files, "rows").sortWithinPartitions("rows", NUMBER).drop(NUMBER).write.mode(mode).partitionBy("rows")
     if fmt == "csv":
         writer.csv(path, header=True, escape='"')
     elif fmt == "parquet":
