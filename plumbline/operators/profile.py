@@ -232,6 +232,8 @@ def _number_stats(df: DataFrame, names: list[str], fast: bool) -> DataFrame:
     stats = marked.groupBy("column").agg(
         *_common(fast),
         F.min("x").alias("range_min"), F.max("x").alias("range_max"),
+        # in the column's own type: a double holds whole numbers up to 2^53 only
+        F.min("v").cast("string").alias("exact_min"), F.max("v").cast("string").alias("exact_max"),
         _weighted("x < 0").alias("negative_count"),
         _weighted("x = 0").alias("zero_count"),
         _weighted("abs(x) = double('Infinity')").alias("infinite_count"),
@@ -346,7 +348,7 @@ def base_statistics(df: DataFrame, columns: list[str] | None = None, fast: bool
     wanted = {
         "length_sum": "bigint", "min_length": "bigint", "max_length": "bigint", "out_of_bounds_count": "bigint",
         "data_bytes": "bigint", "total_special_char_rows": "bigint", "examples": "map<string,string>",
-        "range_min": "double", "range_max": "double", "negative_count": "bigint", "zero_count": "bigint",
+        "range_min": "double", "range_max": "double", "exact_min": "string", "exact_max": "string", "negative_count": "bigint", "zero_count": "bigint",
         "infinite_count": "bigint", "outlier_count": "bigint", "outlier_samples": "array<double>",
         "outlier_low": "double", "outlier_high": "double", "future_count": "bigint",
         "first_moment": "string", "last_moment": "string", **{"f:" + f: "bigint" for f in _FLAG_NAMES},
@@ -428,7 +430,7 @@ def describe(stats: DataFrame) -> DataFrame:
         "coalesce(total_special_char_rows, 0L) AS total_special_char_rows",
         f"IF(family = 'Text', map_from_entries(filter(array({', '.join(counts)}), s -> s.value > 0)), NULL) AS pattern_counts",
         f"IF(family = 'Text', map_filter(examples, (k, v) -> k <> 'Phone' OR NOT {all_digits}), NULL) AS pattern_examples",
-        "range_min", "range_max", "first_moment AS moment_min", "last_moment AS moment_max",
+        "range_min", "range_max", "exact_min", "exact_max", "first_moment AS moment_min", "last_moment AS moment_max",
         "negative_count", "zero_count", "coalesce(infinite_count, 0L) AS infinite_count",
         f"{_flag('multiple_spaces')} AS multi_space_count", f"{_flag('edge_space')} AS edge_space_count",
         f"{_flag('empty')} AS empty_string_count", f"{_flag('whitespace')} AS whitespace_only_count",

@@ -85,6 +85,9 @@ DERIVED = {
         SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'p_size: at most ' || p_size WHEN 1 THEN 'p_name - ' || p_type WHEN 2 THEN NULL ELSE 'other: ' || p_brand END AS dq_rules,
                p_name, p_size
         FROM {part}""",
+    "wide_keys": """
+        SELECT o_orderkey + 9007199254740993 AS wide_key, CAST(o_orderkey AS DECIMAL(20, 2)) * 100000000000000 + 0.07 AS amount
+        FROM {orders}""",
     "tied_parts": """
         SELECT p_partkey, p_brand, p_type, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_size END AS p_size
         FROM {part}""",

@@ -138,6 +138,11 @@ def _(spark, sf):
     return prof(spark, sf, "gappy_customer", ["c_custkey", "c_nationkey", "balance"]).select("column", "range_min", "range_max", "negative_count", "zero_count")
 
 
+@query("profile_ranges_exact", "A10", union(["wide_key", "amount"], """SELECT '{c}' AS "column", CAST(min({c}) AS VARCHAR) AS exact_min, CAST(max({c}) AS VARCHAR) AS exact_max FROM wide_keys"""))
+def _(spark, sf):
+    return prof(spark, sf, "wide_keys", ["wide_key", "amount"]).select("column", "exact_min", "exact_max")
+
+
 @query("profile_moments", "A11 A19", """SELECT 'ts' AS "column", CAST(min(ts) AS TIMESTAMP) AS moment_min, CAST(max(ts) AS TIMESTAMP) AS moment_max,
   CAST(count_if(ts > TIMESTAMP '2024-01-15 00:00:00') AS BIGINT) AS future_count FROM events""")
 def _(spark, sf):

@@ -174,6 +174,15 @@ def _(spark, sf):
     return asked.select("p_partkey", R.rule_label(R.rule_for_request(F.col("request"), F.col("underscore"))).alias("name"))
 
 
+@query("explained_rules", "R16", f"""WITH asked AS ({_ASKED}), said AS (SELECT *, lower(request) AS r FROM asked)
+  SELECT p_partkey, CASE WHEN r LIKE '%special%' AND r LIKE '%remove%' THEN 'Remove special characters' WHEN r LIKE '%underscore%' AND r LIKE '%space%' THEN 'Replace underscores with spaces' WHEN r LIKE '%upper%' THEN 'Convert to UPPERCASE'
+  WHEN r LIKE '%lower%' THEN 'Convert to lowercase' WHEN r LIKE '%title%' THEN 'Convert to Title Case' WHEN (r LIKE '%number%' OR r LIKE '%digit%') AND (r LIKE '%extract%' OR r LIKE '%only%') THEN 'Extract only digits'
+  WHEN r LIKE '%email%' THEN 'Validate email format' WHEN underscore THEN 'Replace underscores with spaces' ELSE 'Remove special characters' END AS explanation FROM said""")
+def _(spark, sf):
+    asked = spark.sql(_ASKED.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
+    return asked.select("p_partkey", R.rule_for_request(F.col("request"), F.col("underscore"))["explanation"].alias("explanation"))
+
+
 # --- validation -----------------------------------------------------------------------------
 
 RULES = [
