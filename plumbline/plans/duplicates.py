@@ -247,6 +247,20 @@ def _(spark, sf):
     return D.suggest_match_rules(prof(spark, sf, "vendors"))
 
 
+@query("match_rule_table", "D18 D19 D20", f"""WITH st AS ({_STATS}),
+  ex AS (SELECT position, "column" AS c, score, row_number() OVER (ORDER BY score DESC, position) AS r FROM (SELECT *, CASE WHEN up >= 95 THEN 35 WHEN up >= 80 THEN 25 ELSE 0 END + CASE WHEN np < 1 THEN 20 WHEN np < 5 THEN 15 ELSE 0 END
+    + CASE WHEN is_text AND minl = maxl AND avgl BETWEEN 4 AND 20 THEN 25 ELSE 0 END + CASE WHEN dp > 0 AND dp < 5 THEN 15 ELSE 0 END AS score FROM st WHERE up < 100 AND dups > 0) WHERE score >= 50 QUALIFY r <= 4),
+  fu AS (SELECT position, "column" AS c, score, row_number() OVER (ORDER BY score DESC, position) AS r FROM (SELECT *, CASE WHEN up BETWEEN 30 AND 90 THEN 35 WHEN up >= 10 AND up < 30 THEN 20 ELSE 0 END + CASE WHEN avgl BETWEEN 10 AND 100 THEN 25 WHEN avgl > 100 THEN 15 ELSE 0 END
+    + CASE WHEN regexp_matches("column", 'name|desc|title|product|customer|company|vendor|supplier|brand|item') THEN 25 ELSE 0 END + CASE WHEN dups > 1 THEN 15 ELSE 0 END AS score FROM st WHERE is_text) WHERE score >= 45 QUALIFY r <= 4),
+  rules AS (SELECT 0 AS kind, r, 'Exact' AS rule_type, c AS columns, CASE WHEN score >= 85 THEN 'Strongest' WHEN score >= 75 THEN 'Very Strong' WHEN score >= 65 THEN 'Strong' ELSE 'Good' END AS match_probability, CAST(score AS DOUBLE) AS confidence FROM ex
+    UNION ALL SELECT 1, r, 'Fuzzy', c, CASE WHEN score >= 70 THEN 'Strong' WHEN score >= 60 THEN 'Good' ELSE 'Medium' END, CAST(score AS DOUBLE) FROM fu
+    UNION ALL SELECT 2, ex.r * 10 + fu.r, 'Combined', ex.c || ' (Exact) + ' || fu.c || ' (Fuzzy)', CASE WHEN (ex.score + fu.score) / 2.0 >= 75 THEN 'Enterprise' WHEN (ex.score + fu.score) / 2.0 >= 65 THEN 'Strong' ELSE 'Good' END, (ex.score + fu.score) / 2.0 FROM ex, fu WHERE ex.r <= 2 AND fu.r <= 3 AND ex.c <> fu.c),
+  best AS (SELECT * FROM rules ORDER BY kind, r LIMIT 10)
+  SELECT printf('R%02d', row_number() OVER (ORDER BY confidence DESC, kind, r)) AS rule_no, rule_type, columns, match_probability, confidence FROM best""")
+def _(spark, sf):
+    return D.suggest_match_rules(prof(spark, sf, "vendors")).drop("rationale")
+
+
 @query("column_roles", "D21", f"""SELECT "column", CASE WHEN regexp_matches("column", 'id|key|uuid|guid|serial|sequence') AND up > 95 THEN 'unique_identifiers'
   WHEN regexp_matches("column", 'name|number|email|phone|mobile|tax|pan|gstin|account|code|vendor|supplier|customer') THEN 'critical_business'
   WHEN regexp_matches("column", 'batch|import|action|status|created|updated|modified|date|time|user') THEN 'metadata' ELSE 'descriptive' END AS category FROM ({_STATS})""")
