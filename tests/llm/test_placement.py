@@ -34,6 +34,72 @@ def test_permutation_is_a_bijection(spark, n):
     assert sorted(out) == list(range(n))
 
 
+def mixed64(h):
+    mask = (1 << 64) - 1
+    h = (h ^ h >> 33) * 0xC2B2AE3D27D4EB4F & mask
+    h = (h ^ h >> 29) * 0x165667B19E3779F9 & mask
+    return h ^ h >> 32
+
+
+def xx64(seed, value):
+    """Spark's xxhash64 of an int literal and a long."""
+    mask, rot = (1 << 64) - 1, lambda v, k: (v << k | v >> (64 - k)) & ((1 << 64) - 1)
+    p1, p2, p3, p4, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+    h = (42 + p5 + 4 & mask) ^ ((seed & 0xFFFFFFFF) * p1 & mask)
+    h = mixed64((rot(h, 23) * p2 + p3) & mask)
+    h = (h + p5 + 8 & mask) ^ (rot(value * p2 & mask, 31) * p1 & mask)
+    h = mixed64((rot(h, 27) * p1 + p4) & mask)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize(("n", "seed"), [(8, 1), (39, 1), (227, 2), (1000, 3)])
+def test_permutation_written_out(spark, n, seed):
+    a, b = sharding.grid(n)
+
+    def once(x):
+        left, right = divmod(x, b)
+        for k in range(sharding.ROUNDS):
+            left = (left + xx64(seed * 64 + 2 * k, right) % a) % a
+            right = (right + xx64(seed * 64 + 2 * k + 1, left) % b) % b
+        return left * b + right
+
+    def walk(x):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        return x
+
+    got = sharding.permute(spark.range(n).select(F.col("id").alias("x"), F.col("id").alias("of")), "x", n, seed).collect()
+    assert all(r["x"] == walk(r["of"]) for r in got)
+
+
+def test_all_row_counts_end():
+    """Walks from inside always come back: the permutation of the grid is one, so only cycles that lie wholly outside do not."""
+    for seed in (1, 2, 3):
+        for n in range(1, 400):
+            a, b = sharding.grid(n)
+
+            def once(x):
+                left, right = divmod(x, b)
+                for k in range(sharding.ROUNDS):
+                    left = (left + xx64(seed * 64 + 2 * k, right) % a) % a
+                    right = (right + xx64(seed * 64 + 2 * k + 1, left) % b) % b
+                return left * b + right
+
+            beyond = set(range(n, a * b))
+            entered = beyond - {once(x) for x in beyond}  # what `walks` starts from
+            steps = 0
+            while entered:
+                entered, steps = {y for x in entered if (y := once(x)) >= n}, steps + 1
+                assert steps <= len(beyond)
+
+
+def test_equal_rows_are_numbered_in_parts(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN NULL ELSE id END AS doc_id", "CASE WHEN id < 1500 THEN NULL ELSE 'a' END AS text").repartition(7)
+    rows = sharding.shard(df.sortWithinPartitions("doc_id")).collect()
+    assert sorted((r["shard"], r["slot"]) for r in rows) == sorted((i % 40, i // 40) for i in range(3000))
+
+
 def test_sharding_odd_rows(docs):
     rows = sharding.shard(docs(ODD, {"shard": "'mine'", "size": "1", "__x": "2"}).withColumns({**sharding.measures()}), 3).collect()
     assert len(rows) == len(ODD) and sorted((r["shard"], r["slot"]) for r in rows) == sorted((i % 3, i // 3) for i in range(len(ODD)))

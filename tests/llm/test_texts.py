@@ -470,6 +470,34 @@ def test_pu_risk_ignores_zero_labels(docs):
     assert all((r["predicted"] == 1) == ("vile" in r["text"]) for r in out)
 
 
+def test_pu_risk_against_finite_differences():
+    from plumbline.llm import linear
+
+    rng = np.random.default_rng(4)
+    dense = rng.integers(0, 2, (40, 6)).astype(float)
+    positive = np.arange(40) >= 28
+    prior = 0.2
+    first = np.concatenate([[0], np.cumsum(dense.sum(1).astype(int))])
+    x = linear.Rows(first, np.concatenate([np.flatnonzero(r) for r in dense]), np.ones(first[-1]), 6)
+
+    def risk(both):
+        z = dense @ both[:-1] + both[-1]
+        negative = np.logaddexp(0, z)
+        rest = negative[~positive].mean() - prior * negative[positive].mean()
+        return prior * np.logaddexp(0, -z[positive]).mean() + max(rest, 0.0), rest
+
+    start = np.zeros(7)
+    start[-1] = np.log(prior / (1 - prior))
+    slope = np.array([(risk(start + e)[0] - risk(start - e)[0]) / 2e-6 for e in np.eye(7) * 1e-6])
+    weights, intercept = linear.fit_nonnegative_pu(x, positive, prior, l2=0.0, rounds=1)
+    moved = np.append(weights, intercept) - start
+    known = np.abs(slope) > 1e-6
+    assert known.sum() >= 5 and (np.sign(moved[known]) == -np.sign(slope[known])).all()
+    weights, intercept = linear.fit_nonnegative_pu(x, positive, prior, l2=0.0)
+    end, rest = risk(np.append(weights, intercept))
+    assert end < risk(start)[0] and rest > -0.05  # the part that unlabelled rows leave does not run below zero
+
+
 def test_toxicity_odd_rows(docs):
     df = docs(ODD, {"predicted": "'p'", "SCORE": "2"})
     model = toxicity.learn(docs(ODD).withColumn("toxic", F.lit(None).cast("int")))
