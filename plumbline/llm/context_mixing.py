@@ -19,7 +19,8 @@ crowd one task, are the ones that need no join.
 
 Edge cases: null text is empty and scores its end; without training rows every bit costs one and every token
 log10(1) = 0 in the unigram model; a null id counts as the empty text in the split; repeated rows are scored
-one by one; other columns pass through, but for those that are added. Working columns start with `__cm_`.
+one by one and alike; texts of any length are scored whole, their score is a sum; an empty table gives an empty result; other
+columns pass through, but for those that are added. Working columns start with `__cm_`.
 """
 
 from __future__ import annotations

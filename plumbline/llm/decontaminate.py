@@ -10,7 +10,7 @@ The benchmark is given to the tasks in blocks of at most `block_words` words, on
 one scan of the documents: no shuffle, no join, and a lost task is redone from its own rows.
 
 Edge cases: null or empty text has no words and is clean; items without words are no items; equal items
-count one by one; an item shorter than the window is one window; repeated rows are judged one by one; empty
+count one by one; an item shorter than the window is one window; repeated rows are judged one by one; texts of any length are judged whole; empty
 tables work on either side; other columns pass through. Working columns start with `__dc_`.
 """
 

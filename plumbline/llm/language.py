@@ -12,7 +12,8 @@ texts drawn by hash, at least one of each language. A text with many copies come
 
 Edge cases: null text, and text without a letter, is `und` with score 0, as is everything if nothing was
 learned; rows without language teach nothing; a null id counts as the empty text in the split; ties go to the
-language first in code-point order; other columns pass through. Added columns: `lang_pred`, `score`, which replace
+language first in code-point order; texts of any length are scored whole; repeated rows are scored one by one and alike; an empty
+table gives an empty result; other columns pass through. Added columns: `lang_pred`, `score`, which replace
 columns of these names; working
 columns start with `__la_`.
 """

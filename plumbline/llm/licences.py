@@ -14,7 +14,7 @@ Only runs of two or more template words are streamed (base phrases and templates
 all other words reset the automaton, as they would anyway.
 
 Edge cases: null text is empty: no words, no labels, score 0; a phrase that occurs several times counts every
-time, overlapping ones too; repeated rows are scanned one by one; an empty table gives an empty result; other
+time, overlapping ones too; texts of any length are streamed whole; repeated rows are scanned one by one; an empty table gives an empty result; other
 columns pass through. Added columns: see `scan`; they replace columns of these names; working columns start with `__li_`.
 """
 

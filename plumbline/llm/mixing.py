@@ -11,7 +11,7 @@ The plan (one row per source; ticket counts of sources by shards) passes through
 Documents never do: they meet the plan in a broadcast join with the block table, whose size is bounded.
 
 Edge cases: null text has no words and is taken 0 words; a null source is a source of its own, last in
-order; repeated rows are taken alike; no words at all means all targets 0; an empty table gives an empty
+order; rows that are equal in key and text are one unit and are taken alike; a text longer than its source's target is not taken; no words at all means all targets 0; an empty table gives an empty
 result; other columns pass through. Working columns start with `__mx_`.
 """
 

@@ -24,7 +24,7 @@ grams, found by counting within tasks. Grams and sets are compared by 64-bit has
 
 Edge cases: null text and text without words has no set, links with nothing and is its own component; with
 fewer words than a gram has the sequence is the only gram; a null id counts after all others as the name of a
-component; repeated rows fall into one class; an empty table gives an empty result; other columns pass
+component; texts of any length give their whole set, a slice at a time; repeated rows fall into one class; an empty table gives an empty result; other columns pass
 through. Working columns start with `__nj_`.
 """
 

@@ -2,7 +2,8 @@
 
 Confirmed toxic texts are the positives; a sample of all training texts is the unlabelled set. The risk of
 calling unlabelled texts clean, corrected by what the toxic share among them (the class prior) would add,
-is kept from going below zero, so that the model cannot win by memorising the positives. Words are hashed
+is kept from going below zero, so that the model cannot win by memorising the positives. The prior is an estimate: the
+share of label 1 among all labelled rows that have a word, held to 0.0001 to 0.5. Words are hashed
 to 2^20 buckets; those that positives hold far more often than unlabelled texts are the features, as
 presence in a text, so that long texts are not judged by their length.
 
@@ -12,7 +13,8 @@ no features: they take no part in the fit, nor in the prior that it uses.
 
 Edge cases: null or empty text has no features and gets the intercept's score; without any positive that has
 a word, every score is the prior's over all rows; a null id counts as the empty text in the split; rows of `labels` that repeat are
-counted once per id; other columns pass through. Added columns: `score`, `predicted`, which replace columns of these names; working columns start
+counted once per id; texts of any length are read whole, a word counts once; repeated rows are scored one by one and alike; an
+empty table gives an empty result; other columns pass through. Added columns: `score`, `predicted`, which replace columns of these names; working columns start
 with `__tx_`.
 """
 
