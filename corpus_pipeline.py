@@ -9,6 +9,11 @@ folder and read again as the next one's docs. All but the last return the column
 3. decontamination: documents of whose words a twentieth or more is benchmark text go.
 4. mixing: sources are mixed to their target weights; a document is taken up to three times, or not at all.
 5. sharding: a reproducible shuffle over 40 shards; adds size, text_crc32, law, shard and slot.
+
+Edge cases, stage by stage: null and empty texts are kept by 1, 2 and 3 (no words, no shingles, no benchmark words) and not
+taken by 4 (no words); repeated rows are judged alike by 1 and 3, one of them stays in 2, and 4 takes them alike; texts of any
+length are read whole by every stage; of equal near duplicates the smallest id stays, a null id last; an empty table gives an
+empty one; extra columns pass through all stages, but for those that 5 adds.
 """
 
 from __future__ import annotations
