@@ -44,6 +44,8 @@ LEAST_BITS = 14
 INPUTS = len(MOST_BITS)
 #: Distinct words and windows that a task gathers before it reports them.
 BLOCK = 1 << 21
+#: Windows of a learning task: each task loads the tables, so that small shares of windows would cost more than they are.
+WINDOWS_A_TASK = 1 << 20
 COMMON, COMMON_BITS = 1 << 19, 20
 CONFIDENCE = np.array([0.5, 1.5, 3.5, 15.5])
 GATES = 8 * 25
@@ -284,7 +286,8 @@ def count(training: DataFrame, text: str = "text") -> DataFrame:
 def learn(counts: DataFrame) -> Model:
     """The mixing model from the counts of byte windows."""
     spark, seen = counts.sparkSession, counts.filter("kind = 1").select("key", "n")
-    tables = Tables(seen.count())
+    n = seen.count()
+    tables, seen = Tables(n), seen.coalesce(max(1, -(-n // WINDOWS_A_TASK)))
     found = seen.mapInArrow(count_slots(tables), "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     zeros, ones = (np.zeros(int(tables.begin[-1]), np.float32) for _ in range(2))
     at = found.column("slot").to_numpy()
