@@ -527,31 +527,28 @@ def sample_values(df: DataFrame, columns: list[str] | None = None, order_by: str
     """(column, sample_values): the first ``n`` values per column.
 
     With ``order_by`` these are the first non-null values in that order (a per-task top-n, no
-    sort of the table). Without it they come from whichever rows Spark reads first.
+    sort of the table), in one pass for all columns. Without it they come from the rows that Spark reads first.
     """
     columns = df.columns if columns is None else columns
-    spark = df.sparkSession
     if order_by is not None:
-        out = None
-        for c in columns:
-            top = (
-                df.filter(col(c).isNotNull()).select(col(order_by).alias("o"), col(c).cast("string").alias("v"))
-                .orderBy("o").limit(n)
-                .agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias("sample_values"))
-                .select(F.lit(c).alias("column"), "sample_values")
-            )
-            out = top if out is None else out.unionByName(top)
-        return out
+        return _first_values(df, columns, col(order_by), n)
     texts = df.select(*[_cell_value(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
     head = texts.limit(50).collect()
-    rows = []
-    for i, c in enumerate(columns):
-        found = [r[i] for r in head if r[i] is not None][:n]
-        if len(found) < n and len(head) == 50:
-            more = texts.select(f"c{i}").filter(F.col(f"c{i}").isNotNull()).limit(n).collect()
-            found = [r[0] for r in more]
-        rows.append((c, found))
-    return spark.createDataFrame(rows, "column string, sample_values array<string>")
+    found = {c: [r[i] for r in head if r[i] is not None][:n] for i, c in enumerate(columns)}
+    sparse = [c for c in columns if len(found[c]) < n and len(head) == 50]
+    if sparse:  # one pass for all of them, in the order of reading
+        found |= {r["column"]: r["sample_values"] for r in _first_values(df, sparse, F.monotonically_increasing_id(), n).collect()}
+    return df.sparkSession.createDataFrame(list(found.items()), "column string, sample_values array<string>")
+
+
+def _first_values(df: DataFrame, columns: list[str], order: Column, n: int) -> DataFrame:
+    """(column, sample_values) of all columns at once: a top-n per column and task, then per column."""
+    cell = F.array(*[F.struct(F.lit(c).alias("column"), _cell_value(df, c).cast("string").alias("v")) for c in columns])
+    present = df.select(order.alias("o"), cell.alias("x")).select("o", F.inline("x")).filter("v IS NOT NULL")
+    top = present.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("o"))).filter(F.col("r") <= n)
+    taken = top.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "v"))), lambda s: s["v"]).alias("sample_values"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(taken, "column", "left").select("column", F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"))
 
 
 # --- further operators over one table -------------------------------------------------------
