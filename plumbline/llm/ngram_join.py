@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import cut
+from plumbline.llm.shared import cut, small_batches
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, slices, word_spans
 
 PERCENT, WORDS = 90, 3
@@ -271,6 +271,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, key: str, text: str, percent: int, words: int):
         spark, self.percent, self.words = docs.sparkSession, percent, words
+        small_batches(spark)
         self.texts = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
         often = self.texts.select("__nj_text").mapInArrow(frequent_grams("__nj_text", words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         often = cut(often)

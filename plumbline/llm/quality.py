@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.llm.linear import fit_logistic, rows_from, sigmoid
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import cut, drawn, fair_draw, replaced
+from plumbline.llm.shared import cut, drawn, fair_draw, replaced, small_batches
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, rows_of, slices, sum_by_row, word_spans
 
 DEFECTS = ["marks", "capitals", "lines", "runs", "word_length", "letters", "cells", "echo"]
@@ -222,6 +222,7 @@ def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -
 def classify(docs: DataFrame, model: Model | None = None, text: str = "text", reject_below: float = REJECT_BELOW, prefix: str = "") -> DataFrame:
     """docs with votes, posterior, score and keep (with prefix before the names); such columns of docs are replaced."""
     docs = replaced(docs, *(prefix + c for c in ADDED))
+    small_batches(docs.sparkSession)
     shared, columns = docs.sparkSession.sparkContext.broadcast(model or learn(docs, text)), docs.columns
     added = [T.StructField(prefix + c, kind) for c, kind in ADDED.items()]
 

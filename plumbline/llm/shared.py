@@ -25,6 +25,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of one Arrow batch of whole texts, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most BATCH_ROWS rows: a larger setting of the session is lowered, as a
+    batch of 10,000 long texts would fill the memory of an executor twice over (once on each side)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small plan table as one JSON literal: no Python or RDD behind it."""
     text = json.dumps(rows, ensure_ascii=True)
