@@ -150,7 +150,7 @@ class Model:
     """Tables, mixer weights and map. What it shares goes to the tasks once, the rest with each step."""
 
     def __init__(self, tables: Tables, zeros: np.ndarray, ones: np.ndarray):
-        self.tables, self.zeros, self.ones = tables, zeros.astype(np.float32), ones.astype(np.float32)
+        self.tables, self.zeros, self.ones = tables, zeros.astype(np.float32, copy=False), ones.astype(np.float32, copy=False)
         self.stretched = self.seen = self.shared = None
         self.weights = np.full((GATES, INPUTS + 1), 0.25, np.float32)
         self.weights[:, INPUTS] = 0.0
@@ -171,9 +171,13 @@ class Model:
 
     def freeze(self) -> None:
         """From here on the model only scores: a slot's prediction and confidence are looked up, its counts are not."""
-        self.stretched = np.log((self.ones + np.float32(0.4)) / (self.zeros + np.float32(0.4)))
-        self.seen = np.searchsorted(CONFIDENCE, self.zeros + self.ones).astype(np.uint8)
-        self.zeros = self.ones = None
+        self.release()
+        self.seen = np.zeros(len(self.ones), np.uint8)
+        for lo in range(0, len(self.ones), 1 << 18):  # in pieces: no further copy of the tables
+            part = slice(lo, lo + (1 << 18))
+            self.seen[part] = np.searchsorted(CONFIDENCE, self.zeros[part] + self.ones[part])
+            self.ones[part] = np.log((self.ones[part] + np.float32(0.4)) / (self.zeros[part] + np.float32(0.4)))
+        self.stretched, self.zeros, self.ones = self.ones, None, None
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in self.ARRAYS or self.shared is None}
@@ -288,11 +292,12 @@ def learn(counts: DataFrame) -> Model:
     spark, seen = counts.sparkSession, counts.filter("kind = 1").select("key", "n")
     n = seen.count()
     tables, seen = Tables(n), seen.coalesce(max(1, -(-n // WINDOWS_A_TASK)))
-    found = seen.mapInArrow(count_slots(tables), "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    found = seen.mapInArrow(count_slots(tables), "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").cast("float").alias("zeros"), F.sum("ones").cast("float").alias("ones")).toArrow()
     zeros, ones = (np.zeros(int(tables.begin[-1]), np.float32) for _ in range(2))
     at = found.column("slot").to_numpy()
     zeros[at], ones[at] = found.column("zeros").to_numpy(), found.column("ones").to_numpy()
     model = Model(tables, zeros, ones)
+    del found, at, zeros, ones  # the driver keeps one copy of the tables
     model.share(spark)
     for _ in range(2):
         rows = seen.mapInArrow(learn_weights(model), "seen double, weights array<double>").groupBy().agg(F.sum("seen"), F.array(*(F.sum(F.col("seen") * F.col("weights")[i]) for i in range(GATES * (INPUTS + 1))))).first()
