@@ -17,7 +17,7 @@ meets the most central class of each of its prefix grams, then the others. At a
 classes, only pairs that are not yet connected meet, one side of which is outside the largest component
 there; this changes the work, not the result. Nothing is capped: each linked pair is either
 verified or already connected, so components are exact. Components are found by alternating star
-contraction of the links, with checkpoints.
+contraction of the links, each round of which is written to the shared folder.
 
 The list of frequent grams only orders the grams (any order is correct); it holds at most `MOST_FREQUENT`
 grams, found by counting within tasks. Grams and sets are compared by 64-bit hashes.
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.llm.registry import query, table
-from plumbline.llm.shared import cut, small_batches
+from plumbline.llm.shared import small_batches, stored
 from plumbline.llm.tokens import NOT_SPACE, hash_spans, mix64, slices, word_spans
 
 PERCENT, WORDS = 90, 3
@@ -232,12 +232,21 @@ def segments(text: str, bits, words: int):
     return run
 
 
+def map_place(column: str) -> Column:
+    """Where a hashed key stands on a map; Spark's buckets count from 1."""
+    return F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1
+
+
+def map_parts(keys: DataFrame, column: str) -> DataFrame:
+    """A map of 2^MAP_BITS bits (8 MB) of hashed keys as rows (b, m) of 4,096 bytes, 2,048 at most."""
+    place = keys.select(map_place(column).alias("p"))
+    return place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+
+
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A map of 2^MAP_BITS bits (8 MB) of hashed keys, put together by Spark."""
-    place = keys.select((F.col(column).bitwiseAND(F.lit((1 << MAP_BITS) - 1)) + 1).alias("p"))  # Spark's buckets count from 1
-    parts = place.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
+    """The map put together."""
     out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
-    for b, m in parts:
+    for b, m in map_parts(keys, column).collect():
         out[(b - 1) * 4096 : b * 4096] = np.frombuffer(bytes(m), np.uint8)
     return out
 
@@ -246,7 +255,7 @@ def star_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) of all nodes of edges (a, b), root the smallest node connected: alternating stars. After a
     given number of rounds, roots may be further apart than need be, but nodes with one root are connected."""
     tidy = lambda e: e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before, done = cut(tidy(edges)), None, 0
+    now, before, done = stored(tidy(edges)), None, 0
     while done != rounds:
         done += 1
         if rounds is None:
@@ -256,10 +265,10 @@ def star_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
             before = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
+        large = stored(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = cut(tidy(small))
+        now = stored(tidy(small))
     leaves = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     if rounds is not None:
         return leaves
@@ -274,7 +283,7 @@ class Join:
         small_batches(spark)
         self.texts = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
         often = self.texts.select("__nj_text").mapInArrow(frequent_grams("__nj_text", words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        often = cut(often)
+        often = stored(often)
         least = F.sum("k").over(Window.orderBy(F.desc("n")))  # one row per count up to 1,000, fewer than a thousand rows
         sizes = often.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
         enough = sizes.withColumn("upto", least).filter(F.col("upto") <= MOST_FREQUENT).agg(F.min("n")).first()[0]
@@ -285,7 +294,7 @@ class Join:
         kinds = {f.name: f.dataType for f in slim.schema}
         schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.LongType()) for c in (*PACKED, *FINE)), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
         #: One row per document; all that the join needs but the sets of candidates.
-        self.rows = cut(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], order, percent, words), schema))
+        self.rows = stored(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], order, percent, words), schema))
         order.destroy()  # what was cut reads files from here on
 
     def fits(self, nx, ny, px, py) -> Column:
@@ -301,12 +310,12 @@ class Join:
 
     def prefixes_fit(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y, nx, ny) whose prefixes share enough."""
-        pairs = cut(pairs)
+        pairs = stored(pairs)
         ends = pairs.select(F.col("x").alias("__nj_c")).union(pairs.select(F.col("y").alias("__nj_c"))).distinct()
         first = self.rows.select("__nj_c", "__nj_r").join(ends, "__nj_c", "left_semi").groupBy("__nj_c").agg(F.min("__nj_r").alias("__nj_r"))
         bits = pairs.sparkSession.sparkContext.broadcast(bitmap(first, "__nj_r"))
         found = self.rows.select("__nj_r", "__nj_c", "__nj_prefix").mapInArrow(on_map("__nj_r", bits), "__nj_r long, __nj_c long, __nj_prefix array<long>")
-        prefix = cut(found.join(ends, "__nj_c", "left_semi").dropDuplicates(["__nj_c"]))
+        prefix = stored(found.join(ends, "__nj_c", "left_semi").dropDuplicates(["__nj_c"]))
         bits.destroy()
         side = lambda c, g: prefix.select(F.col("__nj_c").alias(c), F.col("__nj_prefix").alias(g))
         both = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), "y")
@@ -315,11 +324,11 @@ class Join:
 
     def verified(self, candidates: DataFrame) -> DataFrame:
         """The candidates (x, y, nx, ny) that link, by partial overlaps summed over the fragments."""
-        pairs = cut(self.prefixes_fit(candidates))
+        pairs = stored(self.prefixes_fit(candidates))
         ends = pairs.select(F.col("x").alias("__nj_c")).union(pairs.select(F.col("y").alias("__nj_c"))).distinct()
         first = self.rows.select("__nj_c", "__nj_r").join(ends, "__nj_c", "left_semi").groupBy("__nj_c").agg(F.min("__nj_r").alias("__nj_r"))
         bits = pairs.sparkSession.sparkContext.broadcast(bitmap(first, "__nj_r"))
-        parts = cut(self.texts.mapInArrow(segments("__nj_text", bits, self.words), "c long, f int, grams array<long>"))
+        parts = stored(self.texts.mapInArrow(segments("__nj_text", bits, self.words), "c long, f int, grams array<long>"))
         bits.destroy()
         side = lambda c, g: parts.select(F.col("c").alias(c), "f", F.col("grams").alias(g))
         partial = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), ["y", "f"]).select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("gx", "gy")).alias("o"))
@@ -337,15 +346,15 @@ class Join:
         grams_map = share(bitmap(grams.filter("a <> b"), "g"))
         rows_map = share(bitmap(full.groupBy("__nj_c").agg(F.min("__nj_r").alias("r")), "r"))
         fields = ["p", "c", "n", *PACKED]
-        prefix = cut(full.select("__nj_r", "__nj_c", "n_shingles", *PACKED, "__nj_prefix").mapInArrow(shared_prefixes(grams_map, rows_map), "g long, p int, c long, n long, s0 long, s1 long, s2 long, s3 long"))
+        prefix = stored(full.select("__nj_r", "__nj_c", "n_shingles", *PACKED, "__nj_prefix").mapInArrow(shared_prefixes(grams_map, rows_map), "g long, p int, c long, n long, s0 long, s1 long, s2 long, s3 long"))
         grams_map.destroy()
         rows_map.destroy()
-        shared = cut(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("other"), F.min("c").alias("one"), F.min(F.struct(*fields)).alias("lead")).filter("one <> other").select("g", "k", *(F.col(f"lead.{c}").alias(f"{c}x") for c in fields)))
+        shared = stored(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("other"), F.min("c").alias("one"), F.min(F.struct(*fields)).alias("lead")).filter("one <> other").select("g", "k", *(F.col(f"lead.{c}").alias(f"{c}x") for c in fields)))
 
         member = prefix.select("g", *(F.col(c).alias(f"{c}y") for c in fields))
         pairs = lambda df: df.select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"), F.when(F.col("cx") < F.col("cy"), F.col("nx")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("cx") < F.col("cy"), F.col("ny")).otherwise(F.col("nx")).alias("ny")).distinct()
         fit = self.fits("nx", "ny", "px", "py") & self.segments_fit("nx", "ny", "x", "y")
-        links = cut(self.verified(pairs(member.join(shared, "g").filter((F.col("cx") != F.col("cy")) & fit))).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        links = stored(self.verified(pairs(member.join(shared, "g").filter((F.col("cx") != F.col("cy")) & fit))).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
         # the others of each gram meet one another
         p = self.percent
@@ -356,11 +365,11 @@ class Join:
         named = lambda df, i, *more: df.select("g", *(F.col(c).alias(c + i) for c in (*fields, *more)))
         met = pairs(named(few, "x").join(named(few, "y"), "g").filter((F.col("cx") < F.col("cy")) & fit))
         # in a crowd, only pairs that the first round left apart, one side outside the largest component
-        roots = cut(star_components(links, rounds=1))
-        crowd = cut(rest.filter(F.col("k") > CROWD).join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")))
+        roots = stored(star_components(links, rounds=1))
+        crowd = stored(rest.filter(F.col("k") > CROWD).join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")))
         top = crowd.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("top")).select("g", F.col("top.root").alias("top"))
         fine = self.rows.select(F.col("__nj_c").alias("c"), *FINE).join(crowd.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
-        crowd = cut(crowd.join(top, "g").join(fine, "c"))
+        crowd = stored(crowd.join(top, "g").join(fine, "c"))
         x, y = named(crowd, "x", "root", "top", *FINE), named(crowd, "y", "root", "top", *FINE)
         apart = (F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("topy")) | (F.col("cx") < F.col("cy")))
         more = pairs(x.filter("rootx <> topx").join(y, "g").filter(apart & fit & self.segments_fit("nx", "ny", "x", "y", FINE)))
@@ -368,34 +377,42 @@ class Join:
         known = met.union(more).distinct().join(root("x"), "x", "left").join(root("y"), "y", "left")
         open_ = known.filter(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y", "nx", "ny")
         crossed = self.verified(open_).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        return star_components(cut(links.union(crossed))).select(F.col("node").alias("__nj_c"), F.col("root").alias("__nj_root"))
+        return star_components(stored(links.union(crossed))).select(F.col("node").alias("__nj_c"), F.col("root").alias("__nj_root"))
 
     def assigned(self) -> DataFrame:
         """__nj_id, __nj_r, n_shingles and __nj_group of every document; the group is null for one without a set."""
-        roots = cut(self.components())
+        roots = stored(self.components())
         rows = self.rows.select("__nj_id", "__nj_r", "n_shingles", "__nj_c")
         return rows.join(roots, "__nj_c", "left").select("__nj_id", "__nj_r", "n_shingles", F.coalesce("__nj_root", "__nj_c").alias("__nj_group"))
 
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """key, n_shingles and component_id, the smallest key that links reach, of every row of docs."""
-    rows = cut(Join(docs, key, text, percent, words).assigned())
+    rows = stored(Join(docs, key, text, percent, words).assigned())
     least = rows.filter("__nj_group is not null").groupBy("__nj_group").agg(F.min("__nj_id").alias("__nj_least"))
     return rows.join(least, "__nj_group", "left").select(F.col("__nj_id").alias(key), "n_shingles", F.when(F.col("__nj_group").isNull(), F.col("__nj_id")).otherwise(F.col("__nj_least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """docs with one row of each component, that of the smallest key; rows without a set all stay, repeated rows once."""
-    rows = cut(Join(docs, key, text, percent, words).assigned())
+    rows = stored(Join(docs, key, text, percent, words).assigned())
     first = rows.filter("__nj_group is not null").groupBy("__nj_group").agg(F.min(F.struct(F.col("__nj_id").isNull().alias("no"), F.col("__nj_id"), F.col("__nj_r"))).alias("least")).select("least.__nj_r")
     kept = first.union(rows.filter("__nj_group is null").select("__nj_r").distinct())
-    kept, repeated = cut(kept), cut(rows.groupBy("__nj_r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__nj_r"))
-    marked = docs.withColumn("__nj_r", F.xxhash64(F.col(key).cast("string"), F.col(text)))
-    chosen = lambda keys: marked.join(keys.hint("shuffle_hash"), "__nj_r", "left_semi")  # noqa: E731  texts are not sorted
-    if repeated.isEmpty():
-        return chosen(kept).drop("__nj_r")
-    once = chosen(kept.join(repeated, "__nj_r", "left_anti"))
-    return once.unionByName(chosen(kept.join(repeated, "__nj_r", "left_semi")).dropDuplicates(["__nj_r"])).drop("__nj_r")
+    kept, repeated = stored(kept), stored(rows.groupBy("__nj_r").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__nj_r"))
+    # rows that go or that come more than once are on a map; whatever is not on it stays, without a shuffle of texts
+    doubtful = stored(rows.select("__nj_r").join(kept, "__nj_r", "left_anti").union(repeated))
+    parts = map_parts(doubtful, "__nj_r")
+    place = map_place("__nj_r")
+    bit, byte = F.bitmap_bit_position(place), F.expr("conv(hex(substring(__nj_m, CAST(__nj_bit DIV 8 AS INT) + 1, 1)), 16, 10)").cast("int")
+    marked = docs.withColumn("__nj_r", F.xxhash64(F.col(key).cast("string"), F.col(text))).withColumns({"__nj_b": F.bitmap_bucket_number(place), "__nj_bit": bit})
+    on = F.coalesce(F.expr("shiftright(__nj_byte, CAST(__nj_bit % 8 AS INT)) & 1") == 1, F.lit(False))
+    tested = marked.join(F.broadcast(parts.select(F.col("b").alias("__nj_b"), F.col("m").alias("__nj_m"))), "__nj_b", "left").withColumn("__nj_byte", byte).withColumn("__nj_on", on).drop("__nj_b", "__nj_m", "__nj_byte", "__nj_bit")
+    sure, checked = tested.filter("NOT __nj_on").drop("__nj_on"), tested.filter("__nj_on").drop("__nj_on")
+    chosen = lambda keys: checked.join(keys.hint("shuffle_hash"), "__nj_r", "left_semi")  # noqa: E731  texts are not sorted
+    out = sure.unionByName(chosen(kept.join(repeated, "__nj_r", "left_anti")))
+    if not repeated.isEmpty():
+        out = out.unionByName(chosen(kept.join(repeated, "__nj_r", "left_semi")).dropDuplicates(["__nj_r"]))
+    return out.drop("__nj_r")
 
 
 SQL = rf"""
