@@ -80,6 +80,16 @@ def test_odd_rows_and_keep_one(docs):
     assert ngram_join.join_components(docs([])).collect() == [] and ngram_join.keep_one(docs([])).collect() == []
 
 
+def test_keep_one_takes_columns_of_any_name(docs):
+    """Rows that stay without a check, that go, and that are repeated; columns named like those of the map."""
+    same = "a b c d e f g h"
+    rows = [(1, same), (2, same), (3, "q r s t u v"), (4, "one two three four"), (4, "one two three four"), (5, None)]
+    df = docs(rows, {"m": "'m'", "b": "1", "`x.y`": "2"})
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["m"], r["b"], r["x.y"]) for r in kept.collect()) == [(i, "m", 1, 2) for i in (1, 3, 4, 5)]
+
+
 def brute_links(rows, words, percent):
     sets = {}
     for i, t in rows:
