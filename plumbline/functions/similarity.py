@@ -10,6 +10,7 @@ import sys
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
@@ -72,6 +73,66 @@ def indel_reaches(a: str, b: str, threshold: float, counts: dict[str, Counter])
     return indel(a, b) >= threshold if len(b) < 128 else 200.0 * common_subsequence(a, b, need) / (len(a) + len(b)) >= threshold
 
 
+WORD = 64  # characters of a text that one machine word stands for
+
+
+class Texts:
+    """Some texts as arrays, so that one text is compared with all of them at once. Texts of more than WORD characters
+    have only their counts of letters here."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.n = texts, np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.repeat(np.arange(len(texts)), self.n)
+        self.letters, codes = np.unique(flat, return_inverse=True)
+        x = self.letters.astype(np.int64)
+        kinds = np.select([(x >= 97) & (x < 123), (x >= 48) & (x < 58), x == 32], [x - 97, x - 22, 36], 37 + x % 27)
+        counts = np.bincount(own * 64 + kinds[codes], minlength=64 * len(texts)).reshape(-1, 64)
+        # counts of 64 kinds of letters in unary, four bits each, and how many letters are beyond four
+        unary = np.array([0, 1, 3, 7, 15], np.uint64)[np.minimum(counts, 4)] << (4 * (np.arange(64, dtype=np.uint64) % np.uint64(16)))
+        self.bits = [np.bitwise_or.reduce(unary[:, 16 * w : 16 * w + 16], axis=1) for w in range(4)]
+        self.more = np.maximum(counts - 4, 0).sum(axis=1)
+        place = np.arange(len(flat)) - (np.cumsum(self.n) - self.n)[own]
+        short = self.n[own] <= WORD
+        self.codes = np.zeros((min(WORD, int(self.n.max(initial=0))), len(texts)), np.int32)
+        self.codes[place[short], own[short]] = codes[short] + 1
+
+    def take(self, rows: np.ndarray) -> Texts:
+        """Some of the texts."""
+        out = Texts.__new__(Texts)
+        out.texts, out.letters, out.n, out.more = [self.texts[i] for i in rows.tolist()], self.letters, self.n[rows], self.more[rows]
+        out.bits, out.codes = [b[rows] for b in self.bits], self.codes[:, rows]
+        return out
+
+    def reaching(self, other: Texts, k: int, threshold: float) -> np.ndarray:
+        """Rows whose ``indel`` with text k of others is at least the threshold, as ``indel_reaches`` says."""
+        t, m = other.texts[k], len(other.texts[k])
+        both = sum((np.bitwise_count(b & o[k]) for b, o in zip(self.bits, other.bits)), np.minimum(self.more, other.more[k]))
+        rows = np.flatnonzero(both >= (self.n + m) * threshold / 200.0 - 1e-6)
+        if m > WORD:
+            counts: dict[str, Counter] = {}
+            return np.array([i for i in rows.tolist() if indel_reaches(t, self.texts[i], threshold, counts)], np.int64)
+        long = rows[self.n[rows] > WORD]
+        rows = rows[self.n[rows] <= WORD]
+        places = np.zeros(len(self.letters) + 1, np.uint64)
+        for i, ch in enumerate(t):
+            at = int(np.searchsorted(self.letters, ord(ch)))
+            if at < len(self.letters) and self.letters[at] == ord(ch):
+                places[at + 1] |= np.uint64(1 << i)
+        # the steps of common_subsequence on all rows; what runs over the pattern's bits never comes back
+        row = np.full(len(rows), (1 << WORD) - 1, np.uint64)
+        for codes in self.codes[: int(self.n[rows].max(initial=0)), rows]:
+            hit = row & places[codes]
+            row = (row + hit) | (row - hit)
+        common = m - np.bitwise_count(row & np.uint64((1 << m) - 1)).astype(np.int64)
+        total = self.n[rows] + m
+        rows = rows[np.where(total > 0, 200.0 * common / np.maximum(total, 1), 100.0) >= threshold]
+        if len(long):
+            counts = {}
+            rows = np.concatenate([rows, np.array([i for i in long.tolist() if indel_reaches(t, self.texts[i], threshold, counts)], np.int64)])
+        return rows
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 100.0 if a else 0.0

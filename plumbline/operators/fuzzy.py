@@ -17,7 +17,11 @@ joins its smallest leader. That definition needs no order of execution, so it ru
 4. Rounds end when no text is open. The depth is as large as a bounded number of expected pairs allows; where no
    token is crowded, one round is enough.
 
-Nothing is capped: the filter is exact for every score and threshold, and nothing but counts reaches the driver.
+Before that, for ratio, crowds are peeled off (`peeled`): the first open texts are settled among themselves, and their leaders claim
+what they reach of all open texts, compared many at a time. As all smaller texts are settled, this is final. It goes
+on as long as leaders have enough followers; what is left goes the way above.
+
+Nothing is capped: the filter is exact for every score and threshold, and nothing but counts and a batch of leaders reaches the driver.
 """
 
 from __future__ import annotations
@@ -46,6 +50,11 @@ DEPTHS = [16 * 4**k for k in range(14)]
 BAND = 1.15  # lengths of one band differ by this factor at most, or not at all
 MOST_TOGETHER = {2: 14, 3: 9}  # the longest prefixes whose characters are taken in twos and in threes
 MAX_BROADCAST_LIMITS = 1 << 17
+HEADS = [512 * 4**k for k in range(5)]  # open texts that are settled among themselves in one task
+MOST_LEADERS = 4_096  # leaders that claim in one pass
+CHEAP = 1 << 15  # open texts for each of which a pass pays with one follower more for every leader
+SLICE_ROWS, SLICE_CHARACTERS = 1 << 15, 1 << 21
+LONG_SHARE = 0.01
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -321,9 +330,140 @@ def _first_independent(ready: DataFrame, edges: DataFrame) -> DataFrame:
         undecided = checkpoint(undecided.join(first, "id", "left_anti").join(gone, "id", "left_anti"))
 
 
+def _by_block(table) -> list[tuple[object, object]]:
+    """(block, rows) of an Arrow table; rows keep their order."""
+    import numpy as np
+
+    keys = table.column("block").combine_chunks().dictionary_encode()
+    order = np.argsort(keys.indices.to_numpy(), kind="stable")
+    edges = np.cumsum(np.bincount(keys.indices.to_numpy(), minlength=len(keys.dictionary)))
+    return [(k, order[a:b]) for k, a, b in zip(keys.dictionary.to_pylist(), [0, *edges], edges)]
+
+
+def _leading(threshold: float, most: int):
+    """For mapInArrow over a bounded number of texts in one partition: those that lead among them. Once there are `most`, what comes
+    later in a block stays undecided."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).sort_by([("id", "ascending"), ("text", "ascending")])
+        leaders = []
+        for _, rows in _by_block(table):
+            if len(leaders) >= most:
+                break
+            texts, place = similarity.Texts(table.column("text").take(pa.array(rows)).to_pylist()), 0
+            alive = np.ones(len(rows), bool)
+            while len(leaders) < most and len(ahead := np.flatnonzero(alive[place:])):
+                place += int(ahead[0])
+                leaders.append(int(rows[place]))
+                alive[texts.reaching(texts, place, threshold)] = False
+                if alive.sum() * 4 < len(rows) * 3:  # what is settled is left out now and then
+                    rows, texts, place = rows[alive], texts.take(np.flatnonzero(alive)), 0
+                    alive = np.ones(len(rows), bool)
+        yield from table.take(pa.array(leaders, pa.int64())).to_batches()
+
+    return run
+
+
+def _claiming(leaders, threshold: float):
+    """For mapInArrow over open texts: the same with the smallest of the leaders, a broadcast Arrow table, that reaches them."""
+    import numpy as np
+    import pyarrow as pa
+
+    def claimed(table, heads, ids, of):
+        out = np.full(table.num_rows, -1, np.int64)
+        for block, rows in _by_block(table):
+            if block not in heads:
+                continue
+            texts = similarity.Texts(table.column("text").take(pa.array(rows)).to_pylist())
+            for k, place in enumerate(of[block]):
+                hit = rows[texts.reaching(heads[block], k, threshold)]
+                out[hit[out[hit] < 0]] = place
+                open_ = out[rows] < 0 if len(hit) else None
+                if open_ is not None and open_.sum() * 4 < len(rows) * 3:
+                    rows, texts = rows[open_], texts.take(np.flatnonzero(open_))
+                if not len(rows):
+                    break
+        return ids.take(pa.array(out, mask=out < 0))
+
+    def run(batches):
+        found = leaders.value
+        of = dict(_by_block(found))
+        names = found.column("text").to_pylist()
+        heads = {b: similarity.Texts([names[i] for i in rows]) for b, rows in of.items()}
+        ids, held = found.column("id").combine_chunks(), []
+
+        def flush():
+            table = pa.Table.from_batches(held)
+            held.clear()
+            return table.append_column("leader", claimed(table, heads, ids, of)).to_batches()
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                size = np.cumsum(batch.column("n").slice(at, SLICE_ROWS).to_numpy())
+                upto = max(1, int(np.searchsorted(size, SLICE_CHARACTERS, "right")))
+                held.append(batch.slice(at, upto))
+                at += upto
+                if sum(b.num_rows for b in held) >= SLICE_ROWS or at < batch.num_rows:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def peeled(nodes: DataFrame, threshold: float) -> tuple[list[DataFrame], DataFrame | None]:
+    """Settled texts (block, id, text, leader) of crowds by their ratio, and the open ones (block, id, text) that are left, if any.
+    No text that is left is similar to a settled one's leader, so they form a problem of their own."""
+    spark = nodes.sparkSession
+    open_ = nodes.filter("id IS NOT NULL").select("block", "id", "text", F.length("text").cast("long").alias("n"))
+    texts, long = open_.agg(F.count(F.lit(1)), F.count_if(F.col("n") > similarity.WORD)).first()
+    if not texts:
+        return [], None
+    if long > texts * LONG_SHARE:
+        return [], nodes
+    open_ = checkpoint(open_.repartition(_tasks(nodes, texts / SLICE_ROWS), "id", "text"))
+    fields = T.StructType(open_.schema.fields)
+    settled, sizes = [], list(HEADS)
+    while texts:
+        size = sizes[0]
+        head = open_
+        if texts > CHEAP and texts > 4 * size:  # the smallest ids, about as many as wanted, by every 64th
+            last = open_.filter(F.pmod(F.xxhash64("id", "text"), F.lit(64)) == 0).select("id").orderBy("id").limit(max(1, size // 64)).agg(F.max("id").alias("last"))
+            head = open_.join(F.broadcast(last), F.col("id") <= F.col("last")).drop("last")
+        head = head.orderBy("id", "text").limit(max(CHEAP, 2 * size))
+        most = MOST_LEADERS
+        found = head.coalesce(1).mapInArrow(_leading(threshold, most), fields).toArrow()
+        if not found.num_rows:  # no id among every 64th
+            found = open_.orderBy("id", "text").limit(size).coalesce(1).mapInArrow(_leading(threshold, most), fields).toArrow()
+        leaders = spark.sparkContext.broadcast(found)
+        claimed = checkpoint(open_.mapInArrow(_claiming(leaders, threshold), T.StructType([*fields, T.StructField("leader", fields["id"].dataType)])))
+        leaders.destroy()
+        settled.append(claimed.filter("leader IS NOT NULL").drop("n"))
+        open_ = claimed.filter("leader IS NULL").drop("leader")
+        left = open_.count()
+        if left > CHEAP and texts - left - found.num_rows < found.num_rows * (texts / CHEAP):
+            return settled, open_.drop("n")
+        if found.num_rows < most // 4 and len(sizes) > 1:
+            sizes.pop(0)
+        texts = left
+    return settled, None
+
+
 def _assign(nodes: DataFrame, algorithm: str, threshold: float) -> DataFrame:
     """(block, id, text, leader) for every node (block, id, text)."""
-    return nodes.join(Crowd(nodes, algorithm, threshold).leaders(), "id").select("block", "id", "text", "leader")
+    settled, rest = peeled(nodes, threshold) if algorithm == "ratio" and threshold <= 100 else ([], nodes)
+    if rest is not None:
+        settled = [*settled, rest.join(Crowd(rest, algorithm, threshold).leaders(), "id").select("block", "id", "text", "leader")]
+    out = nodes.limit(0).withColumn("leader", F.col("id")).select("block", "id", "text", "leader")
+    for s in settled:
+        out = out.unionByName(s)
+    return out
 
 
 def _groups(rows: DataFrame, algorithm: str, threshold: float, match_type: str, key_columns: list[str], prefix: str = "") -> DataFrame:

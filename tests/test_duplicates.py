@@ -107,6 +107,44 @@ def test_fuzzy_groups_match_brute_force(spark, monkeypatch, algorithm, threshold
     assert {k: sorted(v) for k, v in got.items()} == brute_groups(plain, algorithm, threshold)
 
 
+@pytest.mark.parametrize(("heads", "most", "cheap", "rows"), [([3, 12], 2, 1, 4), ([1], 100, 8, 100), ([50], 1, 1000, 7)])
+def test_peeled_groups_match_brute_force(spark, monkeypatch, heads, most, cheap, rows):
+    """Any size of the batches, also with texts beyond a machine word, and rest for the tokens."""
+    for name, v in (("HEADS", heads), ("MOST_LEADERS", most), ("CHEAP", cheap), ("SLICE_ROWS", rows), ("LONG_SHARE", 1)):
+        monkeypatch.setattr(Z, name, v)
+    values = names()[::2] + ["river data " * 7 + x for x in ("", "xyz", "north labs global co", "\u00fc")] + [f"Customer#{i * 37:09d}" for i in range(60)]
+    df = spark.createDataFrame([(i, i % 2, v) for i, v in enumerate(values)], "rid bigint, half int, name string").repartition(3)
+    plain = [r[0] for r in df.orderBy("rid").select(S.normalize(F.col("name"))).collect()]
+    got, halves = {}, {}
+    for r in Z.fuzzy_groups(df, "name", "rid", 80).collect():
+        got.setdefault(r["group_id"], []).append(r["row_id"])
+    assert {k: sorted(v) for k, v in got.items()} == brute_groups(plain, "ratio", 80)
+    for r in Z.combined_groups(df, ["half"], ["name"], "rid", 80).collect():
+        halves.setdefault(int(r["group_id"].split(":")[1]), []).append(r["row_id"])
+    want = {}
+    for h in (0, 1):
+        want |= {2 * k + h: [2 * i + h for i in v] for k, v in brute_groups(plain[h::2], "ratio", 80).items()}
+    assert {k: sorted(v) for k, v in halves.items()} == want
+
+
+def test_crowds_do_not_meet_at_tokens(spark, monkeypatch):
+    """Names that are all alike are settled by their few leaders, a batch of them at a time."""
+    monkeypatch.setattr(Z, "CHEAP", 64)
+    monkeypatch.setattr(Z, "HEADS", [16])
+    nodes = spark.range(1500).selectExpr("0 AS block", "id", "format_string('customer%09d', id) AS text")
+    settled, rest = Z.peeled(nodes, 85)
+    assert rest is None and sum(s.count() for s in settled) == 1500
+
+
+def test_one_text_against_many_scores_as_pairs_do():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab1 \u00fc\U0001f600") for _ in range(rng.choice([0, 1, 5, 9, 63, 64, 65, 130]))) for _ in range(150)]
+    many = S.Texts(texts)
+    for k, t in enumerate(texts):
+        for threshold in (60, 85, 100):
+            assert sorted(many.reaching(many, k, threshold).tolist()) == [i for i, u in enumerate(texts) if S.indel(t, u) >= threshold]
+
+
 def test_no_similar_pair_is_lost():
     """Every pair of random texts that is similar shares a token, and its signatures overlap enough."""
     rng = random.Random(5)
