@@ -40,10 +40,14 @@ def to_number(c: Column, dtype: T.DataType | None = None) -> Column:
     return F.when(s.rlike(_NUMERIC_TEXT), s.try_cast("double")).when(s.rlike(_INFINITE_TEXT), infinite)
 
 
+def _places(c: Column) -> Column:
+    """How many decimals 15 significant digits leave."""
+    return F.when(c == 0, 0).otherwise(F.least(F.lit(15), F.greatest(F.lit(0), 14 - F.floor(F.log10(F.abs(c))))))
+
+
 def decimal_text(c: Column) -> Column:
     """A double as plain decimal text (1e7 -> ``10000000``), rounded to 15 significant digits."""
-    places = F.when(c == 0, 0).otherwise(F.least(F.lit(15), F.greatest(F.lit(0), 14 - F.floor(F.log10(F.abs(c))))))
-    scale = F.pow(F.lit(10.0), places)
+    scale = F.pow(F.lit(10.0), _places(c))
     rounded = F.rint(c * scale) / scale
     return F.regexp_replace(rounded.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
 
@@ -54,6 +58,13 @@ def decimal_places(c: Column) -> Column:
     return F.when(text.contains("."), F.length(F.substring_index(text, ".", -1))).otherwise(F.lit(0))
 
 
+def more_decimals(c: Column, most: int) -> Column:
+    """``decimal_places(c) > most`` without a text: the 15 digits as a whole number, which a double holds exactly, do not end
+    in as many zeros as there are places too many."""
+    places = _places(c)
+    return F.coalesce((places > most) & (F.rint(c * F.pow(F.lit(10.0), places)) % F.pow(F.lit(10.0), places - most) != 0), F.lit(False))
+
+
 def pct(part: Column, whole: Column) -> Column:
     """Share in percent; 0 when the whole is empty."""
     return F.when(whole > 0, part * 100.0 / whole).otherwise(F.lit(0.0))

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from plumbline.functions import numbers as N
 from plumbline.operators import apply as A, clean as C, compare as M, profile as P, quantiles, rules as R, validate as V
@@ -128,3 +128,14 @@ def test_no_drift_against_itself(spark):
     moved = df.withColumn("x", F.col("x") + 1000).drop("s")
     kinds = {r["type"] for r in M.drift(M.baseline(moved, P.profile(moved, samples=False)), base).collect()}
     assert kinds == {"mean_shift", "missing_column"}
+
+
+def test_decimal_rules_need_no_text(spark):
+    """The test of a decimal rule counts places as `decimal_places` does, and its plan makes no text of every value."""
+    values = [0.0, -0.0, 1.5, -1.25, 0.1 + 0.2, 1e-7, 123456789.123, 1e15, 1e22, 9007199254740993.0, 0.000123456789012345678, 2.675, -99999.99, float("inf"), float("-inf"), float("nan"), None, 1 / 3, 1e-16, 1e300]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(N.clean(F.col("x"), T.DoubleType()).alias("x"))
+    for most in (0, 1, 2, 7, 14, 15):
+        rows = df.select((N.decimal_places(F.col("x")) > most).alias("a"), N.more_decimals(F.col("x"), most).alias("b")).collect()
+        assert [bool(r["a"]) for r in rows] == [r["b"] for r in rows]
+    test = V.read_rule(df, "x", "Accuracy", "X may have a maximum of 1 decimal places").cell
+    assert "decimal(38,18)" not in df.select(test)._jdf.queryExecution().optimizedPlan().toString()
