@@ -91,9 +91,9 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch(spark) + "/wide.csv"
     rows = table(spark, sf, "documents").selectExpr("doc_id", """coalesce(text, '') || chr(10) || '"x", y' AS text""")
-    files.write(rows.coalesce(1), path, "csv")
+    files.write(rows, path, "csv")
     size, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:  # several blocks in one file
+    try:  # several blocks in a file
         spark.conf.set(size, "256k")
         out = files.read(spark, path, schema="doc_id bigint, text string").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
         return checkpoint(out)

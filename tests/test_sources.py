@@ -125,3 +125,18 @@ def test_feather_batches_are_tasks(spark, tmp_path):
     feather.write_feather(pa.table({"k": list(range(1000))}), str(tmp_path / "one.feather"), chunksize=100)
     df = files.read(spark, str(tmp_path / "one.feather"))
     assert df.rdd.getNumPartitions() == 10 and sorted(r["k"] for r in df.collect()) == list(range(1000))
+
+
+def test_quoted_blocks_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task of csv_quoted_blocks writes the whole table, and every row comes back."""
+    import hashlib
+
+    from plumbline.plans import load, storage
+
+    texts = {i: f'a "{i}"\n, b' * (i % 5 + 1) for i in range(80)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    seen, write = [], storage.files.write
+    monkeypatch.setattr(storage.files, "write", lambda df, *a, **k: (seen.append(df.rdd.getNumPartitions()), write(df, *a, **k)))
+    got = {r["doc_id"]: r["digest"] for r in load()["csv_quoted_blocks"].run(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5((t + '\n"x", y').encode()).hexdigest() for i, t in texts.items()}
+    assert seen[0] > 1
