@@ -9,6 +9,7 @@ per fragment.
    and at their first shared gram the grams passed over, the set sizes and the sizes of their 16 segments
    (overlap <= sum of the smaller ones) allow the overlap that is needed. The overlap of the two prefixes
    bounds it again: of the prefix that ends first, every gram that the other lacks is lost.
+   Sizes are told first, by bands: a prefix gram travels only if another class of a size that may link has it too.
 3. For what is left, each fragment counts its partial overlap separately, by an intersection of two
    segments; the partial counts are summed per pair and decide exactly.
 
@@ -30,6 +31,7 @@ through. Working columns start with `__nj_`.
 
 from __future__ import annotations
 
+import math
 from typing import Iterator
 
 import numpy as np
@@ -52,6 +54,9 @@ CROWD = 32
 CHUNK, LOCAL = 1 << 19, 2
 #: Bits of the map that tells tasks which rows may be candidates' representatives.
 MAP_BITS = 26
+#: Bands of set sizes, one bit of a long each; a gram's place on a map moves by its band, in the map's highest bits.
+BANDS = 64
+BAND_SHIFT = MAP_BITS - 6
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -192,19 +197,37 @@ def on_map(key: str, bits):
     return run
 
 
+def bands_of(n: str, percent: int) -> Column:
+    """The band of a set's size. Sizes that may link are of one band or of two that follow each other; bands BANDS
+    apart count as one, which only lets more meet."""
+    width = math.log(100 / min(percent, 99)) * (1 + 1e-6)  # a bit more, so that rounding parts no two sizes
+    return (F.floor(F.log(F.col(n).cast("double")) / width) % BANDS).cast("int")
+
+
+def meeting_bands(k: str, seen: str) -> Column:
+    """Of the bands (bits) of a gram's k classes, those where a class may meet another one. With as many bands as classes
+    each has one to itself, and meets what is in the next ones; else any band may hold two."""
+    col, bits = F.col(seen), BANDS - 1
+    # the neighbours of the last band are the one before it and the first one
+    up = F.shiftleft(col, 1).bitwiseOR(F.shiftrightunsigned(col, bits))
+    down = F.shiftrightunsigned(col, 1).bitwiseOR(F.shiftleft(col, bits))
+    return F.when(F.col(k) > F.bit_count(seen), col).otherwise(col.bitwiseAND(up.bitwiseOR(down)))
+
+
 def shared_prefixes(grams_map, rows_map):
-    """For mapInArrow over the rows that are on one map: a row per prefix gram that is on the other."""
+    """For mapInArrow over the rows that are on one map: a row per prefix gram that is on the other at the row's band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on, chosen = grams_map.value, rows_map.value
         for batch in batches:
-            batch = pa.RecordBatch.from_struct_array(batch.filter(pa.array(marked(chosen, batch.column("__nj_r").to_numpy()))).to_struct_array())
+            batch = pa.RecordBatch.from_struct_array(batch.filter(pa.array(marked(chosen, batch.column("__nj_u").to_numpy()))).to_struct_array())
             lists_, n = batch.column("__nj_prefix"), batch.column("n_shingles").to_numpy()
+            bands = batch.column("__nj_band").to_numpy().astype(np.int64)
             grams, first = lists_.values.to_numpy(), lists_.offsets.to_numpy().astype(np.int64)
             own = np.repeat(np.arange(batch.num_rows), np.diff(first))
             place = np.arange(first[0], first[-1]) - first[:-1][own]
             grams = grams[first[0] : first[-1]]
-            at = np.flatnonzero(marked(on, grams))
+            at = np.flatnonzero(marked(on, grams ^ (bands[own] << BAND_SHIFT)))
             yield pa.RecordBatch.from_arrays([pa.array(grams[at]), pa.array(place[at].astype(np.int32)), batch.column("__nj_c").take(pa.array(own[at])), pa.array(n[own[at]]), *(batch.column(c).take(pa.array(own[at])) for c in PACKED)], ["g", "p", "c", "n", *PACKED])
 
     return run
@@ -293,8 +316,8 @@ class Join:
         slim = docs.select(F.col(key).alias("__nj_id"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
         kinds = {f.name: f.dataType for f in slim.schema}
         schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.LongType()) for c in (*PACKED, *FINE)), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
-        #: One row per document; all that the join needs but the sets of candidates.
-        self.rows = stored(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], order, percent, words), schema))
+        #: One row per document; all that the join needs but the sets of candidates. `__nj_u` tells repeated rows apart.
+        self.rows = stored(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], order, percent, words), schema).withColumn("__nj_u", F.xxhash64(F.monotonically_increasing_id())))
         order.destroy()  # what was cut reads files from here on
 
     def fits(self, nx, ny, px, py) -> Column:
@@ -331,36 +354,49 @@ class Join:
         parts = stored(self.texts.mapInArrow(segments("__nj_text", bits, self.words), "c long, f int, grams array<long>"))
         bits.destroy()
         side = lambda c, g: parts.select(F.col("c").alias(c), "f", F.col("grams").alias(g))
-        partial = pairs.join(side("x", "gx"), "x").join(side("y", "gy"), ["y", "f"]).select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("gx", "gy")).alias("o"))
+        # pairs are told by fragment before both joins, so that one exchange of the segments serves both sides
+        each = pairs.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))))
+        partial = each.join(side("x", "gx"), ["x", "f"]).join(side("y", "gy"), ["y", "f"]).select("x", "y", "nx", "ny", "f", F.size(F.array_intersect("gx", "gy")).alias("o"))
         once = partial.groupBy("x", "y", "nx", "ny", "f").agg(F.max("o").alias("o"))  # a class may come from two tasks
         summed = once.groupBy("x", "y", "nx", "ny").agg(F.sum("o").alias("overlap"))
         return summed.filter(F.col("overlap") * 100 >= (F.col("nx") + F.col("ny") - F.col("overlap")) * self.percent).select("x", "y", "nx", "ny", "overlap")
 
-    def components(self) -> DataFrame:
-        """(__nj_c, __nj_root) of all classes that link with another one."""
+    def prefixes(self) -> DataFrame:
+        """Prefix grams (g, place p) of one row per class (c, n), where another class of a size that may link has the gram too."""
         spark = self.rows.sparkSession
         full = self.rows.filter("n_shingles > 0")
-        grams = full.select(F.explode("__nj_prefix").alias("g"), F.col("__nj_c").alias("c")).groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b"))
+        full = full.withColumn("__nj_band", bands_of("n_shingles", self.percent))
         share = spark.sparkContext.broadcast
-        # maps of grams that two classes share, and of one row per class; they may let a few others pass
-        grams_map = share(bitmap(grams.filter("a <> b"), "g"))
-        rows_map = share(bitmap(full.groupBy("__nj_c").agg(F.min("__nj_r").alias("r")), "r"))
-        fields = ["p", "c", "n", *PACKED]
-        prefix = stored(full.select("__nj_r", "__nj_c", "n_shingles", *PACKED, "__nj_prefix").mapInArrow(shared_prefixes(grams_map, rows_map), "g long, p int, c long, n long, s0 long, s1 long, s2 long, s3 long"))
+        # maps of one row per class, and of grams that two classes of sizes that may link share; they may let a few others pass
+        rows_map = share(bitmap(full.groupBy("__nj_c").agg(F.min("__nj_u").alias("u")), "u"))
+        single = full.select("__nj_u", "__nj_band", "__nj_prefix").mapInArrow(on_map("__nj_u", rows_map), "__nj_u long, __nj_band int, __nj_prefix array<long>")
+        seen = F.bit_or(F.expr("shiftleft(1L, __nj_band)")).alias("seen")
+        grams = single.select(F.explode("__nj_prefix").alias("g"), "__nj_band").groupBy("g").agg(F.count(F.lit(1)).alias("k"), seen).filter("k > 1").select("g", meeting_bands("k", "seen").alias("meet"))
+        band = F.explode(F.expr(f"filter(sequence(0, {BANDS - 1}), i -> getbit(meet, i) = 1)"))
+        places = grams.filter("meet <> 0").select("g", band.alias("i")).select(F.col("g").bitwiseXOR(F.shiftleft(F.col("i").cast("long"), BAND_SHIFT)).alias("g"))
+        grams_map = share(bitmap(places, "g"))
+        prefix = stored(full.select("__nj_u", "__nj_c", "__nj_band", "n_shingles", *PACKED, "__nj_prefix").mapInArrow(shared_prefixes(grams_map, rows_map), "g long, p int, c long, n long, s0 long, s1 long, s2 long, s3 long"))
         grams_map.destroy()
         rows_map.destroy()
-        shared = stored(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("other"), F.min("c").alias("one"), F.min(F.struct(*fields)).alias("lead")).filter("one <> other").select("g", "k", *(F.col(f"lead.{c}").alias(f"{c}x") for c in fields)))
+        return prefix
+
+    def components(self) -> DataFrame:
+        """(__nj_c, __nj_root) of all classes that link with another one."""
+        prefix, fields = self.prefixes(), ["p", "c", "n", *PACKED]
+        shared = stored(prefix.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(*fields)).alias("lead")).filter("k > 1").select("g", "k", *(F.col(f"lead.{c}").alias(f"{c}x") for c in fields)))
 
         member = prefix.select("g", *(F.col(c).alias(f"{c}y") for c in fields))
         pairs = lambda df: df.select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"), F.when(F.col("cx") < F.col("cy"), F.col("nx")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("cx") < F.col("cy"), F.col("ny")).otherwise(F.col("nx")).alias("ny")).distinct()
         fit = self.fits("nx", "ny", "px", "py") & self.segments_fit("nx", "ny", "x", "y")
-        links = stored(self.verified(pairs(member.join(shared, "g").filter((F.col("cx") != F.col("cy")) & fit))).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        # the members that may link with the lead, and those that may link with one another
+        p = self.percent
+        near = (F.col("py") + F.col("px")) * ((100 + p) * p) <= F.col("ny") * ((100 - p) * (100 + p))  # no member passes over fewer grams than the lead
+        led = member.join(shared, "g").filter("cx <> cy").withColumns({"led": fit, "near": (F.col("k") > 2) & near}).filter("led OR near")
+        led = stored(led.select("g", "k", "cx", "nx", *(f"{c}y" for c in fields), "led", "near"))
+        links = stored(self.verified(pairs(led.filter("led"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
         # the others of each gram meet one another
-        p = self.percent
-        near = (F.col("p") + F.col("p_lead")) * ((100 + p) * p) <= F.col("n") * ((100 - p) * (100 + p))  # no member passes over fewer grams than the lead
-        leads = shared.select("g", "k", F.col("cx").alias("lead"), F.col("px").alias("p_lead")).filter("k > 2")
-        rest = prefix.join(leads, "g").filter((F.col("c") != F.col("lead")) & near).drop("lead", "p_lead")
+        rest = led.filter("near").select("g", "k", *(F.col(f"{c}y").alias(c) for c in fields))
         few = rest.filter(F.col("k") <= CROWD)
         named = lambda df, i, *more: df.select("g", *(F.col(c).alias(c + i) for c in (*fields, *more)))
         met = pairs(named(few, "x").join(named(few, "y"), "g").filter((F.col("cx") < F.col("cy")) & fit))

@@ -201,3 +201,29 @@ def test_pipeline_of_an_empty_table(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, "/root/testdata/sf0.001")
         assert df.collect() == []
+
+
+def test_prefix_grams_of_sizes_that_cannot_link_do_not_travel(spark, docs):
+    words = [f"w{i}" for i in range(300)]
+    long = (0, " ".join(words))
+    short = [(1 + i, " ".join(words[i : i + 4])) for i in range(0, 298, 2)]  # every gram of the long text is in a short one
+    join = ngram_join.Join(docs([long, *short]), "doc_id", "text", 90, 3)
+    assert join.prefixes().count() == 0
+    near = (999, " ".join([*words[:299], "other"]))
+    rows = [long, near, near, *short]
+    assert ngram_join.Join(docs(rows), "doc_id", "text", 90, 3).prefixes().filter("n = 298").count() > 0
+    assert result(ngram_join.join_components(docs(rows))) == brute_components(rows)[0]
+
+
+def test_bands_part_no_sizes_that_may_link(spark):
+    for percent in (100, 90, 80, 50):
+        sizes = [*range(1, 400), 4000, 4444, 4445, 20000, 22222, 22223, 99999, 111110]
+        df = spark.createDataFrame([(n,) for n in sizes], "n long").withColumn("b", ngram_join.bands_of("n", percent))
+        band = {r["n"]: r["b"] for r in df.collect()}
+        pairs = [(x, y) for x in sizes for y in sizes if x < y and 100 * x >= percent * y]
+        assert all((band[y] - band[x]) % ngram_join.BANDS in (0, 1) for x, y in pairs)
+    cases = [(2, {3, 4}), (2, {3, 5}), (2, {7}), (3, {3, 9}), (2, {0, 63}), (3, {1, 2, 9}), (2, {62, 63}), (2, {1, 63})]
+    signed = lambda bands: sum(1 << b for b in bands) - (1 << 64 if 63 in bands else 0)
+    rows = spark.createDataFrame([(i, k, signed(b)) for i, (k, b) in enumerate(cases)], "i int, k long, seen long")
+    meet = [r["m"] for r in rows.select("i", ngram_join.meeting_bands("k", "seen").alias("m")).orderBy("i").collect()]
+    assert meet == [signed(b) for b in ({3, 4}, set(), {7}, {3, 9}, {0, 63}, {1, 2}, {62, 63}, set())]
