@@ -178,22 +178,29 @@ def label(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def features(text: str):
-    """For mapInArrow: shares of a text's buckets among its trigrams and among its words, with its votes."""
+    """For mapInArrow: shares of a text's buckets among its trigrams and among its words, with its votes. Both in one step:
+    each Python step of a task has a process of its own, which stays in memory for the steps to come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, rows in slices(batch.column(text)):
+                names = names_of(votes(data, rows))
                 shapes, rows, words, first = buckets_of(data, rows)
                 key, at = np.unique(np.concatenate([rows_of(rows) << BITS | shapes, rows_of(first) << BITS | words]), return_inverse=True)
                 each = np.concatenate([np.repeat(1 / np.maximum(np.diff(x), 1), np.diff(x)) for x in (rows, first)])
                 share = np.bincount(at, each, len(key)).astype(np.float32)
                 begin = np.searchsorted(key >> BITS, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(begin), pa.array(x)) for x in ((key & ((1 << BITS) - 1)).astype(np.int32), share)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("__ql_votes", "__ql_digest")), *lists], ["votes", "digest", "buckets", "shares"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column("__ql_digest").slice(lo, hi - lo), *lists], ["votes", "digest", "buckets", "shares"])
 
     return run
 
 
+def described(sample: DataFrame) -> DataFrame:
+    """votes, digest, buckets and shares of the texts drawn (`__ql_text`, `__ql_digest`)."""
+    return sample.mapInArrow(features("__ql_text"), "votes string, digest long, buckets array<int>, shares array<float>")
+
+
 def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -> Model:
     """Label model over all texts, scorer from a sample."""
     texts = docs.select(F.col(text).alias("__ql_text"))
@@ -207,7 +214,7 @@ def learn(docs: DataFrame, text: str = "text", most_sample: int = MOST_SAMPLE) -
     posterior = dict(zip((r[0] for r in counted), good.tolist()))
     filled = texts.filter(F.length("__ql_text") > 0).withColumn("__ql_digest", F.xxhash64("__ql_text"))  # an empty text has no features
     draws = fair_draw(cut(filled.groupBy("__ql_digest").agg(F.count(F.lit(1)).alias("n"))), "__ql_digest", "n", most_sample)
-    sample = label(drawn(filled, "__ql_digest", draws), "__ql_text").withColumnRenamed("votes", "__ql_votes").mapInArrow(features("__ql_text"), "votes string, digest long, buckets array<int>, shares array<float>")
+    sample = described(drawn(filled, "__ql_digest", draws))
     found = [r for r in sorted(sample.toArrow().to_pylist(), key=lambda r: r["digest"]) for _ in range(draws[r["digest"]])]
     goal = np.array([posterior[r["votes"]] for r in found])
     if not 0.5 < goal.sum() < len(goal) - 0.5:  # one class only: nothing to tell apart

@@ -545,3 +545,12 @@ def test_quality_sample_is_not_of_empty_texts(docs, monkeypatch):
     out = quality.classify(docs(rows), quality.learn(docs(rows), most_sample=100)).collect()
     assert all(r["keep"] == (r["doc_id"] < 400 or r["doc_id"] >= 1000) for r in out)
     assert sizes == [100]
+
+
+def test_quality_sample_takes_one_python_process_a_task(spark):
+    rows = [(f"word{i} the and of it is a text {i}. " * (1 + i % 3), i) for i in range(20)]
+    sample = spark.createDataFrame(rows, "__ql_text string, __ql_digest long")
+    out = quality.described(sample)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    votes = {r["__ql_digest"]: r["votes"] for r in quality.label(sample, "__ql_text").collect()}
+    assert {r["digest"]: r["votes"] for r in out.collect()} == votes
