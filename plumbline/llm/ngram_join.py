@@ -16,7 +16,10 @@ per fragment.
 Candidates come in two rounds, so that a crowd of near copies does not give all its pairs: first every class
 meets the most central class of each of its prefix grams, then the others. At a gram of more than `CROWD`
 classes, only pairs that are not yet connected meet, one side of which is outside the largest component
-there; this changes the work, not the result. Nothing is capped: each linked pair is either
+there. They meet by blocks of classes, small ones first, and what a block connects does not meet the next one; a class
+that did not link with a fair draw of the crowd links with few of the rest. Parity maps (one bit per place of a gram's
+hash, turned by each gram) tell before that how many grams two sets have apart at least, so a class that links with nothing gives
+few pairs. This changes the work, not the result. Nothing is capped: each linked pair is either
 verified or already connected, so components are exact. Components are found by alternating star
 contraction of the links, each round of which is written to the shared folder.
 
@@ -50,6 +53,10 @@ PACKED = ["s0", "s1", "s2", "s3"]
 #: The same for the halves of the fragments, compared where a crowd meets.
 FINE = [f"f{k}" for k in range(8)]
 CROWD = 32
+#: A set's parity map of 64 bits a column; the larger a set, the less it tells (nothing beyond about 2,300 grams at 80 percent).
+PARITY = [f"q{k}" for k in range(16)]
+#: Classes of a crowd in the first block (about), and how many times all blocks before it the next one has.
+BLOCK, GROWTH = 256, 8
 #: Grams of a task that are counted together, and how often one must come to be reported.
 CHUNK, LOCAL = 1 << 19, 2
 #: Bits of the map that tells tasks which rows may be candidates' representatives.
@@ -122,6 +129,14 @@ def lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
 
 
+def parity_maps(flat: np.ndarray, own: np.ndarray, rows: int) -> np.ndarray:
+    """One map of bits per set, 64 bits a column: whether an odd number of its grams has the place."""
+    bits = 64 * len(PARITY)
+    place = own * bits + (flat & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=rows * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(rows, -1)
+
+
 def frequent_grams(text: str, words: int):
     """For mapInArrow: grams that come often within a chunk of a task's texts, with their counts."""
 
@@ -148,7 +163,7 @@ def frequent_grams(text: str, words: int):
 
 
 def describe(text: str, carried: list[str], order, percent: int, words: int):
-    """For mapInArrow: each text's class key, set size, segment sizes and prefix."""
+    """For mapInArrow: each text's class key, set size, segment sizes, parity map and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked = Order(order.value)
@@ -159,7 +174,7 @@ def describe(text: str, carried: list[str], order, percent: int, words: int):
                 flat, own = np.concatenate(sets), np.repeat(np.arange(hi - lo), n)
                 ranks = ranked.ranks(flat)
                 packed = lambda many, of: np.bincount(own * many + of, minlength=(hi - lo) * many).astype(np.uint16).view(np.int64).reshape(-1, many // 4)
-                sizes = np.concatenate([packed(FRAGMENTS, fragment(flat)), packed(HALVES, (flat >> np.uint64(59)).astype(np.int64))], 1)
+                sizes = np.concatenate([packed(FRAGMENTS, fragment(flat)), packed(HALVES, (flat >> np.uint64(59)).astype(np.int64)), parity_maps(flat, own, hi - lo)], 1)
                 wanted = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 first = np.concatenate([[0], np.cumsum(n)])
                 prefixes = []
@@ -173,8 +188,8 @@ def describe(text: str, carried: list[str], order, percent: int, words: int):
                     prefixes.append(rare)
                 keys = pa.array(class_keys(flat, own, n), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in carried), keys, pa.array(n), *(pa.array(sizes[:, k].copy()) for k in range(12)), lists(np.concatenate(prefixes).view(np.int64), wanted)],
-                    [*carried, "__nj_c", "n_shingles", *PACKED, *FINE, "__nj_prefix"],
+                    [*(batch.column(c).slice(lo, hi - lo) for c in carried), keys, pa.array(n), *(pa.array(sizes[:, k].copy()) for k in range(sizes.shape[1])), lists(np.concatenate(prefixes).view(np.int64), wanted)],
+                    [*carried, "__nj_c", "n_shingles", *PACKED, *FINE, *PARITY, "__nj_prefix"],
                 )
 
     return run
@@ -274,18 +289,15 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def star_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, root) of all nodes of edges (a, b), root the smallest node connected: alternating stars. After a
-    given number of rounds, roots may be further apart than need be, but nodes with one root are connected."""
+def star_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of all nodes of edges (a, b), root the smallest node connected: alternating stars."""
     tidy = lambda e: e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, before, done = stored(tidy(edges)), None, 0
-    while done != rounds:
-        done += 1
-        if rounds is None:
-            mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-            if mark == before:
-                break
-            before = mark
+    now, before = stored(tidy(edges)), None
+    while True:
+        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if mark == before:
+            break
+        before = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = stored(tidy(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))))
@@ -293,11 +305,21 @@ def star_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         now = stored(tidy(small))
     leaves = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
-    if rounds is not None:
-        return leaves
     return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """df with its nodes in a column replaced by their roots, where they have one."""
+    found = roots.select(F.col("node").alias(column), F.col("root").alias("__nj_to"))
+    return df.join(found, column, "left").withColumn(column, F.coalesce("__nj_to", column)).select(df.columns)
+
+
+def block_of(c: str, k: str) -> Column:
+    """The block of a class among the k classes of a crowd: a fair draw of BLOCK of them, then of GROWTH times as many in all, and so on."""
+    place = F.pmod(F.xxhash64(c), F.lit(1 << 40)).cast("double") * F.col(k) / (float(1 << 40) * BLOCK)
+    return F.when(place < 1, 0).otherwise(F.floor(F.log(place) / math.log(GROWTH)) + 1).cast("int")
+
+
 class Join:
     """One run of the join over docs; percent is the least Jaccard similarity of their grams of so many words."""
 
@@ -315,7 +337,7 @@ class Join:
         order = spark.sparkContext.broadcast(grams[np.lexsort((grams, n))])
         slim = docs.select(F.col(key).alias("__nj_id"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("__nj_r"), F.col(text).alias("__nj_text"))
         kinds = {f.name: f.dataType for f in slim.schema}
-        schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.LongType()) for c in (*PACKED, *FINE)), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
+        schema = T.StructType([T.StructField("__nj_id", kinds["__nj_id"]), T.StructField("__nj_r", T.LongType()), T.StructField("__nj_c", T.LongType()), T.StructField("n_shingles", T.LongType()), *(T.StructField(c, T.LongType()) for c in (*PACKED, *FINE, *PARITY)), T.StructField("__nj_prefix", T.ArrayType(T.LongType()))])
         #: One row per document; all that the join needs but the sets of candidates. `__nj_u` tells repeated rows apart.
         self.rows = stored(slim.mapInArrow(describe("__nj_text", ["__nj_id", "__nj_r"], order, percent, words), schema).withColumn("__nj_u", F.xxhash64(F.monotonically_increasing_id())))
         order.destroy()  # what was cut reads files from here on
@@ -331,6 +353,11 @@ class Join:
         most = sum((F.least(part(c + x, k), part(c + y, k)) for c in packed for k in range(4)), F.lit(0))
         return (F.greatest(nx, ny) > 0xFFFF) | (most * (100 + self.percent) >= (F.col(nx) + F.col(ny)) * self.percent)
 
+    def parities_fit(self, nx, ny, x: str, y: str) -> Column:
+        """Grams that only one of two sets has, as many as their parity maps tell at least, allow a link."""
+        apart = sum((F.bit_count(F.col(q + x).bitwiseXOR(F.col(q + y))) for q in PARITY), F.lit(0))
+        return apart * (100 + self.percent) <= (F.col(nx) + F.col(ny)) * (100 - self.percent)
+
     def prefixes_fit(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y, nx, ny) whose prefixes share enough."""
         pairs = stored(pairs)
@@ -400,20 +427,39 @@ class Join:
         few = rest.filter(F.col("k") <= CROWD)
         named = lambda df, i, *more: df.select("g", *(F.col(c).alias(c + i) for c in (*fields, *more)))
         met = pairs(named(few, "x").join(named(few, "y"), "g").filter((F.col("cx") < F.col("cy")) & fit))
-        # in a crowd, only pairs that the first round left apart, one side outside the largest component
-        roots = stored(star_components(links, rounds=1))
-        crowd = stored(rest.filter(F.col("k") > CROWD).join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c")))
+        # in a crowd, only pairs that are still apart, one side outside the component that was the largest at first
+        roots = stored(star_components(links))
+        crowd = stored(rooted(rest.filter(F.col("k") > CROWD).withColumn("root", F.col("c")), "root", roots))
         top = crowd.groupBy("g", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("g").agg(F.max(F.struct("k", "root")).alias("top")).select("g", F.col("top.root").alias("top"))
-        fine = self.rows.select(F.col("__nj_c").alias("c"), *FINE).join(crowd.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
-        crowd = stored(crowd.join(top, "g").join(fine, "c"))
-        x, y = named(crowd, "x", "root", "top", *FINE), named(crowd, "y", "root", "top", *FINE)
-        apart = (F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("topy")) | (F.col("cx") < F.col("cy")))
-        more = pairs(x.filter("rootx <> topx").join(y, "g").filter(apart & fit & self.segments_fit("nx", "ny", "x", "y", FINE)))
+        fine = self.rows.select(F.col("__nj_c").alias("c"), *FINE, *PARITY).join(crowd.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+        crowd = stored(crowd.join(top, "g").join(fine, "c").withColumn("block", block_of("c", "k")))
+        open_ = met.union(pairs(self.meet(crowd, 0))).distinct()
+        for block in range(1, (crowd.agg(F.max("block")).first()[0] or 0) + 1):
+            roots = self.linked(open_, roots)
+            crowd = stored(rooted(rooted(crowd, "root", roots), "top", roots))
+            open_ = pairs(self.meet(crowd, block))
+        return self.linked(open_, roots).select(F.col("node").alias("__nj_c"), F.col("root").alias("__nj_root"))
+
+    def meet(self, crowd: DataFrame, block: int) -> DataFrame:
+        """Of the classes that meet at the grams g of crowds, those outside the component `top` with those of a block, where they may link.
+
+        A linked pair is met in one of the blocks or ends up connected: whichever of the two is outside when the block of the other comes meets it
+        there, and if neither is, both are of the component `top`. Of two that are outside, the one of the earlier block comes first.
+        """
+        named = lambda df, i: df.select("g", *(F.col(c).alias(c + i) for c in ("p", "c", "n", *PACKED, "root", "top", "block", *FINE, *PARITY)))
+        x, y = named(crowd.filter("root <> top"), "x"), named(crowd.filter(F.col("block") == block), "y")
+        once = (F.col("rooty") == F.col("topy")) | (F.col("blockx") > block) | ((F.col("blockx") == block) & (F.col("cx") < F.col("cy")))
+        fit = self.fits("nx", "ny", "px", "py") & self.segments_fit("nx", "ny", "x", "y") & self.segments_fit("nx", "ny", "x", "y", FINE)
+        return x.join(y, "g").filter((F.col("rootx") != F.col("rooty")) & once & fit & self.parities_fit("nx", "ny", "x", "y"))
+
+    def linked(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """roots (node, root) after the links among those pairs (x, y, nx, ny) that it leaves apart."""
         root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        known = met.union(more).distinct().join(root("x"), "x", "left").join(root("y"), "y", "left")
-        open_ = known.filter(F.coalesce("root_x", "x") != F.coalesce("root_y", "y")).select("x", "y", "nx", "ny")
-        crossed = self.verified(open_).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        return star_components(stored(links.union(crossed))).select(F.col("node").alias("__nj_c"), F.col("root").alias("__nj_root"))
+        known = pairs.join(root("x"), "x", "left").join(root("y"), "y", "left").withColumns({"a": F.coalesce("root_x", "x"), "b": F.coalesce("root_y", "y")})
+        links = self.verified(known.filter("a <> b").select("x", "y", "nx", "ny")).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        more = stored(star_components(rooted(rooted(links, "a", roots), "b", roots)))
+        alone = more.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+        return stored(rooted(roots.union(alone), "root", more))
 
     def assigned(self) -> DataFrame:
         """__nj_id, __nj_r, n_shingles and __nj_group of every document; the group is null for one without a set."""

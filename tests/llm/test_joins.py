@@ -227,3 +227,56 @@ def test_bands_part_no_sizes_that_may_link(spark):
     rows = spark.createDataFrame([(i, k, signed(b)) for i, (k, b) in enumerate(cases)], "i int, k long, seen long")
     meet = [r["m"] for r in rows.select("i", ngram_join.meeting_bands("k", "seen").alias("m")).orderBy("i").collect()]
     assert meet == [signed(b) for b in ({3, 4}, set(), {7}, {3, 9}, {0, 63}, {1, 2}, {62, 63}, set())]
+
+
+def near_copies(n, seed, unlike=0):
+    """Copies of a text with one to six other words each, and as many texts of a passage with few words before it."""
+    rng = random.Random(seed)
+    base, passage = [f"b{i}" for i in range(150)], [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), 1 + i % 6):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    return rows + [(n + i, " ".join([f"q{rng.randint(0, 12)}" for _ in range(rng.randint(6, 14))] + passage)) for i in range(unlike)]
+
+
+@pytest.mark.parametrize("crowded, block, growth", [(32, 256, 8), (6, 4, 4)])
+def test_crowds_that_meet_by_blocks_match_brute_force(docs, monkeypatch, crowded, block, growth):
+    for name, value in (("CROWD", crowded), ("BLOCK", block), ("GROWTH", growth)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = [*near_copies(110, 4, 50), *((1000 + i, t) for i, t in crowd(6, 60)), *((i, t) for i, t in near_copies(12, 4))]
+    got = {(repr(r["doc_id"]), r["component_id"]) for r in ngram_join.join_components(docs(rows).repartition(3), percent=80, words=5).collect()}
+    assert got == {(i, c) for i, _, c in brute_components(rows, 80, 5)[0]}
+
+
+def test_a_crowd_of_near_copies_gives_few_candidates(docs, monkeypatch):
+    """Copies that are too far from one another to link are not verified against all the others."""
+    rows, asked, verified = near_copies(300, 9), [], ngram_join.Join.verified
+
+    def counted(self, candidates):
+        asked.append(candidates.count())
+        return verified(self, candidates)
+
+    monkeypatch.setattr(ngram_join.Join, "verified", counted)
+    got = result(ngram_join.join_components(docs(rows), percent=80, words=5))
+    assert got == brute_components(rows, 80, 5)[0]
+    assert sum(asked[1:]) < 2 * len(rows)  # the first round has at most a pair per prefix gram and class
+
+
+def test_parity_maps_never_tell_more_than_sets_have_apart(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    whole = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = [np.sort(whole[a:b]) for a, b in ((0, 0), (0, 1), (3, 40), (0, 60), (2, 68), (50, 220), (0, 300), (0, 2000), (100, 2500), (0, 9000))]
+    n = np.array([len(x) for x in sets])
+    maps = ngram_join.parity_maps(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets)).tolist()
+    join = ngram_join.Join.__new__(ngram_join.Join)
+    pairs = [(i, j, len(sets[i]), len(sets[j]), *maps[i], *maps[j]) for i in range(len(sets)) for j in range(len(sets))]
+    df = spark.createDataFrame(pairs, ", ".join(["i int", "j int", "nx long", "ny long", *(f"{q}{side} long" for side in "xy" for q in ngram_join.PARITY)]))
+    for join.percent in (50, 80, 90, 100):
+        fit = {(r["i"], r["j"]) for r in df.filter(join.parities_fit("nx", "ny", "x", "y")).collect()}
+        link = {(i, j) for i, j, *_ in pairs if (k := len(np.intersect1d(sets[i], sets[j]))) * 100 >= join.percent * (len(sets[i]) + len(sets[j]) - k)}
+        assert link <= fit and (join.percent < 80 or (3, 5) not in fit)
